@@ -6,15 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._common import table
+from barloom.llm import fingerprint, packing, quality_rules, toxicity
 from barloom.llm.ngram_join import ngram_jaccard_join
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_toxicity": op2_toxicity,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
