@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._common import table
-from barloom.llm import fingerprint, packing, quality_rules, toxicity
+from barloom.llm import fingerprint, license_scan, packing, quality_rules, toxicity, url_filter
 from barloom.llm.ngram_join import ngram_jaccard_join
 
 
@@ -18,6 +18,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -35,11 +43,45 @@ def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_toxicity": op2_toxicity,
+        "op3_license_scan": op3_license_scan,
+        "op4_url_filter": op4_url_filter,
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
+def _has_term(term: str) -> str:
+    return f"regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+
+
+def _url_filter_sql() -> str:
+    """Rules and terms as plain conditions over each url."""
+    rules = []
+    for verdict, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
+        name, slash, rest = rule.partition("/")
+        fits = f"(host = '{name}' or host like '%.{name}') and starts_with(path, '{slash + rest}')"
+        rules.append((fits, rule, verdict))
+    strict = " or ".join(_has_term(t) for t in url_filter.STRICT)
+    soft = " + ".join(f"cast({_has_term(t)} as int)" for t in url_filter.SOFT)
+    cases = lambda j: " ".join(f"when {r[0]} then '{r[j]}'" for r in rules)
+    return f"""
+        with cut as (
+            select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as i from pages
+        ), rest as (
+            select page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, case when i > 0 then substr(url, i + 3) else '' end as tail from cut
+        ), parts as (
+            select page_id, low, regexp_extract(tail, '^[^/?#]*') as host0, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) as path from rest
+        ), named as (
+            select page_id, low, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts
+        )
+        select page_id, host, path, case {cases(1)} end as rule,
+            case {cases(2)} when {strict} then 'block' when {soft} >= {url_filter.SOFT_HITS} then 'block' else 'allow' end as verdict
+        from named
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": _url_filter_sql(),
+    }
