@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._common import table
-from barloom.llm import fingerprint, license_scan, packing, quality_rules, toxicity, url_filter
+from barloom.llm import chat_format, fingerprint, license_scan, packing, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
 from barloom.llm.ngram_join import ngram_jaccard_join
 
 
@@ -35,10 +35,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    calls, results = chat_format.derived_calls(messages)
+    return chat_format.format_conversations(messages, calls, results, chat_format.SCHEMAS)
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -47,7 +61,10 @@ def queries() -> dict:
         "op4_url_filter": op4_url_filter,
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_warc": op7_warc,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_chat_format": op10_chat_format,
     }
 
 
