@@ -58,15 +58,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()).distinct()
 
 
-def bitmap_prefilter(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows of df whose hashed key may be among those of wanted (which has the same column), to thin out what a join shuffles.
-
-    Keys are folded onto 2**bits positions of a bitmap, so what is broadcast is 2**bits / 8 bytes at the most, at any
-    input size. Rows are only left out if their key is surely not wanted; the exact join comes after this.
-    """
+def _bitmap_hit(df: DataFrame, key: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """df with _hit: whether the hashed key may be among wanted's. Keys are folded onto 2**bits positions of a bitmap,
+    so what is broadcast is 2**bits / 8 bytes at the most, at any input size."""
     position = F.pmod(F.xxhash64(key), F.lit(2**bits)) + 1
     maps = wanted.select(position.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
     placed = df.withColumn("_p", position).withColumn("_bit", F.bitmap_bit_position("_p")).withColumn("_bucket", F.bitmap_bucket_number("_p"))
     octet = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.getbit(octet, F.expr("cast(_bit % 8 as int)")) == 1
-    return placed.join(F.broadcast(maps), "_bucket").where(hit).select(df.columns)
+    hit = F.coalesce(F.getbit(octet, F.expr("cast(_bit % 8 as int)")) == 1, F.lit(False))
+    return placed.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias("_hit"))
+
+
+def bitmap_prefilter(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of df whose key may be among those of wanted (which has the same column), to thin out what a join shuffles.
+
+    Rows are only left out if their key is surely not wanted; the exact join comes after this.
+    """
+    return _bitmap_hit(df, key, wanted, bits).where("_hit").drop("_hit")
+
+
+def drop_keys(df: DataFrame, key: str, unwanted: DataFrame, bits: int = 23) -> DataFrame:
+    """df without the rows whose key is in unwanted; only rows that may be are shuffled. Rows of null key stay."""
+    marked = _bitmap_hit(df, key, unwanted, bits)
+    doubtful = marked.where("_hit").drop("_hit").join(unwanted.select(key).distinct(), key, "left_anti")
+    return marked.where("not _hit").drop("_hit").unionByName(doubtful.select(df.columns))

@@ -57,16 +57,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (len(words), starts - white, int(seen[list(_SYMBOLS)].sum()), dup, repeated_words(words), upper, upper + lower, raw.count(b"!!"), plain, len(set(words)))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(carried: list[str]):
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    for b in batches:
-        rows = np.array([measure(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, len(names))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[:, j].copy()) for j in range(len(names)))], names=["doc_id", *names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([measure(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(rows[:, j].copy()) for j in range(len(names)))], names=[*carried, *names])
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_measured, f"doc_id long, {MEASURES}")
+    return run
+
+
+def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """MEASURES of docs' text column, beside the carried columns."""
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(_measured(carried), ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), MEASURES]))
 
 
 def _vote(bad: str, good: str) -> Column:
@@ -117,25 +122,39 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     return good, p
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the measures, each rule's vote, quality (posterior of being good), base_failed and kept.
+def with_votes(measured: DataFrame) -> DataFrame:
+    return measured.withColumns({f"vote_{k}": v for k, v in rules().items()})
 
-    kept needs quality >= threshold and not base_failed (n_words < 10, or 100 * n_repeat_words > 20 * n_words). Votes of
-    all rows are counted by pattern, of which there are at most 3 to the number of rules; EM runs on those counts. A
-    null or wordless text has zeros and is not kept. Repeated rows are judged alike, null ids are kept as they are,
-    other columns are ignored, and an empty table gives no rows.
-    """
-    votes = rules()
-    voted = materialize(measures(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in votes.items()}))
-    names = [f"vote_{k}" for k in votes]
+
+def learn(voted: DataFrame) -> tuple[float, np.ndarray] | None:
+    """fit() on the vote patterns of all rows, of which there are at most 3 to the number of rules."""
+    names = [c for c in voted.columns if c.startswith("vote_")]
     patterns = [(tuple(r[c] for c in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    good, p = fit(sorted(patterns))
+    return fit(sorted(patterns)) if patterns else None
+
+
+def decide(voted: DataFrame, learned: tuple[float, np.ndarray] | None, threshold: float = 0.5) -> DataFrame:
+    """voted with quality, base_failed and kept."""
+    names = [c for c in voted.columns if c.startswith("vote_")]
+    good, p = learned or (0.5, np.full((2, len(names), 3), 1 / 3))
     log = F.lit(float(np.log(good) - np.log(1 - good)))
-    ratio = np.log(p[1]) - np.log(p[0]) if len(patterns) else np.zeros((len(names), 3))
-    for c, r in zip(names, ratio, strict=True):
+    for c, r in zip(names, np.log(p[1]) - np.log(p[0]), strict=True):
         log = log + F.when(F.col(c) == -1, float(r[0])).when(F.col(c) == 0, float(r[1])).otherwise(float(r[2]))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     return (
         voted.withColumn("quality", 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log)))))
         .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
     )
+
+
+def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the measures, each rule's vote, quality (posterior of being good), base_failed and kept.
+
+    kept needs quality >= threshold and not base_failed (n_words < 10, or 100 * n_repeat_words > 20 * n_words). Votes of
+    all rows are counted by pattern; EM runs on those counts. A null or wordless text has zeros and is not kept.
+    Repeated rows are judged alike, null ids are kept as they are, other columns are ignored, and an empty table gives
+    no rows.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    voted = with_votes(materialize(measures(texts, ["doc_id"])))
+    return decide(voted, learn(voted), threshold)
