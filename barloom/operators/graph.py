@@ -1,8 +1,271 @@
-from pyspark.sql import DataFrame
+"""A knowledge graph as a table of triples (s, p, o, o_kind, o_type), and patterns over it as joins."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+COLUMNS = ("s", "p", "o", "o_kind", "o_type")
+BASE = "ex:"
+
+
+def mint_iri(prefix: str, label: str | Column) -> Column:
+    """prefix and the label with spaces as underscores, percent-encoded but for slashes."""
+    label = F.col(label) if isinstance(label, str) else label
+    return F.concat(F.lit(prefix), F.replace(F.url_encode(F.replace(label.cast("string"), F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")))
+
+
+def iri(s: Column, p: str, o: Column) -> Column:
+    return F.struct(s.alias("s"), F.lit(BASE + p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
+
+
+def literal(s: Column, p: str, o: Column, kind: str | None = None) -> Column:
+    return F.struct(s.alias("s"), F.lit(BASE + p).alias("p"), o.cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit(kind).cast("string").alias("o_type"))
+
+
+def triples(df: DataFrame, *rows: Column) -> DataFrame:
+    """One triple for each row and expression; those without an object are left out. One pass, no shuffle."""
+    return df.select(F.inline(F.filter(F.array(*rows), lambda t: t["o"].isNotNull() & t["s"].isNotNull())))
+
+
+def _known(c: str) -> Column:
+    return F.when(~F.startswith(F.col(c), F.lit("Unknown")), F.col(c))
+
+
+def company_triples(base: DataFrame) -> DataFrame:
+    """Of (Symbol, Sector, Industry, size_class, volatility_class, Country, Region); unknown classes are skipped."""
+    c, country = mint_iri(f"{BASE}company/", "Symbol"), mint_iri(f"{BASE}country/", "Country")
+    return triples(
+        base, iri(c, "type", F.lit(f"{BASE}Company")), iri(c, "belongsToSector", mint_iri(f"{BASE}sector/", "Sector")), iri(c, "inIndustry", mint_iri(f"{BASE}industry/", "Industry")),
+        iri(c, "hasSize", mint_iri(f"{BASE}size/", _known("size_class"))), iri(c, "hasVolatility", mint_iri(f"{BASE}volatility/", _known("volatility_class"))),
+        iri(c, "headquarteredIn", country), iri(country, "inRegion", mint_iri(f"{BASE}region/", "Region")),
+    ).dropDuplicates()
+
+
+def border_triples(borders: DataFrame) -> DataFrame:
+    return triples(borders, iri(mint_iri(f"{BASE}country/", "country"), "sharesBorderWith", mint_iri(f"{BASE}country/", "neighbour"))).dropDuplicates()
+
+
+def observation_triples(obs: DataFrame) -> DataFrame:
+    """Of (Company, Date, Close, Volume, up, EUR): five for each observation, and the rate once for each date."""
+    o = F.concat(F.lit(f"{BASE}obs/"), F.col("Company").cast("string"), F.lit("_"), F.col("Date").cast("string"))
+    day = F.concat(F.lit(f"{BASE}date/"), F.col("Date").cast("string"))
+    each = triples(
+        obs, iri(mint_iri(f"{BASE}company/", "Company"), "hasObservation", o), iri(o, "recordedOn", day), literal(o, "closePrice", F.col("Close"), "xsd:float"),
+        literal(o, "tradeVolume", F.col("Volume"), "xsd:float"), literal(o, "target7dUp", F.col("up"), "xsd:integer"),
+    )
+    rates = triples(obs.select("Date", "EUR").distinct(), literal(day, "eurExchangeRate", F.col("EUR"), "xsd:float"))
+    return each.unionByName(rates)
+
+
+def acquisition_triples(acq: DataFrame, parents: dict | None = None) -> DataFrame:
+    """Of (Symbol, acquired, yr, price): blank and '-' prices are skipped; parents maps names to symbols."""
+    parent = F.col("Symbol").cast("string")
+    if parents:
+        parent = F.coalesce(F.create_map(*(F.lit(x) for kv in parents.items() for x in kv))[parent], parent)
+    a = F.concat(F.lit(f"{BASE}acquisition/"), F.concat_ws("_", "Symbol", "acquired", "yr", F.coalesce(F.col("price").cast("string"), F.lit("none"))))
+    price = F.when(~F.trim(F.col("price").cast("string")).isin("", "-"), F.col("price"))
+    return triples(acq, iri(mint_iri(f"{BASE}company/", parent), "acquired", a), literal(a, "acquisitionYear", F.col("yr"), "xsd:integer"), literal(a, "acquisitionPrice", price, "xsd:float")).dropDuplicates()
+
+
+def macro_triples(macro: DataFrame, borders: DataFrame, tensions: DataFrame) -> DataFrame:
+    c = mint_iri(f"{BASE}country/", "country")
+    own = triples(macro, iri(c, "type", F.lit(f"{BASE}Country")), literal(c, "gdpUsd", F.col("gdp_usd"), "xsd:float"))
+    tense = triples(tensions, iri(c, "hasTensionWith", mint_iri(f"{BASE}country/", "rival")))
+    return own.unionByName(border_triples(borders)).unionByName(tense).dropDuplicates()
+
+
+def counts(graph: DataFrame, by: str = "p") -> DataFrame:
+    return graph.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def local_name(c: str | Column) -> Column:
+    return F.regexp_replace(c, r"^.*[:/#]", "")
+
+
+def relation_summary(graph: DataFrame, k: int = 3) -> DataFrame:
+    """(relation, s, o, n): up to k examples of each predicate in order of subject and object."""
+    w = Window.partitionBy("p").orderBy("s", "o")
+    return graph.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select(local_name("p").alias("relation"), local_name("s").alias("s"), local_name("o").alias("o"), "n")
+
+
+def match(graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
+    """Bindings of a basic graph pattern. Terms that begin with ? are variables; each pattern reads its predicate's triples
+    and joins the others on the variables that they share."""
+
+    def one(pattern: tuple[str, str, str]) -> DataFrame:
+        s, p, o = pattern
+        df = graph.where(F.col("p") == BASE + p)
+        for c, term in (("s", s), ("o", o)):
+            if not term.startswith("?"):
+                df = df.where(F.col(c) == term)
+        return df.select(*(F.col(c).alias(t[1:]) for c, t in (("s", s), ("o", o)) if t.startswith("?")))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, [c for c in a.columns if c in b.columns])
+
+    return reduce(joined, map(one, patterns))
+
+
+def optional(df: DataFrame, graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
+    found = match(graph, *patterns)
+    return df.join(found, [c for c in df.columns if c in found.columns], "left")
+
+
+def not_exists(df: DataFrame, graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
+    found = match(graph, *patterns)
+    return df.join(found, [c for c in df.columns if c in found.columns], "left_anti")
 
-def triples_to_wide(triples: DataFrame, names: list[str]) -> DataFrame:
-    local = lambda c: F.regexp_replace(c, r"^.*[:/#]", "")
-    wide = triples.groupBy(F.replace(local("s"), F.lit("_"), F.lit(" ")).alias("country")).pivot(F.col("_p") if False else "pl", names).agg(F.first("o")) if False else triples.withColumns({"country": F.replace(local("s"), F.lit("_"), F.lit(" ")), "pl": local("p")}).groupBy("country").pivot("pl", names).agg(F.max("o"))
+
+def str_after(c: str | Column, mark: str) -> Column:
+    """What follows the first mark; '' without one."""
+    c = F.col(c) if isinstance(c, str) else c
+    at = F.instr(c, mark)
+    return F.when(at > 0, F.substr(c, at + len(mark))).otherwise("")
+
+
+def triples_to_wide(graph: DataFrame, names: list[str]) -> DataFrame:
+    """One row per subject with a number column for each named predicate; rows without any go; _ in names becomes a space."""
+    rows = graph.withColumns({"country": F.replace(local_name("s"), F.lit("_"), F.lit(" ")), "_p": local_name("p")})
+    wide = rows.groupBy("country").pivot("_p", names).agg(F.max("o"))
     return wide.withColumns({n: F.col(n).try_cast("double") for n in names}).dropna("all", subset=names)
+
+
+def structural_edges(graph: DataFrame, relations: list[str]) -> DataFrame:
+    return graph.where(F.col("p").isin([BASE + r for r in relations]) & (F.col("o_kind") == "iri")).select("s", "p", "o").distinct()
+
+
+def dictionary_encode(values: DataFrame, column: str) -> DataFrame:
+    """(column, id): dense ids in order. Range partitions are sorted apart and counted on from one another."""
+    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    ranged = distinct.repartitionByRange(column).sortWithinPartitions(column).withColumn("_m", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit(2**33 - 1))})
+    sizes = ranged.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
+    return ranged.join(before, "_part").select(column, (F.col("_before") + F.col("_at")).alias("id"))
+
+
+def with_inverse_edges(edges: DataFrame, relations: int) -> DataFrame:
+    return edges.select("h", "r", "t").unionByName(edges.select(F.col("t").alias("h"), (F.col("r") + relations).alias("r"), F.col("h").alias("t")))
+
+
+def relation_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node, dim, value): for each relation the mean of a node's sources over its incoming edges, summed over relations."""
+    sources = edges.join(vectors.select(F.col("id").alias("h"), "v"), "h").select("t", "r", F.posexplode("v").alias("dim", "x"))
+    return sources.groupBy("t", "r", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy(F.col("t").alias("node"), "dim").agg(F.sum("x").alias("value"))
+
+
+def halves(v: str, dims: int) -> tuple[Column, Column]:
+    as_double = F.transform(F.col(v), lambda x: x.cast("double"))
+    return F.slice(as_double, 1, dims), F.slice(as_double, dims + 1, dims)
+
+
+def rotated(edges: DataFrame, vectors: DataFrame, phases: DataFrame) -> DataFrame:
+    """edges with arrays: the head's parts, the phase, and the difference (dre, dim) of the rotated head from the tail."""
+    h = vectors.select(F.col("id").alias("h"), F.col("re").alias("hre"), F.col("im").alias("him"))
+    t = vectors.select(F.col("id").alias("t"), F.col("re").alias("tre"), F.col("im").alias("tim"))
+    joined = edges.join(h, "h").join(t, "t").join(phases, "r")
+    zipped = F.arrays_zip("hre", "him", "tre", "tim", "phase")
+    return joined.withColumns({
+        "dre": F.transform(zipped, lambda z: z["hre"] * F.cos(z["phase"]) - z["him"] * F.sin(z["phase"]) - z["tre"]),
+        "dim": F.transform(zipped, lambda z: z["hre"] * F.sin(z["phase"]) + z["him"] * F.cos(z["phase"]) - z["tim"]),
+    })
+
+
+def distance(dre: str = "dre", dim: str = "dim") -> Column:
+    return F.aggregate(F.zip_with(dre, dim, lambda x, y: F.sqrt(x * x + y * y + 1e-12)), F.lit(0.0), lambda a, x: a + x)
+
+
+def negative_samples(edges: DataFrame, entities: int, n: int = 8, seed: int = 0) -> DataFrame:
+    """n corruptions of each edge, of its head or its tail, drawn by hash: the same whatever the partitions."""
+    each = edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draw = F.pmod(F.xxhash64("h", "r", "t", "k", F.lit(seed)), F.lit(entities))
+    head = F.pmod(F.xxhash64("t", "h", "r", "k", F.lit(seed + 1)), F.lit(2)) == 0
+    return each.select(F.struct("h", "r", "t").alias("edge"), "k", F.when(head, draw).otherwise(F.col("h")).alias("h"), "r", F.when(head, F.col("t")).otherwise(draw).alias("t"))
+
+
+def log_sigmoid(x: Column) -> Column:
+    return -F.log1p(F.exp(-F.abs(x))) + F.least(x, F.lit(0.0))
+
+
+def rotate_loss(positive: DataFrame, negative: DataFrame, gamma: float = 6.0, temperature: float = 1.0) -> DataFrame:
+    """One row, loss: positive (h, r, t, d), negative (edge, d) with softmax-weighted negatives."""
+    score = F.lit(gamma) - F.col("d")
+    w = Window.partitionBy("edge")
+    weighed = negative.withColumn("_w", F.exp(temperature * score)).withColumn("_w", F.col("_w") / F.sum("_w").over(w))
+    lost = weighed.groupBy("edge").agg(F.sum(F.col("_w") * log_sigmoid(-score)).alias("neg"))
+    both = positive.select(F.struct("h", "r", "t").alias("edge"), log_sigmoid(score).alias("pos")).join(lost, "edge")
+    return both.agg((-(F.avg("pos") + F.avg("neg")) / 2).alias("loss"))
+
+
+def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, entities: int, epochs: int = 3, rate: float = 0.01, gamma: float = 6.0, n: int = 4, patience: int = 20, keep=lambda df: df.checkpoint()) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Entity parts, phases and the loss by epoch, after gradient steps with Adam.
+
+    An epoch joins edges and corruptions to the current tables, forms each row's analytic gradient, sums them by id and
+    dimension, and writes the tables anew (keep). It stops when the loss has not fallen for `patience` epochs.
+    """
+
+    def long(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
+        zipped = df.select(F.col(key).alias("id"), F.posexplode(F.arrays_zip(*parts)).alias("i", "z"))
+        return zipped.select("id", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col("i"), F.col(f"z.{p}").alias("x")) for p in parts))).alias("e")).select("id", "e.part", "e.i", "e.x")
+
+    state = long(vectors, "id", ["re", "im"]).unionByName(long(phases, "r", ["phase"])).withColumns({"m": F.lit(0.0), "v": F.lit(0.0)})
+    state, losses, waited = keep(state), [], 0
+    for epoch in range(1, epochs + 1):
+        part = lambda *names: state.where(F.col("part").isin(*names))  # noqa: B023, E731
+        arrays = part("re", "im").groupBy("id").pivot("part", ["re", "im"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]))
+        angle = part("phase").groupBy(F.col("id").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("phase"))
+        pos = rotated(edges.select("h", "r", "t", F.struct("h", "r", "t").alias("edge"), F.lit(1.0).alias("sign")), arrays, angle)
+        neg = rotated(negative_samples(edges, entities, n, epoch).select("h", "r", "t", "edge", F.lit(-1.0).alias("sign")), arrays, angle)
+        rows = keep(pos.unionByName(neg).withColumn("d", distance()))
+        loss = rotate_loss(rows.where("sign > 0"), rows.where("sign < 0"), gamma).first()[0]
+        waited = 0 if not losses or loss < min(losses) else waited + 1
+        losses.append(loss)
+        score = F.lit(gamma) - F.col("d")
+        share = F.when(F.col("sign") > 0, 1.0).otherwise(F.exp(score) / F.sum(F.when(F.col("sign") < 0, F.exp(score))).over(Window.partitionBy("edge")))
+        slope = rows.withColumn("g", share * F.col("sign") * (1 / (1 + F.exp(F.col("sign") * score))) / 2)
+        z = F.arrays_zip("hre", "him", "phase", "dre", "dim")
+        per = slope.select("h", "r", "t", "g", F.posexplode(z).alias("i", "z")).withColumns({"q": F.sqrt(F.col("z.dre") ** 2 + F.col("z.dim") ** 2 + 1e-12)})
+        a, b = F.col("g") * F.col("z.dre") / F.col("q"), F.col("g") * F.col("z.dim") / F.col("q")
+        c, s = F.cos("z.phase"), F.sin("z.phase")
+        turn = a * (-F.col("z.hre") * s - F.col("z.him") * c) + b * (F.col("z.hre") * c - F.col("z.him") * s)
+        entry = lambda key, p, x: F.struct(F.col(key).alias("id"), F.lit(p).alias("part"), F.col("i"), x.alias("x"))
+        grads = per.select(F.explode(F.array(entry("h", "re", a * c + b * s), entry("h", "im", b * c - a * s), entry("t", "re", -a), entry("t", "im", -b), entry("r", "phase", turn))).alias("e"))
+        total = grads.groupBy("e.id", "e.part", "e.i").agg(F.sum("e.x").alias("grad"))
+        joined = state.join(total, ["id", "part", "i"], "left").withColumn("grad", F.coalesce("grad", F.lit(0.0)))
+        joined = joined.withColumns({"m": 0.9 * F.col("m") + 0.1 * F.col("grad"), "v": 0.999 * F.col("v") + 0.001 * F.col("grad") ** 2})
+        step = rate * (F.col("m") / (1 - 0.9**epoch)) / (F.sqrt(F.col("v") / (1 - 0.999**epoch)) + 1e-8)
+        state = keep(joined.select("id", "part", "i", (F.col("x") - step).alias("x"), "m", "v"))
+        if waited >= patience:
+            break
+    return state.where("part <> 'phase'"), state.where("part = 'phase'"), losses
+
+
+def company_vectors(named: DataFrame, name: str = "name") -> DataFrame:
+    return named.where(~F.contains(local_name(name), F.lit("_")))
+
+
+def pca(vectors: DataFrame, k: int = 16, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """(id, projection) of centred vectors, and the share of variance of each component."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = vectors.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("x"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="c").fit(df).transform(df)
+    model = PCA(k=k, inputCol="c", outputCol="p").fit(centred)
+    return model.transform(centred).select("id", vector_to_array("p").alias("projection")), list(map(float, model.explainedVariance))
+
+
+def attach_vectors(obs: DataFrame, vectors: DataFrame, key: str = "Company") -> tuple[DataFrame, DataFrame]:
+    """Observations that have a vector, and (kept, dropped) counts."""
+    joined = obs.join(vectors, key, "left")
+    return joined.where("v is not null"), joined.agg(F.count("v").alias("kept"), F.count_if(F.col("v").isNull()).alias("dropped"))
+
+
+def vintage_scale(vectors: DataFrame, acq: DataFrame, year: int, factor: float = 0.92) -> DataFrame:
+    """(id, v): each vector times factor for every acquisition of its company after the year."""
+    later = acq.where(F.col("yr") > year).groupBy(F.col("Symbol").alias("id")).agg(F.count("*").alias("_n"))
+    scale = F.pow(F.lit(factor), F.coalesce("_n", F.lit(0)))
+    return vectors.join(later, "id", "left").select("id", F.transform("v", lambda x: x * scale).alias("v"))
