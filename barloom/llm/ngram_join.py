@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import connected_components, materialize
+from barloom.llm._common import bitmap_prefilter, connected_components, materialize
 
 #: N-grams that one side of a task holds at most, but for single documents that are larger.
-CHUNK_NGRAMS = 2_000_000
+CHUNK_NGRAMS = 500_000
 #: Words whose hashes a worker remembers.
 CACHED_WORDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -229,9 +229,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     share = min(1.0, 2.5 * (den - num) / den)
     limit = min(2**63, int(2**64 * share / 2)) * 2 - 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # the class key is of the text with A-Z lower-cased, as the shingles are
-    folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = texts.withColumns({"key": F.xxhash64(folded), "key2": F.xxhash64(F.lit(1), folded)})
+    keyed = texts.withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
     signed = materialize(keyed.mapInArrow(_signatures(k, limit), "doc_id long, key long, key2 long, n long, grams array<long>"))
 
     classes = signed.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.count("doc_id").alias("named"))
@@ -244,14 +242,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     shared = shared.groupBy("key").agg(F.collect_list(F.struct("df", "gram")).alias("shared"))
     sampled = signed.groupBy("key", "key2").agg(F.max(F.size("grams")).alias("sampled"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1  # only decides who leaves early; +1 below covers rounding
-    left = (
+    left = materialize(
         classes.where("n > 0 and node is not null").join(sampled, ["key", "key2"]).join(shared, "key", "left")
         .withColumn("shared", F.filter("shared", lambda x: x["df"] > F.col("copies")))
         .withColumn("own", F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0)))
-        .where(F.col("own") < prefix + 1)
+        .where(F.col("own") < prefix + 1).select("key", "key2", "node", "copies", "n", "own", "shared")
     )
-    sets = left.select("key", "key2", "node", "copies", "n", "own", "shared").join(
-        keyed.select("key", "key2", F.col("doc_id").alias("node"), "text"),
+    # few documents are left: their texts are picked out before they are shuffled
+    sets = left.join(
+        bitmap_prefilter(keyed.select("key", "key2", F.col("doc_id").alias("node"), "text"), "key", left.select("key")),
         ["key", "key2", "node"],
     ).dropDuplicates(["key", "key2"])
     sets = materialize(
@@ -265,14 +264,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     heads = spread.groupBy("gram").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
     candidates = connected_components(spread.join(heads, "gram").select(F.col("node").alias("a"), F.col("head").alias("b")))
 
-    placed = sets.drop("prefix").join(candidates, "node")
-    weights = materialize(candidates.join(sets.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("total")))
+    # tasks are dealt by ids and sizes alone; the sets join them once
+    placed = materialize(candidates.join(sets.select("node", "copies", "n"), "node"))
+    weights = materialize(placed.groupBy("component").agg(F.sum("n").alias("total")))
     total = weights.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-total // chunk_ngrams)) * 4
     step = float(np.log(den / num) * 1.0001)
     large = weights.where(F.col("total") > chunk_ngrams).select("component")
     small = placed.join(large, "component", "left_anti").select(
-        F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b"), "node", "copies", F.lit(0).alias("side"), "grams"
+        F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b"), "node", "copies", F.lit(0).alias("side")
     )
     banded = placed.join(large, "component").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
     salts = banded.groupBy("component", "band").agg((F.floor(F.sum("n") / chunk_ngrams) + 1).alias("salts"))
@@ -285,9 +285,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     )
     dealt = banded.join(salts, ["component", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     itself = (F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2"))
-    one = dealt.join(pairs, ["component", "band", "salt"]).select("task", "task", "task", "node", "copies", F.when(itself, 0).otherwise(1).alias("side"), "grams")
-    two = dealt.withColumnsRenamed({"band": "band2", "salt": "salt2"}).join(pairs.where(~itself), ["component", "band2", "salt2"]).select("task", "task", "task", "node", "copies", F.lit(2).alias("side"), "grams")
-    tasks = small.union(one).union(two)
+    row = lambda side: ("task", F.col("task").alias("a"), F.col("task").alias("b"), "node", "copies", side.alias("side"))
+    one = dealt.join(pairs, ["component", "band", "salt"]).select(*row(F.when(itself, 0).otherwise(1)))
+    two = dealt.withColumnsRenamed({"band": "band2", "salt": "salt2"}).join(pairs.where(~itself), ["component", "band2", "salt2"]).select(*row(F.lit(2)))
+    tasks = small.union(one).union(two).join(sets.select("node", "grams"), "node")
     links = materialize(tasks.groupBy("task").applyInArrow(_link_groups(num, den), "node long, root long, links long"))
 
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
