@@ -113,7 +113,7 @@ def _f18(s, d):
     return voted.select("fold", "Company", "Date", R("pred").alias("pred"))
 
 
-VOTE = f"SELECT fold, Company, Date, round({ROW_RANK.format(by='fold', c='v')}, 6) AS pred FROM (SELECT fold, Company, Date, round(avg(r), 12) AS v FROM (SELECT fold, Company, Date, {ROW_RANK.format(by='model, fold', c='pred')} AS r FROM oof) GROUP BY fold, Company, Date)"
+VOTE = f"SELECT fold, Company, Date, round({ROW_RANK.format(by='fold', c='v')}, 6) AS pred FROM (SELECT fold, Company, Date, round(avg(r), 9) AS v FROM (SELECT fold, Company, Date, {ROW_RANK.format(by='model, fold', c='pred')} AS r FROM oof) GROUP BY fold, Company, Date)"
 
 
 def _f24(s, d):

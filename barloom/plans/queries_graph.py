@@ -91,7 +91,7 @@ def _e13(s, d):
 def _e14(s, d):
     kg = _kg(s, d)
     rows = G.optional(G.match(kg, ("?c", "acquired", "?a")), kg, ("?a", "acquisitionPrice", "?price")).withColumn("price", F.col("price").cast("double"))
-    return rows.groupBy(_name("c", "company/")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), R(F.sum("price"), 2).alias("total"), R(F.avg("price"), 4).alias("mean"))
+    return rows.groupBy(_name("c", "company/")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), R(F.sum("price"), 2).alias("total"), R(F.avg("price")).alias("mean"))
 
 
 def _e15(s, d):
@@ -214,7 +214,7 @@ QUERIES = {
     "e11_volatile_in_tension": (_e11, "SELECT DISTINCT CAST(Symbol AS VARCHAR) AS c, b.Country AS country, t.rival, round(m.gdp_usd, 0) AS gdp, round(r.gdp_usd, 0) AS rival_gdp FROM base b JOIN tensions t ON t.country = b.Country LEFT JOIN macro m ON m.country = b.Country LEFT JOIN macro r ON r.country = t.rival WHERE volatility_class = 'High_Volatility' ORDER BY gdp DESC NULLS LAST, c, t.rival LIMIT 200"),
     "e12_peer_pairs": (_e12, "SELECT a, b FROM (SELECT CAST(x.Symbol AS VARCHAR) AS a, CAST(y.Symbol AS VARCHAR) AS b FROM base x JOIN base y ON x.Sector = y.Sector AND x.Industry = y.Industry AND x.size_class = y.size_class) WHERE a < b ORDER BY a, b LIMIT 500"),
     "e13_megacaps_of_country": (_e13, "SELECT Sector AS sector, count(DISTINCT Symbol) AS n, round(max(gdp_usd), 0) AS gdp FROM base b LEFT JOIN macro m ON m.country = b.Country WHERE size_class = 'Mega_Cap' AND b.Country = 'NATION_1' AND Sector IS NOT NULL GROUP BY Sector"),
-    "e14_acquisitions_by_company": (_e14, "SELECT CAST(Symbol AS VARCHAR) AS c, count(*) AS n, count(price) AS priced, round(sum(price), 2) AS total, round(avg(price), 4) AS mean FROM acq GROUP BY Symbol"),
+    "e14_acquisitions_by_company": (_e14, "SELECT CAST(Symbol AS VARCHAR) AS c, count(*) AS n, count(price) AS priced, round(sum(price), 2) AS total, round(avg(price), 6) AS mean FROM acq GROUP BY Symbol"),
     "e15_label_by_volatility": (_e15, "SELECT volatility_class AS v, round(avg(up), 6) AS mean_up, count(*) AS n, count(DISTINCT Symbol) AS companies FROM base JOIN obs ON Company = Symbol WHERE volatility_class <> 'Unknown_Volatility' GROUP BY volatility_class"),
     "e16_two_hops": (_e16, "SELECT DISTINCT CAST(Symbol AS VARCHAR) AS c, x.Country AS x, neighbour AS y, rival AS z FROM base x JOIN borders b ON b.country = x.Country JOIN tensions t ON t.country = b.neighbour ORDER BY c, y, z LIMIT 200"),
     "e17_sector_by_region": (_e17, "SELECT Sector AS sector, url_encode(replace(Region, ' ', '_')) AS region, count(DISTINCT Symbol) AS n FROM base WHERE Sector IS NOT NULL GROUP BY ALL"),

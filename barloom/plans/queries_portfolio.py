@@ -255,7 +255,7 @@ QUERIES = {
     "h5_top_pct_then_k": (lambda s, d: _picks(s, d).select("Company", "Date"), "SELECT Company, Date FROM picks"),
     "h6_threshold_long": (_h6, "SELECT Company, Date, round(m1 / sum(m1) OVER (PARTITION BY Date), 6) AS weight FROM (SELECT *, max(CASE WHEN m1 >= 0.53 THEN 1 ELSE 0 END) OVER (PARTITION BY Date) AS passing, row_number() OVER (PARTITION BY Date ORDER BY m1 DESC, Company) AS n FROM scored WHERE m1 < 0.6) WHERE m1 >= 0.53 OR (passing = 0 AND n <= 2)"),
     "h7_weights": (_h7, "SELECT Company, Date, round(1.0 / count(*) OVER (PARTITION BY Date), 6) AS equal, round(m1 / sum(m1) OVER (PARTITION BY Date), 6) AS by_rank FROM picks"),
-    "h7_threshold_returns": (lambda s, d: _rounded(H.threshold_returns(_scored(s, d), "m1", "truth", ["Date"]), "Date"), "SELECT Date, round(avg(truth) FILTER (m1 > 0.5), 6) AS above_50, round(avg(truth) FILTER (m1 > 0.53), 6) AS above_53 FROM scored GROUP BY Date"),
+    "h7_threshold_returns": (lambda s, d: _rounded(H.threshold_returns(_scored(s, d), "m1", "truth", ["Date"]), "Date", n=9), "SELECT Date, round(avg(truth) FILTER (m1 > 0.5), 9) AS above_50, round(avg(truth) FILTER (m1 > 0.53), 9) AS above_53 FROM scored GROUP BY Date"),
     "h8_inverse_vol_cap": (_h8, _cap_sql()),
     "h9_long_short_weights": (lambda s, d: _rounded(_ls(s, d).select("Company", "Date", "weight"), "Company", "Date"), "SELECT Company, Date, round(weight, 6) AS weight FROM ls"),
     "h10_beta_scale_shorts": (_h10, "SELECT Company, Date, round(CASE WHEN weight < 0 THEN weight / greatest(abs(coalesce(beta, 1)), 0.5) ELSE weight END, 6) AS weight FROM ls LEFT JOIN betas USING (Company)"),
