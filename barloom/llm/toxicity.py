@@ -9,12 +9,13 @@ regression over the strongest evidence of a document gives its score.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Costs of the channel, in nats.
 SUBSTITUTION, STRETCH, GAP = 0.7, 0.3, 0.5
 CLASSES = 52
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: A feature must occur in so many toxic documents, and in this share of them.
 LEAST_DOCS, LEAST_SHARE = 5, 0.002
 #: Documents' worth of prior belief that a feature tells nothing.
@@ -42,6 +43,8 @@ _CLASS_OF[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS_OF[97:123] = np.arange(1, 27)
 
 _APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: What every such run has after a space is put in front; found at a fraction of the cost.
+_MAYBE_APART = re.compile(r" \S \S \S")
 _GAPS = " .-_*"
 _SPELLED = re.compile(r"^\w(?:[.\-_*]\w){2,}$")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
@@ -115,23 +118,46 @@ def restore_word(word: str, lm: np.ndarray) -> str:
     return bare
 
 
-def restored_words(text: str | None, restore) -> list[str]:
-    """Words of the text as restore(word) gives them; runs of three or more single letters are decoded as one."""
+def _pieces(text: str | None) -> list[str]:
+    """Lower-case words of the text; runs of three or more single letters are one piece, spaces and all."""
     low = (text or "").lower()
+    if not _MAYBE_APART.search(" " + low):
+        return low.split()
     words: list[str] = []
     at = 0
     for m in _APART.finditer(low):
-        words += map(restore, low[at : m.start()].split())
-        words += restore(m[0]).split()
+        words += low[at : m.start()].split()
+        words.append(m[0])
         at = m.end()
-    words += map(restore, low[at:].split())
-    return words
+    return words + low[at:].split()
+
+
+def restored_words(text: str | None, restore) -> list[str]:
+    """Words of the text as restore() gives them; set-apart letters are decoded together."""
+    return [w for piece in map(restore, _pieces(text)) for w in piece.split()]
+
 
+def features(word: str) -> set[str]:
+    """The word (=), its beginnings of 4 to 6 letters (<) and its ends of 4 and 5 (>)."""
+    return {f"={word}"} | {f"<{word[:k]}" for k in (4, 5, 6) if len(word) > k} | {f">{word[-k:]}" for k in (4, 5) if len(word) > k}
 
-def features(word: str) -> set[int]:
-    """Hashes of the word, its beginnings of 4 to 6 letters and its ends of 4 and 5."""
-    found = {f"={word}"} | {f"<{word[:k]}" for k in (4, 5, 6) if len(word) > k} | {f">{word[-k:]}" for k in (4, 5) if len(word) > k}
-    return {xxhash.xxh3_64_intdigest(x) - 2**63 for x in found}
+
+def _weigher(weights: dict[str, float]):
+    """The largest weight of a word's features, 0 without any."""
+    whole, starts, ends = ({x[1:]: w for x, w in weights.items() if x[0] == kind} for kind in "=<>")
+
+    def weigh(word: str) -> float:
+        n = len(word)
+        found = whole.get(word, 0.0)
+        if n > 4:
+            found = max(found, starts.get(word[:4], 0.0), ends.get(word[-4:], 0.0))
+            if n > 5:
+                found = max(found, starts.get(word[:5], 0.0), ends.get(word[-5:], 0.0))
+                if n > 6:
+                    found = max(found, starts.get(word[:6], 0.0))
+        return found
+
+    return weigh
 
 
 class _Cached(dict):
@@ -154,10 +180,15 @@ def _worker(model: dict) -> dict:
         _workers.clear()
         lm = model["lm"]
         restore = lambda w: decode(w, lm, True) if " " in w else restore_word(w, lm)
-        found = {"restore": _Cached(restore)}
-        found["features"] = _Cached(lambda w: features(found["restore"][w]))
-        weights = model.get("weights", {})
-        found["weight"] = _Cached(lambda w: max((weights.get(x, 0.0) for r in found["restore"][w].split() for x in features(r)), default=0.0))
+        found = {"restore": restore}
+        found["features"] = _Cached(lambda w: tuple(x for r in restore(w).split() for x in features(r)))
+        weigh = _weigher(model.get("weights", {}))
+
+        def weight(w: str) -> float:
+            r = restore(w)
+            return weigh(r) if " " not in r else max(map(weigh, r.split()), default=0.0)
+
+        found["weight"] = _Cached(weight)
         _workers[model["name"]] = found
     return found
 
@@ -171,11 +202,11 @@ def _toxic_features(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _worker(model)
         for b in batches:
-            counts: dict[int, int] = {}
-            for text in b.column("text").to_pylist():
-                for x in set().union(*map(w["features"].__getitem__, set(restored_words(text, w["restore"].__getitem__)))):
-                    counts[x] = counts.get(x, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+            texts = b.column("text").to_pylist()
+            for i in range(0, len(texts), 100):
+                sets = [set().union(*map(w["features"].__getitem__, set(_pieces(t)))) for t in texts[i : i + 100]]
+                counts = Counter(itertools.chain.from_iterable(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     return run
 
@@ -183,13 +214,12 @@ def _toxic_features(model: dict):
 def _clean_features(model: dict, wanted: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _worker(model)
-        known = _Cached(lambda word: w["features"][word] & wanted)
-        counts: dict[int, int] = {}
+        known = _Cached(lambda piece: tuple(x for r in w["restore"](piece).split() for x in features(r) if x in wanted))
+        counts: Counter = Counter()
         for b in batches:
             for text in b.column("text").to_pylist():
-                for x in set().union(*map(known.__getitem__, set(restored_words(text, w["restore"].__getitem__)))):
-                    counts[x] = counts.get(x, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+                counts.update(set().union(*map(known.__getitem__, set(_pieces(text)))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     return run
 
@@ -206,16 +236,15 @@ def evidence(weights: np.ndarray) -> tuple[float, float, float, float]:
     return float(top[0]) if len(top) else 0.0, float(top.sum() / 3), float(np.log1p(strong)), float(np.sqrt(strong / len(weights)))
 
 
-def _evidence(model: dict, carried: list[str]):
+def _evidence(model: dict, carried: list[str], prefix: str = ""):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _worker(model)
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
-                low = (text or "").lower()
-                words = low.split() if not _APART.search(low) else restored_words(text, lambda x: x if " " not in x else w["restore"][x])
+                words = _pieces(text)
                 rows.append(evidence(np.fromiter(map(w["weight"].__getitem__, words), float, len(words))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array([r[j] for r in rows], pa.float64()) for j in range(len(EVIDENCE)))], names=[*carried, *EVIDENCE])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array([r[j] for r in rows], pa.float64()) for j in range(len(EVIDENCE)))], names=[*carried, *(prefix + c for c in EVIDENCE)])
 
     return run
 
@@ -223,40 +252,33 @@ def _evidence(model: dict, carried: list[str]):
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         low = [int(s[0]) - 2**63 if len(s := ngram_set(t, 5)) else 0 for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text", "toxic")), pa.array(low, pa.int64())], names=["doc_id", "text", "toxic", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(low, pa.int64())], names=["doc_id", "sketch"])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
-
-    labels (doc_id, toxic) teach only where crc32(doc_id as text) mod 4 is not 2; of labelled texts with the same
-    smallest shingle and label (near copies) the one of the smallest id teaches. Only the text enters a score. Null and
-    empty texts get the score of no evidence; without toxic and clean labelled rows every score is 0. Null labels and
-    ids teach nothing, repeated rows score alike, other columns are ignored, and an empty table gives no rows.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fit(texts: DataFrame, labels: DataFrame) -> tuple[dict, list[float]] | None:
+    """(word model, intercept and coefficients of EVIDENCE) from texts (doc_id, text) and labels; None without both classes."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     taught = taught.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taught = bitmap_prefilter(texts.where("doc_id is not null"), "doc_id", taught.select("doc_id")).join(taught, "doc_id").select("doc_id", "text", "toxic")
-    taught = materialize(taught.mapInArrow(_sketched, "doc_id long, text string, toxic int, sketch long"))
-    firsts = taught.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    teachers = materialize(firsts.select("doc_id", "toxic").distinct().withColumn("first", F.lit(True)))
+    known = texts.where("doc_id is not null")
+    sketches = bitmap_prefilter(known, "doc_id", taught.select("doc_id")).select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch long")
+    firsts = sketches.join(taught, "doc_id").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    teachers = materialize(firsts.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = {r["toxic"]: r["count"] for r in teachers.groupBy("toxic").count().collect()}
-    out = texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"))
     if not n.get(1) or not n.get(0):
-        return out.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    taught = taught.join(teachers.select("doc_id"), "doc_id", "left_semi")
+        return None
+    # labels grow with the documents, so the texts meet them in a shuffle join, once
+    taught = materialize(bitmap_prefilter(known, "doc_id", teachers.select("doc_id")).join(teachers.hint("merge"), "doc_id").select("text", "toxic"))
 
     model = _named(lm=language_model(texts))
     least = max(LEAST_DOCS, int(LEAST_SHARE * n[1]))
     # at most (features of a document) / LEAST_SHARE can pass, whatever the size of the corpus
-    found = taught.where("toxic = 1").select("text").mapInArrow(_toxic_features(model), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = taught.where("toxic = 1").select("text").mapInArrow(_toxic_features(model), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     positive = {r["feature"]: r["n"] for r in found.collect()}
-    clean = taught.where("toxic = 0").select("text").mapInArrow(_clean_features(model, frozenset(positive)), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    clean = taught.where("toxic = 0").select("text").mapInArrow(_clean_features(model, frozenset(positive)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     negative = {r["feature"]: r["n"] for r in clean.collect()}
     base = n[1] / (n[0] + n[1])
     weights = {x: float(np.log((k + PRIOR_DOCS * base) / (negative.get(x, 0) + PRIOR_DOCS * (1 - base))) - np.log(base / (1 - base))) for x, k in positive.items()}
@@ -266,8 +288,30 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
     rows = materialize(taught.select("toxic", "text").mapInArrow(_evidence(model, ["toxic"]), f"toxic int, {columns}"))
     assembled = VectorAssembler(inputCols=list(EVIDENCE), outputCol="x").transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="toxic", regParam=0.001).fit(assembled)
-    z = F.lit(float(fitted.intercept))
-    for c, k in zip(EVIDENCE, fitted.coefficients, strict=True):
-        z = z + F.col(c) * float(k)
-    scored = texts.mapInArrow(_evidence(model, ["doc_id"]), f"doc_id long, {columns}").withColumn("score", 1 / (1 + F.exp(-z)))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *EVIDENCE)
+    return model, [float(fitted.intercept), *map(float, fitted.coefficients)]
+
+
+def apply(docs: DataFrame, fitted: tuple[dict, list[float]] | None) -> DataFrame:
+    """docs (with a text column) and its score; nothing is shuffled."""
+    if fitted is None:
+        return docs.withColumn("score", F.lit(0.0))
+    model, (intercept, *coefficients) = fitted
+    z = F.lit(intercept)
+    for c, k in zip(EVIDENCE, coefficients, strict=True):
+        z = z + F.col(f"_{c}") * k
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    seen = docs.mapInArrow(_evidence(model, docs.columns, "_"), f"{kinds}, {', '.join(f'_{c} double' for c in EVIDENCE)}")
+    return seen.withColumn("score", 1 / (1 + F.exp(-z))).select(*docs.columns, "score")
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+
+    labels (doc_id, toxic) teach only where crc32(doc_id as text) mod 4 is not 2; of labelled texts with the same
+    smallest shingle and label (near copies) the one of the smallest id teaches. Only the text enters a score. Null and
+    empty texts get the score of no evidence; without toxic and clean labelled rows every score is 0. Null labels and
+    ids teach nothing, repeated rows score alike, other columns are ignored, and an empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = apply(texts, fit(texts, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
