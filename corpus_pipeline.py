@@ -1,23 +1,55 @@
-"""A corpus pipeline over documents: quality rules, toxicity, n-gram Jaccard join, best-fit packing."""
+"""A corpus pipeline over documents: quality rules, toxicity, n-gram Jaccard join, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The first three return the
+columns of documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from barloom.llm._common import materialize, table
+from barloom.llm import packing, quality_rules, toxicity
+from barloom.llm._common import drop_keys, materialize, table
 from barloom.llm.ngram_join import ngram_jaccard_join
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at a similarity of 0.8, the smallest doc_id stays."""
-    groups = ngram_jaccard_join(docs, k=5, threshold=(80, 100)).select("doc_id", "component_id").where("doc_id <> component_id")
-    return docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep: the rules' accuracies are learnt in one pass, and applied in another."""
+    learned = quality_rules.learn(quality_rules.with_votes(quality_rules.measures(docs, ["doc_id"])))
+    carried = docs.columns
+    judged = quality_rules.decide(quality_rules.with_votes(quality_rules.measures(docs, carried)), learned)
+    return judged.where("kept").select(carried)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.3."""
+    fitted = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.apply(docs, fitted).where("score < 0.3").select(docs.columns)
+
+
+def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that five-word shingles link at a similarity of 0.8, the smallest doc_id stays.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows without doc_id stay.
+    """
+    groups = ngram_jaccard_join(docs, k=5, threshold=(80, 100))
+    copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    return drop_keys(docs, "doc_id", copies)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_copies)]
+STAGES = [
+    ("quality_rules", good_documents),
+    ("toxicity", clean_documents),
+    ("ngram_jaccard_join", single_documents),
+    ("best_fit_packing", packed_sequences),
+]
 
-#: EM, a trained score and a greedy packing are not expressible in SQL; tests/llm hold the pipeline against plain code.
+#: EM, a trained score and a greedy packing are not expressible in SQL; tests/llm hold the stages against plain code.
 ORACLE_SQL = None
 
 
