@@ -226,7 +226,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     Other columns are ignored. An empty table gives an empty result.
     """
     num, den = threshold
-    share = min(1.0, 2.5 * (den - num) / den)
+    # enough n-grams that a document's own ones among them outnumber its prefix; longer n-grams are more often its own
+    share = min(1.0, (2.5 if k < 5 else 1.75) * (den - num) / den)
     limit = min(2**63, int(2**64 * share / 2)) * 2 - 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
