@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED_WORDS, CACHED_PAIRS = 600_000, 1_000_000
+#: Per generation; two generations of each are kept, and what is used moves to the younger.
+CACHED_WORDS, CACHED_PAIRS = 600_000, 500_000
 #: A word up to this long is remembered by workers.
 LONG_WORD = 64
 
@@ -41,6 +42,7 @@ class Codec:
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.octet = {i: b for b, i in self.bytes.items()}
+        self.marked = ["\0" if i in self.octet else p for i, p in enumerate(self.pieces)]
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         #: pieces that the merges ever end with
@@ -50,8 +52,12 @@ class Codec:
         for p in self.stable:
             if len(p) > 1:
                 self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        #: neighbouring characters within pieces: no piece, and so no path, crosses a boundary between any other two
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
+        self.old_words: dict[str, bytes] = {}
         # where no piece has a space mark behind another character, words can be encoded on their own
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.split = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -71,11 +77,13 @@ class Codec:
                 scores[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
-    def may_meet(self, a: str, b: str) -> bool:
-        if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def may_meet(self, pair: tuple[str, str]) -> bool:
+        """Whether the merges leave two pieces apart; called for pairs that are not in self.pairs."""
+        if (found := self.old_pairs.get(pair)) is None:
+            found = self.merged(pair[0] + pair[1]) == list(pair)
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[pair] = found
         return found
 
     def segments(self, text: str, window: int | None = None) -> Iterator[str]:
@@ -83,7 +91,7 @@ class Codec:
         window = max(window or 4 * self.longest, 2 * self.longest)
         back: list[str] = [""]  # back[j]: the piece that ends at start + j on the only path there
         start = 0
-        stable, pairs, reach = self.stable, self.pairs, self.reach
+        stable, reach = self.stable, self.reach
         for end in range(1, len(text) + 1):
             j = end - start
             waiting = None  # one path reaches each position, so the last candidate need not be tried
@@ -94,7 +102,7 @@ class Codec:
                 piece = text[start + at : end]
                 if piece in stable or at == j - 1:
                     if waiting is not None:
-                        ok = not waiting[0] or (pairs[waiting] if waiting in pairs else self.may_meet(*waiting))
+                        ok = not waiting[0] or (self.pairs[waiting] if waiting in self.pairs else self.may_meet(waiting))
                         if ok:
                             break
                     waiting = (before, piece)
@@ -128,25 +136,42 @@ class Codec:
             else:
                 yield self.unknown
 
-    def encode(self, text: str | None) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that is not in self.words, as little-endian unsigned 32-bit numbers; remembered if it is short."""
+        if len(word) > LONG_WORD:
+            return np.fromiter(self._ids(self.segments(word)), "<u4").tobytes()
+        if (found := self.old_words.get(word)) is None:
+            inside = self.inside
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+            if cuts:
+                parts = (word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True))
+                found = b"".join(self.words[x] if x in self.words else self._word(x) for x in parts)
+            else:
+                found = b"".join(i.to_bytes(4, "little") for i in self._ids(self.segments(word)))
+        if len(self.words) >= CACHED_WORDS:
+            self.old_words, self.words = self.words, {}
+        self.words[word] = found
+        return found
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit numbers."""
         if not text:
-            return []
-        ids: list[int] = []
+            return b""
+        parts, get = [], self.words.get
         for word in self.split(SPACE + text.replace(" ", SPACE)):
-            if (found := self.words.get(word)) is None:
-                found = tuple(self._ids(self.segments(word)))
-                if len(word) <= LONG_WORD:
-                    if len(self.words) >= CACHED_WORDS:
-                        self.words.clear()
-                    self.words[word] = found
-            ids += found
-        return ids
+            if (found := get(word)) is None:
+                found = self._word(word)
+                get = self.words.get
+            parts.append(found)
+        return b"".join(parts)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        if self.octet.keys().isdisjoint(ids):
-            text = "".join(map(self.pieces.__getitem__, ids))
-        else:
+        text = "".join(map(self.marked.__getitem__, ids))
+        if "\0" in text:  # a byte piece: neighbouring ones are decoded together
+            out, raw = [], bytearray()
             for i in ids:
                 if i in self.octet:
                     raw.append(self.octet[i])
@@ -177,7 +202,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 500):
-                ids = [np.array(codec(path).encode(t), np.int32) for t in texts[i : i + 500]]
+                ids = [np.frombuffer(codec(path).encode_bytes(t), "<i4") for t in texts[i : i + 500]]
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i : i + 500], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
@@ -209,8 +234,9 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
-                ids = codec(path).encode(text)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), codec(path).decode(ids) == (text or "").replace(SPACE, " ")))
+                raw = codec(path).encode_bytes(text)
+                back = codec(path).decode(np.frombuffer(raw, "<u4").tolist())
+                rows.append((len(raw) // 4, zlib.crc32(raw), back == (text or "").replace(SPACE, " ")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=["doc_id", "n_ids", "ids_crc32", "restored"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
