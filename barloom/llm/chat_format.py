@@ -154,11 +154,10 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     call_id = lambda turn: F.substr(F.sha2(F.concat_ws(":", "conv_id", turn), 256), F.lit(1), F.lit(16))
     pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
-    head = F.substr("text", F.lit(1), F.lit(80))
     length = F.length("text")
-    search = F.to_json(F.named_struct(F.lit("query"), head, F.lit("top"), length % 12))
-    count = F.to_json(F.named_struct(F.lit("text"), head, F.lit("least"), length - 100))
-    translate = F.to_json(F.named_struct(F.lit("text"), head, F.lit("to"), F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr", "it"))), (length % 5 + 1).cast("int"))))
+    search = F.to_json(F.named_struct(F.lit("query"), F.col("text"), F.lit("top"), length % 12))
+    count = F.to_json(F.named_struct(F.lit("text"), F.col("text"), F.lit("least"), length - 100))
+    translate = F.to_json(F.named_struct(F.lit("text"), F.col("text"), F.lit("to"), F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr", "it"))), (length % 5 + 1).cast("int"))))
     asked = turns.where("role = 'assistant'")
     calls = asked.select(
         "conv_id", "turn", call_id("turn").alias("call_id"),
@@ -166,5 +165,5 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(pick == 0, search).when(pick == 1, count).otherwise(translate).alias("arguments"),
         F.when(F.col("turn") % 8 >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("parents"),
     )
-    results = turns.where("role = 'user' and turn > 0").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), head.alias("text"))
+    results = turns.where("role = 'user' and turn > 0").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "text")
     return calls, results

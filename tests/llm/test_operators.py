@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -250,3 +251,17 @@ def test_chat(spark):
     assert any(r["line"] == '{"content":"hé","role":"user"}' for r in got.values())
     empty = chat_format.format_conversations(messages.where("false"), calls.where("false"), results.where("false"), schemas)
     assert empty.count() == 0
+
+
+def test_derived_calls_hold_whole_texts(spark):
+    text = "word é \"q\" " * 30
+    turns = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"{text}{c} {t}") for c in range(6) for t in range(4)], "conv_id long, turn long, role string, text string")
+    calls, results = chat_format.derived_calls(turns)
+    asked = calls.collect()
+    assert {r["name"] for r in asked} == {"search", "count_words", "translate"}
+    for r in asked:
+        found = json.loads(r["arguments"])
+        assert found["query" if r["name"] == "search" else "text"] == f"{text}{r['conv_id']} {r['turn']}"
+    assert sorted(r["text"] for r in results.collect()) == sorted(f"{text}{c} 2" for c in range(6))
+    lines = [json.loads(r["line"]) for r in chat_format.format_conversations(turns, calls, results, chat_format.SCHEMAS).collect()]
+    assert all(len(x["content"]) > 300 for x in lines if "content" in x) and len(lines) == 24 + 12 + 6
