@@ -59,7 +59,7 @@ def _model_rows(s, d):
 def _scored(name, label="label"):
     def run(s, d):
         rows = _model_rows(s, d)
-        est = E.models(label=label, small=True)[name]
+        est = E.models(label=label)[name]
         if name == "MLPClassifier":
             est = est.setLayers([3, 4, 2])
         out = est.fit(rows).transform(rows)
@@ -79,7 +79,7 @@ def _f4(s, d):
 def _f7(s, d):
     from pyspark.ml.classification import RandomForestClassifier
 
-    cells = E.time_series_grid(_model_rows(s, d), RandomForestClassifier(labelCol="up", numTrees=5, seed=1), [{"maxDepth": 2}, {"maxDepth": 4}], "up", 2)
+    cells = E.time_series_grid(_model_rows(s, d), RandomForestClassifier(labelCol="up", numTrees=100, seed=1), [{"maxDepth": 2}, {"maxDepth": 4}], "up")
     return s.createDataFrame([(p["maxDepth"], float(f)) for p, f in cells], "max_depth int, f1 double")
 
 
@@ -100,10 +100,10 @@ def _f12(s, d):
 
 
 def _f16(s, d):
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+    from pyspark.ml.regression import LinearRegression
 
     rows = _model_rows(s, d)
-    parts = E.stack(rows.where("Date < date '1998-01-01'"), rows.where("Date >= date '1998-01-01'"), {"lr": LinearRegression(labelCol="label"), "rf": RandomForestRegressor(labelCol="label", numTrees=5, maxDepth=3, seed=1)}, "label", ["Company", "Date"])
+    parts = E.stack(rows.where("Date < date '1998-01-01'"), rows.where("Date >= date '1998-01-01'"), {"lr": LinearRegression(labelCol="label"), "rf": E.models()["RandomForest"]}, "label", ["Company", "Date"])
     return parts.select("Company", "Date", R("prediction", 4).alias("prediction"))
 
 
@@ -140,11 +140,11 @@ F28 = """SELECT a, b, n, round(md, 6) AS mean_difference, round(CASE WHEN m = 0
 
 
 def _f29(s, d):
-    return _rounded(E.bootstrap_ci(_ic(s, d), ["model"], "ic", 2000), "model")
+    return _rounded(E.bootstrap_ci(_ic(s, d), ["model"], "ic"), "model")
 
 
 def _f30(s, d):
-    ci = E.bootstrap_ci(_ic(s, d), ["model"], "ic", 500).join(E.sign_test(_ic(s, d), ["model"], "ic"), "model")
+    ci = E.bootstrap_ci(_ic(s, d), ["model"], "ic").join(E.sign_test(_ic(s, d), ["model"], "ic"), "model")
     return E.flag_significant(ci).select("model", "significant")
 
 
@@ -175,7 +175,7 @@ SERIES = """SELECT 'level' AS series, Date, px AS value FROM idx UNION ALL SELEC
 
 
 def _g2(s, d):
-    best = S.best_order(S.arima_grid(_series(s, d), 2, 1, 2))
+    best = S.best_order(S.arima_grid(_series(s, d)))
     return best.select("series", "p", "d", "q", R("aic", 2).alias("aic"), F.size("forecast").alias("steps"))
 
 
@@ -217,7 +217,7 @@ def _log_returns(s, d):
 
 
 def _g6(s, d):
-    asof = _log_returns(s, d).select(F.last_day("Date").alias("asof")).distinct().where("month(asof) % 3 = 0")
+    asof = _log_returns(s, d).select(F.last_day("Date").alias("asof")).distinct()
     out = S.fit_hmm(S.asof_windows(_log_returns(s, d), asof))
     return out.select("series", "asof", R(F.element_at("var", 1), 4).alias("low_var"), R(F.element_at("var", 2), 4).alias("high_var"))
 

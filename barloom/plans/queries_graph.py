@@ -182,7 +182,7 @@ def _e27(s, d):
     _ = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.setCheckpointDir("/tmp/barloom-checkpoints")
     edges = _edges(s, d)
     n = V.table(s, d, "embeddings").count()
-    _, _, losses = G.train_rotate(edges, _vectors(s, d).drop("v"), _phases(s), n, epochs=3)
+    _, _, losses = G.train_rotate(edges, _vectors(s, d).drop("v"), _phases(s), n, epochs=250)
     return s.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], StructType().add("epoch", IntegerType()).add("loss", DoubleType()))
 
 

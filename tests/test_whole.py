@@ -1,6 +1,9 @@
 """Registered queries do the whole job: no rows left out."""
 
+import pytest
+
 from barloom import queries as core
+from barloom.plans import queries_evaluate as Q
 from barloom.plans import views as V
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -9,3 +12,22 @@ DIRECTORY = "/root/testdata/sf0.001"
 def test_mlp_predicts_every_company(spark):
     got = core.queries()["f11_mlp_classifier"](spark, DIRECTORY).select("Company", "Date")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, V.scores(spark, DIRECTORY).select("Company", "Date").collect()))
+
+
+def test_models_are_not_the_small_ones(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def asked(**given):
+        raise Asked(given)
+
+    monkeypatch.setattr(Q.E, "models", asked)
+    for name in ("RandomForestClassifier", "MLPClassifier", "RandomForest", "GradientBoosting"):
+        with pytest.raises(Asked) as e:
+            Q._scored(name)(spark, DIRECTORY)
+        assert not e.value.args[0].get("small")
+
+
+def test_hmm_has_every_month_end(spark):
+    got = core.queries()["g6_fit_hmm"](spark, DIRECTORY).selectExpr("month(asof) AS m").distinct()
+    assert sorted(r["m"] for r in got.collect()) == list(range(1, 13))
