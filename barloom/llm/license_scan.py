@@ -12,10 +12,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Phrases whose every place is reported, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -105,7 +107,8 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tu
     """(row, doc_id, n_words, template, base, label, first_word, last_word, cover) for each span, and one of template -1 for each text.
 
     row numbers the input rows. A base span is a place where all words of a phrase stand consecutively. Another one merges the
-    diagonals of a template that lie at most GAP apart; cover is the share of the template's k-grams within it.
+    diagonals of a template that lie at most GAP apart; cover is the share of the template's k-grams that stand
+    in it in order, less the words added or left out between them.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = template_rows(phrases, templates)
@@ -116,17 +119,42 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tu
     met = grams.join(known, "gram").where("(position < 0) = (template < 0)")
     key = ["row", "doc_id", "n_words", "template", "base", "label", "n_grams"]
     votes = met.groupBy(*key, (F.col("position") - F.col("place")).alias("diagonal")).agg(
-        F.countDistinct("place").alias("votes"), F.min("position").alias("low"), F.max("position").alias("high"), F.collect_set("place").alias("places")
+        F.countDistinct("place").alias("votes"), F.min("position").alias("low"), F.max("position").alias("high"), F.collect_set(F.shiftleft(F.col("position").cast("long"), 32) + F.col("place")).alias("pairs")
     )
     w = Window.partitionBy("row", "template").orderBy("diagonal")
     votes = votes.where("not base or votes = n_grams")
     begins = F.when(F.col("base") | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > GAP), 1).otherwise(0)
     merged = votes.withColumn("begins", begins).withColumn("span", F.sum("begins").over(w))
-    held = merged.groupBy(*key, "span").agg(F.min("low").alias("first_word"), (F.max("high") + K - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    cover = F.size("places") / F.col("n_grams")
+    held = merged.groupBy(*key, "span").agg(F.min("low").alias("first_word"), (F.max("high") + K - 1).alias("last_word"), F.count("*").alias("diagonals"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+    alone = F.col("base") | (F.col("diagonals") == 1)  # in order already; a repeated gram of one phrase is another span
+    cover = F.when(F.col("base"), 1.0).when(alone, F.size("pairs") / F.col("n_grams")).otherwise(in_order(F.when(~alone, F.col("pairs"))) / F.col("n_grams"))
     return held.select("row", "doc_id", "n_words", "template", "base", "label", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), cover.alias("cover"))
 
 
+def aligned(pairs) -> float | None:
+    """The most k-grams in the template's order, less the words added or left out between them; pairs are position << 32 | place."""
+    if pairs is None:
+        return None
+    found = [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in sorted(pairs)]
+    far = 2 * (max(place for _, place in found) + 1)  # what lies farther back costs more words than it can have matched
+    best: list[float] = []
+    for i, (at, place) in enumerate(found):
+        most = 0.0
+        for j in range(i - 1, -1, -1):
+            before, there = found[j]
+            if at - before > far:
+                break
+            if before < at and there < place:
+                most = max(most, best[j] - abs((at - before) - (place - there)))
+        best.append(most + 1)
+    return max(best)
+
+
+@F.pandas_udf(DoubleType())
+def in_order(pairs: pd.Series) -> pd.Series:
+    return pd.Series([aligned(x) for x in pairs], dtype="float64")
+
+
 def scan(docs: DataFrame, least_cover: float = LEAST_COVER, id_col: str = "doc_id", text_col: str = "text", **known) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 

@@ -265,3 +265,12 @@ def test_derived_calls_hold_whole_texts(spark):
     assert sorted(r["text"] for r in results.collect()) == sorted(f"{text}{c} 2" for c in range(6))
     lines = [json.loads(r["line"]) for r in chat_format.format_conversations(turns, calls, results, chat_format.SCHEMAS).collect()]
     assert all(len(x["content"]) > 300 for x in lines if "content" in x) and len(lines) == 24 + 12 + 6
+
+
+def test_like_licenses_are_told_apart(spark):
+    texts = {"gpl": "you may use it under the terms of the GNU General Public License as it stands", "lgpl": "under the terms of the GNU Lesser General Public License", "cc-by": "licensed under CC BY 4.0", "cc-by-nc": "licensed under CC BY NC 4.0", "cc-by-sa": "licensed under CC BY SA 4.0"}
+    rows = list(enumerate(texts.values()))
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(texts):
+        assert label in got[i] and not got[i] & (set(texts) - {label, "gpl"})
+    assert license_scan.aligned([(p << 32) + q for p, q in [(0, 1), (2, 0)]]) == 1
