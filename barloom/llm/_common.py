@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors see.
+    """A new folder name below spark.checkpoint.dir, or the context's checkpoint folder: executors all see it.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a local session with neither (tests, a laptop) gets a folder of its own; a cluster without one is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
@@ -30,7 +36,45 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing reads it any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name with so many underscores in front that no column of df (in any letter case) has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_range_cells(df: DataFrame, column: str, cells: int, name: str = "cell") -> DataFrame:
+    """df with a cell number for each row, in the order of an integer column: about `cells` ranges of like row counts.
+
+    Two levels of percentiles, each of at most the root of `cells` numbers (and never over 1000): that is all the driver
+    sees, and at most 8 MB are broadcast. Null values are of cell -1, and equal values share a cell.
+    """
+    wide = min(1000, math.isqrt(max(1, cells) - 1) + 1)
+    value = F.col(column)
+    if wide == 1:
+        return df.withColumn(name, F.when(value.isNull(), -1).otherwise(0).cast("long"))
+    cut = F.percentile_approx(column, F.array(*(F.lit(i / wide) for i in range(1, wide))), F.lit(100 * wide))
+    first = sorted(set(df.agg(cut).first()[0] or []))
+    outer = F.size(F.filter(F.array(*map(F.lit, first)).cast("array<long>"), lambda x: x <= value))
+    inner = [(r["o"], sorted(set(r["q"]))) for r in df.where(value.isNotNull()).groupBy(outer.alias("o")).agg(cut.alias("q")).collect()]
+    known = df.sparkSession.createDataFrame(inner, "_outer int, _inner array<long>")
+    within = F.size(F.filter("_inner", lambda x: x <= value))
+    placed = df.withColumn("_outer", outer).join(F.broadcast(known), "_outer", "left")
+    return placed.withColumn(name, F.when(value.isNull(), -1).otherwise(F.col("_outer") * (wide + 1) + within).cast("long")).drop("_outer", "_inner")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -50,7 +94,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small)
+        edges, before = materialize(small), edges
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -58,15 +103,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()).distinct()
 
 
-def _bitmap_hit(df: DataFrame, key: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """df with _hit: whether the hashed key may be among wanted's. Keys are folded onto 2**bits positions of a bitmap,
-    so what is broadcast is 2**bits / 8 bytes at the most, at any input size."""
+def bitmap_hit(df: DataFrame, key: str, wanted: DataFrame, name: str, bits: int = 23) -> DataFrame:
+    """df with the boolean `name`: whether the hashed key may be among wanted's (false: it is surely not).
+
+    Keys are folded onto 2**bits positions of a bitmap, so what is broadcast is 2**bits / 8 bytes at the most, at any
+    input size.
+    """
     position = F.pmod(F.xxhash64(key), F.lit(2**bits)) + 1
     maps = wanted.select(position.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
-    placed = df.withColumn("_p", position).withColumn("_bit", F.bitmap_bit_position("_p")).withColumn("_bucket", F.bitmap_bucket_number("_p"))
-    octet = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(octet, F.expr("cast(_bit % 8 as int)")) == 1, F.lit(False))
-    return placed.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias("_hit"))
+    spot, bucket = free_name(df, "_p"), free_name(df, "_bucket")
+    placed = df.withColumns({spot: position}).withColumn(bucket, F.bitmap_bucket_number(spot))
+    bit = F.bitmap_bit_position(spot)
+    octet = F.conv(F.hex(F.substr("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(octet, (bit % 8).cast("int")) == 1, F.lit(False))
+    maps = maps.withColumnRenamed("_bucket", bucket)
+    return placed.join(F.broadcast(maps), bucket, "left").select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))
 
 
 def bitmap_prefilter(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
@@ -74,11 +125,4 @@ def bitmap_prefilter(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23)
 
     Rows are only left out if their key is surely not wanted; the exact join comes after this.
     """
-    return _bitmap_hit(df, key, wanted, bits).where("_hit").drop("_hit")
-
-
-def drop_keys(df: DataFrame, key: str, unwanted: DataFrame, bits: int = 23) -> DataFrame:
-    """df without the rows whose key is in unwanted; only rows that may be are shuffled. Rows of null key stay."""
-    marked = _bitmap_hit(df, key, unwanted, bits)
-    doubtful = marked.where("_hit").drop("_hit").join(unwanted.select(key).distinct(), key, "left_anti")
-    return marked.where("not _hit").drop("_hit").unionByName(doubtful.select(df.columns))
+    return bitmap_hit(df, key, wanted, "_hit", bits).where("_hit").drop("_hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._common import bitmap_prefilter, materialize
+from barloom.llm._common import bitmap_prefilter, materialize, with_range_cells
 
 #: Characters of text that a cell of neighbours holds, about; a cell sorts in one task and may spill.
 CELL_CHARS = 32_000_000
@@ -49,15 +49,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialize(_printed(texts, "text", "a", "b").select("doc_id", "a", "b"))
-    buckets = prints.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("doc_id").alias("head")).where("c > 1 and head is not null")
-    several = materialize(prints.join(buckets, ["a", "b"]).select("doc_id", "a", "b", "c", "head"))
-    wanted = several.select("doc_id").distinct()
+    # a table of its own: the joins with it are then plain exchanges on both sides, of which a hot bucket can be split
+    buckets = materialize(prints.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("doc_id").alias("head")).where("c > 1 and head is not null"))
+    wanted = prints.join(buckets, ["a", "b"], "left_semi").select("doc_id")
     # texts of null id are few or none; they take part as the id null
     moved = bitmap_prefilter(texts.withColumn("_key", F.coalesce("doc_id", F.lit(-1))), "_key", wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("_key"))).drop("_key")
     members = _printed(moved, "text", "a", "b", "canon").select("doc_id", "a", "b", "canon")
-    members = members.withColumn("salt", F.xxhash64("doc_id"))
-    sized = several.groupBy("a", "b").agg(F.max("c").alias("c"), F.max("head").alias("head")).withColumn("salts", F.floor(F.col("c") / SALT_ROWS) + 1)
-    members = materialize(members.join(sized, ["a", "b"]).withColumn("salt", F.pmod("salt", F.col("salts"))))
+    sized = buckets.select("a", "b", "head", (F.floor(F.col("c") / SALT_ROWS) + 1).alias("salts"))
+    members = materialize(members.join(sized, ["a", "b"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))))
     first = members.where("doc_id = head").dropDuplicates(["a", "b"]).select("a", "b", F.col("canon").alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     compared = members.join(first, ["a", "b", "salt"]).withColumn("same", F.col("canon") == F.col("first"))
     other = compared.where("not same").withColumn("class_id", F.min("doc_id").over(Window.partitionBy("a", "b", "canon")))
@@ -73,13 +72,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
     """texts (doc_id, text, ...) with next_<c> of each carried column: the next row's by descending doc_id, the first row's after the last.
 
-    Rows meet their neighbours in cells of the id range, each sorted by its own task; the first row of every cell
-    visits the cell before it. Rows of equal id follow one another by text hash; null ids come last.
+    Rows meet their neighbours in cells of the id range that hold like numbers of rows, however the ids are spread; each
+    is sorted by its own task, and the first row of every cell visits the cell before it. Rows of equal id follow one another by text hash; null ids come last.
     """
-    span = texts.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
-    cells = max(1, -(-(span[2] or 0) // CELL_CHARS))
-    cell = F.lit(0) if span[0] is None else F.coalesce(F.width_bucket(F.col("doc_id").cast("double"), F.lit(float(span[0])), F.lit(float(span[1]) + 1), F.lit(cells)), F.lit(0))
-    texts = texts.withColumn("cell", cell.cast("long"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = with_range_cells(texts, "doc_id", -(-chars // CELL_CHARS))
     heads = texts.groupBy("cell").agg(F.max("doc_id").alias("head"))
     # one row for each CELL_CHARS of input: the one unpartitioned window is over these alone
     order = Window.orderBy("cell")

@@ -8,8 +8,10 @@ The plan:
    similarity t share an n-gram within their first n - ceil(t n) + 1; a document whose first ones are all its own can
    be linked with nothing and leaves here. Frequencies come from a counted, map-side combined aggregation.
 3. Documents that share a prefix n-gram fall into one candidate component. A component is dealt to tasks whole if it
-   is small, and otherwise by set size and salt into chunks of bounded size, of which all pairs near enough in size
-   meet: no component, however large, has to fit in one task, and none is cut short.
+   is small, and otherwise by set size and salt into chunks of bounded size: no component, however large, has to fit in
+   one task, and none is cut short. To count links, all pairs of chunks near enough in size meet. For components alone,
+   each chunk first meets itself and a few members of the component; then only documents that this leaves outside the
+   component's largest group meet one another, and those of that group that share a prefix n-gram with them.
 4. In a task the sets are stored in a path-compressed trie. It is walked once for all probing sets together: the
    overlaps along a shared path are counted once, and a probe leaves a subtree as soon as the most that the
    remaining lengths allow is below what the threshold asks.
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._common import bitmap_prefilter, connected_components, materialize
+from barloom.llm._common import bitmap_hit, bitmap_prefilter, connected_components, free_name, materialize, release
 
 #: N-grams that one side of a task holds at most, but for single documents that are larger.
 CHUNK_NGRAMS = 500_000
@@ -108,8 +110,8 @@ def _prefixes(k: int, limit: int, num: int, den: int):
                 prefixes.append(prefix)
                 sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("copies"), b.column("n"), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["node", "copies", "n", "prefix", "grams"],
+                [b.column("cls"), b.column("copies"), b.column("n"), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                names=["cls", "copies", "n", "prefix", "grams"],
             )
 
     return run
@@ -178,7 +180,7 @@ def trie_links(trie: list[np.ndarray], probes: list[np.ndarray], num: int, den:
 
 def _link_groups(num: int, den: int):
     def component(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        """rows: (node, copies, side, set); side 1 meets side 2, side 0 meets itself."""
+        """rows: (cls, copies, side, set); side 1 meets side 2, side 0 meets itself."""
         left, right = [r for r in rows if r[2] != 2], [r for r in rows if r[2] != 1]
         if not left or not right:
             return
@@ -203,27 +205,52 @@ def _link_groups(num: int, den: int):
                 yield x, nodes[root], int(n)
 
     def run(table: pa.Table) -> pa.Table:
-        groups: dict[tuple, list[tuple]] = {}
+        groups: dict[int, list[tuple]] = {}
         flat = table.column("grams").combine_chunks()
         values, offsets = flat.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
-        for i, (a, b, node, copies, side) in enumerate(zip(*(table.column(c).to_pylist() for c in ("a", "b", "node", "copies", "side")), strict=True)):
-            groups.setdefault((a, b), []).append((node, copies, side, values[offsets[i] : offsets[i + 1]]))
+        for i, (task, cls, copies, side) in enumerate(zip(*(table.column(c).to_pylist() for c in ("task", "cls", "copies", "side")), strict=True)):
+            groups.setdefault(task, []).append((cls, copies, side, values[offsets[i] : offsets[i + 1]]))
         found = [x for rows in groups.values() if len(rows) > 1 for x in component(rows)]
-        return pa.table({c: pa.array([x[j] for x in found], pa.int64()) for j, c in enumerate(("node", "root", "links"))})
+        return pa.table({c: pa.array([x[j] for x in found], pa.int64()) for j, c in enumerate(("cls", "root", "links"))})
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", chunk_ngrams: int = CHUNK_NGRAMS) -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, n_links).
+def _pairs_of_chunks(members: DataFrame, chunk_ngrams: int) -> DataFrame:
+    """(task, cls, copies, side) of members (component, part, band, cls, copies, n): chunks of bounded size, each pair of
+    which meets in a task if their bands are the same or neighbours and not both are of part 1."""
+    key = ["component", "part", "band"]
+    salts = members.groupBy(*key).agg((F.floor(F.sum("n") / chunk_ngrams) + 1).alias("salts"))
+    chunks = salts.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    other = chunks.withColumnsRenamed({"part": "part2", "band": "band2", "salt": "salt2"})
+    pairs = (
+        chunks.withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other, ["component", "band2"])
+        .where("(band2 > band or part2 > part or (part2 = part and salt2 >= salt)) and part + part2 < 2")
+        .withColumn("task", F.xxhash64("component", "part", "band", "salt", "part2", "band2", "salt2"))
+    )
+    dealt = members.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
+    itself = F.expr("band = band2 and part = part2 and salt = salt2")
+    row = lambda side: ("task", "cls", "copies", side.alias("side"))
+    one = dealt.join(pairs, [*key, "salt"]).select(*row(F.when(itself, 0).otherwise(1)))
+    second = dealt.withColumnsRenamed({"part": "part2", "band": "band2", "salt": "salt2"})
+    two = second.join(pairs.where(~itself), ["component", "part2", "band2", "salt2"]).select(*row(F.lit(2)))
+    return one.union(two)
 
-    threshold (num, den): two documents link when den * |intersection| >= num * |union| of their k-word shingles.
-    component_id is the smallest id reachable by links, the row's own included; n_links counts the other documents
-    that a document links with, its exact copies too. Exact copies are joined once and share one result.
 
-    A null or wordless text has no shingles, links with nothing and is its own component. Rows that repeat an id are
-    one document: their links are pooled. A row without id gets the component of the rows with its text, or null.
-    Other columns are ignored. An empty table gives an empty result.
+def _chunks_with_heads(members: DataFrame, chunk_ngrams: int, heads: int = 8) -> DataFrame:
+    """(task, cls, copies, side) of members: each chunk of bounded size by itself, joined by a few members of its component."""
+    salts = members.groupBy("component", "band").agg((F.floor(F.sum("n") / chunk_ngrams) + 1).alias("salts"))
+    dealt = members.join(salts, ["component", "band"]).select(F.xxhash64("component", "band", F.pmod(F.xxhash64("cls"), F.col("salts"))).alias("task"), "component", "cls", "copies")
+    which = F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(heads)).alias("which")
+    chosen = members.groupBy("component", which).agg(F.min(F.struct("cls", "copies")).alias("h")).select("component", "h.cls", "h.copies")
+    guests = dealt.select("component", "task").distinct().join(chosen, "component")
+    return dealt.select("task", "cls", "copies", F.lit(0).alias("side")).union(guests.select("task", "cls", "copies", F.lit(0)))
+
+
+def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str, chunk_ngrams: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows (doc_id, key, key2, n), one per input row; classes (key, key2, n, node, copies, low, links), one per text.
+
+    node is a text's smallest id, low that of its component. Without count_links, links is null.
     """
     num, den = threshold
     # enough n-grams that a document's own ones among them outnumber its prefix; longer n-grams are more often its own
@@ -233,8 +260,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     keyed = texts.withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
     signed = materialize(keyed.mapInArrow(_signatures(k, limit), "doc_id long, key long, key2 long, n long, grams array<long>"))
 
-    classes = signed.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.count("doc_id").alias("named"))
-    classes = materialize(classes)
+    classes = signed.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))  # numbers that last, as they are written
 
     # document frequency of sampled n-grams; an n-gram that only one class has occurs as often as the class has copies
     occurs = signed.where("n > 0").select("key", F.explode("grams").alias("gram"))
@@ -243,66 +270,124 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     shared = shared.groupBy("key").agg(F.collect_list(F.struct("df", "gram")).alias("shared"))
     sampled = signed.groupBy("key", "key2").agg(F.max(F.size("grams")).alias("sampled"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1  # only decides who leaves early; +1 below covers rounding
+    pick = lambda c: F.coalesce(c, F.lit(-(2**63)))
     left = materialize(
-        classes.where("n > 0 and node is not null").join(sampled, ["key", "key2"]).join(shared, "key", "left")
+        classes.where("n > 0").join(sampled, ["key", "key2"]).join(shared, "key", "left")
         .withColumn("shared", F.filter("shared", lambda x: x["df"] > F.col("copies")))
         .withColumn("own", F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0)))
-        .where(F.col("own") < prefix + 1).select("key", "key2", "node", "copies", "n", "own", "shared")
+        .where(F.col("own") < prefix + 1).select("key", "key2", pick("node").alias("pick"), "cls", "copies", "n", "own", "shared")
     )
     # few documents are left: their texts are picked out before they are shuffled
     sets = left.join(
-        bitmap_prefilter(keyed.select("key", "key2", F.col("doc_id").alias("node"), "text"), "key", left.select("key")),
-        ["key", "key2", "node"],
+        bitmap_prefilter(keyed.select("key", "key2", pick("doc_id").alias("pick"), "text"), "key", left.select("key")),
+        ["key", "key2", "pick"],
     ).dropDuplicates(["key", "key2"])
     sets = materialize(
-        sets.select("node", "copies", "n", F.col("own").cast("long").alias("own"), "shared", "text").mapInArrow(
-            _prefixes(k, limit, num, den), "node long, copies long, n long, prefix array<long>, grams array<long>"
+        sets.select("cls", "copies", "n", F.col("own").cast("long").alias("own"), "shared", "text").mapInArrow(
+            _prefixes(k, limit, num, den), "cls long, copies long, n long, prefix array<long>, grams array<long>"
         )
     )
+    release(left)
 
     # candidate components: documents that share a prefix n-gram, by way of the smallest of them
-    spread = sets.select("node", F.explode("prefix").alias("gram"))
-    heads = spread.groupBy("gram").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    candidates = connected_components(spread.join(heads, "gram").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    spread = sets.select("cls", F.explode("prefix").alias("gram"))
+    heads = spread.groupBy("gram").agg(F.min("cls").alias("head"), F.count("*").alias("c")).where("c > 1")
+    candidates = connected_components(spread.join(heads, "gram").select(F.col("cls").alias("a"), F.col("head").alias("b")))
 
-    # tasks are dealt by ids and sizes alone; the sets join them once
-    placed = materialize(candidates.join(sets.select("node", "copies", "n"), "node"))
+    # tasks are dealt by numbers and sizes alone; the sets join them once
+    placed = materialize(candidates.select(F.col("node").alias("cls"), "component").join(sets.select("cls", "copies", "n"), "cls"))
     weights = materialize(placed.groupBy("component").agg(F.sum("n").alias("total")))
     total = weights.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-total // chunk_ngrams)) * 4
     step = float(np.log(den / num) * 1.0001)
     large = weights.where(F.col("total") > chunk_ngrams).select("component")
     small = placed.join(large, "component", "left_anti").select(
-        F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b"), "node", "copies", F.lit(0).alias("side")
+        F.pmod(F.xxhash64("component"), F.lit(bins)).alias("deal"), F.col("component").alias("task"), "cls", "copies", F.lit(0).alias("side")
     )
-    banded = placed.join(large, "component").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
-    salts = banded.groupBy("component", "band").agg((F.floor(F.sum("n") / chunk_ngrams) + 1).alias("salts"))
-    chunks = salts.select("component", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    other = chunks.select("component", F.col("band").alias("band2"), F.col("salt").alias("salt2"))
-    pairs = (
-        chunks.withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other, ["component", "band2"])
-        .where("band2 > band or salt2 >= salt")
-        .select("component", "band", "salt", "band2", "salt2", F.xxhash64("component", "band", "salt", "band2", "salt2").alias("task"))
-    )
-    dealt = banded.join(salts, ["component", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-    itself = (F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2"))
-    row = lambda side: ("task", F.col("task").alias("a"), F.col("task").alias("b"), "node", "copies", side.alias("side"))
-    one = dealt.join(pairs, ["component", "band", "salt"]).select(*row(F.when(itself, 0).otherwise(1)))
-    two = dealt.withColumnsRenamed({"band": "band2", "salt": "salt2"}).join(pairs.where(~itself), ["component", "band2", "salt2"]).select(*row(F.lit(2)))
-    tasks = small.union(one).union(two).join(sets.select("node", "grams"), "node")
-    links = materialize(tasks.groupBy("task").applyInArrow(_link_groups(num, den), "node long, root long, links long"))
-
-    roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
-    result = (
-        classes.join(roots, "node", "left").join(degrees, "node", "left")
-        .select("key", "key2", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    members = placed.join(large, "component").withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / step), "part": F.lit(0)})
+    deal = lambda tasks: tasks.select(F.col("task").alias("deal"), "task", "cls", "copies", "side")
+
+    def linked(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(sets.select("cls", "grams"), "cls")
+        return materialize(rows.groupBy("deal").applyInArrow(_link_groups(num, den), "cls long, root long, links long"))
+
+    if count_links:
+        links = linked(small.union(deal(_pairs_of_chunks(members, chunk_ngrams))))
+    else:
+        # most of a large group is joined by a few of its own; only what is not is compared with the rest
+        links = linked(small.union(deal(_chunks_with_heads(members, chunk_ngrams))))
+        if not large.isEmpty():
+            so_far = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+            now = materialize(members.join(so_far.select(F.col("node").alias("cls"), F.col("component").alias("found")), "cls", "left").withColumn("found", F.coalesce("found", "cls")))
+            parts = now.groupBy("component", "found").agg(F.sum("n").alias("size"))
+            main = parts.groupBy("component").agg(F.max(F.struct("size", "found"))["found"].alias("main"), F.count("*").alias("c")).where("c > 1")
+            split = materialize(now.join(main, "component").withColumn("part", (F.col("found") == F.col("main")).cast("int")))
+            # of the main part only those that share a prefix n-gram with one of the others
+            grams = split.where("part = 0").select("cls").join(spread, "cls").select("gram").distinct()
+            near = spread.join(grams, "gram", "left_semi").select("cls").distinct()
+            rest = split.where("part = 0").unionByName(split.where("part = 1").join(near, "cls", "left_semi"))
+            links = links.union(linked(deal(_pairs_of_chunks(materialize(rest.select("component", "part", "band", "cls", "copies", "n")), chunk_ngrams))))
+
+    # rows that repeat an id with other texts are one document
+    ids = signed.where("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f("key").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("key2").alias(f"{f.__name__}2") for f in (F.min, F.max)))
+    several = materialize(ids.where("min1 <> max1 or min2 <> max2").select("doc_id"))
+    named = bitmap_prefilter(signed.select("doc_id", "key", "key2"), "doc_id", several).join(several, "doc_id", "left_semi").distinct().join(classes.select("key", "key2", "cls"), ["key", "key2"])
+    same = named.join(named.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").select(F.col("cls").alias("a"), "b")
+
+    roots = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(same)).select(F.col("node").alias("cls"), "component")
+    linked_up = materialize(classes.join(roots, "cls").select("cls", "component", "node"))
+    low = linked_up.join(linked_up.groupBy("component").agg(F.min("node").alias("low")), "component").select("cls", "low", F.lit(True).alias("grouped"))
+    degrees = links.groupBy("cls").agg(F.sum("links").alias("links"))
+    if not count_links:
+        degrees = degrees.withColumn("links", F.lit(None).cast("long"))
+    result = classes.join(low, "cls", "left").join(degrees, "cls", "left").select(
+        "key", "key2", "n", "node", "copies", F.when(F.col("grouped"), F.col("low")).otherwise(F.col("node")).alias("low"), F.coalesce("grouped", F.lit(False)).alias("grouped"),
+        F.coalesce("links", F.lit(0)).alias("links") if count_links else F.lit(None).cast("long").alias("links"),
     )
+    return signed.select("doc_id", "key", "key2", "n"), result
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", chunk_ngrams: int = CHUNK_NGRAMS, count_links: bool = True) -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, n_links).
+
+    threshold (num, den): two documents link when den * |intersection| >= num * |union| of their k-word shingles.
+    component_id is the smallest id reachable by links, the row's own included; n_links counts the other rows that a
+    row links with, its exact copies too. Exact copies are joined once and share one result. With count_links=False
+    n_links is null, and members of a large group that a few of its own already join are not compared with one another.
+
+    A null or wordless text has no shingles, links with nothing and is its own component. Texts that share an id are
+    one document, so their components are one. A row without id links like any other and lends its component no name;
+    a component without any id has a null one. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows, classes = _classes(docs, k, threshold, id_col, text_col, chunk_ngrams, count_links)
     empty = F.col("n") == 0
     # one class may hold a third of all rows: the classes' side has one row a key, so the other side can be split
-    return signed.select("doc_id", "key", "key2", "n").join(result, ["key", "key2"], "left").select(
+    return rows.join(classes.select("key", "key2", "low", "links", "copies"), ["key", "key2"], "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
     )
+
+
+def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", chunk_ngrams: int = CHUNK_NGRAMS) -> DataFrame:
+    """The rows of docs without near copies, with all their columns: of each group one row of the smallest id stays.
+
+    Rows without id come after all others. Null and wordless texts stay. Only rows whose text has copies or links are
+    shuffled with it.
+    """
+    _, classes = _classes(docs, k, threshold, id_col, text_col, chunk_ngrams, False)
+    first = F.row_number().over(Window.partitionBy("low").orderBy("node", "key", "key2")) == 1
+    judged = classes.where("n > 0 and (copies > 1 or grouped)")
+    keepers = judged.where("low is not null and node = low").withColumn("stays", first).unionByName(judged.where("low is null or node is null or node <> low").withColumn("stays", F.col("low").isNull()))
+    judged = materialize(keepers.select("key", "key2", "node", "stays"))
+    key, key2, hit = (free_name(docs, c) for c in ("key", "key2", "hit"))
+    text = F.col(text_col).cast("string")
+    marked = bitmap_hit(docs.withColumns({key: F.xxhash64(text), key2: F.xxhash64(F.lit(1), text)}), key, judged.select(F.col("key").alias(key)), hit)
+    d, j = marked.where(hit).alias("d"), judged.alias("j")
+    met = d.join(j, (F.col(f"d.`{key}`") == F.col("j.key")) & (F.col(f"d.`{key2}`") == F.col("j.key2")), "left")
+    own = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("j.node"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    unjudged = met.where("j.stays is null").select(*columns)
+    stay = met.where(F.col("j.stays") & own).select(*columns, F.col(f"d.`{key}`"), F.col(f"d.`{key2}`")).dropDuplicates([key, key2])
+    return marked.where(~F.col(hit)).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(unjudged).unionByName(stay.drop(key, key2))

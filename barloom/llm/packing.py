@@ -8,7 +8,8 @@ and its number among the pieces of that length.
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,35 +25,64 @@ from barloom.llm._common import materialize
 CAPACITY = 2048
 #: Pieces of one length that one task numbers, about.
 NUMBERED_ROWS = 200_000
-#: A text with this in it goes to the slower library, which alone reads it as one id.
-_SPECIAL = "<|endoftext|>"
+#: Texts that a worker holds as objects at a time.
+SLICE = 200
+#: Texts with a run so long, of white space or of anything else, go to the slower library, which bears any.
+LONG_RUN = 2_000
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def _encoders(path: str):
-    """The tokenizers file, and the same vocabulary as ranks beside it: equal ids, a few times as fast."""
-    if path not in _loaded:
-        import tiktoken
+def _octets() -> dict[str, int]:
+    """The letters in which byte-level vocabularies write the bytes: printable ones are themselves, others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids of a tokenizers file.
+
+    If the file is a byte-level BPE without normaliser whose ids are the ranks of its merges, ordinary texts are encoded
+    by the same merges in a faster library. Texts with an added token or a very long run in them, texts that the faster
+    one fails on, and all texts of other files go to the tokenizers library.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(path)
-        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), slow
-    return _loaded[path]
+        self.whole = Tokenizer.from_file(path)
+        self.fast = None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.long = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges") or []]
+        ranks = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("dropout")
+        if model.get("type") == "BPE" and plain and merges and all(ranks.get(a + b) == len(ranks) - len(merges) + i for i, (a, b) in enumerate(merges)):
+            import tiktoken
+
+            octets = _octets()
+            own = {bytes(octets[c] for c in t): i for t, i in ranks.items()}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast and not self.long.search(text) and not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # a panic of the faster library is no Exception
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
+                    raise
+        return self.whole.encode(text, add_special_tokens=False).ids
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
     """The text's ids, then id 0, as little-endian unsigned 32-bit numbers."""
-    fast, slow = _encoders(path)
-    if not text:
-        ids = []
-    elif _SPECIAL in text:
-        ids = slow.encode(text, add_special_tokens=False).ids
-    else:
-        ids = fast.encode_ordinary(text)
-    return np.array([*ids, 0], "<u4")
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return np.array([*(_loaded[path].ids(text) if text else ()), 0], "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -63,7 +93,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encode(text, path)
@@ -170,7 +200,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     A document is its ids and id 0 (a null text: id 0 alone). Longer ones than capacity are cut from their end into
     full pieces; the first may be shorter. Rows that repeat are packed as often as they occur; a null id is kept.
-    Other columns are ignored, and an empty table gives no rows. tokenizer: path of the tokenizers file.
+    Other columns are ignored, and an empty table gives no rows. tokenizer: path of a tokenizers file.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import materialize
+from barloom.llm._common import free_name, materialize
 
 _SYMBOLS = b"#*$%&|<>"
 _WORD_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
+#: Texts that a Python worker holds as objects at a time.
+SLICE = 500
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_marks long, n_plain_words long, n_distinct_words long"
 
 
@@ -57,39 +58,40 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (len(words), starts - white, int(seen[list(_SYMBOLS)].sum()), dup, repeated_words(words), upper, upper + lower, raw.count(b"!!"), plain, len(set(words)))
 
 
-def _measured(carried: list[str]):
+def _measured(text: pa.Array) -> pa.Array:
     names = [x.split()[0] for x in MEASURES.split(", ")]
+    rows = [np.array([measure(t) for t in text[i : i + SLICE].to_pylist()], np.int64) for i in range(0, len(text), SLICE)]
+    table = np.concatenate(rows) if rows else np.zeros((0, len(names)), np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, j])) for j in range(len(names))], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.array([measure(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(rows[:, j].copy()) for j in range(len(names)))], names=[*carried, *names])
-
-    return run
 
+def measures(text: str) -> Column:
+    """A struct of MEASURES of a text column. Only the text goes to Python; the row's other columns stay where they are."""
+    return F.arrow_udf(_measured, MEASURES)(F.col(text).cast("string"))
 
-def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """MEASURES of docs' text column, beside the carried columns."""
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(_measured(carried), ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), MEASURES]))
 
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
-def _vote(bad: str, good: str) -> Column:
-    return F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0)
 
+def rules(of: str = "") -> dict[str, Column]:
+    """-1: a bad document, 1: a good one, 0: the rule abstains. of: a prefix of the columns of MEASURES.
 
-def rules() -> dict[str, Column]:
-    """-1: a bad document, 1: a good one, 0: the rule abstains."""
+    Lengths enter as shares of the words, but for variety: the logarithm of the distinct words, as a share of that of
+    all words, hardly falls as natural texts get longer. Of fewer than 20 words it says nothing.
+    """
+    c = lambda name: F.col(f"{of}{name}")
+    n, various = c("n_words"), F.log(c("n_distinct_words").cast("double")) / F.log(c("n_words").cast("double"))
     return {
-        "length": _vote("n_words < 10", "n_words >= 40"),
-        "symbols": _vote("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-        "repeats": _vote("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words"),
-        "lines": _vote("n_dup_lines > 3 and 10 * n_dup_lines > 0.3 * n_words", "n_dup_lines = 0"),
-        "capitals": _vote("n_upper > 0.3 * n_letters", "n_upper <= 0.12 * n_letters"),
-        "marks": _vote("n_marks > 0.05 * n_words", "n_marks <= 0.005 * n_words"),
-        "word_size": _vote("word_chars < 2.5 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
-        "plain": _vote("n_plain_words < 0.7 * n_words", "n_plain_words >= 0.9 * n_words"),
-        "variety": _vote("n_words >= 20 and n_words < 1000 and n_distinct_words < 0.2 * n_words", "n_distinct_words >= 0.4 * n_words"),
+        "length": _vote(n < 10, n >= 40),
+        "symbols": _vote(c("n_symbols") > 0.1 * n, c("n_symbols") <= 0.02 * n),
+        "repeats": _vote(c("n_repeat_words") > 0.2 * n, c("n_repeat_words") <= 0.05 * n),
+        "lines": _vote((c("n_dup_lines") > 3) & (10 * c("n_dup_lines") > 0.3 * n), c("n_dup_lines") == 0),
+        "capitals": _vote(c("n_upper") > 0.3 * c("n_letters"), c("n_upper") <= 0.12 * c("n_letters")),
+        "marks": _vote(c("n_marks") > 0.05 * n, c("n_marks") <= 0.005 * n),
+        "word_size": _vote((c("word_chars") < 2.5 * n) | (c("word_chars") > 12 * n), c("word_chars").between(3 * n, 9 * n)),
+        "plain": _vote(c("n_plain_words") < 0.7 * n, c("n_plain_words") >= 0.9 * n),
+        "variety": F.when(n < 20, 0).otherwise(_vote(various < 0.65, various >= 0.8)),
     }
 
 
@@ -122,29 +124,27 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     return good, p
 
 
-def with_votes(measured: DataFrame) -> DataFrame:
-    return measured.withColumns({f"vote_{k}": v for k, v in rules().items()})
-
-
-def learn(voted: DataFrame) -> tuple[float, np.ndarray] | None:
+def learn(measured: DataFrame, of: str = "") -> tuple[float, np.ndarray] | None:
     """fit() on the vote patterns of all rows, of which there are at most 3 to the number of rules."""
-    names = [c for c in voted.columns if c.startswith("vote_")]
-    patterns = [(tuple(r[c] for c in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    votes = rules(of)
+    counted = measured.select(*(v.alias(k) for k, v in votes.items())).groupBy(*votes).agg(F.count("*").alias("n"))
+    patterns = [(tuple(r[k] for k in votes), r["n"]) for r in counted.collect()]
     return fit(sorted(patterns)) if patterns else None
 
 
-def decide(voted: DataFrame, learned: tuple[float, np.ndarray] | None, threshold: float = 0.5) -> DataFrame:
-    """voted with quality, base_failed and kept."""
-    names = [c for c in voted.columns if c.startswith("vote_")]
-    good, p = learned or (0.5, np.full((2, len(names), 3), 1 / 3))
+def quality(learned: tuple[float, np.ndarray] | None, of: str = "") -> Column:
+    """The posterior of being good."""
+    votes = rules(of)
+    good, p = learned or (0.5, np.full((2, len(votes), 3), 1 / 3))
     log = F.lit(float(np.log(good) - np.log(1 - good)))
-    for c, r in zip(names, np.log(p[1]) - np.log(p[0]), strict=True):
-        log = log + F.when(F.col(c) == -1, float(r[0])).when(F.col(c) == 0, float(r[1])).otherwise(float(r[2]))
-    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    return (
-        voted.withColumn("quality", 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log)))))
-        .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    )
+    for v, r in zip(votes.values(), np.log(p[1]) - np.log(p[0]), strict=True):
+        log = log + F.when(v == -1, float(r[0])).when(v == 0, float(r[1])).otherwise(float(r[2]))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log))))
+
+
+def failed(of: str = "") -> Column:
+    n = F.col(f"{of}n_words")
+    return (n < 10) | (100 * F.col(f"{of}n_repeat_words") > 20 * n)
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +155,21 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
     Repeated rows are judged alike, null ids are kept as they are, other columns are ignored, and an empty table gives
     no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    voted = with_votes(materialize(measures(texts, ["doc_id"])))
-    return decide(voted, learn(voted), threshold)
+    measured = docs.select(F.col(id_col).cast("long").alias("doc_id"), measures(text_col).alias("m")).select("doc_id", "m.*")
+    measured = materialize(measured)
+    learned = learn(measured)
+    judged = measured.withColumns({f"vote_{k}": v for k, v in rules().items()} | {"quality": quality(learned), "base_failed": failed()})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever these are called.
+
+    Texts are measured once: docs and their measures are written, the rules learn from the measures, and the kept rows
+    are read back.
+    """
+    own = free_name(docs, "measures")
+    measured = materialize(docs.withColumn(own, measures(text_col)))
+    of = f"{own}."
+    learned = learn(measured, of)
+    return measured.where(~failed(of) & (quality(learned, of) >= threshold)).drop(own)

@@ -21,15 +21,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import bitmap_prefilter, materialize
-from barloom.llm.ngram_join import ngram_set
+from barloom.llm._common import bitmap_prefilter, free_name, materialize, release
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "(": "c"}
 #: Costs of the channel, in nats.
-SUBSTITUTION, STRETCH, GAP = 0.7, 0.3, 0.5
+SUBSTITUTION, STRETCH, DOUBLED, GAP = 0.7, 0.3, 2.5, 0.5
 CLASSES = 52
-CACHED_WORDS = 250_000
+#: What a worker remembers of words, about, in bytes; pieces over LONG_PIECE characters are not remembered.
+CACHED_BYTES, LONG_PIECE = 24_000_000, 64
+#: Texts that a worker holds as objects at a time.
+SLICE = 100
 #: A feature must occur in so many toxic documents, and in this share of them.
 LEAST_DOCS, LEAST_SHARE = 5, 0.002
 #: Documents' worth of prior belief that a feature tells nothing.
@@ -42,12 +44,12 @@ for _c in range(128, 65536):
 _CLASS_OF[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS_OF[97:123] = np.arange(1, 27)
 
-_APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_APART = re.compile(r"(?<!\S)\S(?: {1,2}\S){2,}(?!\S)")
 #: What every such run has after a space is put in front; found at a fraction of the cost.
-_MAYBE_APART = re.compile(r" \S \S \S")
+_MAYBE_APART = re.compile(r" \S {1,2}\S {1,2}\S")
 _GAPS = " .-_*"
-_SPELLED = re.compile(r"^\w(?:[.\-_*]\w){2,}$")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_SPELLED = re.compile(r"\w[.\-_*]+\w")
+_STRETCHED = re.compile(r"([^\W\d_])\1")
 _EDGES = ".,;:?!\"'()[]{}*#%&<>|~`"
 
 
@@ -81,25 +83,38 @@ def language_model(texts: DataFrame) -> np.ndarray:
 
 
 def decode(span: str, lm: np.ndarray, gaps: bool) -> str:
-    """The likeliest reading of a lower-case span. States are the last two classes read; each keeps its best path."""
-    best = {(0, 0): (0.0, "")}
+    """The likeliest reading of a lower-case span. States are the last two classes read; each keeps its best path.
+
+    A letter may be what a sign stands for, the second of two equal letters may be a stretch, and with gaps a separator
+    may be nothing; anything may be itself. Paths are linked backwards, so a span costs time in proportion to its length.
+    """
+    best = {(0, 0): (0.0, None)}
     before = ""
-    for c in span:
+    for i, c in enumerate(span):
         cls = int(_CLASS_OF[min(ord(c), 65535)])
         arcs = [(c, 0.0)] if c not in LEET else [(x, SUBSTITUTION) for x in LEET[c]] + [(c, 0.0)]
-        drop = GAP if gaps and c in _GAPS else STRETCH if c == before and cls not in (0, 51) else None
+        arcs = [(x, cost, int(_CLASS_OF[min(ord(x), 65535)])) for x, cost in arcs]
+        drop = None
+        if gaps and c in _GAPS:
+            drop = GAP
+        elif c == before and cls not in (0, 51):
+            drop = STRETCH if c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else DOUBLED
         before = c
-        now: dict[tuple[int, int], tuple[float, str]] = {}
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             if drop is not None and score - drop > now.get((a, b), (-1e30,))[0]:
                 now[a, b] = score - drop, path
-            for letter, cost in arcs:
-                k = int(_CLASS_OF[min(ord(letter), 65535)])
+            for letter, cost, k in arcs:
                 s = score - cost + float(lm[a, b, k])
                 if s > now.get((b, k), (-1e30,))[0]:
-                    now[b, k] = s, path + letter
+                    now[b, k] = s, (letter, path)
         best = now
-    return max((score + float(lm[a, b, 0]), path) for (a, b), (score, path) in best.items())[1]
+    _, _, path = max(((score + float(lm[a, b, 0]), (a, b), path) for (a, b), (score, path) in best.items()), key=lambda x: x[:2])
+    letters = []
+    while path:
+        letter, path = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restore_word(word: str, lm: np.ndarray) -> str:
@@ -112,14 +127,14 @@ def restore_word(word: str, lm: np.ndarray) -> str:
         return bare
     if word[:1] in "!|(" and len(word) > 1 and word[1].isalnum():
         bare = word[0] + bare  # a leading sign may be a letter
-    spelled = bool(_SPELLED.match(bare))
+    spelled = bool(_SPELLED.search(bare))
     if spelled or any(c in LEET for c in bare) or _STRETCHED.search(bare):
         return decode(bare, lm, spelled)
     return bare
 
 
 def _pieces(text: str | None) -> list[str]:
-    """Lower-case words of the text; runs of three or more single letters are one piece, spaces and all."""
+    """Lower-case words of the text; runs of three or more single letters, one or two spaces apart, are one piece."""
     low = (text or "").lower()
     if not _MAYBE_APART.search(" " + low):
         return low.split()
@@ -161,13 +176,20 @@ def _weigher(weights: dict[str, float]):
 
 
 class _Cached(dict):
+    """Values by word, up to CACHED_BYTES of them; then it starts anew."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) > CACHED_WORDS:
+        value = self.make(key)
+        if len(key) > LONG_PIECE:
+            return value
+        if self.held > CACHED_BYTES:
             self.clear()
-        self[key] = value = self.make(key)
+            self.held = 0
+        self.held += 200 + (sum(70 + len(x) for x in value) if isinstance(value, tuple) else 0)
+        self[key] = value
         return value
 
 
@@ -198,28 +220,35 @@ def _named(**model) -> dict:
     return model | {"name": digest}
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    for b in batches:
+        text = b.column("text")
+        for i in range(0, len(text), SLICE):
+            yield text[i : i + SLICE].to_pylist()
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+
+
 def _toxic_features(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _worker(model)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 100):
-                sets = [set().union(*map(w["features"].__getitem__, set(_pieces(t)))) for t in texts[i : i + 100]]
-                counts = Counter(itertools.chain.from_iterable(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+        known = _worker(model)["features"]
+        for texts in _sliced(batches):
+            yield _counted(Counter(itertools.chain.from_iterable(set().union(*map(known.__getitem__, set(_pieces(t)))) for t in texts)))
 
     return run
 
 
 def _clean_features(model: dict, wanted: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _worker(model)
-        known = _Cached(lambda piece: tuple(x for r in w["restore"](piece).split() for x in features(r) if x in wanted))
+        restore = _worker(model)["restore"]
+        known = _Cached(lambda piece: tuple(x for r in restore(piece).split() for x in features(r) if x in wanted))
         counts: Counter = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
+        for texts in _sliced(batches):
+            for text in texts:
                 counts.update(set().union(*map(known.__getitem__, set(_pieces(text)))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+        yield _counted(counts)
 
     return run
 
@@ -236,23 +265,16 @@ def evidence(weights: np.ndarray) -> tuple[float, float, float, float]:
     return float(top[0]) if len(top) else 0.0, float(top.sum() / 3), float(np.log1p(strong)), float(np.sqrt(strong / len(weights)))
 
 
-def _evidence(model: dict, carried: list[str], prefix: str = ""):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _worker(model)
-        for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                words = _pieces(text)
-                rows.append(evidence(np.fromiter(map(w["weight"].__getitem__, words), float, len(words))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array([r[j] for r in rows], pa.float64()) for j in range(len(EVIDENCE)))], names=[*carried, *(prefix + c for c in EVIDENCE)])
-
-    return run
+def _evidence(model: dict):
+    def run(text: pa.Array) -> pa.Array:
+        weight = _worker(model)["weight"].__getitem__
+        rows = []
+        for i in range(0, len(text), SLICE):
+            for words in map(_pieces, text[i : i + SLICE].to_pylist()):
+                rows.append(evidence(np.fromiter(map(weight, words), float, len(words))))
+        return pa.StructArray.from_arrays([pa.array([r[j] for r in rows], pa.float64()) for j in range(len(EVIDENCE))], names=list(EVIDENCE))
 
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        low = [int(s[0]) - 2**63 if len(s := ngram_set(t, 5)) else 0 for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(low, pa.int64())], names=["doc_id", "sketch"])
+    return F.arrow_udf(run, ", ".join(f"{c} double" for c in EVIDENCE))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -263,15 +285,13 @@ def fit(texts: DataFrame, labels: DataFrame) -> tuple[dict, list[float]] | None:
     """(word model, intercept and coefficients of EVIDENCE) from texts (doc_id, text) and labels; None without both classes."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     taught = taught.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = texts.where("doc_id is not null")
-    sketches = bitmap_prefilter(known, "doc_id", taught.select("doc_id")).select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch long")
-    firsts = sketches.join(taught, "doc_id").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    teachers = materialize(firsts.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    n = {r["toxic"]: r["count"] for r in teachers.groupBy("toxic").count().collect()}
+    # labels grow with the documents, so the texts meet them in a shuffle join, once; a text taught twice is one teacher
+    known = bitmap_prefilter(texts.where("doc_id is not null"), "doc_id", taught.select("doc_id")).join(taught.hint("merge"), "doc_id")
+    known = known.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    taught = materialize(known.groupBy("k1", "k2", "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
+    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return None
-    # labels grow with the documents, so the texts meet them in a shuffle join, once
-    taught = materialize(bitmap_prefilter(known, "doc_id", teachers.select("doc_id")).join(teachers.hint("merge"), "doc_id").select("text", "toxic"))
 
     model = _named(lm=language_model(texts))
     least = max(LEAST_DOCS, int(LEAST_SHARE * n[1]))
@@ -284,34 +304,40 @@ def fit(texts: DataFrame, labels: DataFrame) -> tuple[dict, list[float]] | None:
     weights = {x: float(np.log((k + PRIOR_DOCS * base) / (negative.get(x, 0) + PRIOR_DOCS * (1 - base))) - np.log(base / (1 - base))) for x, k in positive.items()}
     model = _named(lm=model["lm"], weights={x: w for x, w in weights.items() if w > 0.5})
 
-    columns = ", ".join(f"{c} double" for c in EVIDENCE)
-    rows = materialize(taught.select("toxic", "text").mapInArrow(_evidence(model, ["toxic"]), f"toxic int, {columns}"))
+    rows = materialize(taught.select("toxic", _evidence(model)("text").alias("e")).select("toxic", "e.*"))
     assembled = VectorAssembler(inputCols=list(EVIDENCE), outputCol="x").transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="toxic", regParam=0.001).fit(assembled)
+    release(taught, rows)
     return model, [float(fitted.intercept), *map(float, fitted.coefficients)]
 
 
-def apply(docs: DataFrame, fitted: tuple[dict, list[float]] | None) -> DataFrame:
-    """docs (with a text column) and its score; nothing is shuffled."""
+def apply(docs: DataFrame, fitted: tuple[dict, list[float]] | None, name: str = "score") -> DataFrame:
+    """docs (with a text column) and its score as the column `name`; only the text goes to Python, nothing is shuffled."""
     if fitted is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     model, (intercept, *coefficients) = fitted
+    seen = docs.withColumn(name, _evidence(model)(F.col("text").cast("string")))
     z = F.lit(intercept)
     for c, k in zip(EVIDENCE, coefficients, strict=True):
-        z = z + F.col(f"_{c}") * k
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    seen = docs.mapInArrow(_evidence(model, docs.columns, "_"), f"{kinds}, {', '.join(f'_{c} double' for c in EVIDENCE)}")
-    return seen.withColumn("score", 1 / (1 + F.exp(-z))).select(*docs.columns, "score")
+        z = z + F.col(f"{name}.{c}") * k
+    return seen.withColumn(name, 1 / (1 + F.exp(-z)))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    labels (doc_id, toxic) teach only where crc32(doc_id as text) mod 4 is not 2; of labelled texts with the same
-    smallest shingle and label (near copies) the one of the smallest id teaches. Only the text enters a score. Null and
-    empty texts get the score of no evidence; without toxic and clean labelled rows every score is 0. Null labels and
-    ids teach nothing, repeated rows score alike, other columns are ignored, and an empty table gives no rows.
+    labels (doc_id, toxic) teach only where crc32(doc_id as text) mod 4 is not 2; every such text teaches, equal texts of
+    one label once. Only the text enters a score. Null and empty texts get the score of no evidence; without toxic and
+    clean labelled rows every score is 0. Null labels and ids teach nothing, repeated rows score alike, other columns
+    are ignored, and an empty table gives no rows. Words broken by a single space are not put together again.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = apply(texts, fit(texts, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (doc_id, text) with a score below threshold, with all their columns, whatever these are called."""
+    own = free_name(docs, "score")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return apply(docs, fit(texts, labels), own).where(F.col(own) < threshold).drop(own)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barloom.llm.ngram_join import ngram_jaccard_join
+from barloom.llm.ngram_join import keep_first, ngram_jaccard_join
 
 
 def brute(rows, k, num, den):
@@ -50,8 +50,45 @@ def corpus(seed):
 def test_against_all_pairs(spark, seed, k, num, den, chunk):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, k, num, den)
     got = sorted(tuple(r) for r in ngram_jaccard_join(df, k, (num, den), chunk_ngrams=chunk).collect())
-    assert got == brute(rows, k, num, den)
+    assert got == want
+    light = ngram_jaccard_join(df, k, (num, den), chunk_ngrams=chunk, count_links=False).collect()
+    assert sorted(tuple(r)[:3] for r in light) == [x[:3] for x in want] and {r["n_links"] for r in light} <= {None, 0}
+    kept = keep_first(df, k, (num, den), chunk_ngrams=chunk)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, n, low, _ in want if i == low or not n)
+
+
+def test_large_groups_in_chunks(spark):
+    r = random.Random(9)
+    base = [[f"{g}w{i}" for i in range(60)] for g in range(2)]
+    rows = []
+    for i in range(150):
+        words = list(base[i % 2])
+        for _ in range(r.choice([0, 1, 2, 3])):
+            words[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join([*words, *(base[1 - i % 2][: i % 23] if i > 140 else [])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 70, 100)
+    assert sorted(tuple(r) for r in ngram_jaccard_join(df, 3, (70, 100), chunk_ngrams=400).collect()) == want
+    light = ngram_jaccard_join(df, 3, (70, 100), chunk_ngrams=400, count_links=False).collect()
+    assert sorted(tuple(r)[:3] for r in light) == [x[:3] for x in want]
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = ngram_jaccard_join(spark.createDataFrame([(0, a), (1, a), (1, b), (2, b), (2, ""), (4, "other words stand here in line")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, 2), (2, 2, 0), (4, 2, 4)]
+
+
+def test_keep_first(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a, "x"), (3, a, "y"), (5, a, "z"), (None, a, "n"), (None, b, "n"), (None, b, "m"), (7, None, "p"), (7, "", "q"), (8, " ", "r"), (9, "seven eight", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumnRenamed("key", "hit").selectExpr("*", "1 as key", "2 as n", "3 as low", "4 as _p", "5 as stays")
+    got = keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (None, b), (7, None), (7, ""), (8, " "), (9, "seven eight")], key=str)
+    assert keep_first(df.where("false")).count() == 0
 
 
 def test_edges(spark):

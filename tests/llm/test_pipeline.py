@@ -1,5 +1,7 @@
 """The pipeline's stages one after another, each against its operator's own result on its input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from barloom.llm import quality_rules, toxicity
 from barloom.llm._common import materialize, table
@@ -32,3 +34,25 @@ def test_stages(spark):
     empty = table(spark, DIRECTORY, "documents").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, empty, DIRECTORY).count() == 0
+
+
+def test_stages_keep_odd_rows_and_names(spark):
+    good = " ".join(f"word{i} stands here in its line" for i in range(20))
+    rows = [(1, good, 0), (1, good, 1), (2, good + " end", 2), (3, None, 3), (4, "", 4), (5, " \n", 5), (None, "other " + good[::-1], 6), (6, ("long text " * 3 + good) * 500, 7), (7, "x" * 1_000_000, 8)]
+    names = "n_words quality kept score vote_length measures component_id stays hit key2 sequence_id length".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", *(f"{i} as {c}" for i, c in enumerate(names)))
+    for name, stage in P.STAGES[:3]:
+        out = stage(spark, df, DIRECTORY)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        got = out.collect()
+        assert all(r[c] == i for r in got for i, c in enumerate(names))
+        here = sorted(r["n_chars"] for r in got)
+        if name == "quality_rules":
+            judged = quality_rules.judge(df.select(F.col("n_chars").alias("doc_id"), "text"))
+            assert here == sorted(r["doc_id"] for r in judged.where("kept").collect()) and not {3, 4, 5} & set(here)
+        elif name == "toxicity":
+            assert here == list(range(9))
+        else:
+            assert here in ([0, 3, 4, 5, 6, 7, 8], [1, 3, 4, 5, 6, 7, 8])
+    packed = P.STAGES[3][1](spark, df, DIRECTORY)
+    assert packed.count() >= len(rows) and packed.where("length > 2048").isEmpty()
