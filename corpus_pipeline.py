@@ -9,36 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import packing, quality_rules, toxicity
-from barloom.llm._common import drop_keys, materialize, table
-from barloom.llm.ngram_join import ngram_jaccard_join
+from barloom.llm._common import materialize, table
+from barloom.llm.ngram_join import keep_first
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep: the rules' accuracies are learnt in one pass, and applied in another."""
-    learned = quality_rules.learn(quality_rules.with_votes(quality_rules.measures(docs, ["doc_id"])))
-    carried = docs.columns
-    judged = quality_rules.decide(quality_rules.with_votes(quality_rules.measures(docs, carried)), learned)
-    return judged.where("kept").select(carried)
+    """Documents that the quality rules keep, with all their columns.
+
+    Null, empty and wordless texts go (they fail the word count); texts of any length are measured whole. Rows that
+    repeat stay or go together, null ids change nothing, further columns of any name stay as they are, and an empty
+    table stays empty.
+    """
+    return quality_rules.keep_good(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.3."""
-    fitted = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.apply(docs, fitted).where("score < 0.3").select(docs.columns)
+    """Documents with a toxicity score below 0.3, with all their columns.
+
+    Null and empty texts have no evidence and stay; texts of any length are scored whole. Rows that repeat stay or go
+    together, rows without id are scored like others but teach nothing, and an empty table stays empty.
+    """
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at a similarity of 0.8, the smallest doc_id stays.
+    """Of each group of documents that five-word shingles link at a similarity of 0.8, the row of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document and stay or go together; rows without doc_id stay.
+    Of rows of that doc_id in the group, one stays. Groups are of texts: rows that share a doc_id but not a group are
+    judged apart. Rows without doc_id come after all others; null and wordless texts are linked with nothing and stay.
+    Further columns of any name stay as they are, and an empty table stays empty.
     """
-    groups = ngram_jaccard_join(docs, k=5, threshold=(80, 100))
-    copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return drop_keys(docs, "doc_id", copies)
+    return keep_first(docs, k=5, threshold=(80, 100))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens.
+
+    A null or empty text is id 0 alone, a long one is cut into pieces, rows that repeat are packed as often, null ids
+    are kept, further columns are left out, and an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
