@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of local sessions that name none, by application.
+#: Rows of a batch that goes to a Python worker.
+ARROW_ROWS = 2_000
+#: Folders of local sessions that name none, by application; and what a Python worker remembers.
 _own: dict[str, str] = {}
+_remembered: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +36,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Python workers get at most ARROW_ROWS rows a batch: whole texts are in them, and some are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, executors can be lost."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back
 
 
+def worker_cache(owner: str, make):
+    """What a Python worker remembers for an operator; a worker that turns to another operator forgets it."""
+    if _remembered.get("owner") != owner:
+        _remembered.clear()
+        _remembered.update(owner=owner, held=make())
+    return _remembered["held"]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what materialize wrote, once nothing reads it any more."""
     for df in tables:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import materialize
+from barloom.llm._common import materialize, release
 
 _KINDS = {
     "string": lambda x: isinstance(x, str),
@@ -23,7 +24,11 @@ _KINDS = {
 
 
 def canonical_json(value) -> str:
-    """Keys sorted by code point, no white space, non-ASCII characters as they are, no NaN."""
+    """Keys sorted by code point, no white space, non-ASCII characters as they are, no NaN and no infinity.
+
+    Integers are written in digits and other numbers as the shortest text that gives the double again, so 1.0 stays 1.0
+    and differs from 1, and -0 is an integer 0 but -0.0 stays. Of keys that repeat in the source the last counts.
+    """
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
@@ -58,7 +63,8 @@ def _lines(schemas: dict[str, dict]):
     def check(name: str | None, arguments: str | None) -> tuple[object, list[str]]:
         try:
             value = json.loads(arguments or "", parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
-        except (ValueError, RecursionError):
+            canonical_json(value).encode()
+        except (ValueError, RecursionError):  # a number beyond doubles and a lone surrogate are no values either
             return arguments, ["$: not JSON"]
         return value, problems(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
 
@@ -84,25 +90,65 @@ def _lines(schemas: dict[str, dict]):
     return run
 
 
-def order_calls(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, step) of (conv_id, call_id, parents): 0 without known parents, else 1 + the largest of theirs.
-
-    Rounds of joins settle the calls whose parents are all settled; there are as many rounds as the longest chain has
+def _depths(calls: list[str], parents: list[list[str] | None]) -> list[int | None]:
+    """The step of each call of one conversation; None on a cycle and behind one."""
+    known = set(calls)
+    waits = {c: known.intersection(ps or ()) for c, ps in zip(calls, parents, strict=True)}
+    after: dict[str, list[str]] = {}
+    for c, ps in waits.items():
+        for p in ps:
+            after.setdefault(p, []).append(c)
+    open_parents = {c: len(ps) for c, ps in waits.items()}
+    step: dict[str, int] = {}
+    ready = [(c, 0) for c, n in open_parents.items() if not n]
+    while ready:
+        following = []
+        for c, at in ready:
+            step[c] = at
+            for d in after.get(c, ()):
+                open_parents[d] -= 1
+                if not open_parents[d]:
+                    following.append((d, at + 1))
+        ready = following
+    return [step.get(c) for c in calls]
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for conv, calls in zip(b.column("conv_id").to_pylist(), b.column("calls").to_pylist(), strict=True):
+            ids = [c["call_id"] for c in calls]
+            out += [(conv, i, s) for i, s in zip(ids, _depths(ids, [c["parents"] for c in calls]), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["conv_id", "call_id", "step"])
+
+
+def order_calls(calls: DataFrame, whole_edges: int = 10_000) -> DataFrame:
+    """(conv_id, call_id, step) of one row per (conv_id, call_id), with parents: 0 without known parents, else 1 + the largest of theirs.
+
+    Conversations of up to whole_edges calls and parents are ordered as one row each. In longer ones, rounds of joins
+    settle the calls whose parents are all settled, and drop them; there are as many rounds as their longest chain has
     calls. What lies on a cycle, or behind one, never settles and has a null step. Parents that do not occur are left out.
     """
-    known = materialize(calls.select("conv_id", "call_id").distinct())
-    edges = calls.select("conv_id", "call_id", F.explode("parents").alias("parent")).distinct()
-    edges = materialize(edges.join(known.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"]))
-    settled = materialize(known.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("step", F.lit(0)))
-    while True:
-        waiting = edges.join(settled.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        met = waiting.join(settled.select("conv_id", F.col("call_id").alias("parent"), "step"), ["conv_id", "parent"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.max("step").alias("step"), F.count("*").alias("n"), F.count("step").alias("k")).where("n = k")
-        ready = materialize(ready.select("conv_id", "call_id", (F.col("step") + 1).alias("step")))
-        if ready.isEmpty():
-            break
-        settled = settled.unionByName(ready)
-    return known.join(settled, ["conv_id", "call_id"], "left")
+    size = calls.groupBy("conv_id").agg(F.sum(F.lit(1) + F.coalesce(F.array_size("parents"), F.lit(0))).alias("size"))
+    long = materialize(size.where(F.col("size") > whole_edges).select("conv_id"))
+    short = calls.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "parents")).alias("calls"))
+    ordered = short.select(F.col("conv_id").cast("long").alias("conv_id"), "calls").mapInArrow(_ordered, "conv_id long, call_id string, step int")
+    if long.isEmpty():
+        return ordered
+    known = materialize(calls.join(long, "conv_id", "left_semi").select("conv_id", "call_id", "parents"))
+    edges = known.select("conv_id", "call_id", F.explode("parents").alias("parent")).distinct()
+    waiting = materialize(edges.join(known.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]).withColumn("above", F.lit(-1)))
+    rounds = [materialize(known.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("step")))]
+    while not rounds[-1].isEmpty():
+        # a settled parent leaves its step with the edge; calls without open edges settle, and take their edges along
+        met = waiting.join(rounds[-1].select("conv_id", F.col("call_id").alias("parent"), "step"), ["conv_id", "parent"], "left")
+        met = materialize(met.select("conv_id", "call_id", "parent", F.coalesce("step", "above").alias("above")))
+        ready = met.groupBy("conv_id", "call_id").agg(F.min("above").alias("least"), (F.max("above") + 1).alias("step")).where("least >= 0")
+        rounds.append(materialize(ready.select("conv_id", "call_id", "step")))
+        waiting, before = materialize(met.join(rounds[-1], ["conv_id", "call_id"], "left_anti")), waiting
+        release(before, met)
+    settled = reduce(DataFrame.unionByName, rounds)
+    return ordered.unionByName(known.select("conv_id", "call_id").join(settled, ["conv_id", "call_id"], "left"))
 
 
 def format_conversations(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -113,7 +159,8 @@ def format_conversations(messages: DataFrame, calls: DataFrame, results: DataFra
     step, each (part 1) before its result (part 2). status of a call: linked, pending (no result) or cycle; of a
     result: linked, or orphan (no such call; its turn is null and it comes last). problem says what is wrong with a
     call's arguments. Calls that share an id are one call, the one of the smallest turn, name and arguments; results
-    that share one are all kept. Null texts are JSON null; calls and results of null id are linked with nothing. A
+    that share one are all kept. Null texts are JSON null; arguments that are no JSON text (or hold a number beyond doubles
+    or a lone surrogate) stay as the raw text; calls and results of null id are linked with nothing. A
     conversation of any length is many rows in many tasks, never one group. Other columns are ignored.
     """
     messages = messages.select("conv_id", "turn", "role", "text")

@@ -8,6 +8,7 @@ and a span counts if it holds enough of its template in order.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from barloom.llm._common import worker_cache
 
 #: Phrases whose every place is reported, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -47,7 +50,7 @@ LEAST_COVER, GAP = 0.7, 3
 BROADCAST_GRAMS = 1_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 
 class _WordHashes(dict):
@@ -56,9 +59,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
@@ -66,9 +66,10 @@ def words(text: str | None) -> list[bytes]:
 def gram_hashes(found: list[bytes], k: int = K) -> np.ndarray:
     if len(found) < k:
         return np.zeros(0, np.int64)
-    if len(_hashes) > CACHED_WORDS:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    hashes = worker_cache("license words", _WordHashes)
+    if len(hashes) > CACHED_WORDS:
+        hashes.clear()
+    w = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     h = np.zeros(len(w) - k + 1, np.uint64)
     for j in range(k):
         x = w[j : j + len(h)] * np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +105,7 @@ def template_rows(phrases: dict[str, str], templates: list[tuple[str, str]]) ->
 
 
 def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, template, base, label, first_word, last_word, cover) for each span, and one of template -1 for each text.
+    """(row, doc_id, n_words, template, base, label, n_grams, first_word, last_word, cover) for each span, and one of template -1 for each text.
 
     row numbers the input rows. A base span is a place where all words of a phrase stand consecutively. Another one merges the
     diagonals of a template that lie at most GAP apart; cover is the share of the template's k-grams that stand
@@ -128,7 +129,7 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tu
     held = merged.groupBy(*key, "span").agg(F.min("low").alias("first_word"), (F.max("high") + K - 1).alias("last_word"), F.count("*").alias("diagonals"), F.flatten(F.collect_list("pairs")).alias("pairs"))
     alone = F.col("base") | (F.col("diagonals") == 1)  # in order already; a repeated gram of one phrase is another span
     cover = F.when(F.col("base"), 1.0).when(alone, F.size("pairs") / F.col("n_grams")).otherwise(in_order(F.when(~alone, F.col("pairs"))) / F.col("n_grams"))
-    return held.select("row", "doc_id", "n_words", "template", "base", "label", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), cover.alias("cover"))
+    return held.select("row", "doc_id", "n_words", "template", "base", "label", "n_grams", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), cover.alias("cover"))
 
 
 def aligned(pairs) -> float | None:
@@ -155,18 +156,49 @@ def in_order(pairs: pd.Series) -> pd.Series:
     return pd.Series([aligned(x) for x in pairs], dtype="float64")
 
 
+def best_spans(spans: list[dict]) -> list[str]:
+    """Labels of the spans that no better one covers: half of a span's words or more within one of another label that holds more k-grams."""
+    taken: dict[str, list[tuple[int, int]]] = {}  # of each label, in order and apart from one another
+    for s in sorted(spans, key=lambda x: (-x["held"], x["first_word"], x["label"])):
+        first, last = s["first_word"], s["last_word"]
+
+        def touched(places: list[tuple[int, int]]) -> slice:
+            at = bisect.bisect_left(places, first, key=lambda x: x[1])  # noqa: B023
+            return slice(at, bisect.bisect_right(places, last, lo=at, key=lambda x: x[0]))  # noqa: B023
+
+        covered = lambda places: max((min(last, b) - max(first, a) + 1 for a, b in places[touched(places)]), default=0)  # noqa: B023, E731
+        if all(2 * covered(places) < last - first + 1 for label, places in taken.items() if label != s["label"]):
+            own = taken.setdefault(s["label"], [])
+            at = touched(own)
+            own[at] = [(min([first, *(a for a, _ in own[at])]), max([last, *(b for _, b in own[at])]))]
+    return sorted(taken)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def uncovered(spans: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else best_spans(list(x)) for x in spans])
+
+
 def scan(docs: DataFrame, least_cover: float = LEAST_COVER, id_col: str = "doc_id", text_col: str = "text", **known) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of phrases, first_word and last_word are their smallest and largest start (null without
-    any). labels adds those of templates of which a span holds least_cover or more; score is the largest cover of any
+    any). labels adds those of templates of which a span holds least_cover or more, unless half of the span's words
+    or more lie in a span of another label that holds more; score is the largest cover of any
     span, 1 for a phrase. A null or empty text has zeros and empty labels. Repeated rows and null ids are kept, other
     columns are ignored, and an empty table gives no rows.
     """
     found = spans(docs, id_col=id_col, text_col=text_col, **known)
-    base, held = F.col("base"), (F.col("template") >= 0) & (F.col("base") | (F.col("cover") >= least_cover))
-    joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return found.groupBy("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).agg(
+    base, held = F.col("base"), (F.col("template") >= 0) & ~F.col("base") & (F.col("cover") >= least_cover)
+    joined = lambda labels: F.array_join(F.array_sort(labels), ",")
+    passage = F.when(held, F.struct("label", "first_word", "last_word", (F.col("cover") * F.col("n_grams")).alias("held")))
+    scanned = found.groupBy("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first_word"))).alias("first_word"), F.max(F.when(base, F.col("first_word"))).alias("last_word"),
-        joined(base).alias("base_labels"), joined(held).alias("labels"), F.round(F.max(F.when(F.col("template") >= 0, F.col("cover")).otherwise(0.0)), 6).alias("score"),
-    ).drop("row")
+        F.collect_set(F.when(base, F.col("label"))).alias("base_set"), F.collect_list(passage).alias("passages"),
+        F.round(F.max(F.when(F.col("template") >= 0, F.col("cover")).otherwise(0.0)), 6).alias("score"),
+    )
+    # a document's passages are as many as its words allow; those of one label need no comparison
+    labels = F.transform("passages", lambda x: x["label"])
+    several = F.size(F.array_distinct(labels)) > 1
+    labelled = scanned.withColumn("more", F.coalesce(uncovered(F.when(several, F.col("passages"))), labels))
+    return labelled.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_set")).alias("base_labels"), joined(F.array_union("base_set", "more")).alias("labels"), "score")

@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._common import bitmap_hit, bitmap_prefilter, connected_components, free_name, materialize, release
+from barloom.llm._common import bitmap_hit, bitmap_prefilter, connected_components, free_name, materialize, release, worker_cache
 
 #: N-grams that one side of a task holds at most, but for single documents that are larger.
 CHUNK_NGRAMS = 500_000
-#: Words whose hashes a worker remembers.
-CACHED_WORDS = 250_000
+#: Words whose hashes a worker remembers, and texts that it holds as objects at a time.
+CACHED_WORDS, SLICE = 250_000, 200
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -43,9 +43,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def ngram_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's k-word shingles (A-Z lower-cased, words between ASCII white space).
 
@@ -55,9 +52,10 @@ def ngram_set(text: str | None, k: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > CACHED_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = worker_cache("word hashes", _WordHashes)
+    if len(hashes) > CACHED_WORDS:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(k, len(h))
     mix = np.resize(_MIX, k)
     s = np.full(len(h) - size + 1, size * 0x9FB21C651E98DF25 % 2**64, np.uint64)
@@ -76,20 +74,24 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE))
+
+
 def _signatures(k: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sizes, kept = [], []
             for text in b.column("text").to_pylist():
                 s = ngram_set(text, k)
                 sizes.append(len(s))
-                kept.append(s[: np.searchsorted(s, np.uint64(limit))])
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-            flat = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), b.column("key2"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "key", "key2", "n", "grams"],
-            )
+                kept.append(s[: np.searchsorted(s, np.uint64(limit))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("key2"), pa.array(sizes, pa.int64()), _lists(kept)], names=["doc_id", "key", "key2", "n", "grams"])
 
     return run
 
@@ -98,21 +100,23 @@ def _prefixes(k: int, limit: int, num: int, den: int):
     """The set of each remaining document, and those of its prefix n-grams that others have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             prefixes, sets = [], []
-            for text, own, shared in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), b.column("shared").to_pylist(), strict=True):
-                s = ngram_set(text, k)
+            shared = b.column("shared")
+            lengths = shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, pairs = np.cumsum(lengths), shared.flatten()
+            df, gram = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("df", "gram"))
+            for text, own, end, length in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), ends, lengths, strict=True):
+                s = ngram_set(text, k).view(np.int64)
                 size = _prefix_length(len(s), num, den)
-                prefix = [x["gram"] for x in sorted(shared or [], key=lambda x: (x["df"], x["gram"]))][: max(0, size - own)]
+                d, g = df[end - length : end], gram[end - length : end]
+                prefix = g[np.lexsort((g, d))][: max(0, size - own)]
                 if (rest := size - own - len(prefix)) > 0:
-                    start = np.searchsorted(s, np.uint64(limit))
-                    prefix += s[start : start + rest].view(np.int64).tolist()
+                    start = np.searchsorted(s.view(np.uint64), np.uint64(limit))
+                    prefix = np.concatenate([prefix, s[start : start + rest]])
                 prefixes.append(prefix)
-                sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cls"), b.column("copies"), b.column("n"), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["cls", "copies", "n", "prefix", "grams"],
-            )
+                sets.append(s)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("copies"), b.column("n"), _lists(prefixes), _lists(sets)], names=["cls", "copies", "n", "prefix", "grams"])
 
     return run
 

@@ -9,7 +9,6 @@ regression over the strongest evidence of a document gives its score.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,15 +20,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import bitmap_prefilter, free_name, materialize, release
+from barloom.llm._common import bitmap_prefilter, free_name, materialize, release, small_batches, worker_cache
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "(": "c"}
 #: Costs of the channel, in nats.
 SUBSTITUTION, STRETCH, DOUBLED, GAP = 0.7, 0.3, 2.5, 0.5
+#: A doubled letter whose log probability in its place is below this is looked into.
+RARE_DOUBLE = -5.0
 CLASSES = 52
 #: What a worker remembers of words, about, in bytes; pieces over LONG_PIECE characters are not remembered.
-CACHED_BYTES, LONG_PIECE = 24_000_000, 64
+CACHED_BYTES, LONG_PIECE = 48_000_000, 64
 #: Texts that a worker holds as objects at a time.
 SLICE = 100
 #: A feature must occur in so many toxic documents, and in this share of them.
@@ -73,8 +74,9 @@ def language_model(texts: DataFrame) -> np.ndarray:
     """log P(third class | first two), of shape (CLASSES,) * 3, from all texts; its size depends on CLASSES alone."""
     counts = texts.select("text").mapInArrow(_count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n3 = np.zeros(CLASSES**3)
-    for r in counts.toLocalIterator():
-        n3[r["gram"]] = r["n"]
+    with small_batches(texts.sparkSession):
+        for r in counts.collect():  # at most CLASSES**3 rows
+            n3[r["gram"]] = r["n"]
     n3 = n3.reshape((CLASSES,) * 3)
     n2 = n3.sum(axis=0)
     p1 = (n2.sum(axis=0) + 1) / (n2.sum() + CLASSES)
@@ -117,18 +119,30 @@ def decode(span: str, lm: np.ndarray, gaps: bool) -> str:
     return "".join(reversed(letters))
 
 
+def _odd_doubles(word: str, lm: np.ndarray) -> bool:
+    """Whether a letter stands twice where that is rare (or three times): only then is a reading without it worth a search."""
+    for m in _STRETCHED.finditer(word):
+        i = m.start()
+        if word[i + 2 : i + 3] == word[i]:
+            return True
+        a, k = (int(_CLASS_OF[min(ord(c), 65535)]) for c in (word[i - 1] if i else " ", word[i]))
+        if lm[a, k, k] < RARE_DOUBLE:
+            return True
+    return False
+
+
 def restore_word(word: str, lm: np.ndarray) -> str:
     """A lower-case word without the punctuation around it, and decoded if it has anything to decode."""
     core = word.strip(_EDGES)
     bare = core.rstrip("$") if core.endswith("$$") else core
     if bare.isalpha():
-        return decode(bare, lm, False) if _STRETCHED.search(bare) else bare
+        return decode(bare, lm, False) if _odd_doubles(bare, lm) else bare
     if not any(map(str.isalpha, bare)):
         return bare
     if word[:1] in "!|(" and len(word) > 1 and word[1].isalnum():
         bare = word[0] + bare  # a leading sign may be a letter
     spelled = bool(_SPELLED.search(bare))
-    if spelled or any(c in LEET for c in bare) or _STRETCHED.search(bare):
+    if spelled or any(c in LEET for c in bare) or _odd_doubles(bare, lm):
         return decode(bare, lm, spelled)
     return bare
 
@@ -193,26 +207,14 @@ class _Cached(dict):
         return value
 
 
-_workers: dict[str, dict] = {}
-
+def _worker(model: dict, kind: str, make) -> _Cached:
+    """What a Python worker remembers of words under a model, of one kind at a time."""
+    return worker_cache(f"{kind} {model['name']}", lambda: _Cached(make))
 
-def _worker(model: dict) -> dict:
-    """What a Python worker keeps from one task to the next for a model."""
-    if (found := _workers.get(model["name"])) is None:
-        _workers.clear()
-        lm = model["lm"]
-        restore = lambda w: decode(w, lm, True) if " " in w else restore_word(w, lm)
-        found = {"restore": restore}
-        found["features"] = _Cached(lambda w: tuple(x for r in restore(w).split() for x in features(r)))
-        weigh = _weigher(model.get("weights", {}))
-
-        def weight(w: str) -> float:
-            r = restore(w)
-            return weigh(r) if " " not in r else max(map(weigh, r.split()), default=0.0)
 
-        found["weight"] = _Cached(weight)
-        _workers[model["name"]] = found
-    return found
+def _restorer(model: dict):
+    lm = model["lm"]
+    return lambda w: decode(w, lm, True) if " " in w else restore_word(w, lm)
 
 
 def _named(**model) -> dict:
@@ -233,17 +235,21 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 def _toxic_features(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _worker(model)["features"]
+        known = _worker(model, "words", _restorer(model)).__getitem__
         for texts in _sliced(batches):
-            yield _counted(Counter(itertools.chain.from_iterable(set().union(*map(known.__getitem__, set(_pieces(t)))) for t in texts)))
+            counts: Counter = Counter()
+            for text in texts:
+                words = {w for r in map(known, set(_pieces(text))) for w in ((r,) if " " not in r else r.split())}
+                counts.update(set().union(*map(features, words - {""})))
+            yield _counted(counts)
 
     return run
 
 
 def _clean_features(model: dict, wanted: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = _worker(model)["restore"]
-        known = _Cached(lambda piece: tuple(x for r in restore(piece).split() for x in features(r) if x in wanted))
+        restore = _restorer(model)
+        known = _worker(model, "features", lambda piece: tuple(x for r in restore(piece).split() for x in features(r) if x in wanted))
         counts: Counter = Counter()
         for texts in _sliced(batches):
             for text in texts:
@@ -267,7 +273,13 @@ def evidence(weights: np.ndarray) -> tuple[float, float, float, float]:
 
 def _evidence(model: dict):
     def run(text: pa.Array) -> pa.Array:
-        weight = _worker(model)["weight"].__getitem__
+        restore, weigh = _restorer(model), _weigher(model["weights"])
+
+        def heaviest(piece: str) -> float:
+            r = restore(piece)
+            return weigh(r) if " " not in r else max(map(weigh, r.split()), default=0.0)
+
+        weight = _worker(model, "weights", heaviest).__getitem__
         rows = []
         for i in range(0, len(text), SLICE):
             for words in map(_pieces, text[i : i + SLICE].to_pylist()):
@@ -297,9 +309,11 @@ def fit(texts: DataFrame, labels: DataFrame) -> tuple[dict, list[float]] | None:
     least = max(LEAST_DOCS, int(LEAST_SHARE * n[1]))
     # at most (features of a document) / LEAST_SHARE can pass, whatever the size of the corpus
     found = taught.where("toxic = 1").select("text").mapInArrow(_toxic_features(model), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    positive = {r["feature"]: r["n"] for r in found.collect()}
+    with small_batches(texts.sparkSession):
+        positive = {r["feature"]: r["n"] for r in found.collect()}
     clean = taught.where("toxic = 0").select("text").mapInArrow(_clean_features(model, frozenset(positive)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    negative = {r["feature"]: r["n"] for r in clean.collect()}
+    with small_batches(texts.sparkSession):
+        negative = {r["feature"]: r["n"] for r in clean.collect()}
     base = n[1] / (n[0] + n[1])
     weights = {x: float(np.log((k + PRIOR_DOCS * base) / (negative.get(x, 0) + PRIOR_DOCS * (1 - base))) - np.log(base / (1 - base))) for x, k in positive.items()}
     model = _named(lm=model["lm"], weights={x: w for x, w in weights.items() if w > 0.5})

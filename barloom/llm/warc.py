@@ -14,6 +14,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -248,10 +249,13 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Tasks write below _temporary under names of their own; the commit moves the files of the tasks that count."""
+    """Tasks write below _temporary under names of their own; the commit moves the files of the tasks that count.
 
-    def __init__(self, path: str):
-        self.path = path
+    To overwrite is to delete the archive's files of before, once all new ones are written.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         fs, root = _filesystem(self.path)
@@ -274,9 +278,11 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        for m in messages:
-            for name in m.files if m else ():
-                fs.move(f"{root}/_temporary/{name}", f"{root}/{name}")
+        names = [name for m in messages if m for name in m.files]
+        old = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.is_file] if self.overwrite else []
+        with ThreadPoolExecutor(16) as pool:  # renames, no data
+            list(pool.map(lambda name: fs.move(f"{root}/_temporary/{name}", f"{root}/{name}"), names))
+            list(pool.map(fs.delete_file, old))
         self.abort(messages)
 
     def abort(self, messages):
@@ -299,7 +305,7 @@ class WarcDataSource(DataSource):
         return _Reader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -309,23 +315,26 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", mode: str = "append") -> None:
     """A record per row. Of equal payloads of least_bytes or more, the one of the largest id is the response and the others revisit it.
 
-    A null payload is empty. A row of null id is always a response. Rows that repeat an id and payload are alike.
+    A null payload is empty. A row of null id is always a response. Ids may repeat: each row is judged by its id and
+    payload, and rows that repeat both are alike. mode "overwrite" replaces the archive at path.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("uri"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = rows.where(F.octet_length("payload") >= least_bytes).select("id", F.unhex(F.sha1("payload")).alias("digest"))
+    digest = F.unhex(F.sha1("payload")).alias("digest")
+    keyed = rows.where(F.octet_length("payload") >= least_bytes).select("id", digest)
     firsts = keyed.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("c")).where("c > 1")
     # one row a digest on this side: a payload that a third of all rows share can be split on the other
-    revisits = keyed.join(firsts.select("digest", "first"), "digest").where("id <> first").select("id", "first").distinct()
+    revisits = keyed.join(firsts.select("digest", "first"), "digest").where("id <> first").distinct()
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    records = rows.join(revisits, "id", "left").select(
+    # by id and digest: rows of one payload are spread by their ids
+    records = rows.withColumn("digest", digest).join(revisits, ["id", "digest"], "left").select(
         F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), urn("id").alias("record_id"), F.col("uri").alias("target_uri"),
         F.when(F.col("first").isNotNull(), urn("first")).alias("refers_to"), "payload",
     )
     register(pages.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

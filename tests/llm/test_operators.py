@@ -4,15 +4,19 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import chat_format, fingerprint, license_scan, packing, quality_rules, queries, sentencepiece_codec, toxicity, url_filter, warc
+from barloom.llm._common import with_range_cells
 
 DIRECTORY = "/root/testdata/sf0.001"
 ODD = [(1, "a b", 9), (1, "a b", 9), (None, "x", 8), (3, None, 7), (4, "", 6), (5, "é" * 5000, 5)]
@@ -67,7 +71,8 @@ def test_toxicity(spark):
     rows = {r["doc_id"]: r for r in scored.collect()}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
     held = [(rows[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
-    assert sum(p == t for p, t in held) / len(held) > 0.9
+    caught, flagged, toxic = (sum(1 for p, t in held if c(p, t)) for c in (lambda p, t: p and t, lambda p, t: p and not t, lambda p, t: t))
+    assert caught / toxic >= 0.6 and caught / (caught + flagged) >= 0.8
     assert toxicity.score(none(spark), labels).count() == 0
     assert {r["score"] for r in toxicity.score(odd(spark), labels.where("false")).collect()} == {0.0}
 
@@ -273,4 +278,213 @@ def test_like_licenses_are_told_apart(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, label in enumerate(texts):
         assert label in got[i] and not got[i] & (set(texts) - {label, "gpl"})
+    words = license_scan.TEMPLATES[0][1].split()
+    pairs = " ".join(x for i in range(len(words) - 2, -1, -1) for x in words[i : i + 2])
+    assert license_scan.scan(spark.createDataFrame([(1, pairs)], "doc_id long, text string")).first()["labels"] == ""
     assert license_scan.aligned([(p << 32) + q for p, q in [(0, 1), (2, 0)]]) == 1
+
+
+def test_the_best_of_overlapping_licenses_wins():
+    span = lambda label, first, last, held: {"label": label, "first_word": first, "last_word": last, "held": held}
+    assert license_scan.best_spans([span("a", 0, 9, 9), span("b", 4, 12, 6), span("b", 20, 28, 6)]) == ["a", "b"]
+    assert license_scan.best_spans([span("a", 0, 9, 9), span("b", 4, 12, 6), span("c", 9, 12, 3)]) == ["a", "c"]
+    assert license_scan.best_spans([span("a", 0, 100, 90), span("a", 10, 12, 9), span("b", 13, 20, 8)]) == ["a"]
+    r = random.Random(4)
+    for _ in range(300):
+        spans = [span(r.choice("abc"), f := r.randrange(60), f + r.randrange(1, 20), r.randrange(1, 30) + i / 100) for i in range(r.randrange(12))]
+        taken: list[dict] = []
+        for s in sorted(spans, key=lambda x: -x["held"]):
+            inside = lambda t: sum(t["first_word"] <= w <= t["last_word"] for w in range(s["first_word"], s["last_word"] + 1))  # noqa: B023, E731
+            joined = lambda t: {w for u in taken if u["label"] == t["label"] for w in range(u["first_word"], u["last_word"] + 1)}  # noqa: B023, E731
+            runs = {}
+            for t in taken:
+                if t["label"] != s["label"]:
+                    w = joined(t)
+                    lo, hi = t["first_word"], t["last_word"]
+                    while lo - 1 in w and any(u["first_word"] <= lo - 1 and lo <= u["last_word"] for u in taken if u["label"] == t["label"]):
+                        lo -= 1
+                    while hi + 1 in w and any(u["first_word"] <= hi and hi + 1 <= u["last_word"] for u in taken if u["label"] == t["label"]):
+                        hi += 1
+                    runs[t["label"], lo] = {"first_word": lo, "last_word": hi}
+            if all(2 * inside(t) < s["last_word"] - s["first_word"] + 1 for t in runs.values()):
+                taken.append(s)
+        assert license_scan.best_spans(spans) == sorted({t["label"] for t in taken})
+
+
+def brute_chat(messages, calls, results, schemas):
+    """Rows as the docstring of format_conversations says, by plain loops."""
+    one = {}
+    for c in calls:
+        if c[2] is not None:
+            key = (c[0], c[2])
+            rank = (c[1], c[3], c[4], c[5] or [])
+            one[key] = min(one.get(key, rank), rank)
+    step = {k: None for k in one}
+    while True:
+        new = {k: 1 + max((step[k[0], p] for p in ps if (k[0], p) in one), default=-1) for k, (_, _, _, ps) in one.items() if step[k] is None and all(step[k[0], p] is not None for p in ps if (k[0], p) in one)}
+        if not new:
+            break
+        step |= new
+    answered = {(c, i) for c, i, _ in results if i is not None}
+    rows = [(c, t, -1, 0, None, "message") for c, t, _, _ in messages]
+    rows += [(c[0], c[1], 0, 1, None, "pending") for c in calls if c[2] is None]
+    rows += [(k[0], v[0], step[k], 1, k[1], "cycle" if step[k] is None else "linked" if k in answered else "pending") for k, v in one.items()]
+    rows += [(c, one[c, i][0], step[c, i], 2, i, "linked") if (c, i) in one else (c, None, None, 2, i, "orphan") for c, i, _ in results]
+    return sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("whole", [10_000, 3])
+def test_chat_against_plain_code(spark, whole, monkeypatch):
+    r = random.Random(whole)
+    messages = [(c, t, "user", f"m{t}") for c in range(4) for t in range(3)]
+    calls = [(c, t, f"{i}" if i % 9 else None, "f", "{}", [f"{r.randrange(25)}" for _ in range(r.randrange(3))]) for c in range(4) for t in range(3) for i in range(12)]
+    calls += [(9, 0, f"{i}", "f", "{}", [f"{i - 1}"]) for i in range(12)]  # one long chain
+    results = [(c, f"{r.randrange(14)}", "x") for c in range(4) for _ in range(10)] + [(1, None, "y")]
+    real = chat_format.order_calls
+    monkeypatch.setattr(chat_format, "order_calls", lambda one: real(one, whole))
+    out = chat_format.format_conversations(
+        spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"),
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, parents array<string>").withColumn("step", F.lit("x")).withColumn("status", F.lit("x")),
+        spark.createDataFrame(results, "conv_id long, call_id string, text string").withColumn("turn", F.lit("x")), {"f": {}},
+    )
+    assert sorted(((x["conv_id"], x["turn"], x["step"], x["part"], x["call_id"], x["status"]) for x in out.collect()), key=str) == brute_chat(messages, calls, results, {})
+
+
+def test_chat_arguments_that_are_no_values(spark):
+    bad = ['{"n":1e999}', '{"a":"\\ud800"}', "[" * 100_000, "", "NaN", '{"n":' + "9" * 5000 + "}"]
+    calls = [(1, i, str(i), "f", a, None) for i, a in enumerate([*bad, '{"z":-0,"b":1.0,"b":2.50,"é":"x"}', '{"t":"' + "long " * 200_000 + '"}'])]
+    out = chat_format.format_conversations(
+        spark.createDataFrame([], "conv_id long, turn long, role string, text string"), spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, parents array<string>"),
+        spark.createDataFrame([], "conv_id long, call_id string, text string"), {"f": {}},
+    )
+    got = {r["turn"]: r for r in out.collect()}
+    assert all(got[i]["problem"] == "$: not JSON" and json.loads(got[i]["line"])["tool_call"]["arguments"] == a for i, a in enumerate(bad))
+    assert '"arguments":{"b":2.5,"z":0,"é":"x"}' in got[len(bad)]["line"] and len(got[len(bad) + 1]["line"]) > 1_000_000
+
+
+def test_warc_of_repeated_ids(spark, tmp_path):
+    rows = [(5, "A"), (5, "B"), (7, "A"), (9, "B"), (9, "B"), (None, "A")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_digest"]) for r in warc.archive_and_read(df).collect())
+    a, b = (base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (b"A", b"B"))
+    assert got == [(0, "response", 0, a), (5, "revisit", 7, a), (5, "revisit", 9, b), (7, "response", 0, a), (9, "response", 0, b), (9, "response", 0, b)]
+    path = f"file://{tmp_path}/w"
+    for mode, n in (("append", 6), ("append", 12), ("overwrite", 6)):
+        warc.write_archive(df, path, mode=mode)
+        assert warc.read_archive(spark, path).count() == n
+
+
+def test_encoder_against_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own = packing.Encoder(public_tokenizers.path(name))
+        assert (own.fast is None) == (name[0] == "w")
+        r = random.Random(2)
+        for _ in range(3000):
+            text = "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x20, 0x250), r.randrange(0x250, 0xD7FF), r.randrange(0xE000, 0x11FFF), 32, 32, 10, 0x1C, 0x85, 0xA0])) for _ in range(r.randrange(40)))
+            assert own.ids(text) == own.whole.encode(text, add_special_tokens=False).ids
+        for text in ("x" + " " * 1_000_000 + "y", "a" * 1_000_000):
+            assert own.ids(text) == own.whole.encode(text, add_special_tokens=False).ids
+
+
+def readings(span, gaps):
+    """Every reading of a span with its channel cost."""
+    found = {"": 0.0}
+    for i, c in enumerate(span):
+        arcs = [(c, 0.0), *((x, toxicity.SUBSTITUTION) for x in toxicity.LEET.get(c, ""))]
+        if gaps and c in toxicity._GAPS:
+            arcs.append(("", toxicity.GAP))
+        elif i and c == span[i - 1] and c.isalpha():
+            arcs.append(("", toxicity.STRETCH if c in (span[i - 2 : i - 1], span[i + 1 : i + 2]) else toxicity.DOUBLED))
+        new = {}
+        for text, cost in found.items():
+            for letter, more in arcs:
+                new[text + letter] = min(new.get(text + letter, 1e9), cost + more)
+        found = new
+    return found
+
+
+def test_decoder_against_all_readings(spark):
+    lm = toxicity.language_model(spark.createDataFrame([(1, " ".join(["the idiot moron was a stupid loser in trash"] * 30))], "doc_id long, text string"))
+    r = random.Random(6)
+
+    def score(text):
+        at = [0, 0, *(int(toxicity._CLASS_OF[min(ord(c), 65535)]) for c in text), 0]
+        return sum(float(lm[at[i], at[i + 1], at[i + 2]]) for i in range(len(at) - 2))
+
+    for _ in range(200):
+        gaps = r.random() < 0.5
+        span = "".join(r.choice("idot1i0s$@.-a") for _ in range(r.randrange(1, 8)))
+        every = {t: score(t) - c for t, c in readings(span, gaps).items()}
+        assert abs(every[toxicity.decode(span, lm, gaps)] - max(every.values())) < 1e-4
+    assert toxicity.decode("s" + "t" * 1_000_000 + "upid", lm, False) == "stupid"
+
+
+def test_fingerprint_digest_against_unicodedata(spark):
+    r = random.Random(8)
+    alphabet = [*"aAbBßİıſ 1", "\u0301", "\u00a0", "\u3000", "ﬁ", "Ⅷ", "ａ", "Σ", "ς", "e\u0301", "\t", "\n"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(8))) for _ in range(400)]
+    canon = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(canon(t), set()).add(got[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+def test_fingerprint_cells_of_outlying_ids(spark):
+    df = spark.range(3000).selectExpr("case when id = 0 then 4000000000000000000 when id % 50 = 1 then null else id end as doc_id")
+    sizes = [r["count"] for r in with_range_cells(df, "doc_id", 16).groupBy("cell").count().collect()]
+    assert max(sizes) < 450 and len(sizes) >= 12
+
+
+def test_one_very_long_text(spark):
+    rows = [(1, "word " * 200_000, "http://a/" + "x" * 1_000_000), (2, "x" * 1_000_000, None), (3, "MIT license, " * 80_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    assert fingerprint.edited_fingerprints(docs).count() == 3
+    assert {r["n_words"] for r in quality_rules.judge(docs).collect()} == {200_000, 1, 160_000}
+    assert {r["doc_id"]: r["n_base"] for r in license_scan.scan(docs).collect()} == {1: 0, 2: 0, 3: 80_000}
+    assert packing.pack(docs).where("doc_id = 2").count() > 1
+    assert all(r["restored"] for r in sentencepiece_codec.round_trip(docs).collect())
+    assert toxicity.score(docs, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")).count() == 3
+    assert url_filter.judge(docs, id_col="doc_id").count() == 3
+    assert warc.archive_and_read(docs.selectExpr("doc_id as page_id", "url", "text as html")).where("verified").count() == 3
+
+
+def test_dominance_against_exact_packing():
+    def fewest(items, cap):
+        items = sorted(items, reverse=True)
+        best = [len(items)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for j in {b: j for j, b in enumerate(bins)}.values():
+                if bins[j] >= items[i]:
+                    bins[j] -= items[i]
+                    place(i + 1, bins)
+                    bins[j] += items[i]
+            place(i + 1, [*bins, cap - items[i]])
+
+        place(0, [])
+        return best[0]
+
+    r = random.Random(11)
+    for _ in range(400):
+        cap = r.choice([10, 13, 20])
+        items = [r.randint(1, cap) for _ in range(r.randint(1, 9))]
+        rest = collections.Counter(items)
+        fixed = packing.reduce_by_dominance(rest, cap)
+        assert sum(n for _, n in fixed) + fewest(list(rest.elements()), cap) == fewest(items, cap)
+
+
+def test_quality_posterior_against_plain_bayes(spark, docs):
+    judged = quality_rules.judge(spark.read.parquet(f"{DIRECTORY}/documents.parquet")).collect()
+    names = [c for c in judged[0].asDict() if c.startswith("vote_")]
+    votes = [tuple(r[c] for c in names) for r in judged]
+    good, p = quality_rules.fit(sorted(collections.Counter(votes).items()))
+    for r, v in zip(judged, votes):
+        like = [(1 - good, good)[c] * math.prod(p[c, j, x + 1] for j, x in enumerate(v)) for c in (0, 1)]
+        assert abs(r["quality"] - like[1] / sum(like)) < 1e-9 and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
