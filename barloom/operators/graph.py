@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import release, written
+
 COLUMNS = ("s", "p", "o", "o_kind", "o_type")
 BASE = "ex:"
 
@@ -153,8 +157,12 @@ def with_inverse_edges(edges: DataFrame, relations: int) -> DataFrame:
 
 def relation_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """(node, dim, value): for each relation the mean of a node's sources over its incoming edges, summed over relations."""
-    sources = edges.join(vectors.select(F.col("id").alias("h"), "v"), "h").select("t", "r", F.posexplode("v").alias("dim", "x"))
-    return sources.groupBy("t", "r", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy(F.col("t").alias("node"), "dim").agg(F.sum("x").alias("value"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    sources = edges.join(vectors.select(F.col("id").alias("h"), array_to_vector(F.col("v").cast("array<double>")).alias("x")), "h")
+    means = sources.groupBy("t", "r").agg(Summarizer.mean(F.col("x")).alias("x")).groupBy("t").agg(Summarizer.sum(F.col("x")).alias("x"))
+    return means.select(F.col("t").alias("node"), F.posexplode(vector_to_array("x")).alias("dim", "value"))
 
 
 def halves(v: str, dims: int) -> tuple[Column, Column]:
@@ -200,47 +208,88 @@ def rotate_loss(positive: DataFrame, negative: DataFrame, gamma: float = 6.0, te
     return both.agg((-(F.avg("pos") + F.avg("neg")) / 2).alias("loss"))
 
 
-def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, entities: int, epochs: int = 3, rate: float = 0.01, gamma: float = 6.0, n: int = 4, patience: int = 20, keep=lambda df: df.checkpoint()) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Entity parts, phases and the loss by epoch, after gradient steps with Adam.
-
-    An epoch joins edges and corruptions to the current tables, forms each row's analytic gradient, sums them by id and
-    dimension, and writes the tables anew (keep). It stops when the loss has not fallen for `patience` epochs.
+def _local_epochs(rate: float, gamma: float, n: int, seed: int):
+    """Adam over one shard's edges, for as many epochs as the round has; returns the shard's parameters and losses."""
+
+    def train(edges: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.sort_values(["h", "r", "t"])
+        first, epochs = int(edges["first"].iloc[0]), int(edges["epochs"].iloc[0])
+        ent, rel = (params[params["kind"] == k].sort_values("id") for k in (0, 1))
+        ids, rels = ent["id"].to_numpy(), rel["id"].to_numpy()
+        (xe, me, ve), (xr, mr, vr) = (np.split(np.stack(x["state"].to_list()).astype(float), 3, axis=1) for x in (ent, rel))
+        dims = xr.shape[1]
+        h, t = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("h", "t"))
+        r = np.searchsorted(rels, edges["r"].to_numpy())
+        draw = np.random.default_rng([seed, first, int(edges["shard"].iloc[0]) & 0xFFFFFFFF])
+        losses = []
+        for epoch in range(first, first + epochs):
+            heads = draw.random((len(h), n)) < 0.5
+            other = draw.integers(len(ids), size=(len(h), n))
+            hh = np.concatenate([h[:, None], np.where(heads, other, h[:, None])], axis=1)
+            tt = np.concatenate([t[:, None], np.where(heads, t[:, None], other)], axis=1)
+            re, im = xe[hh, :dims], xe[hh, dims:]
+            c, s = np.cos(xr[r])[:, None], np.sin(xr[r])[:, None]
+            dre, dim = re * c - im * s - xe[tt, :dims], re * s + im * c - xe[tt, dims:]
+            q = np.sqrt(dre**2 + dim**2 + 1e-12)
+            score = gamma - q.sum(axis=2)
+            share = np.exp(score[:, 1:] - score[:, 1:].max(axis=1, keepdims=True))
+            share = np.concatenate([np.ones((len(h), 1)), share / share.sum(axis=1, keepdims=True)], axis=1)
+            sign = np.where(np.arange(n + 1) == 0, 1.0, -1.0)
+            signed = sign * score
+            losses.append(float((share * np.logaddexp(0, -signed)).sum() / 2))
+            g = (share * sign / (1 + np.exp(np.clip(signed, -500, 500))) / 2)[:, :, None]
+            a, b = g * dre / q, g * dim / q
+            ge, gr = np.zeros_like(xe), np.zeros_like(xr)
+            np.add.at(ge, hh.ravel(), np.concatenate([a * c + b * s, b * c - a * s], axis=2).reshape(-1, 2 * dims))
+            np.add.at(ge, tt.ravel(), -np.concatenate([a, b], axis=2).reshape(-1, 2 * dims))
+            np.add.at(gr, r, (a * (-re * s - im * c) + b * (re * c - im * s)).sum(axis=1))
+            for x, m, v, grad in ((xe, me, ve, ge), (xr, mr, vr, gr)):
+                m += 0.1 * (grad - m)
+                v += 0.001 * (grad**2 - v)
+                x -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+        out = [(0, i, x) for i, x in zip(ids, np.concatenate([xe, me, ve], axis=1), strict=True)]
+        out += [(1, i, x) for i, x in zip(rels, np.concatenate([xr, mr, vr], axis=1), strict=True)]
+        out += [(2, first + i, np.array([x, len(h)], float)) for i, x in enumerate(losses)]
+        return pd.DataFrame(out, columns=["kind", "id", "state"])
+
+    return train
+
+
+def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, epochs: int = 250, rate: float = 0.01, gamma: float = 6.0, n: int = 4, patience: int = 20, seed: int = 0, sync: int = 25, shard_edges: int = 50_000) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Entities (id, re, im), phases (r, phase) and the loss by epoch, after training with Adam and softmax-weighted corruptions.
+
+    Edges are dealt by hash to shards of about shard_edges, each with the parameters of the nodes it touches; a shard
+    trains `sync` epochs by itself, and then every parameter (and its moments) is the mean over its shards. With one
+    shard this is plain training on all edges. It stops when the loss has not fallen for `patience` epochs.
     """
-
-    def long(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
-        zipped = df.select(F.col(key).alias("id"), F.posexplode(F.arrays_zip(*parts)).alias("i", "z"))
-        return zipped.select("id", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col("i"), F.col(f"z.{p}").alias("x")) for p in parts))).alias("e")).select("id", "e.part", "e.i", "e.x")
-
-    state = long(vectors, "id", ["re", "im"]).unionByName(long(phases, "r", ["phase"])).withColumns({"m": F.lit(0.0), "v": F.lit(0.0)})
-    state, losses, waited = keep(state), [], 0
-    for epoch in range(1, epochs + 1):
-        part = lambda *names: state.where(F.col("part").isin(*names))  # noqa: B023, E731
-        arrays = part("re", "im").groupBy("id").pivot("part", ["re", "im"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]))
-        angle = part("phase").groupBy(F.col("id").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("phase"))
-        pos = rotated(edges.select("h", "r", "t", F.struct("h", "r", "t").alias("edge"), F.lit(1.0).alias("sign")), arrays, angle)
-        neg = rotated(negative_samples(edges, entities, n, epoch).select("h", "r", "t", "edge", F.lit(-1.0).alias("sign")), arrays, angle)
-        rows = keep(pos.unionByName(neg).withColumn("d", distance()))
-        loss = rotate_loss(rows.where("sign > 0"), rows.where("sign < 0"), gamma).first()[0]
-        waited = 0 if not losses or loss < min(losses) else waited + 1
-        losses.append(loss)
-        score = F.lit(gamma) - F.col("d")
-        share = F.when(F.col("sign") > 0, 1.0).otherwise(F.exp(score) / F.sum(F.when(F.col("sign") < 0, F.exp(score))).over(Window.partitionBy("edge")))
-        slope = rows.withColumn("g", share * F.col("sign") * (1 / (1 + F.exp(F.col("sign") * score))) / 2)
-        z = F.arrays_zip("hre", "him", "phase", "dre", "dim")
-        per = slope.select("h", "r", "t", "g", F.posexplode(z).alias("i", "z")).withColumns({"q": F.sqrt(F.col("z.dre") ** 2 + F.col("z.dim") ** 2 + 1e-12)})
-        a, b = F.col("g") * F.col("z.dre") / F.col("q"), F.col("g") * F.col("z.dim") / F.col("q")
-        c, s = F.cos("z.phase"), F.sin("z.phase")
-        turn = a * (-F.col("z.hre") * s - F.col("z.him") * c) + b * (F.col("z.hre") * c - F.col("z.him") * s)
-        entry = lambda key, p, x: F.struct(F.col(key).alias("id"), F.lit(p).alias("part"), F.col("i"), x.alias("x"))
-        grads = per.select(F.explode(F.array(entry("h", "re", a * c + b * s), entry("h", "im", b * c - a * s), entry("t", "re", -a), entry("t", "im", -b), entry("r", "phase", turn))).alias("e"))
-        total = grads.groupBy("e.id", "e.part", "e.i").agg(F.sum("e.x").alias("grad"))
-        joined = state.join(total, ["id", "part", "i"], "left").withColumn("grad", F.coalesce("grad", F.lit(0.0)))
-        joined = joined.withColumns({"m": 0.9 * F.col("m") + 0.1 * F.col("grad"), "v": 0.999 * F.col("v") + 0.001 * F.col("grad") ** 2})
-        step = rate * (F.col("m") / (1 - 0.9**epoch)) / (F.sqrt(F.col("v") / (1 - 0.999**epoch)) + 1e-8)
-        state = keep(joined.select("id", "part", "i", (F.col("x") - step).alias("x"), "m", "v"))
-        if waited >= patience:
-            break
-    return state.where("part <> 'phase'"), state.where("part = 'phase'"), losses
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    shards = max(1, -(-edges.count() // shard_edges))
+    dealt = written(edges.select("h", "r", "t", F.pmod(F.xxhash64("h", "r", "t"), F.lit(shards)).alias("shard")))
+    nodes = dealt.select("shard", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("h").cast("long").alias("id")), F.struct(F.lit(0).alias("kind"), F.col("t").cast("long").alias("id")), F.struct(F.lit(1).alias("kind"), F.col("r").cast("long").alias("id")))).alias("k"))
+    touched = written(nodes.select("shard", "k.*").distinct())
+    start = lambda x: F.concat(x, F.array_repeat(F.lit(0.0), 2 * F.size(x)))
+    state = written(
+        vectors.select(F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), start(F.concat("re", "im")).alias("state"))
+        .unionByName(phases.select(F.lit(1).alias("kind"), F.col("r").cast("long").alias("id"), start(F.col("phase")).alias("state")))
+    )
+    losses: list[float] = []
+    while len(losses) < epochs and (len(losses) < patience or min(losses[-patience:]) <= min(losses)):
+        given = dealt.withColumns({"first": F.lit(len(losses) + 1), "epochs": F.lit(min(sync, epochs - len(losses)))})
+        params = touched.join(state, ["kind", "id"])
+        run = given.groupBy("shard").cogroup(params.groupBy("shard")).applyInPandas(_local_epochs(rate, gamma, n, seed), "kind int, id long, state array<double>")
+        mean = run.groupBy("kind", "id").agg(Summarizer.mean(array_to_vector("state")).alias("m")).select("kind", "id", vector_to_array("m").alias("state"))
+        after = written(mean)
+        seen = {r["id"]: r["state"] for r in after.where("kind = 2").collect()}  # a row an epoch
+        losses += [seen[i][0] / seen[i][1] for i in sorted(seen)]
+        untouched = state.join(after.where("kind < 2"), ["kind", "id"], "left_anti")
+        state, before = written(after.where("kind < 2").unionByName(untouched)), state
+        release(before, after)
+    dims = F.size("state") / 3
+    part = lambda at, of: F.slice("state", (dims / of * at + 1).cast("int"), (dims / of).cast("int"))
+    release(dealt, touched)
+    return state.where("kind = 0").select("id", part(0, 2).alias("re"), part(1, 2).alias("im")), state.where("kind = 1").select(F.col("id").cast("int").alias("r"), part(0, 1).alias("phase")), losses
 
 
 def company_vectors(named: DataFrame, name: str = "name") -> DataFrame:

@@ -21,13 +21,31 @@ def first_fridays(calendar: DataFrame, date: str = "Date") -> DataFrame:
     return fridays(calendar, date).groupBy(F.date_trunc("month", date).alias("_m")).agg(F.min(date).alias(date)).select(date)
 
 
-def period_return(rebalance: DataFrame, prices: DataFrame, final: DataFrame, price: str = "Close", key: str = "Company", date: str = "Date") -> DataFrame:
-    """(key, date, next_date, ret) from one rebalance to the next, the last to the final date; names without a positive price at both ends have no row."""
-    periods = rebalance.select(date).distinct().join(F.broadcast(final.select(F.col(date).alias("_f")))).where(F.col(date) < F.col("_f"))
-    periods = periods.withColumn("next_date", F.coalesce(F.lead(date).over(Window.orderBy(date)), "_f")).drop("_f")
+def period_return(rebalance: DataFrame, prices: DataFrame, final: DataFrame, price: str = "Close", key: str = "Company", date: str = "Date", by: list[str] = ()) -> DataFrame:
+    """(by, key, date, next_date, ret) from one rebalance to the next, the last to the final date; names without a positive price at both ends have no row."""
+    periods = rebalance.select(*by, date).distinct().join(F.broadcast(final.select(F.col(date).alias("_f"))), F.col(date) < F.col("_f"))
+    periods = periods.withColumn("next_date", F.coalesce(F.lead(date).over(Window.partitionBy(*by).orderBy(date)), "_f")).drop("_f")
     now = prices.where(F.col(price) > 0).select(key, date, F.col(price).alias("_now"))
     then = prices.where(F.col(price) > 0).select(key, F.col(date).alias("next_date"), F.col(price).alias("_then"))
-    return periods.join(now, date).join(then, [key, "next_date"]).select(key, date, "next_date", (F.col("_then") / F.col("_now") - 1).alias("ret"))
+    return periods.join(now, date).join(then, [key, "next_date"]).select(*by, key, date, "next_date", (F.col("_then") / F.col("_now") - 1).alias("ret"))
+
+
+def compare_runs(weights: DataFrame, prices: DataFrame, horizons: DataFrame, cadences: DataFrame, universes: DataFrame, cash: float = 1e5, fee: float = 0.001) -> DataFrame:
+    """Performance of every run of the grid strategy x horizon x cadence x universe, all in one job.
+
+    weights (strategy, Company, Date, weight), horizons (horizon, start), cadences (cadence, Date: the rebalance dates),
+    universes (universe, Company). A run holds its universe's names at its cadence's dates from its start on, weights
+    scaled to a gross sum of 1, each from one of its dates to the next.
+    """
+    run = ["strategy", "horizon", "cadence", "universe"]
+    # horizons and cadences are a few rows and calendar dates
+    held = weights.join(F.broadcast(cadences), "Date").join(universes, "Company").join(F.broadcast(horizons), F.col("Date") >= F.col("start"))
+    gross = F.sum(F.abs("weight")).over(Window.partitionBy(*run, "Date"))
+    held = held.withColumn("weight", F.col("weight") / F.nullif(gross, F.lit(0.0)))
+    ends = period_return(cadences, prices, prices.agg(F.max("Date").alias("Date")), by=["cadence"]).select("cadence", "Company", "Date", "ret")
+    joined = held.join(ends, ["cadence", "Company", "Date"], "left")
+    returns = joined.groupBy(*run, "Date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
+    return performance(equity_curve(returns, run, cash, fee), run, cash=cash)
 
 
 def active_universe(prices: DataFrame) -> DataFrame:

@@ -111,25 +111,44 @@ def normalise_metrics(df: DataFrame, columns: list[str], percent: list[str]) ->
 
 
 def asof_windows(series: DataFrame, asof: DataFrame, rows: int = 250) -> DataFrame:
-    """(series, asof, values): the last `rows` values at or before each as-of date."""
-    joined = series.join(asof, series["Date"] <= asof["asof"])
-    recent = joined.withColumn("_n", F.row_number().over(Window.partitionBy("series", "asof").orderBy(F.desc("Date")))).where(F.col("_n") <= rows)
-    return recent.groupBy("series", "asof").agg(F.transform(F.array_sort(F.collect_list(F.struct("Date", "value"))), lambda x: x["value"]).alias("values"))
+    """(series, asof, values): the last `rows` values at or before each as-of date.
+
+    Rows are numbered along their series, an as-of date takes the number of the row before it, and the windows are an
+    equal join on blocks of `rows` numbers: two blocks for each as-of date, not all rows before it.
+    """
+    w = Window.partitionBy("series").orderBy("Date")
+    numbered = series.withColumn("_n", F.row_number().over(w))
+    marks = numbered.select("series", "Date", "_n").unionByName(series.select("series").distinct().join(F.broadcast(asof)).select("series", F.col("asof").alias("Date"), F.lit(None).cast("int").alias("_n")))  # calendar dates
+    upto = Window.partitionBy("series").orderBy("Date", F.col("_n").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = marks.withColumn("_end", F.max("_n").over(upto)).where("_n is null and _end is not null").select("series", F.col("Date").alias("asof"), "_end").distinct()
+    block = lambda c: F.floor(F.col(c) / rows)
+    wanted = ends.withColumn("_b", F.explode(F.array(block("_end"), block("_end") - 1)))
+    joined = numbered.withColumn("_b", block("_n")).join(wanted, ["series", "_b"]).where((F.col("_n") <= F.col("_end")) & (F.col("_n") > F.col("_end") - rows))
+    return joined.groupBy("series", "asof").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias("values"))
+
+
+#: What a window of fewer than LEAST values gets, and the start of the fit.
+LEAST, DEFAULT_VAR, DEFAULT_STAY, START_STAY, CALM_PERCENTILE = 10, (1e-4, 4e-4), (0.9, 0.9), (0.95, 0.90), 70
 
 
 def baum_welch(x: np.ndarray, rounds: int = 100, tol: float = 1e-4) -> dict:
-    """Two Gaussian states, ordered by variance; the start puts values beyond the median deviation in the second."""
-    default = {"mean": [0.0, 0.0], "var": [1e-4, 4e-4], "stay": [0.95, 0.95], "last": [0.5, 0.5], "loglik": 0.0}
-    if len(x) < 10:
-        return default
-    mid = np.median(x)
-    far = np.abs(x - mid) > 1.4826 * np.median(np.abs(x - mid)) + 1e-12
-    gamma = np.column_stack([np.where(far, 0.1, 0.9), np.where(far, 0.9, 0.1)])
-    trans, start, before = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), -np.inf
+    """Two Gaussian states, ordered by variance; missing values are left out.
+
+    At the start the calm state has the values whose distance from the median is at most its CALM_PERCENTILE, and the
+    other state has the rest.
+    """
+    x = x[~np.isnan(x)]
+    if len(x) < LEAST:
+        return {"mean": [0.0, 0.0], "var": list(DEFAULT_VAR), "stay": list(DEFAULT_STAY), "last": [0.5, 0.5], "loglik": 0.0}
+    off = np.abs(x - np.median(x))
+    calm = off <= np.percentile(off, CALM_PERCENTILE)
+    groups = [x[calm], x[~calm]] if not calm.all() else [x, x]
+    mean, var = np.array([g.mean() for g in groups]), np.array([groups[0].var(), groups[1].var() * (4.0 if calm.all() else 1.0)])
+    o = np.argsort(var, kind="stable")
+    mean, var = mean[o], np.maximum(var[o], 1e-8)
+    trans = np.array([[START_STAY[0], 1 - START_STAY[0]], [1 - START_STAY[1], START_STAY[1]]])
+    start, before = np.array([0.5, 0.5]), -np.inf
     for _ in range(rounds):
-        weight = gamma.sum(axis=0) + 1e-12
-        mean = (gamma * x[:, None]).sum(axis=0) / weight
-        var = np.maximum((gamma * (x[:, None] - mean) ** 2).sum(axis=0) / weight, 1e-10)
         logb = -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
         top = logb.max(axis=1)
         b = np.exp(logb - top[:, None])
@@ -143,13 +162,16 @@ def baum_welch(x: np.ndarray, rounds: int = 100, tol: float = 1e-4) -> dict:
             beta[t] = trans @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
         gamma = alpha * beta
         gamma /= gamma.sum(axis=1, keepdims=True)
-        xi = (alpha[:-1, :, None] * trans * (b[1:] * beta[1:] / scale[1:, None])[:, None, :]).sum(axis=0)
-        trans, start = xi / (xi.sum(axis=1, keepdims=True) + 1e-300), gamma[0]
         loglik = float((np.log(scale) + top).sum())
         if abs(loglik - before) < tol:
             break
         before = loglik
-    o = np.argsort(var)
+        xi = (alpha[:-1, :, None] * trans * (b[1:] * beta[1:] / scale[1:, None])[:, None, :]).sum(axis=0)
+        trans, start = xi / (xi.sum(axis=1, keepdims=True) + 1e-300), gamma[0]
+        weight = gamma.sum(axis=0) + 1e-300
+        mean = (gamma * x[:, None]).sum(axis=0) / weight
+        var = np.maximum((gamma * (x[:, None] - mean) ** 2).sum(axis=0) / weight, 1e-8)
+    o = np.argsort(var, kind="stable")
     return {"mean": mean[o].tolist(), "var": var[o].tolist(), "stay": [float(trans[i, i]) for i in o], "last": gamma[-1][o].tolist(), "loglik": loglik}
 
 

@@ -10,6 +10,7 @@ from barloom.operators import quality as B
 from barloom.plans import views as V
 from barloom.plans.views import oracle
 from barloom.sources import tables as A
+from barloom.sources.scratch import shared_dir
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -75,20 +76,67 @@ def _a7(s, d):
     return A.upsert_bars(*_loads(s, d)).select("Company", "Date", R("Close").alias("Close"), "load")
 
 
-WIDE_KEYS = ["1", "2", "3", "4", "5"]
+#: Companies of one wide row; each row has the columns of so many keys.
+WIDE = 50
 
 
 def _a8(s, d):
-    t = V.ticks_daily(s, d).where(F.col("Company").isin(*map(int, WIDE_KEYS)))
-    wide = t.groupBy("Date").agg(*(F.max(F.when(F.col("Company") == int(k), F.col(f))).alias(f"{f}_{k}") for k in WIDE_KEYS for f in ("Close", "Volume")))
-    return A.wide_to_long(wide, "Date", WIDE_KEYS, ["Close", "Volume"])
+    """Wide rows of WIDE companies each, as a download of many tickers has them, made long again; of all companies."""
+    t = V.ticks_daily(s, d).withColumns({"group": F.floor(F.col("Company") / WIDE), "slot": F.col("Company") % WIDE})
+    wide = t.groupBy("group", "Date").agg(*(F.max(F.when(F.col("slot") == k, F.col(f))).alias(f"{f}_{k}") for k in range(WIDE) for f in ("Close", "Volume")))
+    long = A.wide_to_long(wide, "Date", [str(k) for k in range(WIDE)], ["Close", "Volume"], ["group"])
+    return long.select((F.col("group") * WIDE + F.col("ticker").cast("long")).cast("string").alias("ticker"), "Date", "Close", "Volume")
+
+
+AWKWARD = ' "x"\\new\r\n\tC:\\temp é \\\\'
 
 
 def _a12(s, d):
-    t = V.companies(s, d).select(F.concat(F.lit("urn:c:"), "Symbol").alias("s"), F.lit("urn:p:name").alias("p"), F.concat("Name", F.lit(' "x"\\')).alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
+    none = F.lit(None).cast("string")
+    t = V.companies(s, d).select(F.concat(F.lit("urn:c:"), "Symbol").alias("s"), F.lit("urn:p:name").alias("p"), F.concat("Name", F.lit(AWKWARD)).alias("o"), F.lit("literal").alias("o_kind"), none.alias("o_type"))
     t = t.unionByName(V.companies(s, d).select(F.concat(F.lit("urn:c:"), "Symbol").alias("s"), F.lit("urn:p:cap").alias("p"), F.col("MarketCap").cast("long").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:integer").alias("o_type")))
-    t = t.unionByName(V.companies(s, d).select(F.concat(F.lit("urn:c:"), "Symbol").alias("s"), F.lit("urn:p:in").alias("p"), F.concat(F.lit("urn:n:"), "Country").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type")))
-    return A.parse_triples(A.triple_lines(t))
+    t = t.unionByName(V.companies(s, d).select(F.concat(F.lit("urn:c:"), "Symbol").alias("s"), F.lit("urn:p:in").alias("p"), F.concat(F.lit("urn:n:"), "Country").alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_type")))
+    path = shared_dir(s)
+    A.write_triples(t, path)
+    return A.read_triples(s, path)
+
+
+def _back(s, d, write, read):
+    path = shared_dir(s)
+    write(path)
+    return read(path)
+
+
+def _a1(s, d):
+    """Companies as CSV with a header, scanned with their schema."""
+    t = V.companies(s, d)
+    return _back(s, d, lambda p: A.write_results(t, p, "csv"), lambda p: A.scan_csv(s, p, t.schema))
+
+
+def _a2(s, d):
+    """A table replaced by another, partitioned."""
+    t = V.companies(s, d).select("Symbol", "Name", "Region")
+    return _back(s, d, lambda p: (A.write_table(t, p), A.write_table(t.where("Name is not null"), p, ["Region"])), lambda p: s.read.parquet(p).select(t.columns))
+
+
+def _a6(s, d):
+    found = A.check_inputs({"bars": V.bars(s, d), "fx": V.fx(s, d).where("false"), "members": None})
+    return s.createDataFrame(sorted(found.items()), "name string, problem string")
+
+
+def _a9(s, d):
+    t = V.bars(s, d)
+    return _back(s, d, lambda p: A.write_results(t, p, "json", ["Date"]), lambda p: s.read.schema("Company long, Close double, Date date").json(p).select("Company", "Date", R("Close").alias("Close")))
+
+
+def _a10(s, d):
+    t = V.fx(s, d).select("Date", R("EUR").alias("EUR"))
+    return _back(s, d, lambda p: (A.append_log(t.where("EUR > 4"), p), A.append_log(t.where("EUR <= 4"), p)), lambda p: s.read.parquet(p))
+
+
+def _a11(s, d):
+    row = A.metrics_row(B.quality_metrics(V.companies(s, d), {"cap": F.col("MarketCap") > 0}), "listing")
+    return row.select("metric_name", F.get_json_object("metric_value", "$.raw").cast("long").alias("raw"), F.get_json_object("metric_value", "$.clean").cast("long").alias("clean"))
 
 
 def _a14(s, d):
@@ -134,7 +182,7 @@ ALIKE = "replace(replace(replace(replace(replace(replace(replace(replace(replace
 
 
 def _c11(s, d):
-    traded = V.bars(s, d).where("Company % 3 > 0").select(F.col("Company").alias("Symbol"))
+    traded = V.acquisitions(s, d).select("Symbol")
     return I.company_base(V.companies(s, d), traded, _members(s, d), ["Name", "Sector", "MarketCap"])
 
 
@@ -199,6 +247,12 @@ def _b9(s, d):
 
 
 QUERIES = {
+    "a1_scan_csv": (_a1, "SELECT * FROM companies"),
+    "a2_write_table": (_a2, "SELECT Symbol, Name, Region FROM companies WHERE Name IS NOT NULL"),
+    "a6_check_inputs": (_a6, "SELECT 'fx' AS name, 'empty' AS problem UNION ALL SELECT 'members', 'missing'"),
+    "a9_write_results": (_a9, "SELECT Company, Date, round(Close, 6) AS Close FROM bars"),
+    "a10_append_log": (_a10, "SELECT Date, round(EUR, 6) AS EUR FROM fx"),
+    "a11_metrics_row": (_a11, "SELECT 'listing' AS metric_name, count(*) AS raw, count(*) FILTER (MarketCap > 0) AS clean FROM companies"),
     "a3_dates_to_text": (_a3, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders"),
     "a4_conform": (_a4, "SELECT CAST(l_quantity AS VARCHAR) AS l_quantity, TRY_CAST(l_returnflag AS DOUBLE) AS l_returnflag, CAST(l_linenumber AS BOOLEAN) AS l_linenumber, CAST(NULL AS VARCHAR) AS absent, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem GROUP BY ALL"),
     "a5_coerce_numeric": (_a5, "SELECT l_suppkey, count(p) AS priced, sum(p) AS total FROM (SELECT l_suppkey, TRY_CAST(CASE WHEN l_linenumber % 3 = 0 THEN '-' WHEN l_linenumber % 3 = 1 THEN 'Undisclosed' ELSE CAST(l_partkey AS VARCHAR) END AS DOUBLE) AS p FROM lineitem) GROUP BY l_suppkey"),
@@ -206,8 +260,8 @@ QUERIES = {
  SELECT Company, Date, Close, 1 AS load FROM ticks_daily WHERE Date < DATE '2024-01-20' UNION ALL
  SELECT n.* FROM (SELECT Company, Date, Close + 1 AS Close, 2 AS load FROM ticks_daily WHERE Date >= DATE '2024-01-15' UNION ALL SELECT Company, Date, Close + 6, 3 FROM ticks_daily WHERE Date >= DATE '2024-01-15' AND Company % 3 = 0) n
  LEFT JOIN (SELECT Company, max(Date) AS m FROM ticks_daily WHERE Date < DATE '2024-01-20' GROUP BY Company) o ON o.Company = n.Company WHERE m IS NULL OR n.Date > m)) WHERE n = 1"""),
-    "a8_wide_to_long": (_a8, "SELECT CAST(Company AS VARCHAR) AS ticker, Date, Close, Volume FROM ticks_daily WHERE Company IN (1, 2, 3, 4, 5)"),
-    "a12_triples_round_trip": (_a12, """SELECT 'urn:c:' || Symbol AS s, 'urn:p:name' AS p, Name || ' "x"\\' AS o, 'literal' AS o_kind, NULL AS o_type FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:cap', CAST(CAST(trunc(MarketCap) AS BIGINT) AS VARCHAR), 'literal', 'xsd:integer' FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:in', 'urn:n:' || Country, 'iri', NULL FROM companies"""),
+    "a8_wide_to_long": (_a8, "SELECT CAST(Company AS VARCHAR) AS ticker, Date, Close, Volume FROM ticks_daily"),
+    "a12_triples_round_trip": (_a12, """SELECT 'urn:c:' || Symbol AS s, 'urn:p:name' AS p, Name || ' "x"\\new' || chr(13) || chr(10) || chr(9) || 'C:\\temp é \\\\' AS o, 'literal' AS o_kind, NULL AS o_type FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:cap', CAST(CAST(trunc(MarketCap) AS BIGINT) AS VARCHAR), 'literal', 'xsd:integer' FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:in', 'urn:n:' || Country, 'iri', NULL FROM companies"""),
     "a13_union_graphs": (lambda s, d: A.union_graphs(V.borders(s, d), V.tensions(s, d).withColumnRenamed("rival", "neighbour")), "SELECT * FROM borders UNION SELECT country, rival FROM tensions"),
     "a14_indicator_json": (_a14, "SELECT country AS iso3, gdp_usd AS value FROM macro WHERE gdp_usd IS NOT NULL"),
     "b1_listing_constraints": (lambda s, d: B.apply_rules(V.raw_listing(s, d), B.listing_rules()), "SELECT * FROM raw_listing WHERE Symbol IS NOT NULL AND Name IS NOT NULL AND (MarketCap >= 0 OR MarketCap IS NULL)"),
@@ -231,7 +285,7 @@ QUERIES = {
     "c8_direction_label": (lambda s, d: _fwd(s, d).withColumn("ret", I.forward_return_pct("a7", "Close")).select("Company", "Date", I.direction_label("ret", 0.5).alias("up")), "SELECT Company, Date, CASE WHEN (a7 - Close) / nullif(Close, 0) * 100 > 0.5 THEN 1 ELSE 0 END AS up FROM fwd"),
     "c9_rank_target": (lambda s, d: _fwd(s, d).where("a7 is not null").withColumn("ret", I.forward_return_pct("a7", "Close")).select("Company", "Date", R(I.rank_target("ret")).alias("rank_target")), "SELECT Company, Date, round(percent_rank() OVER (PARTITION BY Date ORDER BY (a7 - Close) / nullif(Close, 0) * 100 NULLS LAST), 6) AS rank_target FROM fwd WHERE a7 IS NOT NULL"),
     "c10_build_master": (lambda s, d: _master(s, d).withColumns({c: R(c) for c in ("close", "EUR", "JPY", "ret_short", "ret_long", "rank_target")}), "SELECT Company, Date, round(close, 6) AS close, volume, round(EUR, 6) AS EUR, round(JPY, 6) AS JPY, Sector, Industry, MarketCap, round(ret_short, 6) AS ret_short, up_short, round(ret_long, 6) AS ret_long, up_long, round(rank_target, 6) AS rank_target FROM master"),
-    "c11_company_base": (_c11, "SELECT l.Symbol, coalesce(m.Name, l.Name) AS Name, coalesce(m.Sector, l.Sector) AS Sector, coalesce(m.MarketCap, l.MarketCap) AS MarketCap FROM companies l LEFT JOIN members m ON m.Symbol = l.Symbol WHERE l.Symbol IN (SELECT Company FROM bars WHERE Company % 3 > 0)"),
+    "c11_company_base": (_c11, "SELECT l.Symbol, coalesce(m.Name, l.Name) AS Name, coalesce(m.Sector, l.Sector) AS Sector, coalesce(m.MarketCap, l.MarketCap) AS MarketCap FROM companies l LEFT JOIN members m ON m.Symbol = l.Symbol WHERE l.Symbol IN (SELECT Symbol FROM acquisitions)"),
     "c12_intraday_volatility": (lambda s, d: I.intraday_volatility(V.bars(s, d)).select("Company", R("volatility").alias("volatility")), "SELECT Company, round(stddev_samp((Close - Open) / nullif(Open, 0)) * 100, 6) AS volatility FROM bars GROUP BY Company"),
     "c13_size_class": (lambda s, d: V.companies(s, d).select("Symbol", I.size_class("MarketCap", (8000, 5000, 2000)).alias("size_class")), "SELECT Symbol, CASE WHEN MarketCap IS NULL THEN 'Unknown_Size' WHEN MarketCap >= 8000 THEN 'Mega_Cap' WHEN MarketCap >= 5000 THEN 'Large_Cap' WHEN MarketCap >= 2000 THEN 'Mid_Cap' ELSE 'Small_Cap' END AS size_class FROM companies"),
     "c14_volatility_class": (lambda s, d: I.intraday_volatility(V.bars(s, d)).select("Company", I.volatility_class("volatility", (900, 1400)).alias("volatility_class")), "SELECT Company, CASE WHEN v IS NULL THEN 'Unknown_Volatility' WHEN v < 900 THEN 'Low_Volatility' WHEN v < 1400 THEN 'Medium_Volatility' ELSE 'High_Volatility' END AS volatility_class FROM (SELECT Company, stddev_samp((Close - Open) / nullif(Open, 0)) * 100 AS v FROM bars GROUP BY Company)"),

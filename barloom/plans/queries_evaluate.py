@@ -51,9 +51,10 @@ def _f2(s, d, pop=False):
 
 
 def _model_rows(s, d):
-    w = Window.partitionBy("Date")
-    rows = V.scores(s, d).withColumns({"label": F.col("truth"), "up": (F.col("truth") > 0.5).cast("double"), "validation": F.percent_rank().over(Window.orderBy("Date")) > 0.9})
-    return E.assemble(rows.withColumn("n", F.count("*").over(w)), NAMES)
+    rows = V.scores(s, d).withColumns({"label": F.col("truth"), "up": (F.col("truth") > 0.5).cast("double")})
+    # the last tenth of the rows by date is the validation set of the boosted trees
+    rows = E.temporal_split(rows, 0.9).withColumn("validation", F.col("side") == "test").drop("side")
+    return E.assemble(rows, NAMES)
 
 
 def _scored(name, label="label"):
@@ -258,7 +259,7 @@ QUERIES = {
     "f1_feature_sets": (lambda s, d: V.companies(s, d).select("Symbol", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in E.feature_sets(V.companies(s, d), ["Symbol"])["tabular"])), "SELECT Symbol, coalesce(MarketCap, 0) AS MarketCap FROM companies"),
     "f2_zscore_by_date": (_f2, "SELECT Company, Date, round(greatest(-6, least(6, (Close - avg(Close) OVER w) / (coalesce(stddev_samp(Close) OVER w, 0) + 1e-8))), 6) AS z FROM bars WINDOW w AS (PARTITION BY Date)"),
     "f3_zscore_single_date": (lambda s, d: _f2(s, d, True), "SELECT Company, Date, round(greatest(-6, least(6, (Close - avg(Close) OVER w) / (coalesce(stddev_pop(Close) OVER w, 0) + 1e-8))), 6) AS z FROM bars WINDOW w AS (PARTITION BY Date)"),
-    "f4_standard_scale": (_f4, None),
+    "f4_standard_scale": (_f4, "SELECT Company, Date, round((m1 - a) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 4) AS z FROM scores CROSS JOIN (SELECT avg(m1) AS a, stddev_pop(m1) AS sd FROM scores WHERE Date < DATE '1998-01-01')"),
     "f5_walk_forward_folds": (lambda s, d: E.walk_forward_folds(V.scores(s, d), 5).select("fold", "side", "Company", "Date"), "SELECT fold, side, Company, Date FROM sides WHERE fold IN (SELECT fold FROM good)"),
     "f6_temporal_split": (lambda s, d: E.temporal_split(V.bars(s, d).select("Company", "Date"), 0.8), "SELECT Company, Date, CASE WHEN Date <= (SELECT min(Date) FROM (SELECT Date, sum(count(*)) OVER (ORDER BY Date) / sum(count(*)) OVER () AS u FROM bars GROUP BY Date) WHERE u >= 0.8) THEN 'train' ELSE 'test' END AS side FROM bars"),
     "f7_time_series_grid": (_f7, None),

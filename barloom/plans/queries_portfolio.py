@@ -64,7 +64,7 @@ EQ2 = f"SELECT *, 1.0 / count(*) OVER (PARTITION BY Date) AS weight FROM ({PICKS
 
 
 def _h6(s, d):
-    return _rounded(H.threshold_long(_scored(s, d).where("m1 < 0.6"), "m1", ["Date"], 0.53).select("Company", "Date", "weight"), "Company", "Date")
+    return _rounded(H.threshold_long(_scored(s, d), "m1", ["Date"], 0.53).select("Company", "Date", "weight"), "Company", "Date")
 
 
 def _h7(s, d):
@@ -107,7 +107,7 @@ def _h10(s, d):
 
 
 def _h11(s, d):
-    barred = V.companies(s, d).where("Symbol % 3 = 0").select(F.col("Symbol").alias("Company"))
+    barred = V.acquisitions(s, d).select(F.col("Symbol").alias("Company")).distinct()
     return _rounded(H.borrowable_filter(_ls(s, d).select("Company", "Date", "weight"), barred), "Company", "Date")
 
 
@@ -205,7 +205,25 @@ def _h21b(s, d):
 
 
 def _h22(s, d):
-    return _rounded(H.performance(_curves(s, d).where("Date < date '1999-01-01'").unionByName(_curves(s, d).withColumn("strategy", F.concat("strategy", F.lit("_all")))), ["strategy"]).select("strategy", "total", "max_drawdown"), "strategy")
+    strategies = _strategies(s, d)
+    days = strategies.select("Date").distinct()
+    cadences = days.select(F.lit("weekly").alias("cadence"), "Date").union(days.groupBy(F.date_trunc("month", "Date").alias("m")).agg(F.min("Date").alias("Date")).select(F.lit("monthly"), "Date"))
+    horizons = s.sql("SELECT * FROM VALUES ('all', date '1992-01-01'), ('from_1995', date '1995-01-01'), ('from_1998', date '1998-01-01') AS t(horizon, start)")
+    listed = V.companies(s, d).select(F.col("Symbol").alias("Company"), "MarketCap")
+    universes = listed.select(F.lit("all").alias("universe"), "Company").union(listed.where("MarketCap >= 5000").select(F.lit("large"), "Company"))
+    out = H.compare_runs(strategies, V.bars(s, d), horizons, cadences, universes)
+    return out.select("strategy", "horizon", "cadence", "universe", *(R(c).alias(c) for c in ("total", "max_drawdown", "win_rate")))
+
+
+CAD = "SELECT DISTINCT 'weekly' AS cadence, Date FROM strat UNION SELECT 'monthly', min(Date) FROM strat GROUP BY date_trunc('month', Date)"
+HOR = "SELECT * FROM (VALUES ('all', DATE '1992-01-01'), ('from_1995', DATE '1995-01-01'), ('from_1998', DATE '1998-01-01')) AS t(horizon, start)"
+UNI = "SELECT 'all' AS universe, Symbol AS Company FROM companies UNION ALL SELECT 'large', Symbol FROM companies WHERE MarketCap >= 5000"
+NEXT = "SELECT cadence, Date, coalesce(lead(Date) OVER (PARTITION BY cadence ORDER BY Date), (SELECT max(Date) FROM bars)) AS nd FROM cad WHERE Date < (SELECT max(Date) FROM bars)"
+ENDS = "SELECT c.cadence, a.Company, c.Date, b.Close / a.Close - 1 AS ret FROM nextdate c JOIN bars a ON a.Date = c.Date AND a.Close > 0 JOIN bars b ON b.Company = a.Company AND b.Date = c.nd AND b.Close > 0"
+RUNS = "SELECT w.strategy, h.horizon, c.cadence, u.universe, w.Company, w.Date, w.weight / nullif(sum(abs(w.weight)) OVER (PARTITION BY w.strategy, h.horizon, c.cadence, u.universe, w.Date), 0) AS weight FROM strat w JOIN cad c ON c.Date = w.Date JOIN uni u ON u.Company = w.Company JOIN hor h ON w.Date >= h.start"
+RUNRET = "SELECT strategy, horizon, r.cadence, universe, r.Date, sum(weight * coalesce(ret, 0)) AS ret FROM runs r LEFT JOIN ends e ON e.cadence = r.cadence AND e.Company = r.Company AND e.Date = r.Date GROUP BY ALL"
+RUNEQ = "SELECT *, 1e5 * exp(sum(ln(greatest(0.999 * (1 + ret) * 0.999, 1e-12))) OVER (PARTITION BY strategy, horizon, cadence, universe ORDER BY Date)) AS equity FROM runret"
+H22 = "SELECT strategy, horizon, cadence, universe, round(max_by(equity, Date) / 1e5 - 1, 6) AS total, round(min(equity / peak - 1), 6) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM (SELECT *, max(equity) OVER (PARTITION BY strategy, horizon, cadence, universe ORDER BY Date) AS peak FROM runeq) GROUP BY ALL"
 
 
 def _h23(s, d):
@@ -251,15 +269,15 @@ QUERIES = {
     "h1_rebalance_dates": (lambda s, d: _rebalance(s, d).withColumn("kind", F.lit("fifth")).union(H.fridays(_calendar(s, d)).withColumn("kind", F.lit("friday"))).union(H.first_fridays(_calendar(s, d)).withColumn("kind", F.lit("month"))), "SELECT Date, 'fifth' AS kind FROM reb UNION ALL SELECT d, 'friday' FROM fri UNION ALL SELECT min(d), 'month' FROM fri GROUP BY date_trunc('month', d)"),
     "h2_period_return": (lambda s, d: _rounded(_returns(s, d), "Company", "Date", "next_date"), "SELECT Company, Date, next_date, round(ret, 6) AS ret FROM per"),
     "h3_active_universe": (lambda s, d: H.active_universe(V.bars(s, d)).groupBy("Date").agg(F.count("*").alias("n")), "SELECT Date, count(*) AS n FROM bars WHERE Volume > 0 AND Close > 0 GROUP BY Date"),
-    "h4_universe": (lambda s, d: H.universe(V.companies(s, d), 3, "Sector", having=V.companies(s, d).where("Symbol % 2 = 0")).select("Symbol", F.lit("sector").alias("kind")).union(H.universe(V.companies(s, d), 20).select("Symbol", F.lit("top"))).union(H.universe(V.companies(s, d), 0, tickers=[1, 2, 3]).select("Symbol", F.lit("given"))), "SELECT Symbol, 'sector' AS kind FROM (SELECT Symbol, row_number() OVER (PARTITION BY Sector ORDER BY MarketCap DESC NULLS LAST, Symbol) AS n FROM companies WHERE Symbol % 2 = 0) WHERE n <= 3 UNION ALL SELECT Symbol, 'top' FROM (SELECT Symbol FROM companies ORDER BY MarketCap DESC NULLS LAST, Symbol LIMIT 20) UNION ALL SELECT Symbol, 'given' FROM companies WHERE Symbol IN (1, 2, 3)"),
+    "h4_universe": (lambda s, d: H.universe(V.companies(s, d), 3, "Sector", having=V.acquisitions(s, d).select("Symbol")).select("Symbol", F.lit("sector").alias("kind")).union(H.universe(V.companies(s, d), 20).select("Symbol", F.lit("top"))).union(H.universe(V.companies(s, d), 0, tickers=[1, 2, 3]).select("Symbol", F.lit("given"))), "SELECT Symbol, 'sector' AS kind FROM (SELECT Symbol, row_number() OVER (PARTITION BY Sector ORDER BY MarketCap DESC NULLS LAST, Symbol) AS n FROM companies WHERE Symbol IN (SELECT Symbol FROM acquisitions)) WHERE n <= 3 UNION ALL SELECT Symbol, 'top' FROM (SELECT Symbol FROM companies ORDER BY MarketCap DESC NULLS LAST, Symbol LIMIT 20) UNION ALL SELECT Symbol, 'given' FROM companies WHERE Symbol IN (1, 2, 3)"),
     "h5_top_pct_then_k": (lambda s, d: _picks(s, d).select("Company", "Date"), "SELECT Company, Date FROM picks"),
-    "h6_threshold_long": (_h6, "SELECT Company, Date, round(m1 / sum(m1) OVER (PARTITION BY Date), 6) AS weight FROM (SELECT *, max(CASE WHEN m1 >= 0.53 THEN 1 ELSE 0 END) OVER (PARTITION BY Date) AS passing, row_number() OVER (PARTITION BY Date ORDER BY m1 DESC, Company) AS n FROM scored WHERE m1 < 0.6) WHERE m1 >= 0.53 OR (passing = 0 AND n <= 2)"),
+    "h6_threshold_long": (_h6, "SELECT Company, Date, round(m1 / sum(m1) OVER (PARTITION BY Date), 6) AS weight FROM (SELECT *, max(CASE WHEN m1 >= 0.53 THEN 1 ELSE 0 END) OVER (PARTITION BY Date) AS passing, row_number() OVER (PARTITION BY Date ORDER BY m1 DESC, Company) AS n FROM scored) WHERE m1 >= 0.53 OR (passing = 0 AND n <= 2)"),
     "h7_weights": (_h7, "SELECT Company, Date, round(1.0 / count(*) OVER (PARTITION BY Date), 6) AS equal, round(m1 / sum(m1) OVER (PARTITION BY Date), 6) AS by_rank FROM picks"),
     "h7_threshold_returns": (lambda s, d: _rounded(H.threshold_returns(_scored(s, d), "m1", "truth", ["Date"]), "Date", n=9), "SELECT Date, round(avg(truth) FILTER (m1 > 0.5), 9) AS above_50, round(avg(truth) FILTER (m1 > 0.53), 9) AS above_53 FROM scored GROUP BY Date"),
     "h8_inverse_vol_cap": (_h8, _cap_sql()),
     "h9_long_short_weights": (lambda s, d: _rounded(_ls(s, d).select("Company", "Date", "weight"), "Company", "Date"), "SELECT Company, Date, round(weight, 6) AS weight FROM ls"),
     "h10_beta_scale_shorts": (_h10, "SELECT Company, Date, round(CASE WHEN weight < 0 THEN weight / greatest(abs(coalesce(beta, 1)), 0.5) ELSE weight END, 6) AS weight FROM ls LEFT JOIN betas USING (Company)"),
-    "h11_borrowable_filter": (_h11, "SELECT Company, Date, round(weight, 6) AS weight FROM ls WHERE weight >= 0 OR Company NOT IN (SELECT Symbol FROM companies WHERE Symbol % 3 = 0)"),
+    "h11_borrowable_filter": (_h11, "SELECT Company, Date, round(weight, 6) AS weight FROM ls WHERE weight >= 0 OR Company NOT IN (SELECT Symbol FROM acquisitions)"),
     "h12_decile_books": (lambda s, d: H.decile_books(_scored(s, d), "m1", ["Date"]).select("Company", "Date", "side"), "SELECT Company, Date, CASE WHEN pos <= k THEN 'long' ELSE 'short' END AS side FROM (SELECT *, greatest(floor(n / 10), 1) AS k FROM (SELECT *, count(*) OVER (PARTITION BY Date) AS n, row_number() OVER (PARTITION BY Date ORDER BY m1 DESC, Company) AS pos FROM scored)) WHERE pos <= k OR pos > n - k"),
     "h13_turnover": (_h13, "SELECT Date, round(sum(abs(new - old)), 6) AS turnover FROM chg GROUP BY Date"),
     "h14_slippage_cost": (_h14, f"SELECT Date, round(sum({SLIP.format(m='(abs(new - old) * 1e6)')}), 4) AS cost FROM chg LEFT JOIN (SELECT Company, Date, vol, adv FROM scored) s USING (Company, Date) WHERE abs(new - old) >= 1e-6 GROUP BY Date"),
@@ -271,7 +289,7 @@ QUERIES = {
     "h20_annualise": (_h20, "SELECT strategy, round(pow(1 + (max_by(equity, Date) / 1e5 - 1), 365.25 / (max(Date) - min(Date))) - 1, 6) AS annual FROM curve GROUP BY strategy"),
     "h21_differential_orders": (_h21, H21),
     "h21_traded_volume": (_h21b, "SELECT Date, round(sum(old + new) * 1e5, 4) AS naive, round(sum(CASE WHEN abs(new - old) * 1e5 >= 5 THEN abs(new - old) * 1e5 ELSE 0 END), 4) AS differential, round(1 - sum(CASE WHEN abs(new - old) * 1e5 >= 5 THEN abs(new - old) ELSE 0 END) / sum(old + new), 4) AS saved FROM chg GROUP BY Date"),
-    "h22_compare_runs": (_h22, "SELECT * FROM (SELECT strategy, round(max_by(equity, Date) / 1e5 - 1, 6) AS total, round(min(drawdown), 6) AS max_drawdown FROM dd WHERE Date < DATE '1999-01-01' GROUP BY strategy UNION ALL SELECT strategy || '_all', round(max_by(equity, Date) / 1e5 - 1, 6), round(min(drawdown), 6) FROM dd GROUP BY strategy)"),
+    "h22_compare_runs": (_h22, H22),
     "h23_weekly_ledger": (_h23, "SELECT strategy, Date, bull, picks, round(equity, 4) AS equity, round(c.ret, 4) AS ret, round(i.ret, 4) AS benchmark FROM curve c JOIN (SELECT Date, string_agg(CAST(Company AS VARCHAR), ',' ORDER BY CAST(Company AS VARCHAR)) AS picks FROM eq GROUP BY Date) USING (Date) LEFT JOIN bull USING (Date) LEFT JOIN idx i USING (Date) WHERE strategy = 'long'"),
     "h24_attribution": (_h24, H24),
     "h25_realised_window_return": (lambda s, d: _rounded(H.realised_window_return(V.bars(s, d), "2000-06-01"), "Company"), "SELECT Company, round(max_by(Close, Date) / min_by(Close, Date) - 1, 6) AS ret, count(*) AS n FROM bars WHERE Date >= DATE '2000-06-01' GROUP BY Company HAVING count(*) >= 2"),
@@ -281,5 +299,5 @@ QUERIES = {
     "h28_drawdown_breaker": (_h28, "SELECT strategy, Date, round(equity, 4) AS equity, round(peak, 4) AS peak, round(drawdown, 4) AS drawdown, max(CASE WHEN drawdown <= -0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy ORDER BY Date) = 1 AS halted FROM dd"),
 }
 FRI = "SELECT CAST(x AS DATE) AS d FROM (SELECT unnest(generate_series(min(Date)::timestamp, max(Date)::timestamp, INTERVAL 1 DAY)) AS x FROM bars) WHERE isodow(x) = 5"
-MORE = {"idx": IDX, "reb": REB, "fri": FRI, "per": PER, "scored": SCORED, "picks": PICKS, "eq": EQ, "eq2": EQ2, "bull": BULL, "ls": LS, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN, "betas": BETA, "chg": CHG, "sh": SH, "strat": STRAT, "curve": CURVE, "dd": DD, "ord": ORD, "posn": POSN, "gain": GAIN, "held": HELD, "move": MOVE, "traded": MOVES, "fold_e": FOLD}
+MORE = {"cad": CAD, "hor": HOR, "uni": UNI, "nextdate": NEXT, "ends": ENDS, "runs": RUNS, "runret": RUNRET, "runeq": RUNEQ, "idx": IDX, "reb": REB, "fri": FRI, "per": PER, "scored": SCORED, "picks": PICKS, "eq": EQ, "eq2": EQ2, "bull": BULL, "ls": LS, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN, "betas": BETA, "chg": CHG, "sh": SH, "strat": STRAT, "curve": CURVE, "dd": DD, "ord": ORD, "posn": POSN, "gain": GAIN, "held": HELD, "move": MOVE, "traded": MOVES, "fold_e": FOLD}
 ORACLES = {k: oracle(sql, **MORE) for k, (_, sql) in QUERIES.items() if sql}

@@ -74,8 +74,8 @@ def macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acquisitions(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48 and l_suppkey % 3 <> 0")
-    return lines.select(F.col("l_suppkey").alias("Symbol"), F.col("l_partkey").alias("acquired"), F.year("l_shipdate").alias("yr"), F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).alias("price"))
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity = 50 and l_discount >= 0.08")
+    return lines.select(F.col("l_suppkey").alias("Symbol"), F.col("l_partkey").alias("acquired"), F.year("l_shipdate").alias("yr"), F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice")).alias("price"))
 
 
 def index_series(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ FROM supplier LEFT JOIN (SELECT l_suppkey, p_type, row_number() OVER (PARTITION
     "borders": "SELECT a.n_name AS country, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND abs(a.n_nationkey - b.n_nationkey) = 5",
     "tensions": "SELECT a.n_name AS country, b.n_name AS rival FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25 WHERE a.n_nationkey % 4 = 0",
     "macro": "SELECT n_name AS country, max(CASE WHEN n_nationkey % 7 <> 6 THEN c_acctbal END) * 1000000000.0 AS gdp_usd FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
-    "acquisitions": "SELECT l_suppkey AS Symbol, l_partkey AS acquired, year(l_shipdate) AS yr, CASE WHEN l_discount > 0.02 THEN l_extendedprice END AS price FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 AND l_suppkey % 3 <> 0",
+    "acquisitions": "SELECT l_suppkey AS Symbol, l_partkey AS acquired, year(l_shipdate) AS yr, CASE WHEN l_tax > 0.02 THEN l_extendedprice END AS price FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount >= 0.08",
     "index_series": "SELECT Date, round(avg(Close), 6) AS px FROM bars GROUP BY Date",
     "raw_listing": "SELECT * FROM companies UNION ALL SELECT -1, NULL, 'X', 'Y', 'Z', 'W', -5.0 UNION ALL SELECT NULL, 'nameless', 'X', 'Y', 'Z', 'W', 10.0",
     "series": "SELECT Company, Date, Close AS px, Volume AS vol FROM ticks_daily",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType, TimestampNTZType, TimestampType
 
@@ -54,10 +56,10 @@ def upsert_bars(old: DataFrame, new: DataFrame, key: str = "Company", date: str
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def wide_to_long(df: DataFrame, date: str, keys: list[str], fields: list[str]) -> DataFrame:
-    """Columns <field>_<key> as rows (key, date, fields); rows without any value go."""
+def wide_to_long(df: DataFrame, date: str, keys: list[str], fields: list[str], carried: list[str] = ()) -> DataFrame:
+    """Columns <field>_<key> as rows (carried, ticker, date, fields); rows without any value go."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("ticker"), *(F.col(f"{f}_{k}").alias(f) for f in fields)) for k in keys)))
-    return df.select(date, rows.alias("r")).select("r.ticker", date, *(f"r.{f}" for f in fields)).dropna("all", subset=fields)
+    return df.select(*carried, date, rows.alias("r")).select(*carried, "r.ticker", date, *(f"r.{f}" for f in fields)).dropna("all", subset=fields)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -74,9 +76,15 @@ def metrics_row(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.select(F.lit(name).alias("metric_name"), F.to_json(F.struct(*metrics.columns)).alias("metric_value"), F.current_timestamp().alias("timestamp"))
 
 
+#: How N-Triples writes characters that a quoted literal cannot hold.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def triple_lines(triples: DataFrame) -> DataFrame:
     """N-Triples text of (s, p, o, o_kind, o_type)."""
-    quoted = F.regexp_replace(F.regexp_replace(F.col("o"), r"([\\\"])", r"\\$1"), "\n", r"\\n")
+    quoted = F.col("o")
+    for plain, escaped in ESCAPES.items():  # the backslash first
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
     literal = F.concat(F.lit('"'), quoted, F.lit('"'), F.when(F.col("o_type").isNull(), "").otherwise(F.concat(F.lit("^^<"), "o_type", F.lit(">"))))
     end = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(literal)
     return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), end, F.lit(" .")).alias("value"))
@@ -86,11 +94,18 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triple_lines(triples).write.mode("overwrite").text(path)
 
 
+def unescaped(text: Column) -> Column:
+    """ESCAPES undone in one pass: what stands between escaped backslashes holds no backslash but those of other escapes."""
+    part = lambda x: reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), list(ESCAPES.items())[1:], x)
+    return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
+
+
 def parse_triples(lines: DataFrame) -> DataFrame:
-    part = lambda i: F.regexp_extract("value", r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) \.$', i)
+    """(s, p, o, o_kind, o_type) of N-Triples lines; comments, blank lines and what is no triple are left out."""
+    pattern = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) \.$'
+    part = lambda i: F.regexp_extract("value", pattern, i)
     iri = part(3) != ""
-    text = F.regexp_replace(F.regexp_replace(part(4), r"\\n", "\n"), r"\\([\\\"])", "$1")
-    return lines.select(part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(text).alias("o"), F.when(iri, "iri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit("")).alias("o_type"))
+    return lines.where(F.col("value").rlike(pattern)).select(part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(unescaped(part(4))).alias("o"), F.when(iri, "iri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit("")).alias("o_type"))
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
