@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.scratch import release, shared_dir
+
+__all__ = ["bitmap_hit", "bitmap_prefilter", "connected_components", "free_name", "materialize", "release", "shared_dir", "small_batches", "table", "with_range_cells", "worker_cache"]
+
 #: Rows of a batch that goes to a Python worker.
 ARROW_ROWS = 2_000
-#: Folders of local sessions that name none, by application; and what a Python worker remembers.
-_own: dict[str, str] = {}
+#: What a Python worker remembers.
 _remembered: dict = {}
 
 
@@ -22,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, or the context's checkpoint folder: executors all see it.
-
-    Only a local session with neither (tests, a laptop) gets a folder of its own; a cluster without one is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        base = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-    return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Within it, Python workers get at most ARROW_ROWS rows a batch: whole texts are in them, and some are long."""
@@ -53,7 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back
@@ -67,14 +54,6 @@ def worker_cache(owner: str, make):
     return _remembered["held"]
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete what materialize wrote, once nothing reads it any more."""
-    for df in tables:
-        if path := getattr(df, "_written", None):
-            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name with so many underscores in front that no column of df (in any letter case) has it."""
     taken = {c.lower() for c in df.columns}

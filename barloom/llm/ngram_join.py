@@ -281,6 +281,8 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, t
         .withColumn("own", F.col("sampled") - F.coalesce(F.size("shared"), F.lit(0)))
         .where(F.col("own") < prefix + 1).select("key", "key2", pick("node").alias("pick"), "cls", "copies", "n", "own", "shared")
     )
+    rows = materialize(signed.select("doc_id", "key", "key2", "n"))
+    release(signed)
     # few documents are left: their texts are picked out before they are shuffled
     sets = left.join(
         bitmap_prefilter(keyed.select("key", "key2", pick("doc_id").alias("pick"), "text"), "key", left.select("key")),
@@ -312,8 +314,8 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, t
     deal = lambda tasks: tasks.select(F.col("task").alias("deal"), "task", "cls", "copies", "side")
 
     def linked(tasks: DataFrame) -> DataFrame:
-        rows = tasks.join(sets.select("cls", "grams"), "cls")
-        return materialize(rows.groupBy("deal").applyInArrow(_link_groups(num, den), "cls long, root long, links long"))
+        given = tasks.join(sets.select("cls", "grams"), "cls")
+        return materialize(given.groupBy("deal").applyInArrow(_link_groups(num, den), "cls long, root long, links long"))
 
     if count_links:
         links = linked(small.union(deal(_pairs_of_chunks(members, chunk_ngrams))))
@@ -333,9 +335,9 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, t
             links = links.union(linked(deal(_pairs_of_chunks(materialize(rest.select("component", "part", "band", "cls", "copies", "n")), chunk_ngrams))))
 
     # rows that repeat an id with other texts are one document
-    ids = signed.where("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f("key").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("key2").alias(f"{f.__name__}2") for f in (F.min, F.max)))
+    ids = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f("key").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("key2").alias(f"{f.__name__}2") for f in (F.min, F.max)))
     several = materialize(ids.where("min1 <> max1 or min2 <> max2").select("doc_id"))
-    named = bitmap_prefilter(signed.select("doc_id", "key", "key2"), "doc_id", several).join(several, "doc_id", "left_semi").distinct().join(classes.select("key", "key2", "cls"), ["key", "key2"])
+    named = bitmap_prefilter(rows.select("doc_id", "key", "key2"), "doc_id", several).join(several, "doc_id", "left_semi").distinct().join(classes.select("key", "key2", "cls"), ["key", "key2"])
     same = named.join(named.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").select(F.col("cls").alias("a"), "b")
 
     roots = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(same)).select(F.col("node").alias("cls"), "component")
@@ -348,7 +350,8 @@ def _classes(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, t
         "key", "key2", "n", "node", "copies", F.when(F.col("grouped"), F.col("low")).otherwise(F.col("node")).alias("low"), F.coalesce("grouped", F.lit(False)).alias("grouped"),
         F.coalesce("links", F.lit(0)).alias("links") if count_links else F.lit(None).cast("long").alias("links"),
     )
-    return signed.select("doc_id", "key", "key2", "n"), result
+    release(sets, placed, weights)
+    return rows, result
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", chunk_ngrams: int = CHUNK_NGRAMS, count_links: bool = True) -> DataFrame:
