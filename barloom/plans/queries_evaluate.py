@@ -54,7 +54,7 @@ def _model_rows(s, d):
     rows = V.scores(s, d).withColumns({"label": F.col("truth"), "up": (F.col("truth") > 0.5).cast("double")})
     # the last tenth of the rows by date is the validation set of the boosted trees
     rows = E.temporal_split(rows, 0.9).withColumn("validation", F.col("side") == "test").drop("side")
-    return E.assemble(rows, NAMES)
+    return E.spread(E.assemble(rows, NAMES))
 
 
 def _scored(name, label="label"):

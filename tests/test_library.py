@@ -66,3 +66,72 @@ def test_loss_falls_and_hmm_finds_two_variances(spark):
     y = 100 + np.cumsum(np.ones(60))
     beta, aic = S._css(y, 0, 1, 0)
     assert abs(beta[0] - 1) < 1e-9 and np.allclose(S._forecast(y, (0, 1, 0), beta, 3), y[-1] + np.arange(1, 4))
+
+
+def test_regimes_of_short_and_gappy_windows():
+    import numpy as np
+
+    short = S.baum_welch(np.array([0.1, np.nan] * 9))
+    assert short == {"mean": [0.0, 0.0], "var": [1e-4, 4e-4], "stay": [0.9, 0.9], "last": [0.5, 0.5], "loglik": 0.0}
+    x = np.concatenate([np.random.default_rng(1).normal(0, 0.01, 60), [np.nan]])
+    assert S.baum_welch(x) == S.baum_welch(x[:-1])
+
+
+def test_asof_windows_against_plain_code(spark):
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(k, day(i * step), float(i)) for k, step in (("a", 1), ("b", 3)) for i in range(40)]
+    asof = [day(n) for n in (-1, 0, 5, 17, 39, 200)]
+    got = S.asof_windows(spark.createDataFrame(rows, "series string, Date date, value double"), spark.createDataFrame([(x,) for x in asof], "asof date"), 7)
+    want = {(k, x): [v for s, d, v in rows if s == k and d <= x][-7:] for k in "ab" for x in asof}
+    assert {(r["series"], r["asof"]): list(r["values"]) for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_synthetic_rows_lie_between_near_neighbours(spark):
+    import numpy as np
+
+    from barloom.operators import evaluate as E
+
+    rng = np.random.default_rng(3)
+    small = np.round(np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(50, 1, (60, 3))]), 6)
+    rows = [(1, x.tolist()) for x in np.concatenate([small, small[:30]])] + [(0, [float(i), 0.0, 0.0]) for i in range(1000)]
+    out = E.oversample_minority(spark.createDataFrame(rows, "label int, features array<double>"), "label", cell_rows=40)
+    got = [r["features"] for r in out.where("label = 1").collect()]
+    assert len(got) == 1000 == out.where("label = 0").count()
+    given = {tuple(x) for x in small.tolist()}
+    made = np.array([x for x in got if tuple(x) not in given])
+    assert len(made) > 700
+    near = np.sort(np.linalg.norm(small[:, None] - small[None], axis=2), axis=1)[:, 40].max()
+    for x in made:
+        a = small[:, None] - x
+        to = np.linalg.norm(small - x, axis=1)
+        i, j = np.triu_indices(len(small), 1)
+        slack = to[i] + to[j] - np.linalg.norm(small[i] - small[j], axis=1)
+        best = slack.argmin()
+        assert slack[best] < 1e-4 and np.linalg.norm(small[i[best]] - small[j[best]]) <= near and a is not None
+
+
+def test_training_in_shards_lowers_the_loss(spark):
+    edges = spark.range(300).selectExpr("id % 40 as h", "cast(id % 2 as int) as r", "(id * 7 + 3) % 40 as t").distinct()
+    vectors = spark.range(40).selectExpr("id", "transform(sequence(0, 3), i -> sin(id * 3.1 + i)) as re", "transform(sequence(0, 3), i -> cos(id * 1.7 + i)) as im")
+    phases = spark.range(2).selectExpr("cast(id as int) as r", "transform(sequence(0, 3), i -> double(i + id)) as phase")
+    for shard_edges in (50_000, 20):
+        ent, rel, losses = G.train_rotate(edges, vectors, phases, epochs=40, rate=0.05, sync=10, shard_edges=shard_edges)
+        assert len(losses) == 40 and losses[-1] < losses[0] and ent.count() == 40 and rel.count() == 2
+        assert all(len(r["re"]) == 4 and len(r["im"]) == 4 for r in ent.collect()) and all(len(r["phase"]) == 4 for r in rel.collect())
+
+
+def test_breaker_stream(spark, tmp_path):
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        day = lambda n: datetime.date(2024, 1, n)
+        schema = "account long, Date date, equity double"
+        for rows in ([(1, day(1), 100.0), (1, day(2), 110.0), (2, day(1), 50.0)], [(1, day(3), 104.0), (1, day(4), 120.0), (2, day(2), 49.0)]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            query = streams.breaker_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        got = sorted((r["account"], r["Date"].day, r["peak"], r["halted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [(1, 1, 100.0, False), (1, 2, 110.0, False), (1, 3, 110.0, True), (1, 4, 120.0, True), (2, 1, 50.0, False), (2, 2, 50.0, False)]
+    finally:
+        spark.conf.unset(conf)
