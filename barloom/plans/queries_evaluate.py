@@ -140,6 +140,10 @@ F28 = """SELECT a, b, n, round(md, 6) AS mean_difference, round(CASE WHEN m = 0
  (SELECT x.model AS a, y.model AS b, count(*) AS n, avg(x.ic - y.ic) AS md, greatest(count(*) FILTER (x.ic > y.ic), count(*) FILTER (x.ic < y.ic))::int AS k, count(*) FILTER (x.ic <> y.ic)::int AS m FROM ic x JOIN ic y ON x.fold = y.fold AND x.model < y.model GROUP BY ALL)"""
 
 
+BOOT = """SELECT model, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT model, b, avg(v[1 + ('0x' || substr(md5(b || ':' || i || ':0'), 1, 8))::bigint % len(v)]) AS m
+ FROM (SELECT model, list_sort(list(ic)) AS v FROM ic WHERE ic IS NOT NULL GROUP BY model) CROSS JOIN (SELECT unnest(range(1, 10001)) AS b) CROSS JOIN LATERAL (SELECT unnest(range(0, len(v))) AS i) GROUP BY model, b) GROUP BY model"""
+
+
 def _f29(s, d):
     return _rounded(E.bootstrap_ci(_ic(s, d), ["model"], "ic"), "model")
 
@@ -263,7 +267,7 @@ QUERIES = {
     "f5_walk_forward_folds": (lambda s, d: E.walk_forward_folds(V.scores(s, d), 5).select("fold", "side", "Company", "Date"), "SELECT fold, side, Company, Date FROM sides WHERE fold IN (SELECT fold FROM good)"),
     "f6_temporal_split": (lambda s, d: E.temporal_split(V.bars(s, d).select("Company", "Date"), 0.8), "SELECT Company, Date, CASE WHEN Date <= (SELECT min(Date) FROM (SELECT Date, sum(count(*)) OVER (ORDER BY Date) / sum(count(*)) OVER () AS u FROM bars GROUP BY Date) WHERE u >= 0.8) THEN 'train' ELSE 'test' END AS side FROM bars"),
     "f7_time_series_grid": (_f7, None),
-    "f8_one_hot": (_f8, None),
+    "f8_one_hot": (_f8, "SELECT Symbol, repeat('0', (n - 1)::int) || '1' || repeat('0', (k - n)::int) AS code FROM companies JOIN (SELECT Sector, row_number() OVER (ORDER BY count(*) DESC, Sector) AS n, count(*) OVER () AS k FROM (SELECT coalesce(Sector, 'none') AS Sector FROM companies) GROUP BY Sector) c ON c.Sector = coalesce(companies.Sector, 'none')"),
     "f9_oversample_minority": (_f9, "SELECT label, max(c) OVER () AS n FROM (SELECT CASE WHEN truth > 0.9 THEN 1 ELSE 0 END AS label, count(*) AS c FROM scores GROUP BY 1)"),
     "f10_random_forest_classifier": (_scored("RandomForestClassifier", "up"), None),
     "f11_mlp_classifier": (_scored("MLPClassifier", "up"), None),
@@ -284,8 +288,8 @@ QUERIES = {
     "f26_summarise_folds": (lambda s, d: _rounded(E.summarise_folds(_ic(s, d), ["model"], "ic"), "model"), "SELECT model, count(ic) AS k, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(stddev_samp(ic) / sqrt(count(ic)), 6) AS se FROM ic GROUP BY model"),
     "f27_sign_test": (_f27, SIGN),
     "f28_paired_comparison": (_f28, F28),
-    "f29_bootstrap_ci": (_f29, None),
-    "f30_flag_significant": (_f30, None),
+    "f29_bootstrap_ci": (_f29, "SELECT model, round(low, 6) AS low, round(high, 6) AS high FROM boot"),
+    "f30_flag_significant": (_f30, f"SELECT model, (low > 0 OR high < 0) AND p < 0.2 AS significant FROM boot JOIN ({SIGN}) USING (model)"),
     "f30_best_per_group": (_f30b, "SELECT fold, max_by(model, ic) AS model, round(max(ic), 6) AS ic FROM ic GROUP BY fold"),
     "f31_pick_ensemble": (lambda s, d: _rounded(E.pick_ensemble(_ic(s, d), ["m1", "m2"])), "SELECT max_by(model, ic) AS model, round(max(ic), 6) AS ic FROM (SELECT model, max_by(ic, fold) AS ic FROM ic WHERE model IN ('m1', 'm2') GROUP BY model)"),
     "f32_classification_report": (_f32, F32),
@@ -301,5 +305,5 @@ QUERIES = {
     "g9_align_to_index": (lambda s, d: _rounded(_pairs(s, d), "Company", "Date"), "SELECT Company, Date, round(y, 6) AS y, round(x, 6) AS x FROM pairs"),
     "g10_trend_regime": (lambda s, d: S.regime_counts(S.trend_regime(V.index_series(s, d))), "SELECT count(*) FILTER (px > sma) AS bull, count(*) FILTER (NOT px > sma) AS bear FROM (SELECT px, CASE WHEN count(px) OVER f >= 50 THEN avg(px) OVER f END AS sma FROM index_series WINDOW f AS (ORDER BY Date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"),
 }
-MORE = {"filled": FILLED, "days": DAYS, "cuts": CUTS, "sides": SIDES, "good": GOOD, "tests": TEST, "oof": OOF, "ic": IC, "idx": IDX, "named": SERIES, "metrics": METRICS, "lr": LR, "forward_pass": FORWARD, "back_pass": BACK, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN}
+MORE = {"boot": BOOT, "filled": FILLED, "days": DAYS, "cuts": CUTS, "sides": SIDES, "good": GOOD, "tests": TEST, "oof": OOF, "ic": IC, "idx": IDX, "named": SERIES, "metrics": METRICS, "lr": LR, "forward_pass": FORWARD, "back_pass": BACK, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN}
 ORACLES = {k: oracle(sql, **MORE) for k, (_, sql) in QUERIES.items() if sql}
