@@ -53,6 +53,7 @@ def test_stages_keep_odd_rows_and_names(spark):
         elif name == "toxicity":
             assert here == list(range(9))
         else:
-            assert here in ([0, 3, 4, 5, 6, 7, 8], [1, 3, 4, 5, 6, 7, 8])
+            # 2 and 7 have the shingles of the first text and few others
+            assert here in ([0, 3, 4, 5, 6, 8], [1, 3, 4, 5, 6, 8])
     packed = P.STAGES[3][1](spark, df, DIRECTORY)
     assert packed.count() >= len(rows) and packed.where("length > 2048").isEmpty()
