@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def by_key(key: str = "Company", date: str = "Date"):
@@ -63,62 +67,47 @@ def log_size(cap: str) -> Column:
     return F.log10(F.when(F.col(cap) > 0, F.col(cap)))
 
 
-def ordered_fold(df: DataFrame, columns: list[str], start: Column, step, outputs: dict[str, Column], key: str = "Company", date: str = "Date") -> DataFrame:
-    """Each series folded in date order: (key, date, columns, outputs).
+def along_series(df: DataFrame, made: list[str], fn: Callable[[pd.DataFrame], dict[str, pd.Series]], key: str = "Company", date: str = "Date") -> DataFrame:
+    """df with the double columns `made`, which fn gives for the rows of one series in date order.
 
-    step(state, row) gives the next state; outputs are columns over the state `s` after a row. One series is one array,
-    of as many elements as it has rows.
+    A series is one group, of as many rows as it has dates; work and memory grow in proportion to them.
     """
-    row = F.struct(date, *columns)
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    empty = F.array(F.struct(F.lit(0).alias("i"), start.alias("s")))
+    schema = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in made)])
 
-    def grow(acc, x):
-        state = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.struct((state["i"] + 1).alias("i"), step(state["s"], x).alias("s"))))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(date, kind="stable")
+        return rows.assign(**fn(rows))
 
-    folded = series.withColumn("_states", F.slice(F.aggregate("_rows", empty, grow), 2, F.greatest(F.size("_rows"), F.lit(1))))
-    each = folded.select(key, F.explode(F.arrays_zip("_rows", "_states")).alias("_z"))
-    flat = each.select(key, F.col(f"_z._rows.{date}").alias(date), *(F.col(f"_z._rows.{c}").alias(c) for c in columns), F.col("_z._states.s").alias("s"))
-    return flat.select(key, date, *columns, *(v.alias(n) for n, v in outputs.items()))
+    return df.groupBy(key).applyInPandas(run, schema)
 
 
 def rsi(df: DataFrame, price: str, n: int = 14, key: str = "Company", date: str = "Date") -> DataFrame:
-    """df's series with rsi: weighted means of gains and losses (weights (1 - 1/n) to the age), 50 before n changes, and a zero loss is 1e-9."""
-    keep = 1 - 1 / n
-    change = F.col(price) - F.lag(price).over(by_key(key, date))
-    moves = df.select(key, date, price, change.alias("_move"))
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("g", "l", "w")), F.lit(0).alias("n"))
-
-    def step(s, x):
-        move = x["_move"]
-        known = move.isNotNull()
-        return F.struct(
-            F.when(known, s["g"] * keep + F.greatest(move, F.lit(0.0))).otherwise(s["g"]).alias("g"),
-            F.when(known, s["l"] * keep + F.greatest(-move, F.lit(0.0))).otherwise(s["l"]).alias("l"),
-            F.when(known, s["w"] * keep + 1.0).otherwise(s["w"]).alias("w"), F.when(known, s["n"] + 1).otherwise(s["n"]).alias("n"),
-        )
-
-    gain, loss = F.col("s.g") / F.col("s.w"), F.col("s.l") / F.col("s.w")
-    value = 100 - 100 / (1 + gain / F.when(loss == 0, 1e-9).otherwise(loss))
-    out = ordered_fold(moves, [price, "_move"], zero, step, {"rsi": F.when(F.col("s.n") >= n, value).otherwise(50.0)}, key, date)
-    return out.drop("_move")
+    """df's series with rsi: weighted means of gains and losses (weights (1 - 1/n) to the age), 50 before n changes, and a zero loss is 1e-9.
+
+    A row without price, and the row after it, has no change and keeps the means of the row before.
+    """
+
+    def fn(rows: pd.DataFrame) -> dict[str, pd.Series]:
+        move = rows[price].diff()
+        gain, loss = (x.clip(lower=0.0).ewm(alpha=1 / n, ignore_na=True).mean() for x in (move, -move))
+        value = 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-9))
+        return {"rsi": value.where(move.notna().cumsum() >= n, 50.0)}
+
+    return along_series(df.select(key, date, F.col(price).cast("double").alias(price)), ["rsi"], fn, key, date)
 
 
 def macd(df: DataFrame, price: str, fast: int = 12, slow: int = 26, signal: int = 9, key: str = "Company", date: str = "Date") -> DataFrame:
-    """df's series with macd and macd_signal: recursive exponential means that start at the first value."""
-    a, b, c = (2 / (n + 1) for n in (fast, slow, signal))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("f"), none.alias("l"), none.alias("g"))
-
-    def step(s, x):
-        p = x[price]
-        f = F.when(s["f"].isNull(), p).otherwise(s["f"] * (1 - a) + p * a)
-        slow_now = F.when(s["l"].isNull(), p).otherwise(s["l"] * (1 - b) + p * b)
-        m = f - slow_now
-        return F.struct(f.alias("f"), slow_now.alias("l"), F.when(s["g"].isNull(), m).otherwise(s["g"] * (1 - c) + m * c).alias("g"))
-
-    return ordered_fold(df.select(key, date, price), [price], start, step, {"macd": F.coalesce(F.col("s.f") - F.col("s.l"), F.lit(0.0)), "macd_signal": F.coalesce(F.col("s.g"), F.lit(0.0))}, key, date)
+    """df's series with macd and macd_signal: recursive exponential means that start at the first value; 0 before it.
+
+    A row without price keeps the means of the row before.
+    """
+
+    def fn(rows: pd.DataFrame) -> dict[str, pd.Series]:
+        mean = lambda x, span: x.ewm(span=span, adjust=False, ignore_na=True).mean()
+        line = mean(rows[price], fast) - mean(rows[price], slow)
+        return {"macd": line.fillna(0.0), "macd_signal": mean(line, signal).fillna(0.0)}
+
+    return along_series(df.select(key, date, F.col(price).cast("double").alias(price)), ["macd", "macd_signal"], fn, key, date)
 
 
 def bollinger_width(c: str, n: int = 20, key: str = "Company", date: str = "Date") -> Column:

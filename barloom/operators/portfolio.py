@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def every_nth_date(calendar: DataFrame, n: int = 5, date: str = "Date") -> DataFrame:
@@ -147,9 +150,13 @@ def turnover(old: DataFrame, new: DataFrame, by: list[str], key: str = "Company"
     return _changes(old, new, [*by, key]).groupBy(*by).agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("turnover"))
 
 
+#: Half a spread, the weight of square-root impact, and the largest cost, as shares of what is traded.
+HALF_SPREAD, IMPACT, MOST = 0.0005, 0.5, 0.02
+
+
 def slippage(size: Column, vol: Column, adv: Column) -> Column:
     """Cost of trading `size` dollars: half a spread and square-root impact, at most 2 percent of the size."""
-    rate = F.least(F.lit(0.0005) + 0.5 * F.coalesce(vol, F.lit(0.02)) * F.sqrt(size / F.greatest(F.coalesce(adv, F.lit(1e7)), F.lit(1.0))), F.lit(0.02))
+    rate = F.least(F.lit(HALF_SPREAD) + IMPACT * F.coalesce(vol, F.lit(0.02)) * F.sqrt(size / F.greatest(F.coalesce(adv, F.lit(1e7)), F.lit(1.0))), F.lit(MOST))
     return size * rate
 
 
@@ -196,35 +203,37 @@ def equity_curve(periods: DataFrame, by: list[str], cash: float = 1e5, fee: floa
 def equity_with_impact(positions: DataFrame, by: list[str], cash: float = 1e6, date: str = "Date", key: str = "Company") -> DataFrame:
     """(by, date, equity): cost by the equity of the moment, drifting weights, and a sale of all at the end.
 
-    positions (by, date, key, weight, ret, vol, adv). A strategy's periods are folded in order, each an array of its names.
+    positions (by, date, key, weight, ret, vol, adv); rows of one name in a period are added up. What a name's weight
+    moves by does not hang on the equity: wanted and drifted weights meet by name. Only the equity is followed period
+    after period, in one group a strategy, of as many rows as it trades.
     """
-    one = F.struct(F.col(key).cast("string").alias("k"), F.col("weight").alias("w"), F.coalesce("ret", F.lit(0.0)).alias("r"), F.coalesce("vol", F.lit(0.02)).alias("v"), F.coalesce("adv", F.lit(1e7)).alias("a"))
-    periods = positions.groupBy(*by, date).agg(F.sort_array(F.collect_list(one)).alias("x"))
-    runs = periods.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(date, "x"))).alias("_p"))
-    names = "array<struct<k:string,w:double,v:double,a:double>>"
-    start = F.struct(F.lit(float(cash)).alias("e"), F.array().cast(names).alias("h"), F.array().cast("array<double>").alias("curve"))
-
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-
-    def trade(equity, held, wanted):
-        """Cost of going from held to wanted weights."""
-        of = lambda xs, k: total(F.filter(xs, lambda y: y["k"] == k), lambda y: y["w"])
-        cost = lambda x, move: F.when(move < 1e-6, 0.0).otherwise(slippage(move * equity, x["v"], x["a"]))
-        into = total(wanted, lambda x: cost(x, F.abs(x["w"] - of(held, x["k"]))))
-        out = total(F.filter(held, lambda x: ~F.exists(wanted, lambda y: y["k"] == x["k"])), lambda x: cost(x, F.abs(x["w"])))
-        return into + out
-
-    def step(s, p):
-        after = s["e"] - trade(s["e"], s["h"], p["x"])
-        gain = total(p["x"], lambda x: x["w"] * x["r"])
-        drift = F.transform(p["x"], lambda x: F.struct(x["k"].alias("k"), (x["w"] * (1 + x["r"]) / (1 + gain)).alias("w"), x["v"].alias("v"), x["a"].alias("a")))
-        now = after * (1 + gain)
-        return F.struct(now.alias("e"), drift.alias("h"), F.concat(s["curve"], F.array(now)).alias("curve"))
-
-    done = runs.withColumn("_s", F.aggregate("_p", start, step))
-    final = F.col("_s.e") - trade(F.col("_s.e"), F.col("_s.h"), F.array().cast(names))
-    curve = F.concat(F.slice("_s.curve", 1, F.size("_s.curve") - 1), F.array(final))
-    return done.select(*by, F.explode(F.arrays_zip(F.transform("_p", lambda p: p[date]).alias("d"), curve.alias("e"))).alias("z")).select(*by, F.col("z.d").alias(date), F.col("z.e").alias("equity"))
+    filled = positions.select(*by, date, key, "weight", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("vol", F.lit(0.02)).alias("vol"), F.coalesce("adv", F.lit(1e7)).alias("adv"))
+    gains = filled.groupBy(*by, date).agg(F.sum(F.col("weight") * F.col("ret")).alias("_gain"))
+    periods = gains.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
+    wanted = filled.join(periods, [*by, date])
+    move = lambda n, weight, is_new: wanted.select(*by, n.alias("_n"), key, weight.alias("_w"), F.struct(F.lit(is_new).alias("new"), "vol", "adv").alias("_m"))
+    held = move(F.col("_n") + 1, -F.col("weight") * (1 + F.col("ret")) / (1 + F.col("_gain")), 0)
+    moves = move(F.col("_n"), F.col("weight"), 1).union(held).groupBy(*by, "_n", key).agg(F.abs(F.sum("_w")).alias("_w"), F.max("_m").alias("_m"))
+    trades = moves.where("_w >= 1e-6").select(*by, "_n", "_w", F.col("_m.vol").alias("_vol"), F.greatest("_m.adv", F.lit(1.0)).alias("_adv"))
+    sale = periods.groupBy(*by).agg(F.lit(None).cast(positions.schema[date].dataType).alias(date), F.lit(0.0).alias("_gain"), (F.max("_n") + 1).alias("_n"))
+    rows = periods.select(*by, date, "_gain", "_n").unionByName(sale).join(trades, [*by, "_n"], "left")
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n", kind="stable")
+        n = rows["_n"].to_numpy()
+        starts = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        w, vol, adv, gain = (rows[c].to_numpy(float) for c in ("_w", "_vol", "_adv", "_gain"))
+        equity, curve = cash, []
+        for lo, hi in zip(starts, np.append(starts[1:], len(n)), strict=True):
+            size = w[lo:hi] * equity
+            rate = np.minimum(HALF_SPREAD + IMPACT * vol[lo:hi] * np.sqrt(size / adv[lo:hi]), MOST)
+            equity = (equity - float(np.nansum(size * rate))) * (1 + gain[lo])
+            curve.append(equity)
+        curve[-2:] = curve[-1:]  # the sale counts for the last period
+        return rows.iloc[starts[:-1]][[*by, date]].assign(equity=curve)
+
+    schema = StructType([*(positions.schema[c] for c in [*by, date]), StructField("equity", DoubleType())])
+    return rows.groupBy(*by).applyInPandas(follow, schema)
 
 
 def drawdowns(curve: DataFrame, by: list[str], date: str = "Date") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from barloom.functions import features as X
 
@@ -187,32 +188,30 @@ def fit_hmm(windows: DataFrame) -> DataFrame:
 
 
 def viterbi(series: DataFrame, mean: list[float], var: list[float], stay: list[float]) -> DataFrame:
-    """(series, Date, state): the likeliest path of two states with given parameters, by an ordered fold and one back."""
-    rows = series.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("Date", "value"))).alias("_x"))
-    emit = lambda x, s: F.lit(-0.5) * (F.lit(float(np.log(2 * np.pi * var[s]))) + (x - mean[s]) ** 2 / var[s])
-    log = lambda p: float(np.log(p))
-
-    def forward(acc, z):
-        first = F.size(acc["b"]) == 0
-        x = z["value"]
-        best = []
-        for s in (0, 1):
-            own = acc["l"][s] + log(stay[s])
-            other = acc["l"][1 - s] + log(1 - stay[1 - s])
-            score = F.when(first, F.lit(log(0.5))).otherwise(F.greatest(own, other)) + emit(x, s)
-            best.append((score, F.when(own >= other, s).otherwise(1 - s)))
-        return F.struct(F.array(best[0][0], best[1][0]).alias("l"), F.concat(acc["b"], F.array(F.struct(best[0][1].alias("p0"), best[1][1].alias("p1")))).alias("b"))
-
-    start = F.struct(F.array(F.lit(0.0), F.lit(0.0)).alias("l"), F.array().cast("array<struct<p0:int,p1:int>>").alias("b"))
-    done = rows.withColumn("_f", F.aggregate("_x", start, forward))
-    last = F.when(F.col("_f.l")[1] > F.col("_f.l")[0], 1).otherwise(0)
-
-    def backward(path, p):
-        s = F.element_at(path, -1)
-        return F.concat(path, F.array(F.when(s == 0, p["p0"]).otherwise(p["p1"])))
-
-    path = F.reverse(F.aggregate(F.reverse(F.slice("_f.b", 2, F.greatest(F.size("_f.b") - 1, F.lit(0)))), F.array(last), backward))
-    return done.withColumn("_p", path).select("series", F.explode(F.arrays_zip("_x", "_p")).alias("z")).select("series", F.col("z._x.Date").alias("Date"), F.col("z._p").alias("state"))
+    """(series, Date, state): the likeliest path of two states with given parameters, forward over a series and back.
+
+    A missing value speaks for neither state. A series is one group, of as many rows as it has dates.
+    """
+    mu, v = np.array(mean), np.array(var)
+    with np.errstate(divide="ignore"):
+        stays, leaves = np.log(stay), np.log(1 - np.array(stay))
+
+    def path(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("Date", kind="stable")
+        x = rows["value"].to_numpy(float)[:, None]
+        emit = np.nan_to_num(-0.5 * (np.log(2 * np.pi * v) + (x - mu) ** 2 / v), nan=0.0).tolist()
+        came, l0, l1 = [], np.log(0.5) + emit[0][0], np.log(0.5) + emit[0][1]
+        for e0, e1 in emit[1:]:
+            kept0, moved0, kept1, moved1 = l0 + stays[0], l1 + leaves[1], l1 + stays[1], l0 + leaves[0]
+            came.append((0 if kept0 >= moved0 else 1, 1 if kept1 >= moved1 else 0))
+            l0, l1 = max(kept0, moved0) + e0, max(kept1, moved1) + e1
+        states = [1 if l1 > l0 else 0]
+        for back in reversed(came):
+            states.append(back[states[-1]])
+        return rows[["series", "Date"]].assign(state=np.array(states[::-1], np.int32))
+
+    schema = StructType([series.schema["series"], series.schema["Date"], StructField("state", IntegerType())])
+    return series.select("series", "Date", F.col("value").cast("double").alias("value")).groupBy("series").applyInPandas(path, schema)
 
 
 def kalman_beta(pairs: DataFrame, q: tuple[float, float] = (1e-6, 1e-4), r: float = 0.1, least: int = 5, key: str = "Company", date: str = "Date", y: str = "y", x: str = "x") -> DataFrame:

@@ -1,11 +1,16 @@
 """Sources, sinks, streams, and models on small inputs."""
 
 import datetime
+import itertools
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
+from barloom.functions import features as X
 from barloom.operators import graph as G
+from barloom.operators import portfolio as H
 from barloom.operators import quality as B
 from barloom.operators import series as S
 from barloom.sources import tables as A
@@ -135,3 +140,85 @@ def test_breaker_stream(spark, tmp_path):
         assert got == [(1, 1, 100.0, False), (1, 2, 110.0, False), (1, 3, 110.0, True), (1, 4, 120.0, True), (2, 1, 50.0, False), (2, 2, 50.0, False)]
     finally:
         spark.conf.unset(conf)
+
+
+def _day(i):
+    return datetime.date(2020, 1, 1) + datetime.timedelta(days=i)
+
+
+def test_means_along_series_with_gaps(spark):
+    draw = random.Random(5)
+    prices = {c: [None if draw.random() < 0.1 else round(draw.uniform(5, 50), 2) for _ in range(60)] for c in "ab"}
+    prices["one"], prices["none"] = [3.0], [None, None]
+    df = spark.createDataFrame([(c, _day(i), x) for c, xs in prices.items() for i, x in enumerate(xs)], "Company string, Date date, px double")
+    rsi = {(r["Company"], r["Date"]): r["rsi"] for r in X.rsi(df, "px", 14).collect()}
+    macd = {(r["Company"], r["Date"]): (r["macd"], r["macd_signal"]) for r in X.macd(df, "px").collect()}
+    assert len(rsi) == len(macd) == 123
+    for c, xs in prices.items():
+        known, moves = [], []
+        fast = slow = signal = None
+        for i, x in enumerate(xs):
+            if i and x is not None and xs[i - 1] is not None:
+                moves.append(x - xs[i - 1])
+            want = 50.0
+            if len(moves) >= 14:
+                weights = [(13 / 14) ** (len(moves) - 1 - j) for j in range(len(moves))]
+                gain, loss = (sum(w * max(s * m, 0) for w, m in zip(weights, moves)) / sum(weights) for s in (1, -1))
+                want = 100 - 100 / (1 + gain / (loss or 1e-9))
+            assert math.isclose(rsi[c, _day(i)], want, rel_tol=1e-9)
+            if x is not None:
+                known.append(x)
+                fast = x if fast is None else fast * 11 / 13 + x * 2 / 13
+                slow = x if slow is None else slow * 25 / 27 + x * 2 / 27
+            if fast is not None:
+                signal = fast - slow if signal is None else signal * 0.8 + (fast - slow) * 0.2
+            got = macd[c, _day(i)]
+            assert math.isclose(got[0], fast - slow if known else 0.0, abs_tol=1e-9) and math.isclose(got[1], signal if known else 0.0, abs_tol=1e-9)
+    assert X.rsi(df.where("false"), "px").count() == X.macd(df.where("false"), "px").count() == 0
+
+
+def test_viterbi_against_all_paths(spark):
+    draw = random.Random(6)
+    mean, var, stay = [0.0, 0.4], [1.0, 3.0], [0.9, 0.7]
+    values = {f"s{n}": [None if draw.random() < 0.15 else draw.gauss(0, 2) for _ in range(n)] for n in (1, 2, 7, 9)}
+    df = spark.createDataFrame([(s, _day(i), x) for s, xs in values.items() for i, x in enumerate(xs)], "series string, Date date, value double")
+    found = {}
+    for r in S.viterbi(df, mean, var, stay).orderBy("series", "Date").collect():
+        found.setdefault(r["series"], []).append(r["state"])
+
+    def score(path, xs):
+        total = math.log(0.5)
+        for i, (s, x) in enumerate(zip(path, xs)):
+            total += 0 if x is None else -0.5 * (math.log(2 * math.pi * var[s]) + (x - mean[s]) ** 2 / var[s])
+            total += 0 if i == 0 else math.log(stay[s] if path[i - 1] == s else 1 - stay[path[i - 1]])
+        return total
+
+    for s, xs in values.items():
+        best = max(score(p, xs) for p in itertools.product((0, 1), repeat=len(xs)))
+        assert len(found[s]) == len(xs) and math.isclose(score(found[s], xs), best, rel_tol=1e-9)
+
+
+def test_equity_with_impact_against_a_loop(spark):
+    draw = random.Random(7)
+    names, days = "abcde", [0, 7, 14, 21, 28]
+    rows = [(k, _day(i), c, draw.uniform(-0.5, 0.6), draw.choice([None, draw.uniform(-0.2, 0.2)]), draw.choice([None, 0.03, 2.0]), draw.choice([None, 0.0, 1e5])) for k in ("x", "y") for i in days for c in names if draw.random() < 0.7]
+    df = spark.createDataFrame(rows, "strategy string, Date date, Company string, weight double, ret double, vol double, adv double")
+    got = {(r["strategy"], r["Date"]): r["equity"] for r in H.equity_with_impact(df, ["strategy"], cash=1e6).collect()}
+    want = {}
+    for k in ("x", "y"):
+        equity, held = 1e6, {}
+        periods = sorted({r[1] for r in rows if r[0] == k})
+        for day in [*periods, None]:
+            now = {r[2]: (r[3], r[4] or 0.0, 0.02 if r[5] is None else r[5], 1e7 if r[6] is None else r[6]) for r in rows if r[0] == k and r[1] == day}
+            cost = 0.0
+            for c in {*now, *held}:
+                move = abs((now[c][0] if c in now else 0) - (held[c][0] if c in held else 0))
+                _, _, vol, adv = now.get(c) or held[c]
+                size = move * equity
+                cost += size * min(0.0005 + 0.5 * vol * math.sqrt(size / max(adv, 1.0)), 0.02) if move >= 1e-6 else 0
+            gain = sum(w * r for w, r, _, _ in now.values())
+            equity = (equity - cost) * (1 + gain)
+            held = {c: (w * (1 + r) / (1 + gain), r, v, a) for c, (w, r, v, a) in now.items()}
+            want[k, day or periods[-1]] = equity
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
+    assert H.equity_with_impact(df.where("false"), ["strategy"]).count() == 0
