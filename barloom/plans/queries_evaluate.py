@@ -62,7 +62,7 @@ def _scored(name, label="label"):
         rows = _model_rows(s, d)
         est = E.models(label=label)[name]
         if name == "MLPClassifier":
-            est = est.setLayers([3, 4, 2])
+            est = est.setLayers([len(NAMES), *E.HIDDEN, 2])
         out = est.fit(rows).transform(rows)
         return out.select("Company", "Date", R("prediction", 4).alias("prediction"))
 
