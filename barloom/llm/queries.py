@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._common import table
-from barloom.llm import chat_format, fingerprint, license_scan, packing, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
+from barloom.llm import chat_format, exact_dedup, fingerprint, hard_negatives, license_scan, packing, quality_rules, ranked_search, sentencepiece_codec, toxicity, url_filter, warc
 from barloom.llm.ngram_join import ngram_jaccard_join
 
 
@@ -53,6 +53,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(messages, calls, results, chat_format.SCHEMAS)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_relabelled(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -65,6 +77,9 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_chat_format": op10_chat_format,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -98,7 +113,47 @@ def _url_filter_sql() -> str:
     """
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TERMS = rf"unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term"
+RANKED_SEARCH = f"""
+    with said as (select doc_id, {_TERMS} from documents), asked as (select item_id, {_TERMS} from benchmark),
+    tf as (select doc_id, term, count(*) as tf from said group by all), lengths as (select doc_id, sum(tf) as n from tf group by all),
+    whole as (select count(*) as docs, cast(sum(n) as bigint) as terms from lengths),
+    weights as (select term, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from tf, whole group by term),
+    norms as (select doc_id, cast(75 + (25 * cast(n as bigint) * docs) // terms as bigint) as m from lengths, whole),
+    scores as (
+        select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+        from asked join weights using (term) join tf using (term) join norms using (doc_id) group by all
+    )
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0 qualify rank <= 20
+"""
+
+EXACT_DEDUP = f"""
+    with said as (select doc_id, {LOWERED} as low from documents),
+    groups as (select doc_id, low, max(doc_id) over (partition by low) as keep_id, count(*) over (partition by low) as group_size from said)
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(low) as text_sha256 from groups
+"""
+
+HARD_NEGATIVES = """
+    with whole as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+        from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+        select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+        from whole a join whole b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+    ), positives as (
+        select anchor_id, id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+    )
+    select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank, id as negative_id, positive_score, score as negative_score
+    from positives join scored using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": _url_filter_sql(),
+        "op11_ranked_search": RANKED_SEARCH,
+        "op12_exact_dedup": EXACT_DEDUP,
+        "op13_hard_negatives": HARD_NEGATIVES,
     }
