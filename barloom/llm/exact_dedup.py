@@ -36,6 +36,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not len(b):
             continue
+        b = pa.RecordBatch.from_arrays(b.columns, names=b.schema.names)  # every column may be null, as in what is held
         b = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
         n = len(b)
         ends = np.ones(n, bool)

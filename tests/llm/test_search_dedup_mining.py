@@ -60,13 +60,15 @@ def test_dedup_smallest_and_empty(spark):
 @pytest.mark.parametrize("partitions, rounds", [(1, 3), (8, 1), (32, 2), (32, 5)])
 def test_dedup_tree(spark, partitions, rounds):
     """A third of all rows are one text, over many runs and any number of rounds; a joined key never has a third of them."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # entries of a text stand in several batches
     try:
         text = F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 700).cast("string")))
         got = exact_dedup.dedup(spark.range(6000, numPartitions=16).select(F.col("id").alias("doc_id"), text.alias("text")), rounds=rounds).collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     groups = plain_groups([(i, "hot" if i % 3 == 0 else f"t{i % 700}") for i in range(6000)])
     want = {i: (max(ids), len(ids), i == max(ids)) for ids in groups.values() for i in ids}
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == want and len(got) == 6000
