@@ -56,7 +56,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.long = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+        # tried where a run begins alone, so a text is gone over once
+        self.long = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}|(?<!\S)\S{{{LONG_RUN}}}")
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges") or []]
         ranks = {t: i for t, i in model["vocab"].items() if t not in self.added}
