@@ -14,7 +14,7 @@ from barloom.llm._common import materialize, release
 
 _KINDS = {
     "string": lambda x: isinstance(x, str),
-    "integer": lambda x: isinstance(x, int) and not isinstance(x, bool),
+    "integer": lambda x: (isinstance(x, int) or isinstance(x, float) and x.is_integer()) and not isinstance(x, bool),
     "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool),
     "boolean": lambda x: isinstance(x, bool),
     "array": lambda x: isinstance(x, list),
@@ -23,6 +23,17 @@ _KINDS = {
 }
 
 
+def same(a, b) -> bool:
+    """Whether two JSON values are equal: 1 and 1.0 are, true and 1 are not."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b
+
+
 def canonical_json(value) -> str:
     """Keys sorted by code point, no white space, non-ASCII characters as they are, no NaN and no infinity.
 
@@ -38,7 +49,7 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(_KINDS[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         found.append(f"{at}: not one of the values allowed")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
@@ -122,6 +133,12 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["conv_id", "call_id", "step"])
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b by keys; null is a key like any other."""
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return a.join(other, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), how).drop(*(f"_{k}" for k in keys))
+
+
 def order_calls(calls: DataFrame, whole_edges: int = 10_000) -> DataFrame:
     """(conv_id, call_id, step) of one row per (conv_id, call_id), with parents: 0 without known parents, else 1 + the largest of theirs.
 
@@ -131,24 +148,24 @@ def order_calls(calls: DataFrame, whole_edges: int = 10_000) -> DataFrame:
     """
     size = calls.groupBy("conv_id").agg(F.sum(F.lit(1) + F.coalesce(F.array_size("parents"), F.lit(0))).alias("size"))
     long = materialize(size.where(F.col("size") > whole_edges).select("conv_id"))
-    short = calls.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "parents")).alias("calls"))
+    short = _met(calls, long, ["conv_id"], "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "parents")).alias("calls"))
     ordered = short.select(F.col("conv_id").cast("long").alias("conv_id"), "calls").mapInArrow(_ordered, "conv_id long, call_id string, step int")
     if long.isEmpty():
         return ordered
-    known = materialize(calls.join(long, "conv_id", "left_semi").select("conv_id", "call_id", "parents"))
+    known = materialize(_met(calls, long, ["conv_id"], "left_semi").select("conv_id", "call_id", "parents"))
     edges = known.select("conv_id", "call_id", F.explode("parents").alias("parent")).distinct()
-    waiting = materialize(edges.join(known.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]).withColumn("above", F.lit(-1)))
-    rounds = [materialize(known.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("step")))]
+    waiting = materialize(_met(edges, known.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]).withColumn("above", F.lit(-1)))
+    rounds = [materialize(_met(known, waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("step")))]
     while not rounds[-1].isEmpty():
         # a settled parent leaves its step with the edge; calls without open edges settle, and take their edges along
-        met = waiting.join(rounds[-1].select("conv_id", F.col("call_id").alias("parent"), "step"), ["conv_id", "parent"], "left")
+        met = _met(waiting, rounds[-1].select("conv_id", F.col("call_id").alias("parent"), "step"), ["conv_id", "parent"], "left")
         met = materialize(met.select("conv_id", "call_id", "parent", F.coalesce("step", "above").alias("above")))
         ready = met.groupBy("conv_id", "call_id").agg(F.min("above").alias("least"), (F.max("above") + 1).alias("step")).where("least >= 0")
         rounds.append(materialize(ready.select("conv_id", "call_id", "step")))
-        waiting, before = materialize(met.join(rounds[-1], ["conv_id", "call_id"], "left_anti")), waiting
+        waiting, before = materialize(_met(met, rounds[-1], ["conv_id", "call_id"], "left_anti")), waiting
         release(before, met)
     settled = reduce(DataFrame.unionByName, rounds)
-    return ordered.unionByName(known.select("conv_id", "call_id").join(settled, ["conv_id", "call_id"], "left"))
+    return ordered.unionByName(_met(known.select("conv_id", "call_id"), settled, ["conv_id", "call_id"], "left"))
 
 
 def format_conversations(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -160,24 +177,26 @@ def format_conversations(messages: DataFrame, calls: DataFrame, results: DataFra
     result: linked, or orphan (no such call; its turn is null and it comes last). problem says what is wrong with a
     call's arguments. Calls that share an id are one call, the one of the smallest turn, name and arguments; results
     that share one are all kept. Null texts are JSON null; arguments that are no JSON text (or hold a number beyond doubles
-    or a lone surrogate) stay as the raw text; calls and results of null id are linked with nothing. A
-    conversation of any length is many rows in many tasks, never one group. Other columns are ignored.
+    or a lone surrogate) stay as the raw text; calls and results of null id are linked with nothing. Rows
+    of a null conv_id are a conversation of their own, a null turn stays null, messages that repeat are all kept, and
+    empty tables give no rows. A conversation of any length is many rows in many tasks, never one group. Other columns
+    are ignored.
     """
     messages = messages.select("conv_id", "turn", "role", "text")
     same = calls.select("conv_id", "call_id", F.struct("turn", "name", "arguments", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")).alias("c"))
     one = materialize(same.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("c").alias("c")).select("conv_id", "call_id", "c.*"))
     steps = order_calls(one)
-    placed = one.join(steps, ["conv_id", "call_id"])
+    placed = _met(one, steps, ["conv_id", "call_id"])
     answered = results.where("call_id is not null").select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     status = F.when(F.col("step").isNull(), "cycle").when(F.col("answered"), "linked").otherwise("pending")
     none = lambda t: F.lit(None).cast(t)
     columns = ("conv_id", "turn", "step", "part", "call_id", "status", "role", "text", "name", "arguments", "parents")
     said = messages.select("conv_id", "turn", F.lit(-1).alias("step"), F.lit(0).alias("part"), none("string").alias("call_id"), F.lit("message").alias("status"), "role", "text", none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("parents"))
-    called = placed.join(answered, ["conv_id", "call_id"], "left").withColumns({"status": status, "part": F.lit(1), "role": none("string"), "text": none("string")}).select(*columns)
+    called = _met(placed, answered, ["conv_id", "call_id"], "left").withColumns({"status": status, "part": F.lit(1), "role": none("string"), "text": none("string")}).select(*columns)
     idless = calls.where("call_id is null").select("conv_id", "turn", F.lit(0).alias("step"), F.lit(1).alias("part"), none("string").alias("call_id"), F.lit("pending").alias("status"), none("string").alias("role"), none("string").alias("text"), "name", "arguments", "parents")
     back = (
-        results.select("conv_id", "call_id", "text").join(placed.select("conv_id", "call_id", "turn", "step"), ["conv_id", "call_id"], "left")
-        .withColumns({"status": F.when(F.col("turn").isNull(), "orphan").otherwise("linked"), "part": F.lit(2), "role": none("string"), "name": none("string"), "arguments": none("string"), "parents": none("array<string>")})
+        _met(results.select("conv_id", "call_id", "text"), placed.select("conv_id", "call_id", "turn", "step", F.lit(True).alias("known")), ["conv_id", "call_id"], "left")
+        .withColumns({"status": F.when(F.col("known").isNull(), "orphan").otherwise("linked"), "part": F.lit(2), "role": none("string"), "name": none("string"), "arguments": none("string"), "parents": none("array<string>")})
         .select(*columns)
     )
     rows = said.unionByName(called).unionByName(idless).unionByName(back)

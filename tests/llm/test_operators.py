@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -336,10 +337,11 @@ def brute_chat(messages, calls, results, schemas):
 @pytest.mark.parametrize("whole", [10_000, 3])
 def test_chat_against_plain_code(spark, whole, monkeypatch):
     r = random.Random(whole)
-    messages = [(c, t, "user", f"m{t}") for c in range(4) for t in range(3)]
-    calls = [(c, t, f"{i}" if i % 9 else None, "f", "{}", [f"{r.randrange(25)}" for _ in range(r.randrange(3))]) for c in range(4) for t in range(3) for i in range(12)]
+    convs = [0, 1, 2, 3, None]
+    messages = [(c, t, "user", f"m{t}") for c in convs for t in range(3)] + [(None, None, "user", "m"), (1, 0, "user", "m0"), (1, 0, "user", "m0")]
+    calls = [(c, t, f"{i}" if i % 9 else None, "f", "{}", [f"{r.randrange(25)}" for _ in range(r.randrange(3))]) for c in convs for t in range(3) for i in range(12)]
     calls += [(9, 0, f"{i}", "f", "{}", [f"{i - 1}"]) for i in range(12)]  # one long chain
-    results = [(c, f"{r.randrange(14)}", "x") for c in range(4) for _ in range(10)] + [(1, None, "y")]
+    results = [(c, f"{r.randrange(14)}", "x") for c in convs for _ in range(10)] + [(1, None, "y"), (None, None, "y")]
     real = chat_format.order_calls
     monkeypatch.setattr(chat_format, "order_calls", lambda one: real(one, whole))
     out = chat_format.format_conversations(
@@ -350,6 +352,12 @@ def test_chat_against_plain_code(spark, whole, monkeypatch):
     assert sorted(((x["conv_id"], x["turn"], x["step"], x["part"], x["call_id"], x["status"]) for x in out.collect()), key=str) == brute_chat(messages, calls, results, {})
 
 
+def test_json_schema_equality():
+    assert chat_format.problems(1.0, {"type": "integer"}) == [] and chat_format.problems(1.5, {"type": "integer"})
+    assert chat_format.problems(True, {"enum": [1]}) and chat_format.problems([{"a": False}], {"enum": [[{"a": 0}]]})
+    assert chat_format.problems(1.0, {"enum": [1]}) == [] and chat_format.problems([{"a": 1}], {"enum": [[{"a": 1.0}]]}) == []
+
+
 def test_chat_arguments_that_are_no_values(spark):
     bad = ['{"n":1e999}', '{"a":"\\ud800"}', "[" * 100_000, "", "NaN", '{"n":' + "9" * 5000 + "}"]
     calls = [(1, i, str(i), "f", a, None) for i, a in enumerate([*bad, '{"z":-0,"b":1.0,"b":2.50,"é":"x"}', '{"t":"' + "long " * 200_000 + '"}'])]
@@ -450,6 +458,15 @@ def test_one_very_long_text(spark):
     assert warc.archive_and_read(docs.selectExpr("doc_id as page_id", "url", "text as html")).where("verified").count() == 3
 
 
+@pytest.mark.parametrize("word, gap", [("a" * 1999, " "), ("é" * 1999, "\n"), ("ab", " " * 1999), ("a" * 2000, " "), ("a", " " * 2000)])
+def test_long_runs_are_found_in_one_pass(word, gap):
+    own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = gap.join([word] * 500)
+    start = time.perf_counter()
+    found = own.long.search(text)
+    assert time.perf_counter() - start < 1 and bool(found) == (max(len(word), len(gap)) >= 2000)
+
+
 def test_dominance_against_exact_packing():
     def fewest(items, cap):
         items = sorted(items, reverse=True)
