@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from barloom.functions.scan import Recurrence, along
 
 
 def by_key(key: str = "Company", date: str = "Date"):
@@ -67,47 +66,54 @@ def log_size(cap: str) -> Column:
     return F.log10(F.when(F.col(cap) > 0, F.col(cap)))
 
 
-def along_series(df: DataFrame, made: list[str], fn: Callable[[pd.DataFrame], dict[str, pd.Series]], key: str = "Company", date: str = "Date") -> DataFrame:
-    """df with the double columns `made`, which fn gives for the rows of one series in date order.
-
-    A series is one group, of as many rows as it has dates; work and memory grow in proportion to them.
-    """
-    schema = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in made)])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(date, kind="stable")
-        return rows.assign(**fn(rows))
-
-    return df.groupBy(key).applyInPandas(run, schema)
-
-
 def rsi(df: DataFrame, price: str, n: int = 14, key: str = "Company", date: str = "Date") -> DataFrame:
     """df's series with rsi: weighted means of gains and losses (weights (1 - 1/n) to the age), 50 before n changes, and a zero loss is 1e-9.
 
-    A row without price, and the row after it, has no change and keeps the means of the row before.
+    A row without price, and the row after it, has no change and keeps the means of the row before. The sums of gains,
+    losses and weights are a recurrence, so a series of any length is many tasks.
     """
+    q = 1 - 1 / n
+
+    def steps(x: np.ndarray, before: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        move = x - before
+        known = ~np.isnan(move)
+        m = np.tile(np.eye(5), (len(x), 1, 1))  # gains, losses, weights, changes, 1
+        m[known, :3, :3] *= q
+        m[known, 0, 4], m[known, 1, 4] = np.maximum(move[known], 0), np.maximum(-move[known], 0)
+        m[known, 2, 4] = m[known, 3, 4] = 1
+        return m
 
-    def fn(rows: pd.DataFrame) -> dict[str, pd.Series]:
-        move = rows[price].diff()
-        gain, loss = (x.clip(lower=0.0).ewm(alpha=1 / n, ignore_na=True).mean() for x in (move, -move))
-        value = 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-9))
-        return {"rsi": value.where(move.notna().cumsum() >= n, 50.0)}
+    def outputs(s: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        gain, loss = (s[:, i] / np.where(s[:, 2] > 0, s[:, 2], 1) for i in (0, 1))
+        return {"rsi": np.where(s[:, 3] >= n, 100 - 100 / (1 + gain / np.where(loss != 0, loss, 1e-9)), 50.0)}
 
-    return along_series(df.select(key, date, F.col(price).cast("double").alias(price)), ["rsi"], fn, key, date)
+    rule = Recurrence(steps, np.array([0.0, 0, 0, 0, 1]), outputs, {"rsi": "double"})
+    return along(df.select(key, date, F.col(price).cast("double").alias(price)), price, rule, key, date)
 
 
 def macd(df: DataFrame, price: str, fast: int = 12, slow: int = 26, signal: int = 9, key: str = "Company", date: str = "Date") -> DataFrame:
     """df's series with macd and macd_signal: recursive exponential means that start at the first value; 0 before it.
 
-    A row without price keeps the means of the row before.
+    A row without price keeps the means of the row before. The means are a recurrence, so a series of any length is many
+    tasks.
     """
-
-    def fn(rows: pd.DataFrame) -> dict[str, pd.Series]:
-        mean = lambda x, span: x.ewm(span=span, adjust=False, ignore_na=True).mean()
-        line = mean(rows[price], fast) - mean(rows[price], slow)
-        return {"macd": line.fillna(0.0), "macd_signal": mean(line, signal).fillna(0.0)}
-
-    return along_series(df.select(key, date, F.col(price).cast("double").alias(price)), ["macd", "macd_signal"], fn, key, date)
+    a, b, c = (2 / (span + 1) for span in (fast, slow, signal))
+
+    def steps(x: np.ndarray, before: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        m = np.tile(np.eye(5), (len(x), 1, 1))  # the fast and the slow mean, the signal, whether there was a price, 1
+        for i, share in ((0, a), (1, b)):  # the first price is the mean itself
+            m[known, i, i], m[known, i, 3], m[known, i, 4] = 1 - share, -(1 - share) * x[known], x[known]
+        m[known, 3, 3], m[known, 3, 4] = 0, 1
+        m[:, 2] = c * (m[:, 0] - m[:, 1])
+        m[:, 2, 2] = 1 - c
+        return m
+
+    def outputs(s: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"macd": s[:, 0] - s[:, 1], "macd_signal": s[:, 2]}
+
+    rule = Recurrence(steps, np.array([0.0, 0, 0, 0, 1]), outputs, {"macd": "double", "macd_signal": "double"})
+    return along(df.select(key, date, F.col(price).cast("double").alias(price)), price, rule, key, date)
 
 
 def bollinger_width(c: str, n: int = 20, key: str = "Company", date: str = "Date") -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranges import last_known
+
 #: Legal suffixes that a name loses, in this order, wherever they stand.
 SUFFIXES = [" inc.", " inc", " corp.", " corp", " ltd.", " ltd", " plc", " co.", " co", " group", " holdings", " corporation"]
 #: Country names that stand for others.
@@ -179,18 +181,21 @@ def pit_macro(date: str, lag_days: int = 45) -> dict[str, Column]:
 
 
 def asof_latest(dates: DataFrame, observed: DataFrame, value: str, date: str = "Date", key: list[str] | None = None) -> DataFrame:
-    """Each date with the last value observed at or before it: one union and one ordered window, no range join."""
+    """Each date (of each key) with the last value observed at or before it; of a date's values the largest.
+
+    Dates and observations are one table in ranges of (key, date), so neither a key of very many dates nor a calendar
+    without key is a task of its own; what a range has last is carried into the next ones.
+    """
     key = key or []
     marked = observed.select(*key, date, F.col(value).alias("_v"), F.lit(0).alias("_asked")).unionByName(dates.select(*key, date).withColumns({"_v": F.lit(None).cast(observed.schema[value].dataType), "_asked": F.lit(1)}))
-    w = Window.partitionBy(*key).orderBy(date, "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_asked = 1").select(*key, date, value)
+    return last_known(marked, "_v", key, [date, "_asked", "_v"], "_last").where("_asked = 1").select(*key, date, F.col("_last").alias(value))
 
 
-def asof_with_tolerance(dates: DataFrame, observed: DataFrame, value: str, days: int = 3, default: float = 0.0, date: str = "Date") -> DataFrame:
-    """The value of the date itself or of at most days before it, else the default."""
-    held = observed.withColumn("_at", F.col(date)).withColumn("_s", F.struct(F.col("_at"), F.col(value)))
-    found = asof_latest(dates, held, "_s", date)
-    return found.select(date, F.when(F.datediff(date, "_s._at") <= days, F.col(f"_s.{value}")).otherwise(default).alias(value))
+def asof_with_tolerance(dates: DataFrame, observed: DataFrame, value: str, days: int = 3, default: float = 0.0, date: str = "Date", key: list[str] | None = None) -> DataFrame:
+    """The value of the date itself or of at most days before it (of its key), else the default."""
+    held = observed.withColumn("_s", F.struct(F.col(date).alias("_at"), F.col(value)))
+    found = asof_latest(dates, held, "_s", date, key)
+    return found.select(*(key or []), date, F.when(F.datediff(date, "_s._at") <= days, F.col(f"_s.{value}")).otherwise(default).alias(value))
 
 
 def yoy_change(value: str, rows: int = 12, key: list[str] | None = None, date: str = "Date") -> Column:

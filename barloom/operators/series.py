@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from barloom.functions import features as X
+from barloom.functions.scan import Recurrence, along, max_plus
 
 
 def series_set(index: DataFrame, rates: DataFrame, first: DataFrame) -> DataFrame:
@@ -188,30 +188,34 @@ def fit_hmm(windows: DataFrame) -> DataFrame:
 
 
 def viterbi(series: DataFrame, mean: list[float], var: list[float], stay: list[float]) -> DataFrame:
-    """(series, Date, state): the likeliest path of two states with given parameters, forward over a series and back.
+    """(series, Date, state): the likeliest path of two states with given parameters.
 
-    A missing value speaks for neither state. A series is one group, of as many rows as it has dates.
+    A missing value speaks for neither state. The scores of the best paths are a recurrence in the max-plus algebra; which
+    state each came from is one backwards, from the better state of the last date. So a series of any length is many tasks.
     """
     mu, v = np.array(mean), np.array(var)
     with np.errstate(divide="ignore"):
-        stays, leaves = np.log(stay), np.log(1 - np.array(stay))
-
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("Date", kind="stable")
-        x = rows["value"].to_numpy(float)[:, None]
-        emit = np.nan_to_num(-0.5 * (np.log(2 * np.pi * v) + (x - mu) ** 2 / v), nan=0.0).tolist()
-        came, l0, l1 = [], np.log(0.5) + emit[0][0], np.log(0.5) + emit[0][1]
-        for e0, e1 in emit[1:]:
-            kept0, moved0, kept1, moved1 = l0 + stays[0], l1 + leaves[1], l1 + stays[1], l0 + leaves[0]
-            came.append((0 if kept0 >= moved0 else 1, 1 if kept1 >= moved1 else 0))
-            l0, l1 = max(kept0, moved0) + e0, max(kept1, moved1) + e1
-        states = [1 if l1 > l0 else 0]
-        for back in reversed(came):
-            states.append(back[states[-1]])
-        return rows[["series", "Date"]].assign(state=np.array(states[::-1], np.int32))
-
-    schema = StructType([series.schema["series"], series.schema["Date"], StructField("state", IntegerType())])
-    return series.select("series", "Date", F.col("value").cast("double").alias("value")).groupBy("series").applyInPandas(path, schema)
+        moves = np.log(np.array([[stay[0], 1 - stay[1]], [1 - stay[0], stay[1]]]))  # to, from
+    apart = np.where(np.eye(2) > 0, 0.0, -np.inf)
+
+    def forward(x: np.ndarray, before: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        emit = np.nan_to_num(-0.5 * (np.log(2 * np.pi * v) + (x[:, None] - mu) ** 2 / v), nan=0.0)
+        return np.where(fresh[:, None, None], apart, moves) + emit[:, :, None]
+
+    def came(s: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Into a number: where the next row's states come from (1 and 2: state 0 or 1 comes from state 1), and the better one here."""
+        kept0, moved0, kept1, moved1 = s[:, 0] + moves[0, 0], s[:, 1] + moves[0, 1], s[:, 1] + moves[1, 1], s[:, 0] + moves[1, 0]
+        return {"came": (kept0 < moved0) * 1.0 + (kept1 >= moved1) * 2.0 + (s[:, 1] > s[:, 0]) * 4.0}
+
+    def back(x: np.ndarray, before: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        code = x.astype(int)
+        from0, from1 = np.where(fresh, code // 4, code % 2), np.where(fresh, code // 4, code // 2 % 2)
+        return np.stack([np.stack([1.0 - from0, 1.0 - from1], 1), np.stack([from0, from1], 1).astype(float)], 1)
+
+    there = Recurrence(forward, np.log([0.5, 0.5]), came, {"came": "double"}, max_plus)
+    home = Recurrence(back, np.array([1.0, 0.0]), lambda s, x: {"state": s[:, 1].round().astype(np.int32)}, {"state": "int"})
+    scored = along(series.select("series", "Date", F.col("value").cast("double").alias("value")), "value", there, "series", "Date").drop("value")
+    return along(scored, "came", home, "series", "Date", descending=True).drop("came")
 
 
 def kalman_beta(pairs: DataFrame, q: tuple[float, float] = (1e-6, 1e-4), r: float = 0.1, least: int = 5, key: str = "Company", date: str = "Date", y: str = "y", x: str = "x") -> DataFrame:

@@ -9,29 +9,58 @@ from barloom.functions import features as X
 from barloom.operators import evaluate as E
 from barloom.operators import integrate as I
 from barloom.operators import series as S
+from barloom.operators import walk_forward as W
 from barloom.plans import views as V
 from barloom.plans.queries_base import FILLED
 from barloom.plans.views import oracle
+from barloom.sources.scratch import Stored
 
 R = lambda c, n=6: F.round(c, n)
 NAMES = ["m1", "m2", "m3"]
+FEATURES = {"embedding": ["e1", "e2", "e3"], "tabular": NAMES, "tabular+embedding": [*NAMES, "e1", "e2", "e3"]}
+MODELS = [f"Ridge/{name}" for name in FEATURES]
+KEEP = ["Company", "Date", "ret", "truth"]
+#: Out-of-fold predictions, which many queries read: written once for a version of their input.
+STORED = Stored()
 ROW_RANK = "(rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY {by})"
 
 
-def _folded(s, d):
-    return E.walk_forward_folds(V.scores(s, d), 5).where("side = 'test'")
-
-
 DAYS = "SELECT Date, least(floor((row_number() OVER (ORDER BY Date) - 1) / greatest(floor(count(*) OVER () / 6), 1)), 5)::int AS block FROM (SELECT DISTINCT Date FROM scores)"
 CUTS = "SELECT a.block + 1 AS fold, a.e AS train_end, b.e AS test_end FROM (SELECT block, max(Date) AS e FROM days GROUP BY block) a JOIN (SELECT block, max(Date) AS e FROM days GROUP BY block) b ON b.block = a.block + 1"
-SIDES = "SELECT s.*, fold, CASE WHEN Date <= train_end THEN 'train' ELSE 'test' END AS side FROM scores s JOIN cuts ON Date <= train_end OR (Date >= train_end + 30 AND Date <= test_end)"
+SIDES = "SELECT s.*, fold, CASE WHEN Date <= train_end THEN 'train' ELSE 'test' END AS side FROM model_rows s JOIN cuts ON Date <= train_end OR (Date >= train_end + 30 AND Date <= test_end)"
 GOOD = "SELECT fold FROM sides GROUP BY fold HAVING count(*) FILTER (side = 'train') >= 100 AND count(*) FILTER (side = 'test') >= 100"
 TEST = "SELECT * EXCLUDE (side) FROM sides WHERE side = 'test' AND fold IN (SELECT fold FROM good)"
-OOF = "SELECT fold, Company, Date, ret, truth, 'm1' AS model, m1 AS pred FROM tests UNION ALL SELECT fold, Company, Date, ret, truth, 'm2', m2 FROM tests UNION ALL SELECT fold, Company, Date, ret, truth, 'm3', m3 FROM tests"
+#: A ridge by fold, feature set and penalty: standardised rows, their products, the inverse by elimination, and the leave-one-out errors.
+RIDGE = {
+    "rr_sets": "SELECT * FROM (VALUES ('tabular', [1, 2, 3]), ('embedding', [4, 5, 6]), ('tabular+embedding', [1, 2, 3, 4, 5, 6])) t(feature_set, cols)",
+    "rr_learn": "SELECT row_number() OVER () AS id, fold, truth AS y, [m1, m2, m3, e1, e2, e3] AS v FROM sides WHERE side = 'train' AND fold IN (SELECT fold FROM good)",
+    "rr_stat": "SELECT fold, list(mu ORDER BY i) AS mu, list(sd ORDER BY i) AS sd FROM (SELECT fold, i, avg(v[i]) AS mu, CASE WHEN stddev_pop(v[i]) > 1e-12 THEN stddev_pop(v[i]) ELSE 1 END AS sd FROM rr_learn CROSS JOIN (SELECT unnest(range(1, 7)) AS i) GROUP BY fold, i) GROUP BY fold",
+    "rr_level": "SELECT fold, count(*) AS n, avg(y) AS level FROM rr_learn GROUP BY fold",
+    "rr_scaled": "SELECT id, fold, y - level AS y, n, list_transform(range(1, 7), lambda i: (v[i] - mu[i]) / sd[i]) AS z FROM rr_learn JOIN rr_stat USING (fold) JOIN rr_level USING (fold)",
+    "rr_gram": "SELECT fold, list(g ORDER BY i) AS g, list(b ORDER BY i) AS b FROM (SELECT fold, i, list(g ORDER BY j) AS g, any_value(b) AS b FROM (SELECT fold, i, j, sum(z[i] * z[j]) AS g, sum(z[i] * y) AS b FROM rr_scaled CROSS JOIN (SELECT unnest(range(1, 7)) AS i) CROSS JOIN (SELECT unnest(range(1, 7)) AS j) GROUP BY fold, i, j) GROUP BY fold, i) GROUP BY fold",
+    "rr_solve": """SELECT fold, feature_set, cols, penalty, len(cols) AS p, 0::bigint AS k, list_transform(cols, lambda a: list_concat(list_transform(cols, lambda c: g[a][c] + CASE WHEN a = c THEN penalty ELSE 0 END), list_transform(cols, lambda c: CASE WHEN a = c THEN 1.0::double ELSE 0.0::double END))) AS m
+ FROM rr_gram CROSS JOIN rr_sets CROSS JOIN (SELECT unnest([0.01, 0.1, 1, 10, 100, 1000]::double[]) AS penalty)
+ UNION ALL SELECT fold, feature_set, cols, penalty, p, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(r, lambda x, c: x - r[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM rr_solve WHERE k < p""",
+    "rr_inverse": "SELECT s.fold, feature_set, cols, penalty, list_transform(m, lambda r: r[p + 1 : 2 * p]) AS inv, list_transform(m, lambda r: list_inner_product(r[p + 1 : 2 * p], list_transform(cols, lambda a: b[a]))) AS w FROM rr_solve s JOIN rr_gram USING (fold) WHERE k = p",
+    "rr_left": "SELECT fold, feature_set, penalty, avg(pow((y - list_inner_product(u, w)) / greatest(1 - 1.0 / n - list_inner_product(u, list_transform(inv, lambda r: list_inner_product(r, u))), 1e-9), 2)) AS error FROM (SELECT fold, feature_set, penalty, y, n, w, inv, list_transform(cols, lambda a: z[a]) AS u FROM rr_scaled JOIN rr_inverse USING (fold)) GROUP BY fold, feature_set, penalty",
+    "rr_best": "SELECT fold, feature_set, cols, penalty, error, w FROM rr_inverse JOIN rr_left USING (fold, feature_set, penalty) QUALIFY row_number() OVER (PARTITION BY fold, feature_set ORDER BY round(error, 12), penalty) = 1",
+    "oof": "SELECT fold, Company, Date, ret, truth, 'Ridge/' || feature_set AS model, round(level + list_sum(list_transform(w, lambda x, i: x * ([m1, m2, m3, e1, e2, e3][cols[i]] - mu[cols[i]]) / sd[cols[i]])), 9) AS pred FROM tests JOIN rr_best USING (fold) JOIN rr_stat USING (fold) JOIN rr_level USING (fold)",
+}
+
+
+def _folds(s, d):
+    return W.Folds(V.model_rows(s, d))
 
 
 def _oof(s, d):
-    return E.oof_table(_folded(s, d).select("fold", "Company", "Date", "ret", "truth", *NAMES), ["fold", "Company", "Date", "ret"], NAMES, "truth")
+    """Ridge over three feature sets: what the past of each fold says of its rows."""
+    rows = V.model_rows(s, d)
+
+    def make():
+        out = W.ridge_predictions(W.Folds(rows), FEATURES, "truth", KEEP)
+        return out.select("fold", *KEEP, F.concat_ws("/", "model", "feature_set").alias("model"), R("pred", 9).alias("pred"))
+
+    return STORED.get("oof", d, rows, make)
 
 
 def _ic(s, d):
@@ -57,14 +86,23 @@ def _model_rows(s, d):
     return E.spread(E.assemble(rows, NAMES))
 
 
+def _labelled(s, d):
+    return V.model_rows(s, d).withColumns({"label": F.col("truth"), "up": (F.col("truth") > 0.5).cast("double")})
+
+
+BOTH = {"tabular+embedding": FEATURES["tabular+embedding"]}
+
+
 def _scored(name, label="label"):
+    """The last fold, which learns from most rows: what a model of both feature sets says of the rows that it did not see."""
+
     def run(s, d):
-        rows = _model_rows(s, d)
         est = E.models(label=label)[name]
         if name == "MLPClassifier":
-            est = est.setLayers([len(NAMES), *E.HIDDEN, 2])
-        out = est.fit(rows).transform(rows)
-        return out.select("Company", "Date", R("prediction", 4).alias("prediction"))
+            est = est.setLayers([len(BOTH["tabular+embedding"]), *E.HIDDEN, 2])
+        folds = W.Folds(_labelled(s, d))
+        out = W.predictions(folds, BOTH, {name: est}, ["Company", "Date"], only=folds.folds[-1:], scaled=name == "MLPClassifier")
+        return out.select("fold", "Company", "Date", R("pred", 4).alias("prediction"))
 
     return run
 
@@ -96,20 +134,17 @@ def _f9(s, d):
 
 
 def _f12(s, d):
-    rows = _model_rows(s, d)
-    return E.ridge_grid(rows).transform(rows).select("Company", "Date", R("prediction", 4).alias("prediction"))
+    found = [(r["fold"], r["feature_set"], r["penalty"], r["error"]) for r in W.ridge(_folds(s, d), FEATURES, "truth")]
+    return s.createDataFrame(found, "fold int, feature_set string, penalty double, error double").select("fold", "feature_set", "penalty", R("error", 9).alias("error"))
 
 
 def _f16(s, d):
-    from pyspark.ml.regression import LinearRegression
-
-    rows = _model_rows(s, d)
-    parts = E.stack(rows.where("Date < date '1998-01-01'"), rows.where("Date >= date '1998-01-01'"), {"lr": LinearRegression(labelCol="label"), "rf": E.models()["RandomForest"]}, "label", ["Company", "Date"])
-    return parts.select("Company", "Date", R("prediction", 4).alias("prediction"))
+    oof = W.predictions(W.Folds(_labelled(s, d)), BOTH, W.boosted(), KEEP)
+    return W.stacked(oof, ["Company", "Date", "ret"], "truth", list(W.boosted())).select("fold", "Company", "Date", R("pred", 4).alias("prediction"))
 
 
 def _f18(s, d):
-    picked = E.diverse_select(_ic(s, d), E.oof_correlation(_oof(s, d), ["fold", "Company", "Date"], NAMES))
+    picked = E.diverse_select(_ic(s, d), E.oof_correlation(_oof(s, d), ["fold", "Company", "Date"], MODELS))
     voted = E.soft_vote(_oof(s, d).where(F.col("model").isin(picked)), ["fold", "Company", "Date"], ["fold"])
     return voted.select("fold", "Company", "Date", R("pred").alias("pred"))
 
@@ -117,6 +152,15 @@ def _f18(s, d):
 VOTE = f"SELECT fold, Company, Date, round({ROW_RANK.format(by='fold', c='v')}, 6) AS pred FROM (SELECT fold, Company, Date, round(avg(r), 9) AS v FROM (SELECT fold, Company, Date, {ROW_RANK.format(by='model, fold', c='pred')} AS r FROM oof) GROUP BY fold, Company, Date)"
 
 
+#: Of three models in order of falling ic: the first, the second if it is not too like it, the third if it is not too like those.
+PICKED = {
+    "alike": "SELECT x.model AS a, y.model AS b, abs(corr(x.pred, y.pred)) > 0.85 AS close FROM oof x JOIN oof y USING (fold, Company, Date) WHERE x.model <> y.model GROUP BY ALL",
+    "by_ic": "SELECT model, row_number() OVER (ORDER BY avg(ic) DESC, model) AS n FROM ic GROUP BY model",
+    "second": "SELECT model FROM by_ic m WHERE n = 2 AND NOT (SELECT bool_or(close) FROM alike WHERE a = m.model AND b IN (SELECT model FROM by_ic WHERE n = 1))",
+    "picked": "SELECT model FROM by_ic WHERE n = 1 UNION ALL SELECT model FROM second UNION ALL SELECT model FROM by_ic m WHERE n = 3 AND NOT (SELECT bool_or(close) FROM alike WHERE a = m.model AND b IN (SELECT model FROM by_ic WHERE n = 1 UNION ALL SELECT model FROM second))",
+}
+
+
 def _f24(s, d):
     return _rounded(E.decile_spread(_oof(s, d), ["model", "fold"]), "model", "fold")
 
@@ -271,15 +315,15 @@ QUERIES = {
     "f9_oversample_minority": (_f9, "SELECT label, max(c) OVER () AS n FROM (SELECT CASE WHEN truth > 0.9 THEN 1 ELSE 0 END AS label, count(*) AS c FROM scores GROUP BY 1)"),
     "f10_random_forest_classifier": (_scored("RandomForestClassifier", "up"), None),
     "f11_mlp_classifier": (_scored("MLPClassifier", "up"), None),
-    "f12_ridge_grid": (_f12, None),
+    "f12_ridge_grid": (_f12, "SELECT fold, feature_set, penalty, round(error, 9) AS error FROM rr_best"),
     "f13_random_forest_regressor": (_scored("RandomForest"), None),
     "f14_boosted_trees": (_scored("GradientBoosting"), None),
     "f15_relevance_grade": (lambda s, d: V.scores(s, d).select("Company", "Date", E.relevance_grade("truth").alias("grade")).join(E.groups_by_date(V.scores(s, d)), "Date"), "SELECT Company, s.Date, greatest(0, least(30, floor(truth * 30)))::int AS grade, group_size, group_id FROM scores s JOIN (SELECT Date, count(*) AS group_size, row_number() OVER (ORDER BY Date) - 1 AS group_id FROM scores GROUP BY Date) g ON g.Date = s.Date"),
     "f16_stack": (_f16, None),
     "f17_soft_vote": (lambda s, d: E.soft_vote(_oof(s, d), ["fold", "Company", "Date"], ["fold"]).select("fold", "Company", "Date", R("pred").alias("pred")), VOTE),
-    "f18_diverse_select": (_f18, VOTE),
+    "f18_diverse_select": (_f18, VOTE.replace("FROM oof)", "FROM oof WHERE model IN (SELECT model FROM picked))")),
     "f19_oof_table": (lambda s, d: _rounded(_oof(s, d), "fold", "Company", "Date"), "SELECT fold, Company, Date, round(ret, 6) AS ret, round(truth, 6) AS truth, model, round(pred, 6) AS pred FROM oof"),
-    "f20_oof_correlation": (lambda s, d: _rounded(E.oof_correlation(_oof(s, d), ["fold", "Company", "Date"], NAMES), "a", "b"), "SELECT 'm1' AS a, 'm2' AS b, round(corr(m1, m2), 6) AS corr FROM tests UNION ALL SELECT 'm1', 'm3', round(corr(m1, m3), 6) FROM tests UNION ALL SELECT 'm2', 'm3', round(corr(m2, m3), 6) FROM tests"),
+    "f20_oof_correlation": (lambda s, d: _rounded(E.oof_correlation(_oof(s, d), ["fold", "Company", "Date"], MODELS), "a", "b"), "SELECT x.model AS a, y.model AS b, round(corr(x.pred, y.pred), 6) AS corr FROM oof x JOIN oof y USING (fold, Company, Date) WHERE x.model < y.model GROUP BY ALL"),
     "f21_rank_ic": (lambda s, d: _rounded(_ic(s, d), "model", "fold"), "SELECT model, fold, round(ic, 6) AS ic FROM ic"),
     "f22_hit_rate": (lambda s, d: _oof(s, d).groupBy("model", "fold").agg(R(E.hit_rate()).alias("hit_rate")), "SELECT model, fold, round(avg(CASE WHEN (pred - 0.5) * (truth - 0.5) > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM oof GROUP BY model, fold"),
     "f23_rmse": (lambda s, d: _oof(s, d).groupBy("model", "fold").agg(R(E.rmse()).alias("rmse")), "SELECT model, fold, round(sqrt(avg(pow(pred - truth, 2))), 6) AS rmse FROM oof GROUP BY model, fold"),
@@ -291,7 +335,7 @@ QUERIES = {
     "f29_bootstrap_ci": (_f29, "SELECT model, round(low, 6) AS low, round(high, 6) AS high FROM boot"),
     "f30_flag_significant": (_f30, f"SELECT model, (low > 0 OR high < 0) AND p < 0.2 AS significant FROM boot JOIN ({SIGN}) USING (model)"),
     "f30_best_per_group": (_f30b, "SELECT fold, max_by(model, ic) AS model, round(max(ic), 6) AS ic FROM ic GROUP BY fold"),
-    "f31_pick_ensemble": (lambda s, d: _rounded(E.pick_ensemble(_ic(s, d), ["m1", "m2"])), "SELECT max_by(model, ic) AS model, round(max(ic), 6) AS ic FROM (SELECT model, max_by(ic, fold) AS ic FROM ic WHERE model IN ('m1', 'm2') GROUP BY model)"),
+    "f31_pick_ensemble": (lambda s, d: _rounded(E.pick_ensemble(_ic(s, d), MODELS[:2])), "SELECT max_by(model, ic) AS model, round(max(ic), 6) AS ic FROM (SELECT model, max_by(ic, fold) AS ic FROM ic WHERE model IN ('Ridge/embedding', 'Ridge/tabular') GROUP BY model)"),
     "f32_classification_report": (_f32, F32),
     "f33_direction_check": (lambda s, d: _rounded(E.direction_check(_oof(s, d), "pred", "ret", ["model"]), "model"), "SELECT model, round(avg(CASE WHEN (pred >= 0.5) = (ret > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM oof GROUP BY model"),
     "g1_series_set": (lambda s, d: _rounded(_series(s, d), "series", "Date"), "SELECT series, Date, round(value, 6) AS value FROM named"),
@@ -305,5 +349,5 @@ QUERIES = {
     "g9_align_to_index": (lambda s, d: _rounded(_pairs(s, d), "Company", "Date"), "SELECT Company, Date, round(y, 6) AS y, round(x, 6) AS x FROM pairs"),
     "g10_trend_regime": (lambda s, d: S.regime_counts(S.trend_regime(V.index_series(s, d))), "SELECT count(*) FILTER (px > sma) AS bull, count(*) FILTER (NOT px > sma) AS bear FROM (SELECT px, CASE WHEN count(px) OVER f >= 50 THEN avg(px) OVER f END AS sma FROM index_series WINDOW f AS (ORDER BY Date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"),
 }
-MORE = {"boot": BOOT, "filled": FILLED, "days": DAYS, "cuts": CUTS, "sides": SIDES, "good": GOOD, "tests": TEST, "oof": OOF, "ic": IC, "idx": IDX, "named": SERIES, "metrics": METRICS, "lr": LR, "forward_pass": FORWARD, "back_pass": BACK, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN}
+MORE = {"boot": BOOT, "filled": FILLED, "days": DAYS, "cuts": CUTS, "sides": SIDES, "good": GOOD, "tests": TEST, **RIDGE, **PICKED, "ic": IC, "idx": IDX, "named": SERIES, "metrics": METRICS, "lr": LR, "forward_pass": FORWARD, "back_pass": BACK, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN}
 ORACLES = {k: oracle(sql, **MORE) for k, (_, sql) in QUERIES.items() if sql}

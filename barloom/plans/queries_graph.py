@@ -12,7 +12,7 @@ from barloom.operators import integrate as I
 from barloom.plans import views as V
 from barloom.plans.queries_base import FILLED
 from barloom.plans.views import oracle
-from barloom.sources.scratch import written
+from barloom.sources.scratch import Stored
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -38,24 +38,21 @@ OBS = """SELECT Company, Date, Close, Volume, CASE WHEN (a7 - Close) / nullif(Cl
  (SELECT *, lead(Close, 7) OVER (PARTITION BY Company ORDER BY Date) AS a7 FROM bars) JOIN (SELECT Date, EUR FROM filled) f USING (Date) WHERE a7 IS NOT NULL"""
 
 
-#: Graphs as tables by predicate, written once for an application and input.
-_stored: dict[tuple, object] = {}
+#: Graphs as tables by predicate, written once for a version of their input.
+STORED = Stored()
 
 
-def _once(name, s, d, graph):
-    key = (s.sparkContext.applicationId, name, d)
-    if key not in _stored:
-        _stored[key] = written(graph(), "p")
-    return _stored[key].select(*G.COLUMNS)
+def _once(name, d, graph):
+    return STORED.get(name, d, graph, lambda: graph, "p").select(*G.COLUMNS)
 
 
 def _kg(s, d):
-    own = lambda: G.company_triples(_base(s, d)).unionByName(G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d))).unionByName(G.acquisition_triples(V.acquisitions(s, d)))
-    return _once("companies", s, d, own)
+    own = G.company_triples(_base(s, d)).unionByName(G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d))).unionByName(G.acquisition_triples(V.acquisitions(s, d)))
+    return _once("companies", d, own)
 
 
 def _obs_kg(s, d):
-    return _kg(s, d).unionByName(_once("observations", s, d, lambda: G.observation_triples(_obs(s, d))))
+    return _kg(s, d).unionByName(_once("observations", d, G.observation_triples(_obs(s, d))))
 
 
 COMPANY = """SELECT 'ex:company/' || Symbol AS s, 'ex:type' AS p, 'ex:Company' AS o FROM base UNION SELECT 'ex:company/' || Symbol, 'ex:belongsToSector', 'ex:sector/' || Sector FROM base WHERE Sector IS NOT NULL
@@ -232,7 +229,7 @@ QUERIES = {
  UNION ALL SELECT 'ex:tradeVolume', count(*), count(*), round(sum(Volume), 2) FROM obs UNION ALL SELECT 'ex:target7dUp', count(*), count(*), sum(up) FROM obs UNION ALL SELECT 'ex:eurExchangeRate', count(*), count(*), round(sum(EUR), 2) FROM (SELECT DISTINCT Date, EUR FROM obs)"""),
     "e4_acquisition_triples": (_e4, E4),
     "e5_macro_triples": (lambda s, d: G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d)).select("s", "p", F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(R(F.col("o").try_cast("double"), 0).cast("decimal(20,0)").cast("string")).alias("o")), "SELECT 'ex:country/' || country AS s, 'ex:type' AS p, 'ex:Country' AS o FROM macro UNION ALL SELECT 'ex:country/' || country, 'ex:gdpUsd', CAST(CAST(gdp_usd AS DECIMAL(20, 0)) AS VARCHAR) FROM macro WHERE gdp_usd IS NOT NULL UNION ALL SELECT 'ex:country/' || country, 'ex:sharesBorderWith', 'ex:country/' || neighbour FROM borders UNION ALL SELECT 'ex:country/' || country, 'ex:hasTensionWith', 'ex:country/' || rival FROM tensions"),
-    "e6_graph_size": (lambda s, d: G.counts(_once("company", s, d, lambda: G.company_triples(_base(s, d)))), f"SELECT p, count(*) AS n FROM ({COMPANY}) GROUP BY p"),
+    "e6_graph_size": (lambda s, d: G.counts(_once("company", d, G.company_triples(_base(s, d)))), f"SELECT p, count(*) AS n FROM ({COMPANY}) GROUP BY p"),
     "e7_relation_summary": (lambda s, d: G.relation_summary(G.company_triples(_base(s, d))), f"SELECT regexp_replace(p, '^.*[:/#]', '') AS relation, regexp_replace(s, '^.*[:/#]', '') AS s, regexp_replace(o, '^.*[:/#]', '') AS o, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s, o) AS n FROM ({COMPANY})) WHERE n <= 3"),
     "e8_match": (lambda s, d: G.match(_kg(s, d), ("?c", "headquarteredIn", "?x"), ("?x", "gdpUsd", "?gdp"), ("?c", "hasSize", f"{G.BASE}size/Mega_Cap")).select(_name("c", "company/"), _name("x", "country/")), "SELECT CAST(Symbol AS VARCHAR) AS c, b.Country AS x FROM base b JOIN macro m ON m.country = b.Country WHERE gdp_usd IS NOT NULL AND size_class = 'Mega_Cap'"),
     "e9_string_terms": (lambda s, d: V.companies(s, d).select("Symbol", G.str_after("Name", "#").alias("a"), G.str_after("Name", "none").alias("b"), F.concat(F.lit("ex:"), G.str_after("Industry", "Brand")).alias("c")), "SELECT Symbol, split_part(Name, '#', 2) AS a, '' AS b, 'ex:' || replace(Industry, 'Brand', '') AS c FROM companies"),

@@ -105,6 +105,12 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return b.select("Company", "Date", F.col("ret"), by("r5").alias("m1"), by("v").alias("m2"), by("hl").alias("m3"), by("ret").alias("truth"))
 
 
+def model_rows(spark: SparkSession, d: str) -> DataFrame:
+    """scores with the first places of the company's vector (0 without one)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("Company"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i + 1}") for i in range(3)))
+    return scores(spark, d).join(v, "Company", "left").na.fill(0.0, ["e1", "e2", "e3"])
+
+
 #: SQL of each view, for the oracle side.
 VIEWS = {
     "bars": """SELECT k AS Company, d AS Date, max(CASE WHEN ra=1 THEN p END) AS Open, max(p) AS High, min(p) AS Low, max(CASE WHEN rd=1 THEN p END) AS Close, sum(q) AS Volume FROM
@@ -134,8 +140,12 @@ FROM supplier LEFT JOIN (SELECT l_suppkey, p_type, row_number() OVER (PARTITION
  percent_rank() OVER (PARTITION BY Date ORDER BY hl, Company) AS m3, percent_rank() OVER (PARTITION BY Date ORDER BY ret, Company) AS truth FROM
  (SELECT Company, Date, Close / lag(Close, 5) OVER w - 1 AS r5, Volume AS v, lag(Close, 1) OVER w AS hl, (lead(Close, 7) OVER w / Close - 1) * 100 AS ret FROM bars WINDOW w AS (PARTITION BY Company ORDER BY Date))
  WHERE r5 IS NOT NULL AND ret IS NOT NULL""",
+    "model_rows": "SELECT s.*, coalesce(embedding[1]::double, 0) AS e1, coalesce(embedding[2]::double, 0) AS e2, coalesce(embedding[3]::double, 0) AS e3 FROM scores s LEFT JOIN embeddings ON vec_id = Company",
 }
 
+#: Common tables that are computed once for a statement, however often it names them.
+ONCE = {"scores", "rr_learn", "rr_scaled", "rr_gram", "rr_inverse", "rr_best", "oof"}
+
 
 def oracle(body: str, **more: str) -> str:
     """body with the views it names, and further common tables, in front; in the order in which they build on each other."""
@@ -150,5 +160,5 @@ def oracle(body: str, **more: str) -> str:
                     needed.append(name)
 
     add(body)
-    ctes = ", ".join(f"{n} AS ({known[n]})" for n in needed)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({known[n]})" for n in needed)
     return f"WITH RECURSIVE {ctes} {body}" if ctes else body

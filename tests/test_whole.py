@@ -3,15 +3,16 @@
 import pytest
 
 from barloom import queries as core
+from barloom.operators import walk_forward as W
 from barloom.plans import queries_evaluate as Q
-from barloom.plans import views as V
 
 DIRECTORY = "/root/testdata/sf0.001"
 
 
-def test_mlp_predicts_every_company(spark):
+def test_mlp_predicts_every_row_of_its_fold(spark):
     got = core.queries()["f11_mlp_classifier"](spark, DIRECTORY).select("Company", "Date")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, V.scores(spark, DIRECTORY).select("Company", "Date").collect()))
+    folds = W.Folds(Q._labelled(spark, DIRECTORY))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, folds.test(folds.folds[-1]).select("Company", "Date").collect()))
 
 
 def test_models_are_not_the_small_ones(spark, monkeypatch):
