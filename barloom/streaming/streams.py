@@ -8,20 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barloom.sources.tables import upsert_bars
+from barloom.sources.versioned import VersionedTable
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "Company", date: str = "Date", order: str = "load"):
-    """A query that merges each batch into the Parquet table at path.
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "Company", date: str = "Date", order: str = "load", keep: int = 2):
+    """A query that merges each batch into the versioned table at path (VersionedTable(...).read() gives its rows).
 
-    A batch writes version b beside the last one and the next batch reads it, so a batch that is run again after a
-    failure starts from the same version and gives the same table.
+    A batch rewrites the ranges of dates that it touches and commits one manifest; run again after a failure it does
+    so once. The last `keep` versions stay for readers that began before.
     """
+    table = VersionedTable(stream.sparkSession, path, stream.schema, key, date, order)
 
     def merge(batch: DataFrame, b: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={b - 1}") if b else spark.createDataFrame([], batch.schema)
-        upsert_bars(old, batch, key, date, order).write.mode("overwrite").parquet(f"{path}/v={b}")
+        table.merge(batch, b)
+        table.clear(keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

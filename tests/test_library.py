@@ -14,6 +14,7 @@ from barloom.operators import portfolio as H
 from barloom.operators import quality as B
 from barloom.operators import series as S
 from barloom.sources import tables as A
+from barloom.sources.versioned import VersionedTable
 from barloom.streaming import streams
 
 
@@ -57,7 +58,7 @@ def test_upsert_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         streams.upsert_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = sorted(tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "out/v=1")).collect())
+    got = sorted(tuple(r)[:3] for r in VersionedTable(spark, str(tmp_path / "out"), source.schema).read().collect())
     assert got == [(1, day(1), 1.0), (1, day(2), 2.0), (1, day(3), 3.0), (2, day(1), 4.0)]
 
 
