@@ -10,7 +10,8 @@ from barloom.operators import quality as B
 from barloom.plans import views as V
 from barloom.plans.views import oracle
 from barloom.sources import tables as A
-from barloom.sources.scratch import shared_dir
+from barloom.sources.scratch import release, shared_dir, written
+from barloom.sources.versioned import VersionedTable
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -44,11 +45,24 @@ MASTER = """SELECT Company, Date, close, volume, EUR, JPY, Sector, Industry, Mar
   WHERE close >= 250 AND a7 >= 125 AND a30 >= 125) y JOIN filled USING (Date) JOIN (SELECT Symbol AS Company, Sector, Industry, MarketCap FROM companies) l USING (Company)"""
 
 
+def _a7v(s, d):
+    """Bars loaded year by year into a versioned table, one merge a year, and read back."""
+    bars = written(V.bars(s, d).select("Company", "Date", R("Close").alias("Close"), F.year("Date").alias("load")))
+    table = VersionedTable(s, shared_dir(s), bars.schema)
+    for y in sorted(r["load"] for r in bars.select("load").distinct().collect()):
+        table.merge(bars.where(F.col("load") == y), y)
+    table.clear(keep=1)
+    release(bars)
+    return table.read()
+
+
 def _members(s, d):
-    return V.companies(s, d).where("Symbol % 2 = 0").select("Symbol", F.upper("Name").alias("Name"), "Sector", (F.col("MarketCap") * 2).alias("MarketCap"), (F.col("Symbol") * 10 - 50).alias("Employees"))
+    """Companies that have a label: some of them, at every scale."""
+    labelled = V.table(s, d, "labels").select(F.col("doc_id").alias("Symbol")).distinct()
+    return V.companies(s, d).join(labelled, "Symbol", "left_semi").select("Symbol", F.upper("Name").alias("Name"), "Sector", (F.col("MarketCap") * 2).alias("MarketCap"), (F.col("Symbol") * 10 - 50).alias("Employees"))
 
 
-MEMBERS = "SELECT Symbol, upper(Name) AS Name, Sector, MarketCap * 2 AS MarketCap, Symbol * 10 - 50 AS Employees FROM companies WHERE Symbol % 2 = 0"
+MEMBERS = "SELECT Symbol, upper(Name) AS Name, Sector, MarketCap * 2 AS MarketCap, Symbol * 10 - 50 AS Employees FROM companies WHERE Symbol IN (SELECT doc_id FROM labels)"
 
 
 def _a3(s, d):
@@ -159,7 +173,7 @@ def _c19(s, d):
 def _c21(s, d):
     n = V.table(s, d, "nation").select(F.col("n_name").alias("iso3"))
     c = V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    long = c.where("n_nationkey % 6 > 0").groupBy(F.col("n_name").alias("iso3"), F.col("c_mktsegment").alias("indicator")).agg(F.max("c_acctbal").alias("value"))
+    long = c.groupBy(F.col("n_name").alias("iso3"), F.col("c_mktsegment").alias("indicator")).agg(F.max("c_acctbal").alias("value"))
     return I.attach_indicators(n, long, ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"])
 
 
@@ -197,8 +211,8 @@ C17 = f"""SELECT Symbol, Name, coalesce(nullif(nullif(trim(c0), ''), 'None'), r.
 
 
 def _c20(s, d):
-    n = V.table(s, d, "nation").join(V.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 4 > 0")
-    return I.country_attributes(V.companies(s, d).select("Symbol", "Country"), n.select(F.col("n_name").alias("Country"), F.col("r_name").alias("region")), ["region"])
+    n = V.table(s, d, "nation").join(V.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return I.country_attributes(V.raw_listing(s, d).select("Symbol", "Country"), n.select(F.col("n_name").alias("Country"), F.col("r_name").alias("region")), ["region"])
 
 
 def _c22(s, d):
@@ -260,6 +274,7 @@ QUERIES = {
  SELECT Company, Date, Close, 1 AS load FROM ticks_daily WHERE Date < DATE '2024-01-20' UNION ALL
  SELECT n.* FROM (SELECT Company, Date, Close + 1 AS Close, 2 AS load FROM ticks_daily WHERE Date >= DATE '2024-01-15' UNION ALL SELECT Company, Date, Close + 6, 3 FROM ticks_daily WHERE Date >= DATE '2024-01-15' AND Company % 3 = 0) n
  LEFT JOIN (SELECT Company, max(Date) AS m FROM ticks_daily WHERE Date < DATE '2024-01-20' GROUP BY Company) o ON o.Company = n.Company WHERE m IS NULL OR n.Date > m)) WHERE n = 1"""),
+    "a7_versioned_merge": (_a7v, "SELECT Company, Date, round(Close, 6) AS Close, year(Date)::int AS load FROM bars"),
     "a8_wide_to_long": (_a8, "SELECT CAST(Company AS VARCHAR) AS ticker, Date, Close, Volume FROM ticks_daily"),
     "a12_triples_round_trip": (_a12, """SELECT 'urn:c:' || Symbol AS s, 'urn:p:name' AS p, Name || ' "x"\\new' || chr(13) || chr(10) || chr(9) || 'C:\\temp é \\\\' AS o, 'literal' AS o_kind, NULL AS o_type FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:cap', CAST(CAST(trunc(MarketCap) AS BIGINT) AS VARCHAR), 'literal', 'xsd:integer' FROM companies UNION ALL SELECT 'urn:c:' || Symbol, 'urn:p:in', 'urn:n:' || Country, 'iri', NULL FROM companies"""),
     "a13_union_graphs": (lambda s, d: A.union_graphs(V.borders(s, d), V.tensions(s, d).withColumnRenamed("rival", "neighbour")), "SELECT * FROM borders UNION SELECT country, rival FROM tensions"),
@@ -294,10 +309,10 @@ QUERIES = {
     "c17_resolve_country": (_c17, C17),
     "c18_publish_lookup": (lambda s, d: _c17(s, d).select("Symbol", F.col("Country").alias("country")), f"SELECT Symbol, Country AS country FROM ({C17})"),
     "c19_border_names": (_c19, "SELECT a.n_name AS country, string_agg(b.n_name, ',' ORDER BY b.n_name) AS borders FROM nation a JOIN nation b ON b.n_nationkey - a.n_nationkey IN (1, 7, 20) GROUP BY a.n_name"),
-    "c20_country_attributes": (_c20, "SELECT Symbol, Country, CASE WHEN n_nationkey % 4 > 0 THEN Region ELSE 'Unknown_region' END AS region FROM companies JOIN nation ON n_name = Country"),
-    "c21_attach_indicators": (_c21, "SELECT n_name AS iso3, max(CASE WHEN c_mktsegment = 'AUTOMOBILE' AND n_nationkey % 6 > 0 THEN c_acctbal END) AS AUTOMOBILE, max(CASE WHEN c_mktsegment = 'BUILDING' AND n_nationkey % 6 > 0 THEN c_acctbal END) AS BUILDING, max(CASE WHEN c_mktsegment = 'HOUSEHOLD' AND n_nationkey % 6 > 0 THEN c_acctbal END) AS HOUSEHOLD FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "c20_country_attributes": (_c20, "SELECT Symbol, Country, coalesce(r_name, 'Unknown_region') AS region FROM raw_listing LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON n_name = Country"),
+    "c21_attach_indicators": (_c21, "SELECT n_name AS iso3, max(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_acctbal END) AS AUTOMOBILE, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS BUILDING, max(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_acctbal END) AS HOUSEHOLD FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"),
     "c22_triples_to_wide": (_c22, "SELECT replace(country, '_', '  ') AS country, round(gdp_usd, 0) AS gdp, CASE WHEN length(country) > 8 THEN CAST(length(country) AS DOUBLE) END AS pop FROM macro WHERE gdp_usd IS NOT NULL OR length(country) > 8"),
-    "c23_attach_macro": (lambda s, d: I.attach_macro(V.companies(s, d).select("Symbol", "MarketCap"), V.companies(s, d).where("Symbol % 5 > 0"), V.macro(s, d)), "SELECT Symbol, MarketCap, CASE WHEN Symbol % 5 > 0 THEN gdp_usd END AS gdp_usd FROM companies LEFT JOIN macro ON macro.country = companies.Country"),
+    "c23_attach_macro": (lambda s, d: I.attach_macro(V.raw_listing(s, d).select("Symbol", "MarketCap"), V.companies(s, d), V.macro(s, d)), "SELECT l.Symbol, l.MarketCap, gdp_usd FROM raw_listing l LEFT JOIN companies c ON c.Symbol = l.Symbol LEFT JOIN macro ON macro.country = c.Country"),
     "c24_pit_macro": (_c24, C24),
     "c25_asof_latest": (_c25, "SELECT Date, (SELECT max_by(EUR, fx.Date) FROM fx WHERE fx.Date <= c.Date) AS EUR FROM (SELECT DISTINCT Date + 4 AS Date FROM bars) c"),
     "c26_asof_with_tolerance": (_c26, "SELECT c.Date, coalesce(max_by(px, i.Date), 0.0) AS px FROM (SELECT DISTINCT Date + CAST(day(Date) % 8 AS INTEGER) AS Date FROM bars) c LEFT JOIN index_series i ON i.Date <= c.Date AND c.Date - i.Date <= 3 GROUP BY c.Date"),

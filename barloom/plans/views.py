@@ -37,7 +37,8 @@ def ticks_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderstatus = 'P' and month(o_orderdate) % 3 <> 0 and o_orderdate >= timestamp_ntz '1995-06-01 00:00:00'")
+    """Two rates by week: urgent orders that are partly shipped are their quotes, and some weeks have none."""
+    o = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
     return o.groupBy(_week("o_orderdate").alias("Date")).agg((F.max("o_totalprice") / 100000.0).alias("EUR"), (F.min("o_totalprice") / 1000.0).alias("JPY"))
 
 
@@ -62,9 +63,10 @@ def borders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tensions(spark: SparkSession, d: str) -> DataFrame:
+    """Nations with the next one by key, where the two are of different regions."""
     n = table(spark, d, "nation")
-    a = n.where("n_nationkey % 4 = 0").select(F.col("n_name").alias("country"), ((F.col("n_nationkey") + 1) % 25).alias("k"))
-    return a.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("rival")), "k").select("country", "rival")
+    a = n.select(F.col("n_name").alias("country"), ((F.col("n_nationkey") + 1) % 25).alias("k"), F.col("n_regionkey").alias("_r"))
+    return a.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("rival"), "n_regionkey"), "k").where("_r <> n_regionkey").select("country", "rival")
 
 
 def macro(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +76,7 @@ def macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acquisitions(spark: SparkSession, d: str) -> DataFrame:
+    """Deals: what a returned line of the largest quantity and discount is taken for. Not every company has one."""
     lines = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity = 50 and l_discount >= 0.08")
     return lines.select(F.col("l_suppkey").alias("Symbol"), F.col("l_partkey").alias("acquired"), F.year("l_shipdate").alias("yr"), F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice")).alias("price"))
 
@@ -123,14 +126,14 @@ VIEWS = {
  row_number() OVER (PARTITION BY user_id, CAST(date_trunc('day', ts) AS DATE) ORDER BY ts, event_id) AS ra,
  row_number() OVER (PARTITION BY user_id, CAST(date_trunc('day', ts) AS DATE) ORDER BY ts DESC, event_id DESC) AS rd FROM events) GROUP BY user_id, d""",
     "fx": """SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS Date, max(o_totalprice)/100000.0 AS EUR, min(o_totalprice)/1000.0 AS JPY
-FROM orders WHERE o_orderstatus='P' AND month(o_orderdate) % 3 <> 0 AND o_orderdate >= TIMESTAMP '1995-06-01 00:00:00' GROUP BY CAST(date_trunc('week', o_orderdate) AS DATE)""",
+FROM orders WHERE o_orderstatus='P' AND o_orderpriority='1-URGENT' GROUP BY CAST(date_trunc('week', o_orderdate) AS DATE)""",
     "listing_counts": "SELECT l_suppkey, p_type, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY l_suppkey,p_type,p_brand",
     "companies": """SELECT s_suppkey AS Symbol, s_name AS Name, s.p_type AS Sector, i.p_brand AS Industry, n_name AS Country, r_name AS Region, s_acctbal AS MarketCap
 FROM supplier LEFT JOIN (SELECT l_suppkey, p_type, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(n) DESC, p_type) AS r FROM listing_counts GROUP BY l_suppkey,p_type) s ON s.l_suppkey=s_suppkey AND s.r=1
  LEFT JOIN (SELECT l_suppkey, p_brand, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(n) DESC, p_brand) AS r FROM listing_counts GROUP BY l_suppkey,p_brand) i ON i.l_suppkey=s_suppkey AND i.r=1
  JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""",
     "borders": "SELECT a.n_name AS country, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND abs(a.n_nationkey - b.n_nationkey) = 5",
-    "tensions": "SELECT a.n_name AS country, b.n_name AS rival FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25 WHERE a.n_nationkey % 4 = 0",
+    "tensions": "SELECT a.n_name AS country, b.n_name AS rival FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25 WHERE a.n_regionkey <> b.n_regionkey",
     "macro": "SELECT n_name AS country, max(CASE WHEN n_nationkey % 7 <> 6 THEN c_acctbal END) * 1000000000.0 AS gdp_usd FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name",
     "acquisitions": "SELECT l_suppkey AS Symbol, l_partkey AS acquired, year(l_shipdate) AS yr, CASE WHEN l_tax > 0.02 THEN l_extendedprice END AS price FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount >= 0.08",
     "index_series": "SELECT Date, round(avg(Close), 6) AS px FROM bars GROUP BY Date",

@@ -76,18 +76,38 @@ def metrics_row(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.select(F.lit(name).alias("metric_name"), F.to_json(F.struct(*metrics.columns)).alias("metric_value"), F.current_timestamp().alias("timestamp"))
 
 
-#: How N-Triples writes characters that a quoted literal cannot hold.
+#: How N-Triples writes characters that a quoted literal cannot hold; \b, \f and \' are only read.
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+READ_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+#: Fixed values, the grammar of N-Triples: characters by number (no surrogates), IRIs, blank nodes, language tags.
+_HEX = "[0-9A-Fa-f]"
+_BMP = f"(?:[0-9A-CE-Fa-ce-f]{_HEX}{{3}}|[dD][0-7]{_HEX}{{2}})"
+NUMBERED = rf"\\u{_BMP}|\\U(?:0000{_BMP}|000[1-9A-Fa-f]{_HEX}{{4}}|0010{_HEX}{{4}})"
+ESCAPED = rf"""{NUMBERED}|\\[tbnrf"'\\]"""
+IRI_NOT = r'\x00-\x20<>"{}|^`\\'
+IRI = rf"<((?:[^{IRI_NOT}]++|{NUMBERED})*+)>"
+BLANK = r"(_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00B7]*[\p{L}\p{N}_\-\u00B7])?)"
+TAG = r"(@[a-zA-Z]+(?:-[a-zA-Z0-9]+)*)"
 
 
 def triple_lines(triples: DataFrame) -> DataFrame:
-    """N-Triples text of (s, p, o, o_kind, o_type)."""
+    """N-Triples text of (s, p, o, o_kind, o_type): o_kind is iri, blank or literal, o_type a datatype or a language tag (@en).
+
+    Subjects and objects that begin with _: are blank nodes. Characters that an IRI cannot hold are written by number.
+    """
     quoted = F.col("o")
     for plain, escaped in ESCAPES.items():  # the backslash first
         quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
-    literal = F.concat(F.lit('"'), quoted, F.lit('"'), F.when(F.col("o_type").isNull(), "").otherwise(F.concat(F.lit("^^<"), "o_type", F.lit(">"))))
-    end = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(literal)
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), end, F.lit(" .")).alias("value"))
+
+    def iri(c: Column) -> Column:
+        each = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(f"^[{IRI_NOT}]$"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))).otherwise(x))
+        return F.concat(F.lit("<"), F.when(c.rlike(f"[{IRI_NOT}]"), F.array_join(each, "")).otherwise(c), F.lit(">"))
+
+    node = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(iri(c))
+    kind = F.col("o_type")
+    literal = F.concat(F.lit('"'), quoted, F.lit('"'), F.when(kind.isNull(), "").when(F.startswith(kind, F.lit("@")), kind).otherwise(F.concat(F.lit("^^"), iri(kind))))
+    end = F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o")))
+    return triples.select(F.concat(node(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), end, F.lit(" .")).alias("value"))
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
@@ -95,17 +115,57 @@ def write_triples(triples: DataFrame, path: str) -> None:
 
 
 def unescaped(text: Column) -> Column:
-    """ESCAPES undone in one pass: what stands between escaped backslashes holds no backslash but those of other escapes."""
-    part = lambda x: reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), list(ESCAPES.items())[1:], x)
-    return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
+    """Escapes undone: what stands between them is cut out whole, and each is looked up by itself."""
+
+    def one(x: Column) -> Column:
+        number = F.lpad(F.substr(x, F.lit(3)), 8, "0")
+        plain = x
+        for letter, char in READ_ESCAPES.items():
+            plain = F.when(x == "\\" + letter, F.lit(char)).otherwise(plain)
+        return F.when(x.rlike(r"^\\[uU]"), F.decode(F.unhex(number), "UTF-32")).otherwise(plain)
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"({ESCAPED}|[^\\]+)"), 1)
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Each line that is neither blank nor a comment, with its parts, and where it stops being a triple (null: nowhere)."""
+    head = rf"^[ \t]*(?:{IRI}|{BLANK})[ \t]*{IRI}[ \t]*"
+    end = r"[ \t]*\.[ \t]*(?:#.*)?$"
+    # a literal is all up to its last quote; what is in it is looked at by itself, as texts may be very long
+    long = rf'{head}"(.*)"(?:\^\^{IRI}|{TAG})?[ \t]*\.[ \t]*$'
+    short = rf'{head}"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^{IRI}|{TAG})?{end}'
+    node = rf"{head}(?:{IRI}|{BLANK}){end}"
+    value = F.col("value")
+    sound = lambda text: ~F.regexp_replace(text, ESCAPED, "").rlike(r'["\\]')
+    rows = lines.select("value").where(~value.rlike(r"^[ \t]*(?:#.*)?$"))
+    rows = rows.withColumn("_text", F.when(value.rlike(long), F.regexp_extract("value", long, 4)))
+    form = F.when(F.col("_text").isNotNull() & sound(F.col("_text")), "long").when(value.rlike(node), "node").when(F.contains("value", F.lit("#")) & value.rlike(short) & sound(F.regexp_extract("value", short, 4)), "short")
+    rows = rows.withColumn("_form", form)
+    part = lambda i: F.when(F.col("_form") == "long", F.regexp_extract("value", long, i)).when(F.col("_form") == "short", F.regexp_extract("value", short, i))
+    begins = lambda i: F.regexp_extract("value", head, i)
+    subject, blank = begins(1), begins(2)
+    tail, tail_blank = (F.regexp_extract("value", node, i) for i in (4, 5))
+    is_node = F.col("_form") == "node"
+    stops = F.when(F.col("_form").isNotNull(), None).when(~value.rlike(rf"^[ \t]*(?:{IRI}|{BLANK})"), "subject").when(~value.rlike(head), "predicate").otherwise("object or end")
+    return rows.select(
+        "value", stops.alias("stops"),
+        F.when(blank != "", blank).otherwise(unescaped(subject)).alias("s"), unescaped(begins(3)).alias("p"),
+        F.when(~is_node, unescaped(part(4))).when(tail_blank != "", tail_blank).otherwise(unescaped(tail)).alias("o"),
+        F.when(~is_node, "literal").when(tail_blank != "", "blank").otherwise("iri").alias("o_kind"),
+        F.when(~is_node, F.coalesce(F.nullif(part(6), F.lit("")), F.nullif(unescaped(part(5)), F.lit("")))).alias("o_type"),
+    )
 
 
 def parse_triples(lines: DataFrame) -> DataFrame:
-    """(s, p, o, o_kind, o_type) of N-Triples lines; comments, blank lines and what is no triple are left out."""
-    pattern = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) \.$'
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    iri = part(3) != ""
-    return lines.where(F.col("value").rlike(pattern)).select(part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(unescaped(part(4))).alias("o"), F.when(iri, "iri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit("")).alias("o_type"))
+    """(s, p, o, o_kind, o_type) of N-Triples lines: IRIs, blank nodes, literals with datatype or language, escapes by letter
+    and by number, any spaces and tabs, comments. Blank lines and comments are nothing; other lines are in rejected_lines."""
+    return _parsed(lines).where("stops is null").select("s", "p", "o", "o_kind", "o_type")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(value, stops): lines that are no triples, and the part at which each stops being one."""
+    return _parsed(lines).where("stops is not null").select("value", "stops")
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:

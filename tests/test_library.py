@@ -44,6 +44,32 @@ def test_triples_on_disk(spark, tmp_path):
     assert [tuple(r) for r in A.read_indicator_json(spark, str(tmp_path / "i.json")).collect()] == [("DEU", 2.5)]
 
 
+GOOD = {
+    '<ex:a> <ex:p> "x"@en .': ("ex:a", "ex:p", "x", "literal", "@en"),
+    '_:b0 <ex:p> _:b1.x .': ("_:b0", "ex:p", "_:b1.x", "blank", None),
+    '  <ex:a>\t<ex:p>   <ex:b>  .  # said "so" .': ("ex:a", "ex:p", "ex:b", "iri", None),
+    '<ex:a> <ex:p> "caf\\u00E9 \\U0001F600 \\t\\b\\f\\\'"^^<xsd:string>.': ("ex:a", "ex:p", "caf\u00e9 \U0001f600 \t\b\f'", "literal", "xsd:string"),
+    '<ex:a><ex:p>"a # b" .': ("ex:a", "ex:p", "a # b", "literal", None),
+    '<ex:a> <ex:p> "q" . # then "more" .': ("ex:a", "ex:p", "q", "literal", None),
+    '<ex:a> <ex:p> "" .': ("ex:a", "ex:p", "", "literal", None),
+    '<ex:a> <ex:p> "x"@de-CH-1996 .': ("ex:a", "ex:p", "x", "literal", "@de-CH-1996"),
+    '<ex:caf\\u00e9\\u0020x> <ex:p> <ex:b> .': ("ex:caf\u00e9 x", "ex:p", "ex:b", "iri", None),
+    '<ex:a> <ex:p> "' + 'a\\"\\\\u0041' * 50_000 + '" .': ("ex:a", "ex:p", 'a"\\u0041' * 50_000, "literal", None),
+}
+BAD = {
+    "ex:a <ex:p> <ex:b> .": "subject", '"a" <ex:p> <ex:b> .': "subject", "<ex:a> _:p <ex:b> .": "predicate", "<ex:a b> <ex:p> <ex:b> .": "subject", "<ex:a> <ex:p> <ex:b>": "object or end",
+    '<ex:a> <ex:p> "a"b" .': "object or end", '<ex:a> <ex:p> "\\x" .': "object or end", '<ex:a> <ex:p> "\\uD83D" .': "object or end", '<ex:a> <ex:p> "\\U00110000" .': "object or end", '<ex:a> <ex:p> "x"@ .': "object or end",
+}
+
+
+def test_ntriples_of_others(spark):
+    lines = spark.createDataFrame([(x,) for x in [*GOOD, *BAD, "", "  # a comment", "\t"]], "value string")
+    assert sorted(map(tuple, A.parse_triples(lines).collect()), key=str) == sorted(GOOD.values(), key=str)
+    assert {r["value"]: r["stops"] for r in A.rejected_lines(lines).collect()} == BAD
+    again = A.parse_triples(A.triple_lines(spark.createDataFrame(list(GOOD.values()), "s string, p string, o string, o_kind string, o_type string")))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(GOOD.values(), key=str)
+
+
 def test_relation_mean_of_a_small_graph(spark):
     edges = spark.createDataFrame([(0, 0, 1), (2, 0, 1), (1, 1, 3)], "h long, r int, t long")
     vectors = spark.createDataFrame([(i, [float((i + 1) * (i == j)) for j in range(4)]) for i in range(4)], "id long, v array<double>")
