@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,34 +93,6 @@ def relation_summary(graph: DataFrame, k: int = 3) -> DataFrame:
     return graph.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select(local_name("p").alias("relation"), local_name("s").alias("s"), local_name("o").alias("o"), "n")
 
 
-def match(graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
-    """Bindings of a basic graph pattern. Terms that begin with ? are variables; each pattern reads its predicate's triples
-    and joins the others on the variables that they share."""
-
-    def one(pattern: tuple[str, str, str]) -> DataFrame:
-        s, p, o = pattern
-        df = graph.where(F.col("p") == BASE + p)
-        for c, term in (("s", s), ("o", o)):
-            if not term.startswith("?"):
-                df = df.where(F.col(c) == term)
-        return df.select(*(F.col(c).alias(t[1:]) for c, t in (("s", s), ("o", o)) if t.startswith("?")))
-
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, [c for c in a.columns if c in b.columns])
-
-    return reduce(joined, map(one, patterns))
-
-
-def optional(df: DataFrame, graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
-    found = match(graph, *patterns)
-    return df.join(found, [c for c in df.columns if c in found.columns], "left")
-
-
-def not_exists(df: DataFrame, graph: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
-    found = match(graph, *patterns)
-    return df.join(found, [c for c in df.columns if c in found.columns], "left_anti")
-
-
 def str_after(c: str | Column, mark: str) -> Column:
     """What follows the first mark; '' without one."""
     c = F.col(c) if isinstance(c, str) else c
@@ -187,10 +157,10 @@ def distance(dre: str = "dre", dim: str = "dim") -> Column:
 
 
 def negative_samples(edges: DataFrame, entities: int, n: int = 8, seed: int = 0) -> DataFrame:
-    """n corruptions of each edge, of its head or its tail, drawn by hash: the same whatever the partitions."""
+    """n corruptions of each edge, of its head or its tail, drawn by MD5: the same whatever the partitions."""
     each = edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draw = F.pmod(F.xxhash64("h", "r", "t", "k", F.lit(seed)), F.lit(entities))
-    head = F.pmod(F.xxhash64("t", "h", "r", "k", F.lit(seed + 1)), F.lit(2)) == 0
+    number = lambda at: F.conv(F.substr(F.md5(F.concat_ws(":", "h", "r", "t", "k", F.lit(seed)).cast("binary")), F.lit(at), F.lit(8)), 16, 10).cast("long")
+    draw, head = number(1) % entities, number(9) % 2 == 0
     return each.select(F.struct("h", "r", "t").alias("edge"), "k", F.when(head, draw).otherwise(F.col("h")).alias("h"), "r", F.when(head, F.col("t")).otherwise(draw).alias("t"))
 
 

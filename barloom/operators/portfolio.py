@@ -301,8 +301,13 @@ def decision_id(*parts) -> Column:
 
 
 def frame_hash(df: DataFrame) -> DataFrame:
-    """(n, hash): of a table's rows in any order, columns in any order."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("hash"))
+    """(n, hash): of a table's rows in any order, columns in any order: the sum of the first 60 bits of each row's MD5.
+
+    A row's text is its values by column name, each as a string, null as \\N.
+    """
+    row = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)))
+    number = F.conv(F.substr(F.md5(row.cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(number).cast("string").alias("hash"))
 
 
 def trade_log(orders: DataFrame, signals: DataFrame, by: list[str], key: str = "Company") -> DataFrame:

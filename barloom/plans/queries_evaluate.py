@@ -347,7 +347,8 @@ QUERIES = {
     "g7_viterbi": (_g7, "SELECT 'index' AS series, Date, state FROM back_pass"),
     "g8_kalman_beta": (_g8, "SELECT Company, round(CASE WHEN m < 5 THEN 0.0 ELSE a END, 6) AS alpha, round(CASE WHEN m < 5 THEN 1.0 ELSE b END, 6) AS beta FROM kalman JOIN (SELECT Company, max(n) AS n, max(m) AS m FROM steps GROUP BY Company) USING (Company, n)"),
     "g9_align_to_index": (lambda s, d: _rounded(_pairs(s, d), "Company", "Date"), "SELECT Company, Date, round(y, 6) AS y, round(x, 6) AS x FROM pairs"),
-    "g10_trend_regime": (lambda s, d: S.regime_counts(S.trend_regime(V.index_series(s, d))), "SELECT count(*) FILTER (px > sma) AS bull, count(*) FILTER (NOT px > sma) AS bear FROM (SELECT px, CASE WHEN count(px) OVER f >= 50 THEN avg(px) OVER f END AS sma FROM index_series WINDOW f AS (ORDER BY Date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"),
+    "g10_trend_regime": (lambda s, d: S.trend_regime(V.index_series(s, d)).select("Date", R("px").alias("px"), R("sma").alias("sma"), "bull"), "SELECT Date, round(px, 6) AS px, round(sma, 6) AS sma, px > sma AS bull FROM (SELECT Date, px, CASE WHEN count(px) OVER f >= 50 THEN avg(px) OVER f END AS sma FROM index_series WINDOW f AS (ORDER BY Date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"),
+    "g10_regime_counts": (lambda s, d: S.regime_counts(S.trend_regime(V.index_series(s, d))), "SELECT count(*) FILTER (px > sma) AS bull, count(*) FILTER (NOT px > sma) AS bear FROM (SELECT px, CASE WHEN count(px) OVER f >= 50 THEN avg(px) OVER f END AS sma FROM index_series WINDOW f AS (ORDER BY Date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"),
 }
 MORE = {"boot": BOOT, "filled": FILLED, "days": DAYS, "cuts": CUTS, "sides": SIDES, "good": GOOD, "tests": TEST, **RIDGE, **PICKED, "ic": IC, "idx": IDX, "named": SERIES, "metrics": METRICS, "lr": LR, "forward_pass": FORWARD, "back_pass": BACK, "pairs": PAIRS, "steps": STEPS, "kalman": KALMAN}
 ORACLES = {k: oracle(sql, **MORE) for k, (_, sql) in QUERIES.items() if sql}

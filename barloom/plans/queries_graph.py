@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import graph as G
 from barloom.operators import integrate as I
+from barloom.operators import patterns as P
 from barloom.plans import views as V
 from barloom.plans.queries_base import FILLED
 from barloom.plans.views import oracle
@@ -43,16 +44,19 @@ STORED = Stored()
 
 
 def _once(name, d, graph):
-    return STORED.get(name, d, graph, lambda: graph, "p").select(*G.COLUMNS)
+    return P.PatternGraph(STORED.get(name, d, graph, lambda: P.encoded(graph), "p"))
+
+
+def _kg_triples(s, d):
+    return G.company_triples(_base(s, d)).unionByName(G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d))).unionByName(G.acquisition_triples(V.acquisitions(s, d)))
 
 
 def _kg(s, d):
-    own = G.company_triples(_base(s, d)).unionByName(G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d))).unionByName(G.acquisition_triples(V.acquisitions(s, d)))
-    return _once("companies", d, own)
+    return _once("companies", d, _kg_triples(s, d))
 
 
 def _obs_kg(s, d):
-    return _kg(s, d).unionByName(_once("observations", d, G.observation_triples(_obs(s, d))))
+    return _once("companies and observations", d, _kg_triples(s, d).unionByName(G.observation_triples(_obs(s, d))))
 
 
 COMPANY = """SELECT 'ex:company/' || Symbol AS s, 'ex:type' AS p, 'ex:Company' AS o FROM base UNION SELECT 'ex:company/' || Symbol, 'ex:belongsToSector', 'ex:sector/' || Sector FROM base WHERE Sector IS NOT NULL
@@ -62,7 +66,23 @@ COMPANY = """SELECT 'ex:company/' || Symbol AS s, 'ex:type' AS p, 'ex:Company' A
 
 
 def _name(c, prefix):
-    return G.str_after(c, prefix).alias(c)
+    return G.str_after(f"{c}_term", prefix).alias(c)
+
+
+def _term(*names):
+    """In a group of a variable's number, its term."""
+    return [F.any_value(f"{c}_term").alias(f"{c}_term") for c in names]
+
+
+def _e3(s, d):
+    """Numbers are told apart by their value, not by how either engine prints it."""
+    rows, literal = G.observation_triples(_obs(s, d)), F.col("o_kind") == "literal"
+    return rows.select("s", "p", F.when(~literal, F.col("o")).alias("node"), F.when(literal, F.col("o").try_cast("double")).alias("number"))
+
+
+E3 = """SELECT 'ex:company/' || Company AS s, 'ex:hasObservation' AS p, 'ex:obs/' || Company || '_' || Date AS node, NULL::double AS number FROM obs UNION ALL SELECT 'ex:obs/' || Company || '_' || Date, 'ex:recordedOn', 'ex:date/' || Date, NULL FROM obs
+ UNION ALL SELECT 'ex:obs/' || Company || '_' || Date, 'ex:closePrice', NULL, Close FROM obs UNION ALL SELECT 'ex:obs/' || Company || '_' || Date, 'ex:tradeVolume', NULL, Volume FROM obs
+ UNION ALL SELECT 'ex:obs/' || Company || '_' || Date, 'ex:target7dUp', NULL, up FROM obs UNION ALL SELECT 'ex:date/' || Date, 'ex:eurExchangeRate', NULL, EUR FROM (SELECT DISTINCT Date, EUR FROM obs)"""
 
 
 def _e4(s, d):
@@ -77,72 +97,67 @@ E4 = f"SELECT 'ex:company/' || Symbol AS s, 'ex:acquired' AS p, {_NODE} AS o FRO
 
 
 def _e10(s, d):
-    rows = G.match(_obs_kg(s, d), ("?c", "belongsToSector", "?sector"), ("?c", "hasSize", "?size"), ("?c", "hasObservation", "?ob"), ("?ob", "target7dUp", "?up"))
-    out = rows.groupBy("sector", "size").agg(R(F.avg(F.col("up").cast("double"))).alias("mean_up"), F.count("*").alias("n")).where("n >= 100")
+    rows = _obs_kg(s, d).match(("?c", "belongsToSector", "?sector"), ("?c", "hasSize", "?size"), ("?c", "hasObservation", "?ob"), ("?ob", "target7dUp", "?up"))
+    out = rows.groupBy("sector", "size").agg(*_term("sector", "size"), R(F.avg(F.col("up_term").cast("double"))).alias("mean_up"), F.count("*").alias("n")).where("n >= 100")
     return out.select(_name("sector", "sector/"), _name("size", "size/"), "mean_up", "n").orderBy(F.desc("mean_up"))
 
 
-def _gdp(kg, country, name):
-    return G.match(kg, (f"?{country}", "gdpUsd", f"?{name}"))
-
-
 def _e11(s, d):
     kg = _kg(s, d)
-    rows = G.match(kg, ("?c", "hasVolatility", f"{G.BASE}volatility/High_Volatility"), ("?c", "headquarteredIn", "?country"), ("?country", "hasTensionWith", "?rival"))
+    rows = kg.match(("?c", "hasVolatility", f"{G.BASE}volatility/High_Volatility"), ("?c", "headquarteredIn", "?country"), ("?country", "hasTensionWith", "?rival"))
     # the rival's country is named again under another prefix, and found by the rewritten name
-    rows = rows.withColumn("rival", F.concat(F.lit(f"{G.BASE}country/"), G.str_after("rival", "country/")))
-    rows = G.optional(G.optional(rows, kg, ("?country", "gdpUsd", "?gdp")), kg, ("?rival", "gdpUsd", "?rival_gdp")).distinct()
-    rows = rows.select(_name("c", "company/"), _name("country", "country/"), _name("rival", "country/"), R(F.col("gdp").cast("double"), 0).alias("gdp"), R(F.col("rival_gdp").cast("double"), 0).alias("rival_gdp"))
+    rows = rows.withColumn("rival_term", F.concat(F.lit(f"{G.BASE}country/"), G.str_after("rival_term", "country/"))).withColumn("rival", kg.node(F.col("rival_term")))
+    rows = kg.optional(kg.optional(rows, ("?country", "gdpUsd", "?gdp")), ("?rival", "gdpUsd", "?rival_gdp")).distinct()
+    rows = rows.select(_name("c", "company/"), _name("country", "country/"), _name("rival", "country/"), R(F.col("gdp_term").cast("double"), 0).alias("gdp"), R(F.col("rival_gdp_term").cast("double"), 0).alias("rival_gdp"))
     return rows.orderBy(F.desc_nulls_last("gdp"), "c", "rival").limit(200)
 
 
 def _e12(s, d):
-    kg = _kg(s, d)
-    rows = G.match(kg, ("?a", "belongsToSector", "?x"), ("?a", "inIndustry", "?y"), ("?a", "hasSize", "?z"))
+    rows = _kg(s, d).match(("?a", "belongsToSector", "?x"), ("?a", "inIndustry", "?y"), ("?a", "hasSize", "?z")).select("x", "y", "z", F.col("a_term").alias("a"))
     # the first 500 pairs of a group are among its first 501 members, whatever its size
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("a"))).where("n <= 501").drop("n")
     pairs = rows.join(rows.withColumnRenamed("a", "b"), ["x", "y", "z"]).where("a < b")
-    return pairs.select(_name("a", "company/"), _name("b", "company/")).orderBy("a", "b").limit(500)
+    return pairs.select(G.str_after("a", "company/").alias("a"), G.str_after("b", "company/").alias("b")).orderBy("a", "b").limit(500)
 
 
 def _e13(s, d):
     kg = _kg(s, d)
-    rows = G.match(kg, ("?c", "hasSize", f"{G.BASE}size/Mega_Cap"), ("?c", "headquarteredIn", "?country"), ("?c", "belongsToSector", "?sector"))
-    rows = G.optional(rows.where(F.col("country") == f"{G.BASE}country/NATION_1"), kg, ("?country", "gdpUsd", "?gdp"))
-    return rows.groupBy(_name("sector", "sector/")).agg(F.countDistinct("c").alias("n"), R(F.max(F.col("gdp").cast("double")), 0).alias("gdp"))
+    rows = kg.match(("?c", "hasSize", f"{G.BASE}size/Mega_Cap"), ("?c", "headquarteredIn", "?country"), ("?c", "belongsToSector", "?sector"))
+    rows = kg.optional(rows.where(F.col("country_term") == f"{G.BASE}country/NATION_1"), ("?country", "gdpUsd", "?gdp"))
+    return rows.groupBy("sector").agg(*_term("sector"), F.countDistinct("c").alias("n"), R(F.max(F.col("gdp_term").cast("double")), 0).alias("gdp")).select(_name("sector", "sector/"), "n", "gdp")
 
 
 def _e14(s, d):
     kg = _kg(s, d)
-    rows = G.optional(G.match(kg, ("?c", "acquired", "?a")), kg, ("?a", "acquisitionPrice", "?price")).withColumn("price", F.col("price").cast("double"))
-    return rows.groupBy(_name("c", "company/")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), R(F.sum("price"), 2).alias("total"), R(F.avg("price")).alias("mean"))
+    rows = kg.optional(kg.match(("?c", "acquired", "?a")), ("?a", "acquisitionPrice", "?price")).withColumn("price", F.col("price_term").cast("double"))
+    return rows.groupBy("c").agg(*_term("c"), F.count("*").alias("n"), F.count("price").alias("priced"), R(F.sum("price"), 2).alias("total"), R(F.avg("price")).alias("mean")).select(_name("c", "company/"), "n", "priced", "total", "mean")
 
 
 def _e15(s, d):
-    rows = G.match(_obs_kg(s, d), ("?c", "hasVolatility", "?v"), ("?c", "hasObservation", "?ob"), ("?ob", "target7dUp", "?up"))
-    return rows.groupBy(_name("v", "volatility/")).agg(R(F.avg(F.col("up").cast("double"))).alias("mean_up"), F.count("*").alias("n"), F.countDistinct("c").alias("companies"))
+    rows = _obs_kg(s, d).match(("?c", "hasVolatility", "?v"), ("?c", "hasObservation", "?ob"), ("?ob", "target7dUp", "?up"))
+    return rows.groupBy("v").agg(*_term("v"), R(F.avg(F.col("up_term").cast("double"))).alias("mean_up"), F.count("*").alias("n"), F.countDistinct("c").alias("companies")).select(_name("v", "volatility/"), "mean_up", "n", "companies")
 
 
 def _e16(s, d):
-    rows = G.match(_kg(s, d), ("?c", "headquarteredIn", "?x"), ("?x", "sharesBorderWith", "?y"), ("?y", "hasTensionWith", "?z"))
+    rows = _kg(s, d).match(("?c", "headquarteredIn", "?x"), ("?x", "sharesBorderWith", "?y"), ("?y", "hasTensionWith", "?z"))
     return rows.select(_name("c", "company/"), _name("x", "country/"), _name("y", "country/"), _name("z", "country/")).distinct().orderBy("c", "y", "z").limit(200)
 
 
 def _e17(s, d):
-    rows = G.match(_kg(s, d), ("?c", "belongsToSector", "?sector"), ("?c", "headquarteredIn", "?x"), ("?x", "inRegion", "?region"))
-    return rows.groupBy(_name("sector", "sector/"), _name("region", "region/")).agg(F.countDistinct("c").alias("n"))
+    rows = _kg(s, d).match(("?c", "belongsToSector", "?sector"), ("?c", "headquarteredIn", "?x"), ("?x", "inRegion", "?region"))
+    return rows.groupBy("sector", "region").agg(*_term("sector", "region"), F.countDistinct("c").alias("n")).select(_name("sector", "sector/"), _name("region", "region/"), "n")
 
 
 def _e18(s, d):
     kg = _kg(s, d)
-    rows = G.match(kg, ("?c", "hasSize", "?size"), ("?c", "belongsToSector", "?sector")).where(F.col("size").isin(f"{G.BASE}size/Large_Cap", f"{G.BASE}size/Mega_Cap"))
-    high = G.match(kg, ("?v", "hasVolatility", f"{G.BASE}volatility/High_Volatility"), ("?v", "belongsToSector", "?sector")).select("sector")
-    kept = G.not_exists(rows.join(high, "sector", "left_semi"), kg, ("?c", "acquired", "?a"))
+    rows = kg.match(("?c", "hasSize", "?size"), ("?c", "belongsToSector", "?sector")).where(F.col("size_term").isin(f"{G.BASE}size/Large_Cap", f"{G.BASE}size/Mega_Cap"))
+    high = kg.match(("?v", "hasVolatility", f"{G.BASE}volatility/High_Volatility"), ("?v", "belongsToSector", "?sector")).select("sector")
+    kept = kg.not_exists(rows.join(high, "sector", "left_semi"), ("?c", "acquired", "?a"))
     return kept.select(_name("c", "company/"), _name("size", "size/"), _name("sector", "sector/"))
 
 
 def _e19(s, d):
-    rows = G.match(_kg(s, d), ("?c", "belongsToSector", "?sector"), ("?c", "acquired", "?a")).groupBy("sector", "c").agg(F.count("*").alias("n"))
+    rows = _kg(s, d).match(("?c", "belongsToSector", "?sector"), ("?c", "acquired", "?a")).groupBy("sector", "c").agg(*_term("sector", "c"), F.count("*").alias("n"))
     ranked = rows.withColumn("rank", F.rank().over(Window.partitionBy("sector").orderBy(F.desc("n")))).where("rank <= 3")
     return ranked.select(_name("sector", "sector/"), _name("c", "company/"), "n")
 
@@ -184,7 +199,12 @@ def _e21(s, d):
 
 
 def _e25(s, d):
-    return G.negative_samples(_edges(s, d), V.table(s, d, "embeddings").count())
+    return G.negative_samples(_edges(s, d), V.table(s, d, "embeddings").count()).select(F.col("edge.h").alias("of_h"), F.col("edge.t").alias("of_t"), "k", "h", "r", "t")
+
+
+_DRAW = "('0x' || substr(md5(concat_ws(':', h, r, t, k, 0)), {}, 8))::bigint"
+E25 = f"""SELECT h AS of_h, t AS of_t, k, CASE WHEN head THEN draw ELSE h END AS h, r, CASE WHEN head THEN t ELSE draw END AS t FROM
+ (SELECT *, {_DRAW.format(1)} % (SELECT count(*) FROM embeddings) AS draw, {_DRAW.format(9)} % 2 = 0 AS head FROM edges CROSS JOIN (SELECT unnest(range(1, 9)) AS k))"""
 
 
 def _e26(s, d):
@@ -225,13 +245,12 @@ E20 = f"SELECT s, p, o FROM ({COMPANY}) WHERE p <> 'ex:type' UNION SELECT 'ex:co
 QUERIES = {
     "e1_mint_iri": (lambda s, d: V.companies(s, d).select("Symbol", G.mint_iri("ex:", F.concat("Industry", F.lit(" a/b & c"))).alias("iri")), "SELECT Symbol, 'ex:' || replace(url_encode(replace(Industry || ' a/b & c', ' ', '_')), '%2F', '/') AS iri FROM companies"),
     "e2_company_triples": (lambda s, d: G.company_triples(_base(s, d)).select("s", "p", "o"), COMPANY),
-    "e3_observation_triples": (lambda s, d: G.observation_triples(_obs(s, d)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), R(F.sum(F.col("o").try_cast("double")), 2).alias("total")), """SELECT 'ex:hasObservation' AS p, count(*) AS n, count(DISTINCT Company) AS subjects, NULL::double AS total FROM obs UNION ALL SELECT 'ex:recordedOn', count(*), count(*), NULL FROM obs UNION ALL SELECT 'ex:closePrice', count(*), count(*), round(sum(Close), 2) FROM obs
- UNION ALL SELECT 'ex:tradeVolume', count(*), count(*), round(sum(Volume), 2) FROM obs UNION ALL SELECT 'ex:target7dUp', count(*), count(*), sum(up) FROM obs UNION ALL SELECT 'ex:eurExchangeRate', count(*), count(*), round(sum(EUR), 2) FROM (SELECT DISTINCT Date, EUR FROM obs)"""),
+    "e3_observation_triples": (_e3, E3),
     "e4_acquisition_triples": (_e4, E4),
     "e5_macro_triples": (lambda s, d: G.macro_triples(V.macro(s, d), V.borders(s, d), V.tensions(s, d)).select("s", "p", F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(R(F.col("o").try_cast("double"), 0).cast("decimal(20,0)").cast("string")).alias("o")), "SELECT 'ex:country/' || country AS s, 'ex:type' AS p, 'ex:Country' AS o FROM macro UNION ALL SELECT 'ex:country/' || country, 'ex:gdpUsd', CAST(CAST(gdp_usd AS DECIMAL(20, 0)) AS VARCHAR) FROM macro WHERE gdp_usd IS NOT NULL UNION ALL SELECT 'ex:country/' || country, 'ex:sharesBorderWith', 'ex:country/' || neighbour FROM borders UNION ALL SELECT 'ex:country/' || country, 'ex:hasTensionWith', 'ex:country/' || rival FROM tensions"),
-    "e6_graph_size": (lambda s, d: G.counts(_once("company", d, G.company_triples(_base(s, d)))), f"SELECT p, count(*) AS n FROM ({COMPANY}) GROUP BY p"),
+    "e6_graph_size": (lambda s, d: G.counts(_once("company", d, G.company_triples(_base(s, d))).edges), f"SELECT p, count(*) AS n FROM ({COMPANY}) GROUP BY p"),
     "e7_relation_summary": (lambda s, d: G.relation_summary(G.company_triples(_base(s, d))), f"SELECT regexp_replace(p, '^.*[:/#]', '') AS relation, regexp_replace(s, '^.*[:/#]', '') AS s, regexp_replace(o, '^.*[:/#]', '') AS o, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s, o) AS n FROM ({COMPANY})) WHERE n <= 3"),
-    "e8_match": (lambda s, d: G.match(_kg(s, d), ("?c", "headquarteredIn", "?x"), ("?x", "gdpUsd", "?gdp"), ("?c", "hasSize", f"{G.BASE}size/Mega_Cap")).select(_name("c", "company/"), _name("x", "country/")), "SELECT CAST(Symbol AS VARCHAR) AS c, b.Country AS x FROM base b JOIN macro m ON m.country = b.Country WHERE gdp_usd IS NOT NULL AND size_class = 'Mega_Cap'"),
+    "e8_match": (lambda s, d: _kg(s, d).match(("?c", "headquarteredIn", "?x"), ("?x", "gdpUsd", "?gdp"), ("?c", "hasSize", f"{G.BASE}size/Mega_Cap")).select(_name("c", "company/"), _name("x", "country/")), "SELECT CAST(Symbol AS VARCHAR) AS c, b.Country AS x FROM base b JOIN macro m ON m.country = b.Country WHERE gdp_usd IS NOT NULL AND size_class = 'Mega_Cap'"),
     "e9_string_terms": (lambda s, d: V.companies(s, d).select("Symbol", G.str_after("Name", "#").alias("a"), G.str_after("Name", "none").alias("b"), F.concat(F.lit("ex:"), G.str_after("Industry", "Brand")).alias("c")), "SELECT Symbol, split_part(Name, '#', 2) AS a, '' AS b, 'ex:' || replace(Industry, 'Brand', '') AS c FROM companies"),
     "e10_label_by_sector_size": (_e10, "SELECT Sector AS sector, size_class AS size, round(avg(up), 6) AS mean_up, count(*) AS n FROM base JOIN obs ON Company = Symbol GROUP BY ALL HAVING count(*) >= 100"),
     "e11_volatile_in_tension": (_e11, "SELECT DISTINCT CAST(Symbol AS VARCHAR) AS c, b.Country AS country, t.rival, round(m.gdp_usd, 0) AS gdp, round(r.gdp_usd, 0) AS rival_gdp FROM base b JOIN tensions t ON t.country = b.Country LEFT JOIN macro m ON m.country = b.Country LEFT JOIN macro r ON r.country = t.rival WHERE volatility_class = 'High_Volatility' ORDER BY gdp DESC NULLS LAST, c, t.rival LIMIT 200"),
@@ -243,12 +262,12 @@ QUERIES = {
     "e17_sector_by_region": (_e17, "SELECT Sector AS sector, url_encode(replace(Region, ' ', '_')) AS region, count(DISTINCT Symbol) AS n FROM base WHERE Sector IS NOT NULL GROUP BY ALL"),
     "e18_no_acquisitions": (_e18, "SELECT CAST(Symbol AS VARCHAR) AS c, size_class AS size, Sector AS sector FROM base WHERE size_class IN ('Large_Cap', 'Mega_Cap') AND Sector IN (SELECT Sector FROM base WHERE volatility_class = 'High_Volatility') AND Symbol NOT IN (SELECT Symbol FROM acq)"),
     "e19_top_acquirers": (_e19, "SELECT sector, c, n FROM (SELECT Sector AS sector, CAST(Symbol AS VARCHAR) AS c, count(*) AS n, rank() OVER (PARTITION BY Sector ORDER BY count(*) DESC) AS k FROM base JOIN acq USING (Symbol) WHERE Sector IS NOT NULL GROUP BY Sector, Symbol) WHERE k <= 3"),
-    "e20_structural_edges": (lambda s, d: G.structural_edges(_kg(s, d), STRUCTURE).where("p <> 'ex:acquired'"), E20),
+    "e20_structural_edges": (lambda s, d: G.structural_edges(_kg(s, d).triples(), STRUCTURE).where("p <> 'ex:acquired'"), E20),
     "e21_dictionary_encode": (_e21, "SELECT Name, row_number() OVER (ORDER BY Name) - 1 AS id FROM (SELECT DISTINCT Name FROM companies)"),
     "e22_inverse_edges": (lambda s, d: G.with_inverse_edges(_edges(s, d), 3), "SELECT h, r, t FROM edges UNION ALL SELECT t, r + 3, h FROM edges"),
     "e23_relation_mean": (lambda s, d: G.relation_mean(_edges(s, d), _vectors(s, d).select("id", "v")).select("node", "dim", R("value").alias("value")), "SELECT node, dim, round(sum(x), 6) AS value FROM (SELECT t AS node, r, i - 1 AS dim, avg(embedding[i]::double) AS x FROM edges JOIN embeddings ON vec_id = h CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY t, r, i) GROUP BY node, dim"),
     "e24_rotate_distance": (lambda s, d: _distances(s, d, _edges(s, d)).select("h", "r", "t", R("d").alias("d")), "SELECT h, r, t, round(d, 6) AS d FROM distances"),
-    "e25_negative_samples": (_e25, None),
+    "e25_negative_samples": (_e25, E25),
     "e26_rotate_loss": (_e26, E26),
     "e27_train_rotate": (_e27, None),
     "e28_company_vectors": (lambda s, d: G.company_vectors(V.companies(s, d).select("Symbol", F.concat(F.lit("ex:"), F.when(F.col("Symbol") % 3 == 0, F.lit("a_b")).otherwise(F.col("Name"))).alias("name"))), "SELECT Symbol, 'ex:' || Name AS name FROM companies WHERE Symbol % 3 <> 0"),

@@ -246,7 +246,8 @@ H24 = """SELECT Date, round(realised, 6) + 0.0 AS realised, round(regime, 6) + 0
 
 
 def _h26(s, d):
-    return H.frame_hash(V.bars(s, d))
+    cents = lambda c: F.floor(F.col(c) * 100).cast("long").alias(c)
+    return H.frame_hash(V.bars(s, d).select("Company", "Date", cents("Close"), cents("Volume")))
 
 
 def _h26b(s, d):
@@ -293,7 +294,7 @@ QUERIES = {
     "h23_weekly_ledger": (_h23, "SELECT strategy, Date, bull, picks, round(equity, 4) AS equity, round(c.ret, 4) AS ret, round(i.ret, 4) AS benchmark FROM curve c JOIN (SELECT Date, string_agg(CAST(Company AS VARCHAR), ',' ORDER BY CAST(Company AS VARCHAR)) AS picks FROM eq GROUP BY Date) USING (Date) LEFT JOIN bull USING (Date) LEFT JOIN idx i USING (Date) WHERE strategy = 'long'"),
     "h24_attribution": (_h24, H24),
     "h25_realised_window_return": (lambda s, d: _rounded(H.realised_window_return(V.bars(s, d), "2000-06-01"), "Company"), "SELECT Company, round(max_by(Close, Date) / min_by(Close, Date) - 1, 6) AS ret, count(*) AS n FROM bars WHERE Date >= DATE '2000-06-01' GROUP BY Company HAVING count(*) >= 2"),
-    "h26_frame_hash": (_h26, None),
+    "h26_frame_hash": (_h26, "SELECT count(*) AS n, CAST(sum(('0x' || substr(md5(concat_ws(chr(31), floor(Close * 100)::bigint, Company, Date, floor(Volume * 100)::bigint)), 1, 15))::bigint) AS VARCHAR) AS hash FROM bars"),
     "h26_decision_id": (_h26b, "SELECT Symbol, substr(sha256(concat_ws('|', Name, Sector, Country)), 1, 16) AS decision_id FROM companies"),
     "h27_trade_log": (_h27, H27),
     "h28_drawdown_breaker": (_h28, "SELECT strategy, Date, round(equity, 4) AS equity, round(peak, 4) AS peak, round(drawdown, 4) AS drawdown, max(CASE WHEN drawdown <= -0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy ORDER BY Date) = 1 AS halted FROM dd"),
