@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import features as X
 from barloom.operators import evaluate as E
 from barloom.operators import integrate as I
+from barloom.operators import networks as N
 from barloom.operators import series as S
 from barloom.operators import walk_forward as W
 from barloom.plans import views as V
@@ -116,10 +117,9 @@ def _f4(s, d):
 
 
 def _f7(s, d):
-    from pyspark.ml.classification import RandomForestClassifier
-
-    cells = E.time_series_grid(_model_rows(s, d), RandomForestClassifier(labelCol="up", numTrees=100, seed=1), [{"maxDepth": 2}, {"maxDepth": 4}], "up")
-    return s.createDataFrame([(p["maxDepth"], float(f)) for p, f in cells], "max_depth int, f1 double")
+    rows = _labelled(s, d)
+    scores = N.grid_search(W.Folds(rows, 3, 0, 1), FEATURES["tabular+embedding"], "up")
+    return _rounded(N.best_cell(scores), "hidden", "activation", "penalty", "rate", "best")
 
 
 def _f8(s, d):
