@@ -73,16 +73,22 @@ def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
     """texts (doc_id, text, ...) with next_<c> of each carried column: the next row's by descending doc_id, the first row's after the last.
 
     Rows meet their neighbours in cells of the id range that hold like numbers of rows, however the ids are spread; each
-    is sorted by its own task, and the first row of every cell visits the cell before it. Rows of equal id follow one another by text hash; null ids come last.
+    is sorted by its own task, and the first row of every cell visits the cell before it. Rows of equal id follow one
+    another by text hash. Null ids come last; theirs are cells of the range of text hashes, as many as all other cells.
     """
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    texts = with_range_cells(texts, "doc_id", -(-chars // CELL_CHARS))
-    heads = texts.groupBy("cell").agg(F.max("doc_id").alias("head"))
+    cells = -(-chars // CELL_CHARS)
+    texts = with_range_cells(texts, "doc_id", cells)
+    bits = max(0, int(cells) - 1).bit_length()
+    # cells are numbered against the order: the null ones from -1 down, by ascending hash
+    texts = texts.withColumn("cell", F.when(F.col("doc_id").isNull(), -1 - F.shiftright("tie", 64 - bits) - 2**bits // 2 if bits else F.lit(-1)).otherwise(F.col("cell")).cast("long"))
+    place = F.struct(F.bitwise_not("doc_id").alias("id"), F.col("tie").alias("tie"))  # ascending, without overflow
+    heads = texts.groupBy("cell").agg(F.min(place).alias("head"))
     # one row for each CELL_CHARS of input: the one unpartitioned window is over these alone
     order = Window.orderBy("cell")
     heads = heads.withColumn("to", F.lead("cell").over(order)).withColumn("low", F.min("cell").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = materialize(heads.select("cell", "head", F.coalesce("to", "low").alias("to")))
-    visitors = texts.alias("t").join(heads.alias("h"), F.expr("t.cell = h.cell and t.doc_id <=> h.head")).select(*(f"t.{c}" for c in texts.columns if c != "cell"), F.col("h.to").alias("cell"))
+    heads = materialize(heads.select("cell", F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"), F.coalesce("to", "low").alias("to")))
+    visitors = texts.alias("t").join(heads.alias("h"), F.expr("t.cell = h.cell and ~t.doc_id <=> h.head_id and t.tie = h.head_tie")).select(*(f"t.{c}" for c in texts.columns if c != "cell"), F.col("h.to").alias("cell"))
     rows = texts.withColumn("visits", F.lit(False)).unionByName(visitors.withColumn("visits", F.lit(True)))
     w = Window.partitionBy("cell").orderBy("visits", F.col("doc_id").desc_nulls_last(), "tie")
     return rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("not visits").drop("cell", "visits")
