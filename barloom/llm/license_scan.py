@@ -25,21 +25,30 @@ from barloom.llm._common import worker_cache
 #: Phrases whose every place is reported, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Passages of well-known public license texts, and their labels.
+#: Passages of well-known public license texts, and their labels: the family, and the version where the words name one.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("gpl", "licensed under the gnu general public license version 3"),
+    ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-3", "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful"),
+    ("gpl-2", "either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful"),
     ("lgpl", "under the terms of the gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "boost software license version 1 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    *((f"cc-{kind.replace(' ', '-')}-{version}.0", f"licensed under cc {kind} {version} 0") for kind in ("by", "by nc", "by nd", "by sa", "by nc nd", "by nc sa") for version in (3, 4)),
 ]
 
 #: Words of a k-gram; the shortest phrase has two.

@@ -65,6 +65,24 @@ def test_fingerprints_fold(spark):
     assert fingerprint.edited_fingerprints(odd(spark).limit(1)).first()["near_next"] == 1.0
 
 
+def test_fingerprints_of_many_null_ids(spark, monkeypatch):
+    """Half of the rows have no id: they stand last by text hash, and no cell holds them all."""
+    monkeypatch.setattr(fingerprint, "CELL_CHARS", 2_000)
+    rows = [(i if i % 2 else None, f"text number {i} " + "x" * (i % 13)) for i in range(900)] + [(None, "again"), (None, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ties = {r["text"]: r["tie"] for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    want = sorted(((i or -1, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)))
+    seen = []
+    real = fingerprint.with_range_cells
+    monkeypatch.setattr(fingerprint, "materialize", lambda x: (seen.append(x), x)[1])
+    got = fingerprint.with_next(df.withColumn("tie", F.xxhash64("text")), ["text"])
+    assert sorted((r["doc_id"] or -1, r["text"], r["next_text"]) for r in got.collect()) == want
+    assert seen[0].where("cell < 0").count() > 4 and real is fingerprint.with_range_cells
+    out = fingerprint.edited_fingerprints(df)
+    assert out.count() == len(rows)
+
+
 def test_toxicity(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -274,7 +292,7 @@ def test_derived_calls_hold_whole_texts(spark):
 
 
 def test_like_licenses_are_told_apart(spark):
-    texts = {"gpl": "you may use it under the terms of the GNU General Public License as it stands", "lgpl": "under the terms of the GNU Lesser General Public License", "cc-by": "licensed under CC BY 4.0", "cc-by-nc": "licensed under CC BY NC 4.0", "cc-by-sa": "licensed under CC BY SA 4.0"}
+    texts = {"gpl": "you may use it under the terms of the GNU General Public License as it stands", "lgpl": "under the terms of the GNU Lesser General Public License", "cc-by-4.0": "licensed under CC BY 4.0", "cc-by-nc-4.0": "licensed under CC BY NC 4.0", "cc-by-sa-4.0": "licensed under CC BY SA 4.0", "cc-by-sa-3.0": "licensed under CC BY-SA 3.0", "cc-by-nd-4.0": "licensed under CC BY-ND 4.0", "agpl": "under the terms of the GNU Affero General Public License", "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "gpl-2": "either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful", "gpl-3": "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful"}
     rows = list(enumerate(texts.values()))
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, label in enumerate(texts):
