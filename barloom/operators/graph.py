@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -178,21 +180,21 @@ def rotate_loss(positive: DataFrame, negative: DataFrame, gamma: float = 6.0, te
     return both.agg((-(F.avg("pos") + F.avg("neg")) / 2).alias("loss"))
 
 
-def _local_epochs(rate: float, gamma: float, n: int, seed: int):
-    """Adam over one shard's edges, for as many epochs as the round has; returns the shard's parameters and losses."""
+def _local_epochs(rate: float, gamma: float, n: int, seed: int, first: int, epochs: int):
+    """Adam over one task's edges for some epochs: (kind, id, state, n) of its entities and relations, and the losses."""
 
     def train(edges: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["h", "r", "t"])
-        first, epochs = int(edges["first"].iloc[0]), int(edges["epochs"].iloc[0])
         ent, rel = (params[params["kind"] == k].sort_values("id") for k in (0, 1))
         ids, rels = ent["id"].to_numpy(), rel["id"].to_numpy()
-        (xe, me, ve), (xr, mr, vr) = (np.split(np.stack(x["state"].to_list()).astype(float), 3, axis=1) for x in (ent, rel))
-        dims = xr.shape[1]
-        h, t = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("h", "t"))
-        r = np.searchsorted(rels, edges["r"].to_numpy())
-        draw = np.random.default_rng([seed, first, int(edges["shard"].iloc[0]) & 0xFFFFFFFF])
-        losses = []
-        for epoch in range(first, first + epochs):
+        (xe, me, ve), (xr, mr, vr) = (np.split(np.stack(x["state"].to_list()).astype(float), 3, axis=1) if len(x) else (np.zeros((0, 0)),) * 3 for x in (ent, rel))
+        losses: list[float] = []
+        if len(edges):
+            edges = edges.sort_values(["h", "r", "t"])
+            dims = xr.shape[1]
+            h, t = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("h", "t"))
+            r = np.searchsorted(rels, edges["r"].to_numpy())
+            draw = np.random.default_rng([seed, first, int(params["pair"].iloc[0])])
+        for epoch in range(first, first + epochs) if len(edges) else ():
             heads = draw.random((len(h), n)) < 0.5
             other = draw.integers(len(ids), size=(len(h), n))
             hh = np.concatenate([h[:, None], np.where(heads, other, h[:, None])], axis=1)
@@ -217,28 +219,38 @@ def _local_epochs(rate: float, gamma: float, n: int, seed: int):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad**2 - v)
                 x -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-        out = [(0, i, x) for i, x in zip(ids, np.concatenate([xe, me, ve], axis=1), strict=True)]
-        out += [(1, i, x) for i, x in zip(rels, np.concatenate([xr, mr, vr], axis=1), strict=True)]
-        out += [(2, first + i, np.array([x, len(h)], float)) for i, x in enumerate(losses)]
-        return pd.DataFrame(out, columns=["kind", "id", "state"])
+        weight = float(len(edges))
+        out = [(0, i, x, 1.0) for i, x in zip(ids, np.concatenate([xe, me, ve], axis=1), strict=True)]
+        out += [(1, i, x, weight) for i, x in zip(rels, np.concatenate([xr, mr, vr], axis=1), strict=True)]
+        out += [(2, first + i, np.array([x, weight], float), 1.0) for i, x in enumerate(losses)]
+        return pd.DataFrame(out, columns=["kind", "id", "state", "n"])
 
     return train
 
 
-def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, epochs: int = 250, rate: float = 0.01, gamma: float = 6.0, n: int = 4, patience: int = 20, seed: int = 0, sync: int = 25, shard_edges: int = 50_000) -> tuple[DataFrame, DataFrame, list[float]]:
+def partner(block: Column, turn: int, blocks: int) -> Column:
+    """The block that meets this one in a turn: over blocks - 1 turns (an even number of blocks) each two meet once."""
+    mate = F.pmod(F.lit(2 * turn) - block, F.lit(blocks - 1))
+    return F.when(block == blocks - 1, F.lit(turn)).when(mate == block, F.lit(blocks - 1)).otherwise(mate)
+
+
+def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, epochs: int = 250, rate: float = 0.01, gamma: float = 6.0, n: int = 4, patience: int = 20, seed: int = 0, sync: int = 25, task_edges: int = 50_000, task_entities: int = 100_000) -> tuple[DataFrame, DataFrame, list[float]]:
     """Entities (id, re, im), phases (r, phase) and the loss by epoch, after training with Adam and softmax-weighted corruptions.
 
-    Edges are dealt by hash to shards of about shard_edges, each with the parameters of the nodes it touches; a shard
-    trains `sync` epochs by itself, and then every parameter (and its moments) is the mean over its shards. With one
-    shard this is plain training on all edges. It stops when the loss has not fallen for `patience` epochs.
+    Entities are dealt to blocks by hash. In a turn every block meets one other, and a task has the edges between and (in
+    the first turn) within its two blocks, with the parameters of those blocks alone; corruptions are drawn from all their
+    entities. So an entity is trained by one task at a time and nothing of it is averaged; relations are few, go to all
+    tasks, and are the mean by edges after a turn. Over a cycle of turns each edge trains `sync` epochs. There are as many
+    blocks as keep a task at about task_edges and task_entities; a small graph is two blocks that always meet, which is
+    plain training on all edges. It stops when the loss has not fallen for `patience` epochs.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    shards = max(1, -(-edges.count() // shard_edges))
-    dealt = written(edges.select("h", "r", "t", F.pmod(F.xxhash64("h", "r", "t"), F.lit(shards)).alias("shard")))
-    nodes = dealt.select("shard", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("h").cast("long").alias("id")), F.struct(F.lit(0).alias("kind"), F.col("t").cast("long").alias("id")), F.struct(F.lit(1).alias("kind"), F.col("r").cast("long").alias("id")))).alias("k"))
-    touched = written(nodes.select("shard", "k.*").distinct())
+    blocks = max(math.ceil(math.sqrt(2 * edges.count() / task_edges)), math.ceil(2 * vectors.count() / task_entities), 2)
+    blocks += blocks % 2
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).cast("int")
+    dealt = written(edges.select(*(F.col(c).cast("long").alias(c) for c in ("h", "r", "t")), block("h").alias("bh"), block("t").alias("bt")))
     start = lambda x: F.concat(x, F.array_repeat(F.lit(0.0), 2 * F.size(x)))
     state = written(
         vectors.select(F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), start(F.concat("re", "im")).alias("state"))
@@ -246,19 +258,28 @@ def train_rotate(edges: DataFrame, vectors: DataFrame, phases: DataFrame, epochs
     )
     losses: list[float] = []
     while len(losses) < epochs and (len(losses) < patience or min(losses[-patience:]) <= min(losses)):
-        given = dealt.withColumns({"first": F.lit(len(losses) + 1), "epochs": F.lit(min(sync, epochs - len(losses)))})
-        params = touched.join(state, ["kind", "id"])
-        run = given.groupBy("shard").cogroup(params.groupBy("shard")).applyInPandas(_local_epochs(rate, gamma, n, seed), "kind int, id long, state array<double>")
-        mean = run.groupBy("kind", "id").agg(Summarizer.mean(array_to_vector("state")).alias("m")).select("kind", "id", vector_to_array("m").alias("state"))
-        after = written(mean)
-        seen = {r["id"]: r["state"] for r in after.where("kind = 2").collect()}  # a row an epoch
+        first, now = len(losses) + 1, min(sync, epochs - len(losses))
+        seen: dict[int, list[float]] = {}
+        for turn in range(blocks - 1):
+            mate = lambda c: partner(F.col(c), turn, blocks)  # noqa: B023, E731
+            meets = (F.col("bt") == mate("bh")) | ((F.col("bh") == F.col("bt")) & F.lit(turn == 0))
+            own = dealt.where(meets).select("h", "r", "t", F.least(F.col("bh"), mate("bh")).alias("pair"))
+            everyone = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.least(b, partner(b, turn, blocks))))  # noqa: B023
+            entities = state.where("kind = 0").withColumn("_b", block("id")).withColumn("pair", F.least(F.col("_b"), mate("_b"))).drop("_b")
+            params = entities.unionByName(state.where("kind = 1").withColumn("pair", F.explode(everyone)))
+            run = written(own.groupBy("pair").cogroup(params.groupBy("pair")).applyInPandas(_local_epochs(rate, gamma, n, seed, first, now), "kind int, id long, state array<double>, n double"))
+            mean = run.where("kind = 1").groupBy("id").agg(Summarizer.mean(array_to_vector("state"), F.greatest(F.col("n"), F.lit(1e-9))).alias("m")).select(F.lit(1).alias("kind"), "id", vector_to_array("m").alias("state"))
+            for r in run.where("kind = 2").groupBy("id").agg(F.sum(F.get("state", F.lit(0))).alias("lost"), F.sum(F.get("state", F.lit(1))).alias("n")).collect():  # a row an epoch
+                have = seen.setdefault(r["id"], [0.0, 0.0])
+                have[0], have[1] = have[0] + r["lost"], have[1] + r["n"]
+            state, before = written(run.where("kind = 0").select("kind", "id", "state").unionByName(mean)), state
+            release(before, run)
+        if not seen:
+            break
         losses += [seen[i][0] / seen[i][1] for i in sorted(seen)]
-        untouched = state.join(after.where("kind < 2"), ["kind", "id"], "left_anti")
-        state, before = written(after.where("kind < 2").unionByName(untouched)), state
-        release(before, after)
     dims = F.size("state") / 3
     part = lambda at, of: F.slice("state", (dims / of * at + 1).cast("int"), (dims / of).cast("int"))
-    release(dealt, touched)
+    release(dealt)
     return state.where("kind = 0").select("id", part(0, 2).alias("re"), part(1, 2).alias("im")), state.where("kind = 1").select(F.col("id").cast("int").alias("r"), part(0, 1).alias("phase")), losses
 
 

@@ -142,14 +142,33 @@ def test_synthetic_rows_lie_between_near_neighbours(spark):
         assert slack[best] < 1e-4 and np.linalg.norm(small[i[best]] - small[j[best]]) <= near and a is not None
 
 
-def test_training_in_shards_lowers_the_loss(spark):
-    edges = spark.range(300).selectExpr("id % 40 as h", "cast(id % 2 as int) as r", "(id * 7 + 3) % 40 as t").distinct()
-    vectors = spark.range(40).selectExpr("id", "transform(sequence(0, 3), i -> sin(id * 3.1 + i)) as re", "transform(sequence(0, 3), i -> cos(id * 1.7 + i)) as im")
-    phases = spark.range(2).selectExpr("cast(id as int) as r", "transform(sequence(0, 3), i -> double(i + id)) as phase")
-    for shard_edges in (50_000, 20):
-        ent, rel, losses = G.train_rotate(edges, vectors, phases, epochs=40, rate=0.05, sync=10, shard_edges=shard_edges)
-        assert len(losses) == 40 and losses[-1] < losses[0] and ent.count() == 40 and rel.count() == 2
-        assert all(len(r["re"]) == 4 and len(r["im"]) == 4 for r in ent.collect()) and all(len(r["phase"]) == 4 for r in rel.collect())
+def test_each_two_blocks_meet_once(spark):
+    for blocks in (2, 4, 6, 10):
+        met = set()
+        for turn in range(blocks - 1):
+            mates = {r["id"]: r["m"] for r in spark.range(blocks).select("id", G.partner(F.col("id"), turn, blocks).alias("m")).collect()}
+            assert all(mates[m] == b and m != b for b, m in mates.items())
+            met |= {frozenset(x) for x in mates.items()}
+        assert len(met) == blocks * (blocks - 1) // 2
+
+
+def test_training_by_blocks_is_no_worse(spark):
+    """A graph in which each relation moves along a ring: trained by pairs of blocks, its loss and hits are about those of one task."""
+    edges = spark.range(160).selectExpr("id % 40 as h", "cast(id div 40 as int) % 2 as r", "(id % 40 + 1 + (id div 40) % 2 * 2) % 40 as t").distinct()
+    vectors = spark.range(41).selectExpr("id", "transform(sequence(0, 7), i -> sin(id * 3.1 + i)) as re", "transform(sequence(0, 7), i -> cos(id * 1.7 + i * 2)) as im")  # the last has no edge
+    phases = spark.range(2).selectExpr("cast(id as int) as r", "transform(sequence(0, 7), i -> double(i + id)) as phase")
+    told = {}
+    for task_edges in (50_000, 20):
+        ent, rel, losses = G.train_rotate(edges, vectors, phases, epochs=120, rate=0.05, sync=20, patience=1000, task_edges=task_edges)
+        assert len(losses) == 120 and losses[-1] < 0.6 * losses[0] and ent.count() == 41 and rel.count() == 2
+        assert all(len(r["re"]) == 8 and len(r["im"]) == 8 for r in ent.collect()) and all(len(r["phase"]) == 8 for r in rel.collect())
+        every = edges.select("h", "r").distinct().join(vectors.select(F.col("id").alias("t")))
+        scored = G.rotated(every, ent, rel).withColumn("d", G.distance())
+        top = {(r["h"], r["r"]): r["best"] for r in scored.groupBy("h", "r").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t"))), 1, 5).alias("best")).collect()}
+        wrong = G.negative_samples(edges, 41)
+        lost = G.rotate_loss(G.rotated(edges, ent, rel).withColumn("d", G.distance()), G.rotated(wrong, ent, rel).withColumn("d", G.distance())).first()["loss"]
+        told[task_edges] = lost, sum(r["t"] in [b["t"] for b in top[r["h"], r["r"]]] for r in edges.collect()) / edges.count()
+    assert told[20][0] <= told[50_000][0] * 1.1 + 0.02 and told[20][1] >= told[50_000][1] - 0.1, told
 
 
 def test_breaker_stream(spark, tmp_path):
