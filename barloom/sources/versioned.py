@@ -23,7 +23,7 @@ class VersionedTable:
     rows; of rows of equal key and date the last loaded stays. Rows of a blank key go.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "Company", date: str = "Date", order: str = "load", grain: str = "month", parts: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "Company", date: str = "Date", order: str = "load", grain: str = "month", parts: int = 16):
         self.spark, self.path, self.schema, self.key, self.date, self.order, self.grain, self.parts = spark, path.rstrip("/"), schema, key, date, order, grain, parts
 
     # files
