@@ -12,12 +12,13 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm._common import bitmap_prefilter, free_name, materialize, release, small_batches, worker_cache
@@ -33,8 +34,10 @@ CLASSES = 52
 CACHED_BYTES, LONG_PIECE = 48_000_000, 64
 #: Texts that a worker holds as objects at a time.
 SLICE = 100
-#: A feature must occur in so many toxic documents, and in this share of them.
+#: Defaults of least_docs and least_share: a feature must occur in so many toxic documents, and in this share of them.
 LEAST_DOCS, LEAST_SHARE = 5, 0.002
+#: Parts of the taught rows: the regression sees a part's evidence under weights that the other parts gave.
+FOLDS = 4
 #: Documents' worth of prior belief that a feature tells nothing.
 PRIOR_DOCS = 10.0
 
@@ -222,25 +225,27 @@ def _named(**model) -> dict:
     return model | {"name": digest}
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, int]]]:
+    """Texts and their folds, a slice at a time."""
     for b in batches:
-        text = b.column("text")
-        for i in range(0, len(text), SLICE):
-            yield text[i : i + SLICE].to_pylist()
+        for i in range(0, len(b), SLICE):
+            part = b.slice(i, SLICE)
+            yield list(zip(part.column("text").to_pylist(), part.column("fold").to_pylist(), strict=True))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+def _counted(counts: list[Counter]) -> pa.RecordBatch:
+    rows = [(x, fold, n) for fold, own in enumerate(counts) for x, n in own.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["feature", "fold", "n"])
 
 
 def _toxic_features(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker(model, "words", _restorer(model)).__getitem__
         for texts in _sliced(batches):
-            counts: Counter = Counter()
-            for text in texts:
+            counts: list[Counter] = [Counter() for _ in range(FOLDS)]
+            for text, fold in texts:
                 words = {w for r in map(known, set(_pieces(text))) for w in ((r,) if " " not in r else r.split())}
-                counts.update(set().union(*map(features, words - {""})))
+                counts[fold].update(set().union(*map(features, words - {""})))
             yield _counted(counts)
 
     return run
@@ -250,10 +255,10 @@ def _clean_features(model: dict, wanted: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = _restorer(model)
         known = _worker(model, "features", lambda piece: tuple(x for r in restore(piece).split() for x in features(r) if x in wanted))
-        counts: Counter = Counter()
+        counts: list[Counter] = [Counter() for _ in range(FOLDS)]
         for texts in _sliced(batches):
-            for text in texts:
-                counts.update(set().union(*map(known.__getitem__, set(_pieces(text)))))
+            for text, fold in texts:
+                counts[fold].update(set().union(*map(known.__getitem__, set(_pieces(text)))))
         yield _counted(counts)
 
     return run
@@ -293,36 +298,72 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(texts: DataFrame, labels: DataFrame) -> tuple[dict, list[float]] | None:
-    """(word model, intercept and coefficients of EVIDENCE) from texts (doc_id, text) and labels; None without both classes."""
+def _by_fold(found: DataFrame) -> DataFrame:
+    """feature, ns: its documents in each fold, from counts (feature, fold, n) of tasks."""
+    ns = F.array(*(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)) for f in range(FOLDS)))
+    return found.groupBy("feature").agg(ns.alias("ns"))
+
+
+def _collected(spark: SparkSession, found: DataFrame) -> dict[str, np.ndarray]:
+    with small_batches(spark):
+        return {r["feature"]: np.array(r["ns"]) for r in found.collect()}
+
+
+def _weights(positive: dict[str, np.ndarray], negative: dict[str, np.ndarray], taught: np.ndarray, least_docs: int, least_share: float, without: int | None = None) -> dict[str, float]:
+    """Log odds of features over the folds (but one); taught: rows by class and fold."""
+    used = np.arange(FOLDS) != (-1 if without is None else without)
+    clean, toxic = taught[:, used].sum(axis=1).tolist()
+    if not clean or not toxic:
+        return {}
+    base, least, none = toxic / (clean + toxic), _least(toxic, least_docs, least_share), np.zeros(FOLDS, int)
+    counts = ((x, int(ns[used].sum()), int(negative.get(x, none)[used].sum())) for x, ns in positive.items())
+    odds = {x: float(np.log((k + PRIOR_DOCS * base) / (n + PRIOR_DOCS * (1 - base))) - np.log(base / (1 - base))) for x, k, n in counts if k >= least}
+    return {x: w for x, w in odds.items() if w > 0.5}
+
+
+def _least(toxic: int, least_docs: int, least_share: float) -> int:
+    """Toxic documents that a feature needs; where there are fewer than least_docs, all of them."""
+    return max(1, min(least_docs, toxic), int(least_share * toxic))
+
+
+def fit(texts: DataFrame, labels: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> tuple[dict, list[float]] | None:
+    """(word model, intercept and coefficients of EVIDENCE) from texts (doc_id, text) and labels; None without both classes.
+
+    The regression is cross-fitted: a row's evidence comes from weights that rows of other folds gave, as it will for a
+    text that taught nothing. The weights that are returned come from all folds. A feature needs least_docs toxic
+    documents (all, if there are fewer) and the least_share of them: that share bounds what the driver collects.
+    """
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     taught = taught.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # labels grow with the documents, so the texts meet them in a shuffle join, once; a text taught twice is one teacher
     known = bitmap_prefilter(texts.where("doc_id is not null"), "doc_id", taught.select("doc_id")).join(taught.hint("merge"), "doc_id")
     known = known.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    taught = materialize(known.groupBy("k1", "k2", "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
-    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
-    if not n.get(1) or not n.get(0):
+    fold = F.pmod("k1", F.lit(FOLDS)).cast("int")
+    taught = materialize(known.groupBy("k1", "k2", "toxic").agg(F.first("text").alias("text")).select("text", "toxic", fold.alias("fold")))
+    n = np.zeros((2, FOLDS), int)
+    for r in taught.where("toxic in (0, 1)").groupBy("toxic", "fold").count().collect():
+        n[r["toxic"], r["fold"]] = r["count"]
+    if not n.sum(axis=1).all():
         return None
 
-    model = _named(lm=language_model(texts))
-    least = max(LEAST_DOCS, int(LEAST_SHARE * n[1]))
-    # at most (features of a document) / LEAST_SHARE can pass, whatever the size of the corpus
-    found = taught.where("toxic = 1").select("text").mapInArrow(_toxic_features(model), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    with small_batches(texts.sparkSession):
-        positive = {r["feature"]: r["n"] for r in found.collect()}
-    clean = taught.where("toxic = 0").select("text").mapInArrow(_clean_features(model, frozenset(positive)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    with small_batches(texts.sparkSession):
-        negative = {r["feature"]: r["n"] for r in clean.collect()}
-    base = n[1] / (n[0] + n[1])
-    weights = {x: float(np.log((k + PRIOR_DOCS * base) / (negative.get(x, 0) + PRIOR_DOCS * (1 - base))) - np.log(base / (1 - base))) for x, k in positive.items()}
-    model = _named(lm=model["lm"], weights={x: w for x, w in weights.items() if w > 0.5})
+    spark, lm = texts.sparkSession, language_model(texts)
+    model = _named(lm=lm)
+    least = _least(int(n[1].sum()), least_docs, least_share)
+    # at most (features of a document) / least_share can pass, whatever the size of the corpus
+    found = _by_fold(taught.where("toxic = 1").select("text", "fold").mapInArrow(_toxic_features(model), "feature string, fold int, n long"))
+    positive = _collected(spark, found.where(F.aggregate("ns", F.lit(0).cast("long"), lambda total, x: total + x) >= least))
+    clean = taught.where("toxic = 0").select("text", "fold").mapInArrow(_clean_features(model, frozenset(positive)), "feature string, fold int, n long")
+    negative = _collected(spark, _by_fold(clean))
+
+    def weighed(without: int | None = None) -> dict:
+        return _named(lm=lm, weights=_weights(positive, negative, n, least_docs, least_share, without))
 
-    rows = materialize(taught.select("toxic", _evidence(model)("text").alias("e")).select("toxic", "e.*"))
+    parts = [taught.where(F.col("fold") == f).select("toxic", _evidence(weighed(f))("text").alias("e")) for f in range(FOLDS)]
+    rows = materialize(reduce(DataFrame.unionByName, parts).select("toxic", "e.*"))
     assembled = VectorAssembler(inputCols=list(EVIDENCE), outputCol="x").transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="toxic", regParam=0.001).fit(assembled)
     release(taught, rows)
-    return model, [float(fitted.intercept), *map(float, fitted.coefficients)]
+    return weighed(), [float(fitted.intercept), *map(float, fitted.coefficients)]
 
 
 def apply(docs: DataFrame, fitted: tuple[dict, list[float]] | None, name: str = "score") -> DataFrame:

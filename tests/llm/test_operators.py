@@ -12,6 +12,7 @@ import unicodedata
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,34 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(odd(spark), labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_weights_leave_their_own_fold_out():
+    rng = np.random.default_rng(5)
+    positive = {x: rng.integers(0, 9, toxicity.FOLDS) for x in "abcdefgh"}
+    negative = {x: rng.integers(0, 20, toxicity.FOLDS) for x in "abcdef"}
+    taught = np.array([[100] * toxicity.FOLDS, [20] * toxicity.FOLDS])
+    found = [toxicity._weights(positive, negative, taught, 5, 0.002, f) for f in (None, *range(toxicity.FOLDS))]
+    for f in range(toxicity.FOLDS):
+        other = [{x: np.where(np.arange(toxicity.FOLDS) == f, 99, ns) for x, ns in counts.items()} for counts in (positive, negative)]
+        assert toxicity._weights(*other, taught, 5, 0.002, f) == found[f + 1]
+    base, k, n = 1 / 6, int(positive["a"].sum()), int(negative["a"].sum())
+    odds = np.log((k + 10 * base) / (n + 10 * (1 - base))) - np.log(base / (1 - base))
+    assert found[0].get("a", 0.0) == pytest.approx(odds if odds > 0.5 else 0.0)
+    assert toxicity._weights(positive, negative, np.array([[4] * toxicity.FOLDS, [0] * toxicity.FOLDS]), 5, 0.002) == {}
+
+
+def test_toxicity_with_few_teachers(spark):
+    """With fewer toxic rows than least_docs, what all of them have still tells."""
+    rows = [(i, f"common words number {i} and {'moron' if i % 20 == 0 else 'neighbour'} again") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(300)], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, labels, least_docs=50)
+    assert "=moron" in fitted[0]["weights"] and "=common" not in fitted[0]["weights"] and len(fitted[1]) == 5
+    scores = {r["doc_id"]: r["score"] for r in toxicity.apply(docs, fitted).collect()}
+    assert min(s for i, s in scores.items() if i % 20 == 0) > max(s for i, s in scores.items() if i % 20)
+    one_of_each = labels.where("doc_id in (20, 21)")  # no fold has both classes: no evidence, and no failure
+    assert {0 <= r["score"] <= 1 for r in toxicity.score(docs, one_of_each).collect()} == {True}
+
+
 def test_deobfuscation(spark):
     text = " ".join(["the idiot moron was a pathetic clown and stupid loser in the trash"] * 50)
     lm = toxicity.language_model(spark.createDataFrame([(1, text)], "doc_id long, text string"))
