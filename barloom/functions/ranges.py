@@ -25,9 +25,15 @@ def ranged(df: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
     return spread.withColumn("_range", F.spark_partition_id()).drop("_tie")
 
 
+#: Rows of what was found for ranges and groups that every task may hold.
+FEW = 100_000
+
+
 def _joined(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with what was found for their keys; null is a key like any other."""
+    """rows with what was found for their keys; null is a key like any other. Where that is few rows, `rows` stay where they are."""
     other = found.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    if found.limit(FEW + 1).count() <= FEW:
+        other = F.broadcast(other)
     return rows.join(other, reduce(lambda x, y: x & y, (_same(k, f"_k_{k}") for k in keys))).drop(*(f"_k_{k}" for k in keys))
 
 
@@ -49,9 +55,10 @@ def average_rank(df: DataFrame, value: str, by: list[str], rank: str, share: boo
     high = F.struct(F.col("_high").alias("v"), F.col("_t_high").alias("t"), (F.col("_before") + F.col("_n") - F.col("_t_high")).alias("b"))
     both = F.when(F.col("_low") == F.col("_high"), F.array(low)).otherwise(F.array(low, high))
     ends = cells.select(*by, F.inline(both)).groupBy(*by, "v").agg((F.min("b") + (F.sum("t") + 1) / 2).alias("_at"))
+    cells, ends = written(cells), written(ends)
     for side in ("low", "high"):
         cells = _joined(cells, ends.withColumnsRenamed({"v": f"_{side}", "_at": f"_at_{side}"}), [*by, f"_{side}"])
-    found = _joined(local, cells, ["_range", *by])
+    found = _joined(local, written(cells), ["_range", *by])  # a row for each group and range
     at = F.when(F.col(value) == F.col("_low"), F.col("_at_low")).when(F.col(value) == F.col("_high"), F.col("_at_high")).otherwise(F.col("_before") + F.col("_r") + (F.col("_t") - 1) / 2)
     ranked = found.select(*(c for c in names if c != rank), (at / F.col("_all") if share else at.cast("double")).alias(rank))
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(rank, F.lit(None).cast("double")).select(*ranked.columns))
@@ -63,7 +70,7 @@ def position(df: DataFrame, order: list[str], by: list[str], at: str, size: str)
     cells = local.groupBy("_range", *by).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
     cells = cells.select("_range", *by, before.alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(size))
-    return _joined(local, cells, ["_range", *by]).withColumn(at, F.col(at) + F.col("_before")).drop("_range", "_before")
+    return _joined(local, written(cells), ["_range", *by]).withColumn(at, F.col(at) + F.col("_before")).drop("_range", "_before")
 
 
 def last_known(df: DataFrame, value: str, by: list[str], order: list[str], out: str) -> DataFrame:
@@ -73,4 +80,4 @@ def last_known(df: DataFrame, value: str, by: list[str], order: list[str], out:
     cells = local.groupBy("_range", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
     before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("_range", *by, before.alias("_before"))  # one row for each group and range
-    return _joined(local, cells, ["_range", *by]).withColumn(out, F.coalesce(out, "_before")).drop("_range", "_before")
+    return _joined(local, written(cells), ["_range", *by]).withColumn(out, F.coalesce(out, "_before")).drop("_range", "_before")
