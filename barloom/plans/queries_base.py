@@ -174,7 +174,7 @@ def _c21(s, d):
     n = V.table(s, d, "nation").select(F.col("n_name").alias("iso3"))
     c = V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     long = c.groupBy(F.col("n_name").alias("iso3"), F.col("c_mktsegment").alias("indicator")).agg(F.max("c_acctbal").alias("value"))
-    return I.attach_indicators(n, long, ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"])
+    return I.attach_indicators(n, long, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 
 def _calendar(s, d):
@@ -310,7 +310,7 @@ QUERIES = {
     "c18_publish_lookup": (lambda s, d: _c17(s, d).select("Symbol", F.col("Country").alias("country")), f"SELECT Symbol, Country AS country FROM ({C17})"),
     "c19_border_names": (_c19, "SELECT a.n_name AS country, string_agg(b.n_name, ',' ORDER BY b.n_name) AS borders FROM nation a JOIN nation b ON b.n_nationkey - a.n_nationkey IN (1, 7, 20) GROUP BY a.n_name"),
     "c20_country_attributes": (_c20, "SELECT Symbol, Country, coalesce(r_name, 'Unknown_region') AS region FROM raw_listing LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON n_name = Country"),
-    "c21_attach_indicators": (_c21, "SELECT n_name AS iso3, max(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_acctbal END) AS AUTOMOBILE, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS BUILDING, max(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_acctbal END) AS HOUSEHOLD FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "c21_attach_indicators": (_c21, "SELECT n_name AS iso3, max(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_acctbal END) AS AUTOMOBILE, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS BUILDING, max(CASE WHEN c_mktsegment = 'FURNITURE' THEN c_acctbal END) AS FURNITURE, max(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_acctbal END) AS HOUSEHOLD, max(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal END) AS MACHINERY FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"),
     "c22_triples_to_wide": (_c22, "SELECT replace(country, '_', '  ') AS country, round(gdp_usd, 0) AS gdp, CASE WHEN length(country) > 8 THEN CAST(length(country) AS DOUBLE) END AS pop FROM macro WHERE gdp_usd IS NOT NULL OR length(country) > 8"),
     "c23_attach_macro": (lambda s, d: I.attach_macro(V.raw_listing(s, d).select("Symbol", "MarketCap"), V.companies(s, d), V.macro(s, d)), "SELECT l.Symbol, l.MarketCap, gdp_usd FROM raw_listing l LEFT JOIN companies c ON c.Symbol = l.Symbol LEFT JOIN macro ON macro.country = c.Country"),
     "c24_pit_macro": (_c24, C24),
