@@ -111,3 +111,20 @@ def test_arima_orders_against_closed_forms_and_known_coefficients():
     beta, _ = S._css(x, 1, 0, 0)
     assert abs(beta[1] - 0.7) < 0.05
     assert S._css(x, 1, 0, 0)[1] < S._css(x, 0, 0, 0)[1]
+
+
+def test_looking_for_shared_numbers_moves_no_text(spark):
+    rows = [("ex:a", "ex:p", "ex:b", "iri", None), ("ex:b", "ex:q", "1.0", "literal", "xsd:float"), ("ex:a", "ex:q", "1.0", "literal", "xsd:integer")]
+    edges = P.encoded(spark.createDataFrame(rows, COLUMNS))
+    assert P.look_through(edges) is edges
+    with pytest.raises(ValueError, match="share a number"):
+        P.look_through(edges.withColumn("s", F.lit(7)))
+    with pytest.raises(ValueError, match="share a number"):
+        P.look_through(edges.withColumn("o", F.lit(7)))
+
+
+def test_triples_are_made_without_an_interpreted_filter(spark):
+    df = spark.createDataFrame([("a", None), ("b", "x"), (None, "y")], "s string, o string")
+    made = G.triples(df, G.iri(F.col("s"), "p", F.col("o")), G.literal(F.col("s"), "q", F.col("o")))
+    assert sorted(tuple(r)[:3] for r in made.collect()) == [("b", "ex:p", "x"), ("b", "ex:q", "x")]
+    assert "lambda" not in made._jdf.queryExecution().toString()
