@@ -143,3 +143,19 @@ def test_stored_tables_follow_their_input(spark, tmp_path):
         shutil.rmtree(table._written.removeprefix("file://"))  # somebody clears the shared folder
     assert queries()["e6_graph_size"](spark, here).agg(F.sum("n")).first()[0] == after
     assert views.table(spark, here, "supplier").count() == 3
+
+
+def test_columns_of_models_give_what_rows_of_models_give(spark):
+    """The truth is ranked once for all models, and a correlation moves no rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 3, i, float(t), float(round(t + a, 2)), float(round(b, 1)), 1.0) for i, (t, a, b) in enumerate(rng.normal(0, 1, (900, 3)))]
+    wide = spark.createDataFrame(rows, "fold int, Company int, truth double, `M/a` double, `M/b` double, `M/c` double")
+    names = ["M/a", "M/b", "M/c"]
+    oof = E.oof_table(wide, ["fold", "Company"], names, "truth")
+    want = {(r["model"], r["fold"]): r["ic"] for r in E.rank_ic(oof, ["model", "fold"]).collect()}
+    got = {(r["model"], r["fold"]): r["ic"] for r in E.rank_ic_of(wide, ["fold"], names).collect()}
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)
+    assert want["M/c", 0] is None
+    pair = E.correlations(wide, names[:2])
+    assert abs(pair.first()["corr"] - E.oof_correlation(oof, ["fold", "Company"], names[:2]).first()["corr"]) < 1e-12
+    assert "hashpartitioning" not in pair._jdf.queryExecution().executedPlan().toString()
