@@ -19,9 +19,15 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def ranged(df: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
-    """df with _range: ranges of (by, order) in ascending number, cut anywhere between rows."""
-    spread = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(*by, *order, "_tie")
+#: Rows of a range, about: what one task sorts.
+RANGE = 200_000
+
+
+def ranged(df: DataFrame, by: list[str], *order: str | Column, rows: int = RANGE) -> DataFrame:
+    """df with _range: ranges of (by, order) in ascending number, cut anywhere between rows, of about `rows` rows whatever df has."""
+    spark = df.sparkSession
+    many = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))
+    spread = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(many, *by, *order, "_tie")
     return spread.withColumn("_range", F.spark_partition_id()).drop("_tie")
 
 
