@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ranges import ranged
-from barloom.sources.scratch import written
+from barloom.sources.scratch import release, written
+
+#: Rows of a range, about: a row's step is a matrix, of which a task's Python holds a few for each row of a range.
+STEPS = 50_000
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +76,10 @@ def along(df: DataFrame, value: str, rule: Recurrence, key: str, date: str, desc
     Null values reach the rule as nan; rows of a null key are a series of their own.
     """
     size, names = len(rule.start), df.columns
-    rows = written(ranged(df, [key], F.desc(date) if descending else F.asc(date)))
+    given = written(df)  # computed once, to be counted, cut and dealt
+    many = max(1, -(-given.count() // STEPS))
+    rows = written(ranged(given, [key], F.desc(date) if descending else F.asc(date), rows=STEPS))
+    release(given)
     kind = df.schema[key].dataType.simpleString()
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     made = ", ".join(f"{c} {t}" for c, t in rule.made.items())
@@ -88,14 +94,15 @@ def along(df: DataFrame, value: str, rule: Recurrence, key: str, date: str, desc
         return pa.table({"key": t.column(key).take(pa.array(starts)), "_range": t.column("_range").take(pa.array(starts)), "first": x[starts], "last": x[ends], "m": pa.array(list(whole.reshape(len(ends), -1)), pa.list_(pa.float64()))})
 
     def entered(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_range")
-        state, before, states, befores = rule.start, np.nan, [], []
-        for i, (m, x, last) in enumerate(zip(t.column("m").to_pylist(), t.column("first").to_pylist(), t.column("last").to_pylist(), strict=True)):
-            states.append(state.tolist())
-            befores.append(before)
-            own = rule.steps(np.array([x], "f8"), np.array([before]), np.array([i == 0]))[0]
-            state, before = rule.product(np.array(m).reshape(size, size), rule.product(own, state[:, None]))[:, 0], last
-        return pa.table({"key": t.column("key"), "_range": t.column("_range"), "fresh": np.arange(len(t)) == 0, "before": np.array(befores, "f8"), "state": pa.array(states, pa.list_(pa.float64()))})
+        t, _, first = _segments(t, "key", "_range", "first", False)
+        size_of, begins = len(t), first == np.arange(len(t))
+        m = t.column("m").combine_chunks().flatten().to_numpy().reshape(size_of, size, size)
+        x, last = t.column("first").to_numpy(), t.column("last").to_numpy()
+        states, befores = np.tile(rule.start, (size_of, 1)), np.full(size_of, np.nan)
+        for i in np.flatnonzero(~begins):  # most series are in one range, and enter it as they start
+            own = rule.steps(x[i - 1 : i], befores[i - 1 : i], begins[i - 1 : i])[0]
+            states[i], befores[i] = rule.product(m[i - 1], rule.product(own, states[i - 1][:, None]))[:, 0], last[i - 1]
+        return pa.table({"key": t.column("key"), "_range": t.column("_range"), "fresh": begins, "before": befores, "state": pa.array(list(states), pa.list_(pa.float64()))})
 
     def filled(t: pa.Table, into: pa.Table) -> pa.Table:
         t, x, first = _segments(t, key, date, value, descending)
@@ -109,7 +116,8 @@ def along(df: DataFrame, value: str, rule: Recurrence, key: str, date: str, desc
         return pa.Table.from_arrays([*(t.column(c) for c in names), *(pa.array(out[c]) for c in rule.made)], names=[*names, *rule.made])
 
     parts = rows.select(key, date, value, "_range").groupBy("_range").applyInArrow(summed, f"key {kind}, _range int, first double, last double, m array<double>")
-    into = parts.groupBy("key").applyInArrow(entered, f"key {kind}, _range int, fresh boolean, before double, state array<double>")
+    # series go many to a group, as most have one row there
+    into = parts.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(many))).groupBy("_b").applyInArrow(entered, f"key {kind}, _range int, fresh boolean, before double, state array<double>")
     return rows.groupBy("_range").cogroup(into.groupBy("_range")).applyInArrow(filled, f"{fields}, {made}")
 
 

@@ -116,3 +116,29 @@ def test_long_viterbi_against_a_loop(spark):
     for s in ("one", None):
         got = [r["state"] for r in S.viterbi(df, mean, var, stay).where(F.col("series").eqNullSafe(s)).orderBy("Date").collect()]
         assert got == path[::-1]
+
+
+def test_ranges_are_as_many_as_the_rows_ask_for(spark):
+    """Whatever the shuffle partitions: a task's share does not grow with the input, and the ranks stay whole."""
+    from barloom.functions import ranges
+
+    df = spark.range(40_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).cast("double").alias("v"))
+    per = [r["count"] for r in ranges.ranged(df, ["g"], "v", rows=1000).groupBy("_range").count().collect()]
+    assert len(per) >= 36 and max(per) < 2500 and sum(per) == 40_000
+    assert df.rdd.getNumPartitions() <= 8
+
+
+def test_a_recurrence_deals_many_series_to_a_group(spark, monkeypatch):
+    """Series that fit a range and series over several, in ranges of a few rows; the calls of Python follow the ranges, not the series."""
+    from barloom.functions import features, scan
+
+    monkeypatch.setattr(scan, "STEPS", 40)
+    rows = [(k, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), float((i * 37 + k * 11) % 50)) for k in range(60) for i in range(150 if k < 2 else 3)]
+    df = spark.createDataFrame(rows, "Company int, Date date, px double")
+    few = {(r["Company"], r["Date"]): (r["macd"], r["macd_signal"]) for r in features.macd(df, "px").collect()}
+    monkeypatch.setattr(scan, "STEPS", 10**6)
+    one = {(r["Company"], r["Date"]): (r["macd"], r["macd_signal"]) for r in features.macd(df, "px").collect()}
+    assert len(few) == len(rows) == len(one)
+    assert all(abs(few[k][i] - one[k][i]) < 1e-9 for k in one for i in (0, 1))
+    plan = features.macd(df, "px")._jdf.queryExecution().toString()
+    assert "flatmapgroupsinarrow [_b" in plan.lower() and "flatmapgroupsinarrow [key" not in plan.lower()
