@@ -23,3 +23,19 @@ def test_oversampling_makes_its_rows_once(spark):
 def test_scored_rows_are_stored(spark):
     scored = Q._scored(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in scored._jdf.queryExecution().toString() and scored.inputFiles() == Q._scored(spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_a_fold_is_prepared_once_for_all_its_models(spark, monkeypatch):
+    import datetime
+
+    from pyspark.ml.regression import LinearRegression
+
+    from barloom.operators import walk_forward as W
+
+    dealt, spread = [], W.spread
+    monkeypatch.setattr(W, "spread", lambda df, amount: dealt.append(df.columns) or spread(df, amount))
+    rows = spark.createDataFrame([(datetime.date(2020, 1, 1) + datetime.timedelta(days=i), float(i % 7), "wide", float(i)) for i in range(400)], "Date date, a double, other string, label double")
+    folds = W.Folds(rows, 1, 5, 50)
+    out = W.predictions(folds, {"x": ["a"]}, {"one": LinearRegression(labelCol="label"), "two": LinearRegression(labelCol="label", regParam=1.0)}, ["Date"])
+    assert out.groupBy("model").count().count() == 2 and out.count() == 2 * folds.test(folds.folds[0]).count()
+    assert dealt == [["a", "label", "validation"]]
